@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, mixing, mpeg_audio, url_filter
+from . import bpe, chat, jaccard_join, mixing, mpeg_audio, url_filter, warc
+from .common import saved, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,19 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_arc(warc.pages_to_arc(_table(spark, sf_dir, "pages")))
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.to_warc(records, warc.http_key("X-Page-Id")), path)
+    read = warc.read_warc(spark, path, payloads=False).withColumn("page_id", warc.http_key("X-Page-Id"))
+    read = saved(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "record_id", F.col("refers_to").alias("refers_id"), "intact"), "records")
+    named = read.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to"))
+    alone = read.where("refers_id is null").withColumn("refers_to", F.lit(None).cast("long"))
+    again = read.where("refers_id is not null").join(named.withColumnRenamed("record_id", "refers_id"), "refers_id", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
+    return alone.select(columns).unionByName(again.select(columns))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -53,7 +67,16 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op5_chat_format, op6_url_filter, op8_jaccard_join, op9_bpe, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op2_mix_sources, op4_warc, op5_chat_format, op6_url_filter, op8_jaccard_join, op9_bpe, op10_mpeg_audio)}
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+k AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest, n) END AS kept FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN kept > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN kept > page_id THEN kept END AS refers_to, true AS intact FROM k
+"""
 
 
 _URL_SQL = rf"""
@@ -79,4 +102,4 @@ FROM ruled r LEFT JOIN listed l ON r.canonical = l.canonical
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": _URL_SQL}
+    return {"op4_warc": _WARC_SQL, "op6_url_filter": _URL_SQL}
