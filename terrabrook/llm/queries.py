@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, mixing, mpeg_audio, url_filter, warc
+from . import bpe, chat, jaccard_join, mixing, mpeg_audio, pii, url_filter, warc
 from .common import saved, scratch_path
 
 
@@ -19,6 +19,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+#: The key of the registered queries; whoever runs this on real data passes their own secret.
+PII_KEY = "terrabrook registered query"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_arc(warc.pages_to_arc(_table(spark, sf_dir, "pages")))
     path = scratch_path(spark, "warc")
@@ -67,7 +75,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op4_warc, op5_chat_format, op6_url_filter, op8_jaccard_join, op9_bpe, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_pii, op4_warc, op5_chat_format, op6_url_filter, op8_jaccard_join, op9_bpe, op10_mpeg_audio)}
 
 
 _WARC_SQL = """
