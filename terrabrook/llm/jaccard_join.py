@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, mixed, saved, steps, utf8
@@ -222,8 +222,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = base.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v"), F.count("*").alias("k")).where("k > 1")
     copies = base.join(classes, "digest").select(F.col("doc_id").alias("u"), "v")
     groups = _prefixes(docs, common, percent)
-    sizes = groups.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("doc", "n", "i")).alias("hub")).where("k > 1").drop("k")
-    shared = saved(groups.join(sizes, "h"), "shared")
+    group = Window.partitionBy("h")
+    groups = groups.withColumns({"k": F.count("*").over(group), "hub": F.min(F.struct("doc", "n", "i")).over(group)})
+    shared = saved(groups.where("k > 1").drop("k"), "shared")
     edges = saved(copies, "edges")
     tested = None
     pairs = shared.select(F.col("hub.doc").alias("a"), F.col("hub.n").alias("an"), F.col("hub.i").alias("ai"), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"))

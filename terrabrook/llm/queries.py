@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, mixing, mpeg_audio, pii, url_filter, warc
+from . import bpe, chat, jaccard_join, mixing, mpeg_audio, pii, toxicity, url_filter, warc
 from .common import saved, scratch_path
 
 
@@ -60,6 +60,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES, listed)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -75,7 +82,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_pii, op4_warc, op5_chat_format, op6_url_filter, op8_jaccard_join, op9_bpe, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_pii, op4_warc, op5_chat_format, op6_url_filter, op7_toxicity, op8_jaccard_join, op9_bpe, op10_mpeg_audio)}
 
 
 _WARC_SQL = """
