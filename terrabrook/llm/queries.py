@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, mixing, mpeg_audio, pii, toxicity, url_filter, warc
+from . import bpe, chat, jaccard_join, knn_join, mixing, mpeg_audio, pii, toxicity, url_filter, warc
 from .common import saved, scratch_path
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.knn_join(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -82,9 +86,17 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_pii, op4_warc, op5_chat_format, op6_url_filter, op7_toxicity, op8_jaccard_join, op9_bpe, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op1_knn_join, op2_mix_sources, op3_pii, op4_warc, op5_chat_format, op6_url_filter, op7_toxicity, op8_jaccard_join, op9_bpe, op10_mpeg_audio)}
 
 
+_KNN_SQL = """
+WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score FROM ok q, ok x WHERE q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
@@ -117,4 +129,4 @@ FROM ruled r LEFT JOIN listed l ON r.canonical = l.canonical
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": _WARC_SQL, "op6_url_filter": _URL_SQL}
+    return {"op1_knn_join": _KNN_SQL, "op4_warc": _WARC_SQL, "op6_url_filter": _URL_SQL}
