@@ -1 +1 @@
-"""..."""
+"""Columns: spectral indices, lookups and classifications."""

@@ -1 +1 @@
-"""..."""
+"""DataFrame operators on scenes, pixels and rasters."""

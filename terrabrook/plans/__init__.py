@@ -1 +1 @@
-"""..."""
+"""Compositions: analyses and the catalogue of queries."""

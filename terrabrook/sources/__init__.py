@@ -1 +1 @@
-"""..."""
+"""Scenes and pixels as relations."""
