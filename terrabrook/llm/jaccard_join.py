@@ -5,12 +5,15 @@ one), words being what ASCII white space separates, A-Z lower-cased. Two documen
 at least `percent` / 100. All sets are ordered alike, rare shingles first: the commonest ones, counted in parts of the corpus
 where they repeat, come last by count, the others by hash. Any common order gives all links; a rarer-first one gives fewer candidates.
 Two linked sets of n and m shingles share one among the first n - ceil(percent * n / 100) + 1 of each (prefix), n and m
-differ by no more than that share (length), and the places of the shared shingle leave room for the overlap (position).
-
-Prefix shingles are shuffled once. In each of their groups, documents first meet one hub, so a group of near copies costs as many pairs
-as members; what is linked then is one component. Only documents of a group that still are in different components meet
-further: hubs again while that pays, and in the end all pairs that the filters leave, so no link between components is lost. A
-pair is verified once, on whole texts: a suffix filter bounds the overlap, then the sets are intersected. The texts of
+differ by no more than that share (length), and enough shared shingles follow the first one in both prefixes (position).
+
+Prefix shingles are shuffled once, and those that no other prefix has go; shingles that the same documents share make one group, at the
+place of their first. In each group documents first meet one hub, so a
+group of near copies costs as many pairs as members; what is linked then is one component. Only documents of a group that still are in
+different components meet further: other hubs while that finds links, and in the end all pairs that the filters leave, so
+no link between components is lost. A
+pair is verified once: a suffix filter on sketches of the sets (counts by the shingles' low bits, a few bytes in place of texts)
+bounds the overlap, and what it leaves is intersected, on whole texts. The texts of
 a hub's partners are dealt in parts, so a hub of very many partners isn't one task's.
 
 Null or empty text, or only white space: an empty set, linked with nothing, its own component. Equal texts link. Rows that repeat a doc_id
@@ -36,10 +39,10 @@ WORDS = 5
 COUNTED, REPEATED, COMMON = 4_000_000, 4, 65_536
 #: Partners of a hub that are verified together.
 PART = 1000
-#: Bits of the filter that keeps texts without candidates from being shuffled (1 MB; doc_ids beyond share bits).
-MARKS = 1 << 23
+#: Bits of the filter that keeps texts without candidates from being shuffled (half a MB; doc_ids beyond share bits).
+MARKS = 1 << 22
 #: Hub rounds at most, before what is left meets in all pairs.
-ROUNDS = 4
+ROUNDS = 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -93,38 +96,49 @@ def _overlap(n: int, m: int, percent: int) -> int:
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets link: length, suffix filter, then the intersection."""
+    """Whether two sorted sets link."""
     n, m = len(x), len(y)
     if not n or not m or 100 * min(n, m) < percent * max(n, m):
         return False
     need = _overlap(n, m, percent)
-    if n + m > 64:  # suffix filter: split both at a few values; parts of unlike size can't overlap by more than the smaller
-        cuts = x[n * np.arange(1, 8) // 8]
-        px, py = np.searchsorted(x, cuts), np.searchsorted(y, cuts)
-        parts = np.minimum(np.diff(np.concatenate(([0], px, [n]))), np.diff(np.concatenate(([0], py, [m]))))
-        if parts.sum() < need:
-            return False
     place = np.minimum(np.searchsorted(y, x), m - 1)
     return int((y[place] == x).sum()) >= need
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles fall to each of about n / 4 values of their low bits; empty if a count doesn't fit a byte."""
+    size = 1 << max(0, (len(s) - 1).bit_length() - 2)
+    counts = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint8).tobytes() if len(s) and counts.max() < 256 else b""
+
+
+def may_overlap(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """False if the sketches of sets of n and m shingles show that they don't link: each unit that counts differ by is a shingle in one set only."""
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    size = min(len(a), len(b))
+    differ = int(np.abs(a.reshape(-1, size).sum(0) - b.reshape(-1, size).sum(0)).sum())
+    return n + m - differ >= 2 * _overlap(n, m, percent)
+
+
 def _summaries(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, digest) of every document, and rows (h, c) of shingles that repeat within a part of the corpus."""
+    """Rows (doc_id, n, digest, sketch) of every document, and rows (h, c) of shingles that repeat within a part of the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen, pool, size = ["doc_id", "n", "digest", "h", "c"], set(), [], 0
+        names, seen, pool, size = ["doc_id", "n", "digest", "sketch", "h", "c"], set(), [], 0
 
         def common() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(pool) if pool else np.zeros(0, np.uint64), return_counts=True)
             keep = counts >= REPEATED
             k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], names)
 
         for batch in batches:
             sets = shingle_sets(utf8(batch.column(1)))
             digests = [hashlib.md5(s.tobytes()).digest() for s in sets]
             k = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
             for s, d in zip(sets, digests, strict=True):
                 if d not in seen:
                     seen.add(d)
@@ -135,11 +149,11 @@ def _summaries(docs: DataFrame) -> DataFrame:
                     seen, pool, size = set(), [], 0
         yield common()
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, h long, c long")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, h long, c long")
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """(h, doc, n, i): the prefix shingles of every document, i being the place. Copies within a task count once. common: rarest first."""
+    """(h, doc): the prefix shingles of every document. Copies within a task count once. common: rarest first."""
     order = np.argsort(common)
     values = common[order]
 
@@ -148,7 +162,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
         for batch in batches:
             ids, column = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
             for a, b in steps(buffers(column)[0]):
-                parts, docs_, sizes, places = [], [], [], []
+                parts, docs_ = [], []
                 for doc, s in zip(ids[a:b], shingle_sets(column.slice(a, b - a)), strict=True):
                     digest = hashlib.md5(s.tobytes()).digest()
                     if not len(s) or digest in seen:
@@ -162,20 +176,38 @@ def _prefixes(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
                             s = s[np.argsort(rank, kind="stable")]
                     parts.append(s[:p])
                     docs_.append(np.full(p, doc))
-                    sizes.append(np.full(p, len(s), np.int32))
-                    places.append(np.arange(p, dtype=np.int32))
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(docs_).astype(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["h", "doc", "n", "i"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(docs_).astype(np.int64))], ["h", "doc"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "h long, doc long, n int, i int")
+    return docs.where("doc_id is not null").mapInArrow(run, "h long, doc long")
 
 
 def _may_link(a: str, b: str, percent: int):
-    """Length and position filters of two rows of prefixes: (n, i) as {a}n, {a}i and {b}n, {b}i."""
-    n, m, i, j = (F.col(c).cast("long") for c in (f"{a}n", f"{b}n", f"{a}i", f"{b}i"))
-    length = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    room = F.least(i, j) + F.least(n - i, m - j)
-    return length & (room * (100 + percent) >= (n + m) * percent)
+    """Whether rows {a}n, {a}r, {a}s and {b}n, {b}r, {b}s can be the first shingle that the prefixes of a linked pair share.
+
+    The sets may differ in length by so much. What a pair shares lies in both prefixes, or behind the one that ends first; so its
+    prefixes share at least `least` shingles, all of which occur in some other prefix too, and behind the first there
+    must be that many more in either list of such shingles: s of them, of which this is number r.
+    """
+    n, m, i, j, x, y = (F.col(c).cast("long") for c in (f"{a}n", f"{b}n", f"{a}r", f"{b}r", f"{a}s", f"{b}s"))
+    long_ = F.greatest(n, m)
+    overlap = F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    least = overlap - F.ceil(long_ * percent / 100 - 1e-9) + 1
+    return (F.least(n, m) * 100 >= long_ * percent) & (i <= x - least) & (j <= y - least)
+
+
+def _unlike_left_out(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            keep = pa.array([may_overlap(n, x, m, y, percent) for n, x, m, y in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    one = base.where("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("x"))
+    two = one.toDF("b", "bn", "y")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "an", "x", "bn", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -185,8 +217,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     hubs = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
     asked = saved(dealt.unionByName(hubs), "asked")
     slot = lambda c: F.pmod(F.col(c), F.lit(MARKS))
-    words = asked.groupBy(F.floor(slot("b") / 64).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("b"), F.lit(64)).cast("int"))).alias("w"))
-    table = words.agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(MARKS // 64 - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit(0).cast("long"))))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("b"), F.lit(64)).cast("int"))
+    words = asked.select(F.floor(slot("b") / 64).alias("k"), bit.alias("w")).unionByName(asked.sparkSession.range(MARKS // 64).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("w")))
+    words = words.groupBy("k").agg(F.bit_or("w").alias("w"))
+    table = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("words"))
     marked = F.call_function("shiftright", F.element_at(table.scalar(), (F.floor(slot("doc_id") / 64) + 1).cast("int")), F.pmod(F.col("doc_id"), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
     texts = docs.where("doc_id is not null").where(marked).select(F.col("doc_id").alias("b"), F.coalesce("text", F.lit("")).alias("text"))
     rows = asked.join(texts, "b").select("a", "part", (F.col("a") != F.col("b")).alias("late"), "b", "text")
@@ -216,51 +250,55 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     both = saved(_summaries(docs), "summaries")
-    base = both.where("h is null").select("doc_id", "n", "digest")
+    base = both.where("h is null").select("doc_id", "n", "digest", "sketch")
     rows = both.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON).collect()
     common = np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
     classes = base.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v"), F.count("*").alias("k")).where("k > 1")
     copies = base.join(classes, "digest").select(F.col("doc_id").alias("u"), "v")
-    groups = _prefixes(docs, common, percent)
-    group = Window.partitionBy("h")
-    groups = groups.withColumns({"k": F.count("*").over(group), "hub": F.min(F.struct("doc", "n", "i")).over(group)})
-    shared = saved(groups.where("k > 1").drop("k"), "shared")
-    edges = saved(copies, "edges")
-    tested = None
-    pairs = shared.select(F.col("hub.doc").alias("a"), F.col("hub.n").alias("an"), F.col("hub.i").alias("ai"), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"))
-    last, rounds = False, 0
+    group, mine = Window.partitionBy("h"), Window.partitionBy("doc")
+    same = F.xxhash64(F.count("*").over(group), F.bit_xor(F.xxhash64("doc")).over(group), F.bit_xor(F.xxhash64("doc", F.lit(1))).over(group))
+    groups = _prefixes(docs, common, percent).withColumns({"k": F.count("*").over(group), "g": same}).where("k > 1")
+    places = {"r": (F.row_number().over(mine.orderBy("k", "h")) - 1).cast("long"), "s": F.count("*").over(mine)}
+    groups = groups.withColumns(places).groupBy("doc", "g").agg(F.min("r").alias("r"), F.first("s").alias("s"))
+    sizes = base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "n").distinct()
+    shared = saved(groups.join(sizes, "doc").select(F.col("g").alias("h"), "doc", "n", "r", "s"), "shared")
+    roots = copies.select(F.col("u").alias("node"), F.col("v").alias("root"))  # stars already, unless texts share a doc_id
+    tested, rounds, found_any, closed = None, 0, True, False
+    apart = shared.select("*", F.col("doc").alias("root"))
     while True:
-        pairs = pairs.where("a <> b").where(_may_link("a", "b", percent)).select("a", "b").distinct()
+        last = rounds == ROUNDS or not found_any
+        if not last:
+            order = F.struct("doc", "n", "r", "s", "root") if not rounds else F.struct(F.xxhash64("doc", F.lit(rounds)), "doc", "n", "r", "s", "root")
+            met = apart.withColumn("hub", F.min(order).over(Window.partitionBy("h"))).where("root <> hub.root")
+            pairs = met.select(*(F.col(f"hub.{c}").alias(k) for c, k in (("doc", "a"), ("n", "an"), ("r", "ar"), ("s", "as"))), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("r").alias("br"), F.col("s").alias("bs")).where(_may_link("a", "b", percent))
+        else:
+            x = apart.select("h", *(F.col(c).alias(k) for c, k in (("doc", "a"), ("n", "an"), ("r", "ar"), ("s", "as"), ("root", "aroot"))))
+            y = apart.select("h", *(F.col(c).alias(k) for c, k in (("doc", "b"), ("n", "bn"), ("r", "br"), ("s", "bs"), ("root", "broot"))))
+            pairs = x.join(y, "h").where("aroot < broot").where(_may_link("a", "b", percent))
+        pairs = pairs.select("a", "b").distinct()
         if tested is not None:
             old = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
-        if pairs.isEmpty():
-            new = 0
-        else:
-            found = saved(_verified(docs, pairs, percent), "found")
-            edges = saved(edges.unionByName(found.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
-            new = 0 if found.isEmpty() else 1
-        roots = saved(components(edges), "roots")
+        close = saved(_unlike_left_out(pairs, base, percent), "close")
+        found_any = False
+        if not close.isEmpty():
+            found = saved(_verified(docs, close, percent), "found")
+            found_any = not found.isEmpty()
+            if found_any:
+                links = found.select(F.col("b").alias("u"), F.col("a").alias("v"))
+                roots = saved(components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
+                closed = True
         if last:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
         rounds += 1
-        apart = shared.drop("hub").join(roots, shared["doc"] == roots["node"], "left").select("h", "doc", "n", "i", F.coalesce("root", "doc").alias("root"))
-        apart = saved(apart, "apart")
-        mixed_ = apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        apart = saved(apart.join(mixed_, "h"), "apart")
-        counts = apart.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("all"), F.sum("k").alias("k")).agg(F.sum("all"), F.sum("k")).first()
-        if not counts[1]:
-            break
-        if rounds < ROUNDS and counts[0] > 4 * counts[1] and (new or rounds < 2):
-            hub = apart.groupBy("h").agg(F.min(F.struct(F.xxhash64("doc", F.lit(rounds)), "doc", "n", "i", "root")).alias("hub"))
-            pairs = apart.join(hub, "h").where("root <> hub.root").select(F.col("hub.doc").alias("a"), F.col("hub.n").alias("an"), F.col("hub.i").alias("ai"), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"))
-        else:
-            last = True
-            x = apart.select("h", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("root").alias("ar"))
-            y = apart.select("h", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("root").alias("br"))
-            pairs = x.join(y, "h").where("ar < br")
+        if found_any or rounds == 1:
+            apart = shared.join(roots, shared["doc"] == roots["node"], "left").select("h", "doc", "n", "r", "s", F.coalesce("root", "doc").alias("root"))
+            several = Window.partitionBy("h")
+            apart = saved(apart.withColumns({"lo": F.min("root").over(several), "hi": F.max("root").over(several)}).where("lo <> hi").drop("lo", "hi"), "apart")
+    if not closed:
+        roots = saved(components(copies), "roots")
     out = base.join(roots, base["doc_id"] == roots["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 

@@ -56,9 +56,10 @@ def _mask(key: Column) -> Column:
 def bloom_words(listed: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
     """One row with the filter's words as an array, and their number; n: listed keys."""
     words = max(64, -(-n // PER_WORD))
-    blocks = listed.groupBy(_block(F.col(key), words).alias("b")).agg(F.bit_or(_mask(F.col(key))).alias("w"))
-    pairs = F.map_from_entries(F.collect_list(F.struct("b", "w")))
-    return blocks.agg(pairs.alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words")), words
+    rows = listed.select(_block(F.col(key), words).alias("b"), _mask(F.col(key)).alias("w"))
+    every = listed.sparkSession.range(words).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("w"))
+    blocks = rows.unionByName(every).groupBy("b").agg(F.bit_or("w").alias("w"))
+    return blocks.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("words")), words
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
