@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, mixed, saved, steps, utf8
@@ -153,7 +153,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """(h, doc): the prefix shingles of every document. Copies within a task count once. common: rarest first."""
+    """(h, doc): the prefix shingles of docs. Copies within a task count once. common: rarest first."""
     order = np.argsort(common)
     values = common[order]
 
@@ -210,18 +210,24 @@ def _unlike_left_out(pairs: DataFrame, base: DataFrame, percent: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "an", "x", "bn", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _marked(ids: DataFrame) -> Column:
+    """A condition on doc_id that holds for all of ids, and for others only where they share a bit of a filter of fixed size."""
+    slot = F.pmod(F.col("doc_id"), F.lit(MARKS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("doc_id"), F.lit(64)).cast("int"))
+    words = ids.select(F.floor(slot / 64).alias("k"), bit.alias("w")).unionByName(ids.sparkSession.range(MARKS // 64).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("w")))
+    words = words.groupBy("k").agg(F.bit_or("w").alias("w"))
+    table = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("words"))
+    word = F.element_at(table.scalar(), (F.floor(slot / 64) + 1).cast("int"))
+    return F.call_function("shiftright", word, F.pmod(F.col("doc_id"), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. a is the hub."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     hubs = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
     asked = saved(dealt.unionByName(hubs), "asked")
-    slot = lambda c: F.pmod(F.col(c), F.lit(MARKS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("b"), F.lit(64)).cast("int"))
-    words = asked.select(F.floor(slot("b") / 64).alias("k"), bit.alias("w")).unionByName(asked.sparkSession.range(MARKS // 64).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("w")))
-    words = words.groupBy("k").agg(F.bit_or("w").alias("w"))
-    table = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("words"))
-    marked = F.call_function("shiftright", F.element_at(table.scalar(), (F.floor(slot("doc_id") / 64) + 1).cast("int")), F.pmod(F.col("doc_id"), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    marked = _marked(asked.select(F.col("b").alias("doc_id")))
     texts = docs.where("doc_id is not null").where(marked).select(F.col("doc_id").alias("b"), F.coalesce("text", F.lit("")).alias("text"))
     rows = asked.join(texts, "b").select("a", "part", (F.col("a") != F.col("b")).alias("late"), "b", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "late")
@@ -254,10 +260,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = both.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON).collect()
     common = np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
     classes = base.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v"), F.count("*").alias("k")).where("k > 1")
-    copies = base.join(classes, "digest").select(F.col("doc_id").alias("u"), "v")
+    copies = saved(base.join(classes, "digest").select(F.col("doc_id").alias("u"), "v"), "copies")
+    # of equal sets the first document stands for all; the filter may let others pass, which only costs
+    firsts = base.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     group, mine = Window.partitionBy("h"), Window.partitionBy("doc")
     same = F.xxhash64(F.count("*").over(group), F.bit_xor(F.xxhash64("doc")).over(group), F.bit_xor(F.xxhash64("doc", F.lit(1))).over(group))
-    groups = _prefixes(docs, common, percent).withColumns({"k": F.count("*").over(group), "g": same}).where("k > 1")
+    groups = _prefixes(docs.where(_marked(firsts)), common, percent).withColumns({"k": F.count("*").over(group), "g": same}).where("k > 1")
     places = {"r": (F.row_number().over(mine.orderBy("k", "h")) - 1).cast("long"), "s": F.count("*").over(mine)}
     groups = groups.withColumns(places).groupBy("doc", "g").agg(F.min("r").alias("r"), F.first("s").alias("s"))
     sizes = base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "n").distinct()
