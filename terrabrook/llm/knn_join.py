@@ -7,7 +7,7 @@ queries can score: for q in the cell of p with radius r and norms up to N, and x
     p.o - r|o| - N d  <=  q.x  <=  p.o + r|o| + N d.
 
 The (k+1)-th largest lower bound is a score that every query of the group reaches, so x is copied to the group only if its
-upper bound does. A group's data are dealt in slices and its queries in chunks of bounded size, each unit is solved by matrix products on
+upper bound does; cells of near pivots with few queries share a copy. A group's data are dealt in slices and its queries in chunks of bounded size, each unit is solved by matrix products on
 exact numbers, and a window merges the slices. Of equal vectors only the k + 1 smallest identifiers can win, so a vector that many
 rows share is reduced, before it is shuffled, to those.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Pivots at most (their table of bounds has the square of that), rows of a slice, queries of a chunk, queries multiplied at once.
-PIVOTS, SLICE, CHUNK, BLOCK = 256, 20_000, 50_000, 256
+#: Pivots at most (their table of bounds has the square of that), queries of cells that share data, rows of a slice, queries of a chunk, queries multiplied at once.
+PIVOTS, GROUP, SLICE, CHUNK, BLOCK = 256, 4096, 20_000, 50_000, 256
 
 
 def _packed(v: np.ndarray) -> list[bytes]:
@@ -161,22 +161,37 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_
     dots, norms = p @ p.T, np.sqrt((p * p).sum(1))
     near_cell, near_d = np.array([r["cell"] for r in near], np.int64), np.array([r["d"] for r in near])
     least = np.full((len(p), len(p)), np.inf)  # the distance from its pivot at which a vector of a cell must be copied to a group
-    slices, chunks = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
     for i, g in groups.items():
         low = dots[i, near_cell] - g["r"] * norms[near_cell] - g["norm"] * near_d
         reached = np.sort(low)[-(k + 1)] if len(low) > k else -np.inf
         slack = 1e-9 * (1 + abs(reached) + np.abs(dots[i]) + g["r"] * norms)
         room = reached - slack - dots[i] - g["r"] * norms
         least[i] = np.where(room <= 0, -1.0, room / max(g["norm"], 1e-300) * (1 - 1e-9))
-        copied = sum(c["n"] for j, c in held.items() if least[i, j] <= c["r"])
-        slices[i], chunks[i] = max(1, -(-copied // SLICE)), -(-g["n"] // CHUNK)
+    # cells whose pivots are close share one copy of the data, as long as their queries are few
+    group_of, left, n_groups = np.zeros(len(p), np.int64), set(groups), 0
+    while left:
+        seed = max(left, key=lambda i: (groups[i]["n"], -i))
+        queries = 0
+        for i in sorted(left, key=lambda i: (float(((p[i] - p[seed]) ** 2).sum()), i)):
+            if queries and queries + groups[i]["n"] > GROUP:
+                break
+            group_of[i], queries = n_groups, queries + groups[i]["n"]
+            left.remove(i)
+        n_groups += 1
+    need = np.full((n_groups, len(p)), np.inf)
+    slices, chunks = np.zeros(n_groups, np.int64), np.zeros(n_groups, np.int64)
+    for g in range(n_groups):
+        members = [i for i in groups if group_of[i] == g]
+        need[g] = least[members].min(0)
+        copied = sum(c["n"] for j, c in held.items() if need[g, j] <= c["r"])
+        slices[g], chunks[g] = max(1, -(-copied // SLICE)), -(-sum(groups[i]["n"] for i in members) // CHUNK)
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, d = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             part = batch.column(0).to_numpy()
-            for i in np.flatnonzero(slices):
-                to = np.flatnonzero(d >= least[i, cell])
+            for i in range(n_groups):
+                to = np.flatnonzero(d >= need[i, cell])
                 for c in range(chunks[i] if len(to) else 0):
                     fill = lambda x, m=len(to): pa.array(np.full(m, x, np.int32))
                     yield pa.RecordBatch.from_arrays([fill(i), pa.array((part[to] % slices[i]).astype(np.int32)), fill(c), pa.array(np.zeros(len(to), bool)), batch.column(0).take(pa.array(to)), batch.column(1).take(pa.array(to))], ["g", "slice", "chunk", "asked", "id", "v"])
@@ -184,11 +199,12 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
-            copies = slices[cell]
+            group = group_of[cell]
+            copies = slices[group]
             at = np.repeat(np.arange(len(ids)), copies)
             slice_ = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-            chunk = ((ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % np.maximum(chunks[cell[at]], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[at]), pa.array(slice_.astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(np.ones(len(at), bool)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["g", "slice", "chunk", "asked", "id", "v"])
+            chunk = ((ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % np.maximum(chunks[group[at]], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(group[at].astype(np.int32)), pa.array(slice_.astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(np.ones(len(at), bool)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["g", "slice", "chunk", "asked", "id", "v"])
 
     shape = "g int, slice int, chunk int, asked boolean, id long, v binary"
     units = data.select("id", "v", "cell", "d").mapInArrow(copy, shape).unionByName(cells.where(is_query).select("id", "v", "cell").mapInArrow(ask, shape))

@@ -27,6 +27,7 @@ def run(spark, rows, k=20):
 def test_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(knn_join, "SLICE", 150)
     monkeypatch.setattr(knn_join, "CHUNK", 7)
+    monkeypatch.setattr(knn_join, "GROUP", 12)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8))
     rows = [(int(i), [float(np.float32(x)) for x in centres[rng.integers(12)] + 0.1 * rng.normal(size=8)]) for i in range(900)]
@@ -47,6 +48,7 @@ def test_bounds_leave_out_far_cells(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centres = 40 * rng.normal(size=(10, 6))
     rows = [(int(i), [float(np.float32(x)) for x in centres[i % 10] + 0.01 * rng.normal(size=6)]) for i in range(3000)]
+    monkeypatch.setattr(knn_join, "GROUP", 1)
     seen = []
     real = knn_join._solved
     monkeypatch.setattr(knn_join, "_solved", lambda units, dim, k: seen.append(units.where("not asked").groupBy("g").count().agg(F.avg("count")).first()[0]) or real(units, dim, k))
