@@ -8,6 +8,10 @@ network over exactly that domain, so the pseudonym has the same format and stays
 stay different, and equal values get equal pseudonyms in every document, however they are punctuated. What doesn't
 validate stays as it is, and so does all other text.
 
+Every place where a shape begins is tried, also within a match that didn't validate, and the first valid one of two that overlap is taken.
+What follows a value isn't taken with it: an international number has the digits of its calling code's plan (`PLANS`; of other codes as many
+groups as 15 digits and the next value allow), an IBAN its country's length (`IBANS`), or else the longest run of its groups that validates.
+
 Null text stays null, with 0 replaced; texts are taken whole at any length; rows are independent, so repeated rows give repeated
 results; an empty table gives no rows; all columns are kept, `replaced` is new (an old one of that name goes).
 """
@@ -20,17 +24,40 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _NO_WORD, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Digits behind the calling codes with plans of (nearly) one length.
+PLANS = {
+    "8": "45|47|53|65|216|356|357|370|371|373|374|382|852|853|965|968|973|974",
+    "9": "27|31|33|34|40|41|48|56|61|93|94|212|218|254|255|256|351|380|420|421|966|994|995|996|998",
+    "10": "1|7|20|30|52|58|90|91|92|98",
+    "11": "86",
+    "7,8": "372",
+    "8,9": "32|36|213|359|385|886|972",
+    "9,10": "44|60|81|84",
+    "10,11": "54|55",
+}
+#: Characters of an IBAN by country.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+#: What begins another value, so that no number goes on there, and the next digit of a number, in groups of two digits at least.
+_OTHER = rf"(?:{_OCTET}\.){{3}}|[0-9]{{4}}[\-/.][0-9]{{2}}[\-/.][0-9]{{2}}{_END}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}}{_END}|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}|(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .\-])[0-9]{{3}}[ .\-][0-9]{{4}}{_END}|[0-9]{{13}}|(?:[0-9]{{4}}[ \-]){{3}}[0-9]{{4}}{_END}(?![ \-][0-9]{{4}}{_END})|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}}{_END}|[\p{{L}}\p{{N}}._%+\-]++@"
+_NEXT = r"(?:[0-9]|(?:\)[ .\-]?\(?|[ .\-]\(?|\()[0-9](?=[0-9]))"
+_FREE = rf"(?:(?! (?:{_OTHER})){_NEXT}){{7,14}}{_END}|[0-9]{_NEXT}{{7,14}}"
+_PLANNED = "|".join(f"(?:{codes}){_NEXT}{{{n}}}{_END}" for n, codes in PLANS.items())
 #: The shapes of what may be personal, by kind.
 SHAPES = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])",
-    "date": rf"{_NO_WORD}(?:(?:19|20)[0-9]{{2}}([\-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)[0-9]{{2}}|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{{2}}){_END}",
+    "date": rf"{_NO_WORD}(?:(?:19|20)[0-9]{{2}}(?<day>[\-/.])(?:0[1-9]|1[0-2])\k<day>(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)[0-9]{{2}}|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{{2}}){_END}",
     "ssn": rf"(?<![\p{{L}}\p{{N}}\-])(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}(?![\p{{L}}\p{{N}}]|-[0-9])",
-    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:\+[0-9]{{1,3}}(?:[ .\-]?\(?[0-9]{{2,4}}\)?){{2,5}}|(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .\-])[0-9]{{3}}[ .\-][0-9]{{4}}){_END}",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:\+(?:{_PLANNED}|[0-9]{_FREE})|(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .\-])[0-9]{{3}}[ .\-][0-9]{{4}}){_END}",
     "iban": rf"{_NO_WORD}[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?){_END}",
-    "card": rf"{_NO_WORD}(?:[0-9]{{13,19}}|[0-9]{{4}}([ \-])[0-9]{{4}}\2[0-9]{{4}}\2[0-9]{{4}}|[0-9]{{4}}([ \-])[0-9]{{6}}\3[0-9]{{5}}){_END}",
+    "card": rf"{_NO_WORD}(?:[0-9]{{13,19}}|[0-9]{{4}}(?<four>[ \-])[0-9]{{4}}\k<four>[0-9]{{4}}\k<four>[0-9]{{4}}|[0-9]{{4}}(?<six>[ \-])[0-9]{{6}}\k<six>[0-9]{{5}}){_END}",
 }
 PATTERN = "|".join(SHAPES.values())
+#: Matches folded at once: a step copies the list of what its block has put out.
+BLOCK = 256
 #: First day and days of a century as a product, which the two halves of a date number.
 CENTURIES = {"19": ("1900-01-01", 92, 397), "20": ("2000-01-01", 75, 487)}
 
@@ -151,16 +178,28 @@ def _date(key: str, m: Column) -> Column:
     return F.when(day <= F.day(F.last_day(F.make_date(year, month, F.lit(1)))), out).otherwise(m)
 
 
+def _iban_valid(code: Column) -> Column:
+    return _mod97(F.concat(F.substring(code, F.lit(5), F.length(code) - 4), F.substring(code, 1, 4))) == 1
+
+
+def _iban_part(m: Column) -> Column:
+    """The first groups of m that are an IBAN: of its country's length, or else as many as validate; m if none do."""
+    groups = F.split(m, " ")
+    starts = F.transform(F.sequence(F.size(groups), F.least(F.size(groups), F.lit(3)), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    good = F.filter(starts, lambda p: _iban_valid(F.regexp_replace(p, " ", "")))
+    usual = F.filter(good, lambda p: F.regexp_replace(p, " ", "").rlike("^(?:" + "|".join(f"(?:{c}).{{{n - 2}}}" for n, c in IBANS.items()) + ")$"))
+    return F.coalesce(F.get(usual, F.lit(0)), F.get(good, F.lit(0)), m)
+
+
 def _iban(key: str, m: Column) -> Column:
     code = F.regexp_replace(m, " ", "")
     body = F.substring(code, F.lit(5), F.length(code) - 4)
-    valid = _mod97(F.concat(body, F.substring(code, 1, 4))) == 1
     d = _digits(body)
     new = F.when(F.length(d) > 0, _once(_permuted(key, "iban", d), lambda x: _put(body, x))).otherwise(body)
     check = lambda b: _zeros((98 - _mod97(F.concat(b, F.substring(code, 1, 2), F.lit("00")))).cast("string"), 2)
     whole = _once(new, lambda b: F.concat(check(b), b))
     chars = lambda w: F.array_join(F.transform(F.split(m, "(?!$)"), lambda c, i: F.when(c == " ", c).otherwise(F.substring(F.concat(F.substring(code, 1, 2), w), F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
-    return F.when(valid, _once(whole, chars)).otherwise(m)
+    return F.when(_iban_valid(code), _once(whole, chars)).otherwise(m)
 
 
 def _email(key: str, m: Column) -> Column:
@@ -188,7 +227,7 @@ def _email(key: str, m: Column) -> Column:
 
 def pseudonym(key: str, m: Column) -> Column:
     """The pseudonym of one match of PATTERN."""
-    whole = lambda kind: m.rlike("^(?:" + SHAPES[kind].replace(r"\2", r"\1") + ")$")
+    whole = lambda kind: m.rlike("^(?:" + SHAPES[kind] + ")$")
     return F.when(F.contains(m, F.lit("@")), _email(key, m)).when(whole("ip"), _ip(key, m)).when(whole("date"), _date(key, m)).when(whole("ssn"), _ssn(key, m)).when(whole("phone"), _phone(key, m)).when(m.rlike("^[A-Z]"), _iban(key, m)).otherwise(_card(key, m))
 
 
@@ -196,10 +235,29 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with personal values in `text` replaced by pseudonyms under `key`, and `replaced`, how many were."""
     column = F.col(f"`{text}`")
     names = [c for c in docs.columns if c != "replaced"]
-    found = F.when(column.rlike("[0-9@]"), F.regexp_extract_all(column, F.lit(PATTERN), F.lit(0)))
+    found = F.when(column.rlike("[0-9@]"), F.regexp_extract_all(column, F.lit(f"(?=({PATTERN}))"), F.lit(1)))
     rows = docs.select(*(F.col(f"`{c}`") for c in names), found.alias("_found"))
-    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(key, m))))
-    gaps = F.split(column, PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, F.concat("_new", F.array(F.lit(""))), lambda g, n: F.array(g, n))), "")
-    count = F.coalesce(F.aggregate(F.zip_with("_found", "_new", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x), F.lit(0))
-    return rows.select(*(F.when(F.col("_new").isNotNull(), joined).otherwise(column).alias(c) if c == text else F.col(f"`{c}`") for c in names), count.alias("replaced"))
+    part = lambda m: F.when(m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), _iban_part(m)).otherwise(m)
+    tried = lambda m: _once(part(m), lambda p: F.struct(p.alias("old"), pseudonym(key, p).alias("new")))
+    rows = rows.withColumn("_tried", F.when(F.size("_found") > 0, F.transform("_found", tried)))
+    rows = rows.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(column, f"(?={PATTERN})", -1)))
+    ahead = F.size("_gaps") - F.size("_tried")  # 1 if there is text before the first match
+    each = F.zip_with(F.slice("_gaps", ahead + 1, F.size("_tried")), "_tried", lambda g, t: F.struct(g.alias("gap"), t["old"].alias("old"), t["new"].alias("new")))
+
+    def step(s: Column, x: Column) -> Column:
+        """left: characters of the value taken last that are still to come in the text; a match among them isn't looked at."""
+        taken = (s["left"] == 0) & (x["new"] != x["old"])
+        left = F.when(taken, F.length(x["old"])).otherwise(s["left"])
+        shown = F.concat(F.when(taken, x["new"]).otherwise(""), F.substring(x["gap"], left + 1, F.length(x["gap"])))
+        return F.struct(F.greatest(left - F.length(x["gap"]), F.lit(0)).alias("left"), F.concat(s["out"], F.array(shown)).alias("out"), (s["n"] + taken.cast("int")).alias("n"))
+
+    def block(s: Column, b: Column) -> Column:
+        done = F.aggregate(b, F.struct(s["left"].alias("left"), none.alias("out"), s["n"].alias("n")), step)
+        return _once(done, lambda d: F.struct(d["left"].alias("left"), F.concat(s["out"], F.array(F.array_join(d["out"], ""))).alias("out"), d["n"].alias("n")))
+
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("_each", each)
+    blocks = F.transform(F.sequence(F.lit(1), F.size("_each"), F.lit(BLOCK)), lambda i: F.slice("_each", i, F.lit(BLOCK)))
+    begin = F.struct(F.lit(0).alias("left"), F.when(ahead > 0, F.slice("_gaps", 1, 1)).otherwise(none).alias("out"), F.lit(0).alias("n"))
+    rows = rows.withColumn("_done", F.when(F.size("_found") > 0, F.aggregate(blocks, begin, block)))
+    return rows.select(*(F.when(F.col("_done").isNotNull(), F.array_join("_done.out", "")).otherwise(column).alias(c) if c == text else F.col(f"`{c}`") for c in names), F.coalesce("_done.n", F.lit(0)).alias("replaced"))

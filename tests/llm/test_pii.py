@@ -105,3 +105,22 @@ def test_is_a_permutation(spark):
     texts = [f"{i // 256}.{i % 256}.0.7" for i in range(300)] + [(datetime.date(2000, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(300)]
     got = run(spark, texts)
     assert len({t for t, _ in got.values()}) == len(texts)
+
+
+def test_every_ordered_pair(spark):
+    values = ["réeux.55@mail4.example.com", "190.137.223.204", "1999-12-31", "31.12.1999", "123-45-6789", "+1 (826) 555-4081", "+44 20 7183 8750", "+999 26 555 4081", "(826) 555-4081", "826-555-4081"]
+    values += ["DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "4111111111111111", "4111 1111 1111 1111", "5105-1051-0510-5100", "3782 822463 10005"]
+    alone = dict(zip(values, (t for _, (t, _) in sorted(run(spark, values).items()))))
+    assert all(v != new for v, new in alone.items())
+    plain = ["2024", "7", "AB", "A1", "WXYZ", "end"]
+    pairs = [(a, b) for a in values + plain for b in values + plain if {a, b} & set(values)]
+    pairs = [p for p in pairs if p != ("+999 26 555 4081", "2024")]  # of unknown plans the longest number counts
+    got = run(spark, [f"{a} {b}" for a, b in pairs])
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == (f"{alone.get(a, a)} {alone.get(b, b)}", (a in alone) + (b in alone)), (a, b)
+
+
+def test_many_values_in_a_text(spark):
+    many = [f"10.{i // 256}.{i % 256}.9" for i in range(3000)]
+    text, n = run(spark, ["x " + " 2024 ".join(many) + " y"])[0]
+    assert n == 3000 and text == "x " + " 2024 ".join(map(ip, many)) + " y"
