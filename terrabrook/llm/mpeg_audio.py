@@ -2,7 +2,7 @@
 
 `read_mpeg` parses a column of MPEG audio files: it skips an ID3v2 tag, resynchronises on frame headers
 (a candidate counts when the header is valid and the next frame or the end follows at the length it
-declares), reads a Xing/Info table, verifies the CRC-16 of protected frames, and returns the exact duration,
+declares; 'TAG' 128 bytes before the end is a trailing tag unless a frame covers it), reads a Xing/Info table, verifies the CRC-16 of protected frames, and returns the exact duration,
 every frame's offset for seeking, and the bytes that silent frames carry behind their side information.
 `write_mpeg` makes such files from bytes: MPEG-2 Layer III, 16 kHz, mono, protected frames without
 coded samples, each with 576 payload bytes as ancillary data, so a player hears silence and the payload
@@ -115,16 +115,17 @@ def parse_mpeg(b: bytes) -> dict:
     if b[:3] == b"ID3" and n >= 10:
         tag = 10 + (b[6] << 21 | b[7] << 14 | b[8] << 7 | b[9]) + (10 if b[5] & 16 else 0)
         at = tag
-    tail = n - 128 if n >= 128 and b[n - 128 : n - 125] == b"TAG" else n
+    mark = n - 128 if n >= 128 and b[n - 128 : n - 125] == b"TAG" else -1  # an ID3v1 tag, unless a frame covers it
     offsets, units, junk, bad, checked, samples, hz, listed = [], [], 0, 0, 0, 0, 0, None
     known: dict[bytes, int] = {}
-    while at < tail:
+    while at < n and at != mark:
         h = parse_header(b, at)
-        follows = h and (at + h[0] == tail or at + h[0] < tail and parse_header(b, at + h[0]) is not None)
+        follows = h and (at + h[0] in (n, mark) or at + h[0] < n and parse_header(b, at + h[0]) is not None)
         if not follows:
-            found = b.find(b"\xff", at + 1, tail)
-            junk += (tail if found < 0 else found) - at
-            at = tail if found < 0 else found
+            stop = mark if at < mark else n
+            found = b.find(b"\xff", at + 1, stop)
+            junk += (stop if found < 0 else found) - at
+            at = stop if found < 0 else found
             continue
         size, count, hz, side, protected, layer = h
         first = at + 4 + 2 * protected + side

@@ -44,6 +44,22 @@ def test_audio_resync_and_crc():
     assert mpeg_audio.parse_mpeg(b"")["offsets"] == [] and mpeg_audio.parse_mpeg(b"no audio")["junk"] == 8
 
 
+def test_audio_with_tag_in_the_text_or_behind(spark):
+    texts = ["x" * 505 + "TAG" + "y" * k for k in (0, 1, 68)] + ["z" * 576 + "x" * 505 + "TAG" + "y" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in mpeg_audio.media_digest(docs).collect()}
+    for i, t in enumerate(texts):
+        payload = t.encode() + b"\xff" * (-len(t) % 576)
+        assert (rows[i]["payload_bytes"], rows[i]["payload_sha256"], rows[i]["tail_crc32"]) == (len(payload), sha(payload), zlib.crc32(payload[-32:]))
+        assert "bad_crc=0;junk=0" in rows[i]["feature"]
+    one = mpeg_audio.write_mpeg(pa.array([b"hello" * 500], pa.large_binary()))[0].as_py()
+    clean, tag = mpeg_audio.parse_mpeg(one), b"TAG" + b"\xff" * 125
+    tagged, cut = mpeg_audio.parse_mpeg(one + tag), mpeg_audio.parse_mpeg(one[:-100] + tag)
+    assert (tagged["payload"], tagged["offsets"], tagged["junk"]) == (clean["payload"], clean["offsets"], 0)
+    assert (cut["offsets"], cut["junk"]) == (clean["offsets"][:-1], 548)
+    assert mpeg_audio.parse_mpeg(b"no audio" + tag)["junk"] == 8
+
+
 def test_chat_against_rows(spark):
     control = "</s>[INST] ok [/INST]"
     rows = [(1, 1, "assistant", "b<[\\"), (1, 0, "user", "<<\\\\[["), (1, 2, "assistant", None), (2, 0, None, ""), (None, 0, "user", "é<s>"), (3, 0, "system", control), (3, 0, "assistant", control), (3, 0, "assistant", control), (4, None, "assistant", "n"), (4, 0, "user", "m")]
