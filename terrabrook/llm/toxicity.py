@@ -4,8 +4,9 @@ Fitting. Of the labelled rows a bounded sample is drawn by hash (`TOXIC_ROWS` an
 the word in lower case, its beginnings and its endings. Those that mark toxic rows are found by counting rows (aggregates over
 the sample), and label the tokens: in toxic rows a token with a feature that nearly only toxic rows have is toxic, all
 others are clean. On these token labels the field (weights of features, a bias, transitions) is fitted by its likelihood's
-gradient from forward-backward; a small logistic model, fitted on the same rows at the classes' true rates, turns a document's
-marginals into a score.
+gradient from forward-backward, on rows of the sample drawn by hash whatever their length: `FIELD_ROWS` / 2 of either class with a feature and
+`FIELD_ROWS` / 10 without. A row counts in windows of `WINDOW` tokens around its features, of which a longer one has `ROW_WINDOWS` drawn by hash.
+A small logistic model, fitted on all rows of the sample, whole, at the classes' true rates, turns a document's marginals into a score.
 
 Scoring is one pass over whole texts without a shuffle. Most tokens have no feature that weighs: a run of n of them is the n-th power of
 one 2 x 2 matrix, so forward-backward is exact on the few others. Labels, language, source and identifiers aren't inputs.
@@ -18,6 +19,7 @@ Repeated rows score alike; an empty table gives no rows; other columns are not r
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,8 +35,8 @@ from .common import saved
 TOXIC_ROWS, CLEAN_ROWS, CANDIDATES, FEATURES, FIELD_ROWS = 2000, 4000, 20_000, 4096, 1500
 #: Rows that must have a feature; share of toxic rows from which it is kept, and from which it labels tokens.
 LEAST, KEPT, SURE = 3, 0.5, 0.8
-#: A run without evidence counts as so many tokens at most while the field is fitted.
-GAP = 32
+#: A run without evidence counts as so many tokens at most while the field is fitted; tokens of a window, windows of a row.
+GAP, WINDOW, ROW_WINDOWS = 32, 250, 8
 WORD = re.compile(r"[^\W_]+")
 CACHE = 400_000
 
@@ -115,29 +117,37 @@ class Field:
         return float(1 / (1 + np.exp(-max(-50.0, min(50.0, z)))))
 
 
-def fit_field(rows: list[tuple[int, int, list[int], list[str]]], kept: dict[str, float], rates: tuple[int, int]) -> Field:
-    """rows: (label, words, places of words with a kept feature, those words); kept: share of toxic rows by feature; rates: clean and toxic rows in all."""
+def windows(ws: list[str], at: list[int]) -> list[list[str]]:
+    """A row as windows: its words at `at`, and "" for the others, of which GAP at most stand in a row; cut within such a run where there is one."""
+    cells, last = [], -1
+    for a in at:
+        cells += [""] * min(a - last - 1, GAP) + [ws[a]]
+        last = a
+    cells += [""] * min(len(ws) - last - 1, GAP)
+    out, a = [], 0
+    while a < len(cells):
+        b = min(a + WINDOW, len(cells))
+        if b < len(cells):
+            b = next((k for k in range(b, a + WINDOW // 2, -1) if not cells[k] and not cells[k - 1]), b)
+        out.append(cells[a:b])
+        a = b
+    return out
+
+
+def fit_field(rows: list[tuple[int, list[str]]], kept: dict[str, float]) -> Field:
+    """rows: (label, window); kept: share of toxic rows by feature. The score isn't fitted yet."""
     names = sorted(kept)
     number = {f: i for i, f in enumerate(names)}
     share = np.array([kept[f] for f in names])
-    vocabulary = sorted({w for r in rows for w in r[3]})
+    vocabulary = sorted({w for r in rows for w in r[1] if w})
     sets = [[number[f] for f in features(w) if f in number] for w in vocabulary]
     owner, which = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([i for s in sets for i in s], np.int64)
     sure = np.array([max(share[s]) >= SURE for s in sets], bool)
     index = {w: i for i, w in enumerate(vocabulary)}
-    some = [r for r in rows if r[3]]
-    some = [*[r for r in some if r[0]][: FIELD_ROWS // 2], *[r for r in some if not r[0]][: FIELD_ROWS // 2], *[r for r in rows if not r[3]][: FIELD_ROWS // 10]]
     chains = []
-    for label, n, at, ws in some:
-        ids, tags, last = [], [], -1
-        for a, w in zip(at, ws, strict=True):
-            ids += [-1] * min(a - last - 1, GAP) + [index[w]]
-            tags += [0] * min(a - last - 1, GAP) + [int(label and sure[index[w]])]
-            last = a
-        ids += [-1] * min(n - last - 1, GAP)
-        tags += [0] * (len(ids) - len(tags))
-        if 0 < len(ids) <= 2000:
-            chains.append((ids, tags))
+    for label, cells in rows:
+        ids = [index.get(w, -1) for w in cells]
+        chains.append((ids, [int(i >= 0 and label and sure[i]) for i in ids]))
     chains.sort(key=lambda c: -len(c[0]))
     if not chains:
         return Field()
@@ -192,14 +202,11 @@ def fit_field(rows: list[tuple[int, int, list[int], list[str]]], kept: dict[str,
         theta = theta + 0.15 * (moment / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
     bias, step01, step10, step11, start = map(float, theta[len(names) :])
     weights = {f: float(w) for f, w in zip(names, theta[: len(names)], strict=True) if abs(w) > 0.05}
-    out = Field(weights, bias, ((0.0, step01), (step10, step11)), start)
-    x, y = [], []
-    for label, n, at, ws in rows:
-        e = [out.evidence(w) for w in ws]
-        use = [i for i, v in enumerate(e) if v]
-        x.append(out.summary(out.marginals([at[i] for i in use], [e[i] for i in use], n)))
-        y.append(label)
-    x, y = np.array(x), np.array(y, float)
+    return Field(weights, bias, ((0.0, step01), (step10, step11)), start)
+
+
+def fit_score(x: np.ndarray, y: np.ndarray, rates: tuple[int, int]) -> tuple[float, ...]:
+    """Weights of what summary returns, from summaries and labels; rates: clean and toxic rows in all."""
     weight = np.where(y == 1, rates[1] / max(y.sum(), 1), rates[0] / max((1 - y).sum(), 1))
     weight /= weight.mean()
     beta = np.zeros(4)
@@ -211,8 +218,7 @@ def fit_field(rows: list[tuple[int, int, list[int], list[str]]], kept: dict[str,
         beta += np.clip(change, -5, 5)
         if np.abs(change).max() < 1e-8:
             break
-    out.score = tuple(map(float, beta))
-    return out
+    return tuple(map(float, beta))
 
 
 def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
@@ -262,8 +268,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for batch in batches:
-            out = []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            some, cut = [], []
+            for text, place in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ws = words(text)
                 at = []
                 for i, w in enumerate(ws):
@@ -272,11 +278,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field:
                         hit = known[w] = any(f in kept for f in features(w))
                     if hit:
                         at.append(i)
-                out.append((label, len(ws), at[:2000], [ws[i] for i in at[:2000]]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64())), pa.array([r[3] for r in out], pa.list_(pa.string()))], ["toxic", "n", "at", "words"])
+                every = windows(ws, at)
+                drawn = sorted(range(len(every)), key=lambda i: (zlib.crc32(f"{place} {i}".encode()), i))[:ROW_WINDOWS]
+                some.append(bool(at))
+                cut.append([every[i] for i in sorted(drawn)])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(some, pa.bool_()), pa.array(cut, pa.list_(pa.list_(pa.string())))], ["toxic", "place", "tie", "some", "windows"])
+
+    placed = rows.select("text", "toxic", order.alias("place"), F.xxhash64("text").alias("tie"))
+    found = saved(placed.mapInArrow(places, "toxic int, place long, tie long, some boolean, windows array<array<string>>"), "windows")
+    chains = []
+    for only, n in (("some and toxic = 1", FIELD_ROWS // 2), ("some and toxic = 0", FIELD_ROWS // 2), ("not some", FIELD_ROWS // 10)):
+        chains += [(r["toxic"], w) for r in found.where(only).orderBy("place", "tie", "toxic").limit(n).collect() for w in r["windows"]]
+    model = fit_field(chains, kept)
 
-    chains = rows.orderBy("doc_id").select("text", "toxic").mapInArrow(places, "toxic int, n long, at array<long>, words array<string>").collect()
-    return fit_field([(r["toxic"], r["n"], r["at"], r["words"]) for r in sorted(chains, key=lambda r: (r["toxic"], r["n"], r["at"], r["words"]))], kept, (totals[0], totals[1]))
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+        for batch in batches:
+            made = []
+            for text in batch.column(0).to_pylist():
+                ws = words(text)
+                for w in set(ws) - known.keys():
+                    known[w] = model.evidence(w)
+                at = [i for i, w in enumerate(ws) if known[w]]
+                made.append(list(map(float, model.summary(model.marginals(at, [known[ws[i]] for i in at], len(ws))))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2, 3)), pa.array(made, pa.list_(pa.float64()))], ["toxic", "place", "tie", "x"])
+
+    got = placed.mapInArrow(summaries, "toxic int, place long, tie long, x array<double>").collect()
+    got = sorted((r["place"], r["tie"], r["toxic"], r["x"]) for r in got)
+    model.score = fit_score(np.array([r[3] for r in got]), np.array([r[2] for r in got], float), (totals[0], totals[1]))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:

@@ -73,3 +73,31 @@ def test_empty_tables_and_one_class(spark):
     model = toxicity.fit_toxicity(docs, clean)
     assert toxicity.score_toxicity(docs, model).where("toxicity < 0.5").count() == 30
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_windows_hold_every_hit():
+    ws = [f"w{i}" for i in range(3000)]
+    for at in ([], [0, 2999], list(range(0, 3000, 7)), list(range(3000))):
+        cut = toxicity.windows(ws, at)
+        assert [w for c in cut for w in c if w] == [ws[i] for i in at]
+        assert cut and max(map(len, cut)) <= toxicity.WINDOW
+    assert toxicity.windows([], []) == []
+
+
+def test_field_learns_from_rows_of_any_length(spark, monkeypatch):
+    """Only the longer toxic rows have "scumbag"; the field takes a part of the rows."""
+    rng = random.Random(11)
+    plain = lambda n: ["".join(rng.choices("aeinorst", k=5)) for _ in range(n)]
+    rows, marks = [], []
+    for i in range(400):
+        toxic = int(i % 2 == 0)
+        long = rng.random() < 0.5
+        ws = plain(rng.randint(80, 120) if long else rng.randint(5, 20))
+        if toxic:
+            ws.insert(rng.randint(0, len(ws)), "scumbag" if long else "moron")
+        rows.append((i, " ".join(ws), "x"))
+        marks.append((i, toxic))
+    monkeypatch.setattr(toxicity, "FIELD_ROWS", 80)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.evidence("moron") > 1 and model.evidence("scumbag") > 1
