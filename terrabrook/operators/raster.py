@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,52 +80,59 @@ def bilinear(grid: DataFrame, h: int, w: int) -> DataFrame:
     return met.join(given, ["_r", "_c"]).groupBy("row", "col").agg((F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("v"))
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in spark.checkpoint.dir, which every executor sees; the lineage is cut. Only where none is set, as in tests, a folder is made."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-terrabrook-"))
+        at = spark.sparkContext.getCheckpointDir()
+    path = f"{at.rstrip('/')}/terrabrook/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (u, v): root is the smallest node that can be reached. Alternating stars: each round hangs all larger
+    neighbours of a node on its smallest one, then all smaller ones; the number of rounds grows with the logarithm of the nodes."""
+    links = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    seen = None
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        links = saved(small.where("u <> v").distinct(), "links")
+        state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if state == seen:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        seen = state
+
+
 def components(cells: DataFrame, diagonal: bool) -> DataFrame:
     """(grid, row, col, z, label): connected cells of equal z within a grid, labelled by their first cell (row-major). Rows are cut into runs
-    of equal cells by windows; only runs are linked, one class of a grid at a time, which the grid's cap of cells bounds."""
+    of equal cells by windows; runs are linked by an equal join of their cells with the row above, and the links solved by joins and aggregates."""
     w = Window.partitionBy("grid", "row").orderBy("col")
     new = (F.lag("z").over(w).eqNullSafe(F.col("z")) & (F.lag("col").over(w) == F.col("col") - 1)).cast("boolean")
-    marked = cells.withColumn("_run", F.sum(F.when(F.coalesce(new, F.lit(False)), 0).otherwise(1)).over(w))
-    runs = marked.groupBy("grid", "row", "z", "_run").agg(F.min("col").alias("a"), F.max("col").alias("b"))
-    reach = 1 if diagonal else 0
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["row"], pdf["a"], pdf["b"], pdf["_run"], strict=True))
-        root = list(range(len(rows)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        lines: dict[int, list[int]] = {}
-        for i, r in enumerate(rows):
-            lines.setdefault(r[0], []).append(i)
-        for row, line in lines.items():
-            near, j = lines.get(row - 1, []), 0
-            for i in line:
-                while j < len(near) and rows[near[j]][2] < rows[i][1] - reach:
-                    j += 1
-                k = j
-                while k < len(near) and rows[near[k]][1] <= rows[i][2] + reach:
-                    a, b = sorted((find(near[k]), find(i)))
-                    root[b] = a
-                    k += 1
-        heads = [find(i) for i in range(len(rows))]
-        return pd.DataFrame({"grid": pdf["grid"].iloc[0], "z": pdf["z"].iloc[0], "row": [r[0] for r in rows], "_run": [r[3] for r in rows], "r0": [rows[h][0] for h in heads], "c0": [rows[h][1] for h in heads]})
-
-    named = runs.groupBy("grid", "z").applyInPandas(join, "grid long, z int, row long, _run long, r0 long, c0 long")
-    return marked.join(named, ["grid", "row", "z", "_run"]).select("grid", "row", "col", "z", F.struct("r0", "c0").alias("label"))
+    first = F.last(F.when(~F.coalesce(new, F.lit(False)), F.col("col")), True).over(w)
+    marked = saved(cells.select("grid", "row", "col", "z", first.alias("_a")), "runs")
+    run = F.struct("grid", "z", "row", F.col("_a").alias("col"))
+    reach = F.array(*map(F.lit, (-1, 0, 1) if diagonal else (0,)))
+    below = marked.select("grid", "z", (F.col("row") - 1).alias("row"), "col", run.alias("u"), F.explode(reach).alias("_d")).withColumn("col", F.col("col") + F.col("_d"))
+    links = below.join(marked.select("grid", "z", "row", "col", run.alias("v")), ["grid", "z", "row", "col"]).select("u", "v")
+    roots = _roots(links).select("node.grid", "node.z", "node.row", F.col("node.col").alias("_a"), F.struct(F.col("root.row").alias("r0"), F.col("root.col").cast("long").alias("c0")).alias("_label"))
+    own = F.struct(F.col("row").alias("r0"), F.col("_a").cast("long").alias("c0"))
+    return marked.join(roots, ["grid", "z", "row", "_a"], "left").select("grid", "row", "col", "z", F.coalesce("_label", own).alias("label"))
 
 
 def dissolved(cells: DataFrame, least: int) -> DataFrame:
     """Patches (8-connected, zone above 0) of fewer than `least` cells take the commonest zone in their bounding box and one cell around it, the smallest of equals; all others stay. One pass."""
     zones = cells.where("z > 0")
-    patch = components(zones, True).groupBy("grid", "z", "label").agg(F.count("*").alias("n"), F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("col").alias("c1"), F.max("col").alias("c2"))
+    labels = components(zones, True)
+    patch = labels.groupBy("grid", "z", "label").agg(F.count("*").alias("n"), F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("col").alias("c1"), F.max("col").alias("c2"))
     small = patch.where(F.col("n") < least)
     box = small.select("grid", "z", "label", F.explode(F.sequence(F.col("r1") - 1, F.col("r2") + 1)).alias("row"), "c1", "c2").select("grid", F.col("z").alias("own"), "label", "row", F.explode(F.sequence((F.col("c1") - 1).cast("int"), (F.col("c2") + 1).cast("int"))).alias("col"))
-    labels = components(zones, True)
     around = box.join(zones, ["grid", "row", "col"]).join(labels.select("grid", "row", "col", F.col("label").alias("_label")), ["grid", "row", "col"])
     votes = around.where(~((F.col("z") == F.col("own")) & (F.col("label") == F.col("_label")))).groupBy("grid", "own", "label", "z").agg(F.count("*").alias("k"))
     first = F.row_number().over(Window.partitionBy("grid", "own", "label").orderBy(F.desc("k"), "z"))
@@ -137,15 +146,15 @@ def tight_extent(grid: DataFrame) -> DataFrame:
 
 
 def traced(cells: DataFrame) -> DataFrame:
-    """(grid, z, label, rings): the outlines of 4-connected patches as rings of grid corners, outer ring first by its first corner; cells lie to the right of their outline. A patch is traced in one task."""
+    """(grid, z, label, rings): the outlines of 4-connected patches as rings of grid corners, outer ring first by its first corner; cells lie to the right of their outline. The edges of
+    outlines are found by an equal join with the four cells around; a task has the edges of a patch, never its cells."""
+    sides = [(-1, 0), (0, 1), (1, 0), (0, -1)]  # above, right, below, left
 
     def rings(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside = set(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))
         steps: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r, c in sorted(inside):
-            for a, b, other in (((r, c), (r, c + 1), (r - 1, c)), ((r, c + 1), (r + 1, c + 1), (r, c + 1)), ((r + 1, c + 1), (r + 1, c), (r + 1, c)), ((r + 1, c), (r, c), (r, c - 1))):
-                if other not in inside:
-                    steps.setdefault(a, []).append(b)
+        for r, c, k in sorted(zip(pdf["row"].tolist(), pdf["col"].tolist(), pdf["k"].tolist(), strict=True)):
+            corners = (r, c), (r, c + 1), (r + 1, c + 1), (r + 1, c)
+            steps.setdefault(corners[k], []).append(corners[(k + 1) % 4])
         out = []
         while steps:
             start = min(steps)
@@ -165,4 +174,7 @@ def traced(cells: DataFrame) -> DataFrame:
         return pd.DataFrame({"grid": [pdf["grid"].iloc[0]], "z": [pdf["z"].iloc[0]], "r0": [pdf["r0"].iloc[0]], "c0": [pdf["c0"].iloc[0]], "rings": [out]})
 
     flat = components(cells, False).select("grid", "row", "col", "z", "label.r0", "label.c0")
-    return flat.groupBy("grid", "z", "r0", "c0").applyInPandas(rings, "grid long, z int, r0 long, c0 long, rings array<array<array<int>>>")
+    around = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(sides))))
+    asked = flat.withColumn("o", around).withColumns({"_r": F.col("row") + F.col("o.a"), "_c": F.col("col") + F.col("o.b")})
+    edges = asked.join(cells.select("grid", "z", F.col("row").alias("_r"), F.col("col").alias("_c")), ["grid", "z", "_r", "_c"], "left_anti").select("grid", "z", "r0", "c0", "row", "col", "o.k")
+    return edges.groupBy("grid", "z", "r0", "c0").applyInPandas(rings, "grid long, z int, r0 long, c0 long, rings array<array<array<int>>>")

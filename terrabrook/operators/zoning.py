@@ -11,7 +11,7 @@ from ..functions import lookups
 from ..functions.classify import absolute_zone, relative_zone
 from ..functions.indices import index_column
 from .quality import clamp
-from .raster import components
+from .raster import components, saved
 
 
 def soil_indices(pixels: DataFrame) -> DataFrame:
@@ -94,7 +94,12 @@ def patches(cells: DataFrame, res_m: float = 10.0) -> DataFrame:
     area = F.bround(F.col("pixels") * (res_m * res_m) / lookups.M2_PER_HA, 4)
     touches = (F.col("r1") == F.col("_r1")) | (F.col("r2") == F.col("_r2")) | (F.col("c1") == F.col("_c1")) | (F.col("c2") == F.col("_c2"))
     kind = F.when(area >= 1.0, "core").when(touches, "edge").otherwise("isolated")
-    order = F.row_number().over(Window.partitionBy("grid").orderBy("zone", "label"))
+    # ranges of patches are numbered apart and offset by the sizes of those before
+    found = saved(found.repartitionByRange("grid", "zone", "label").withColumn("_part", F.spark_partition_id()), "patches")
+    sizes = found.groupBy("grid", "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("grid").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = found.join(F.broadcast(sizes.select("grid", "_part", before.alias("_before"))), ["grid", "_part"])
+    order = (F.row_number().over(Window.partitionBy("grid", "_part").orderBy("zone", "label")) + F.col("_before")).cast("int")
     return found.join(F.broadcast(rim), "grid").select("grid", "zone", order.alias("patch_id"), "pixels", area.alias("area_ha"), kind.alias("patch_type"), "r1", "r2", "c1", "c2", F.col("label.r0").alias("r0"), F.col("label.c0").alias("c0"))
 
 

@@ -281,3 +281,14 @@ def test_legend_and_scores(spark):
 
 def test_catalogue_is_whole():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) > 110
+
+
+def test_components_need_no_task_of_a_whole_class(spark):
+    """A spiral in one class: many rounds of links, solved without a Python group."""
+    n = 9
+    spiral = {(0, c) for c in range(n)} | {(r, n - 1) for r in range(n)} | {(n - 1, c) for c in range(n)} | {(r, 0) for r in range(2, n)} | {(2, c) for c in range(n - 2)} | {(r, n - 3) for r in range(2, n - 2)}
+    cells = spark.createDataFrame([(5, r, c, 1 if (r, c) in spiral else 2) for r in range(n) for c in range(n)], "grid long, row long, col int, z int")
+    named = raster.components(cells, False)
+    assert "FlatMapGroupsInPandas" not in named._jdf.queryExecution().toString()
+    assert {tuple(r["label"]) for r in named.where("z = 1").collect()} == {(0, 0)}
+    assert named.count() == n * n
