@@ -8,8 +8,8 @@ and symbol tell whether a token piece begins there, which is what the public pat
 
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
-does by matching. The pieces go through a bounded cache of merged pairs to ids. Encoded rows keep every token's byte
-offset, which is where decoding puts its bytes.
+does by matching. The pieces go through a cache of merged pairs to ids, which is bounded in entries and in bytes of a piece,
+and which a partition's end empties. Encoded rows keep every token's byte offset, which is where decoding puts its bytes.
 
 Null text is empty: no ids. Bytes that aren't UTF-8 are read as U+FFFD. A text longer than a step is cut where a single
 space stands between two words, which always begins a piece; a text without such a place is taken whole. Repeated rows
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, ragged, steps, utf8
+from .common import ragged, stepwise, utf8
 
 #: Symbols.
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_LAST, SPACE, WHITE_LAST, WHITE, END = range(10)
@@ -39,11 +39,12 @@ LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_LAST, SPACE, WHITE_LAST, WHITE, END =
 NONE, IN_LETTER, IN_NUMBER, IN_OTHER, IN_WHITE, OPENED, ONE_MORE, TWO_MORE = range(8)
 BLOCK, SETTLED = 32, 4
 STEP = 1 << 20
-CACHE = 400_000
+#: Pieces of either of the cache's two generations; each has WIDE bytes at most, so the cache stays below some 40 MB.
+CACHE = 100_000
 #: Bytes of the pieces that are merged side by side, and how many at once.
 WIDE, ROWS = 32, 4096
 NO_RANK, NO_PAIR = np.iinfo(np.int32).max, np.iinfo(np.uint64).max
-SLOT_BITS = 20
+SLOT_BITS = 19
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +189,18 @@ class Vocabulary:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(self.table), np.uint8)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self._hash_pairs({(a << 32) | b: rank for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None})
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that the cache lacks; those of up to WIDE bytes are merged side by side and kept."""
-        known, short = {}, []
+        """The ids of pieces that the cache lacks; those of up to WIDE bytes are merged side by side and kept. A full cache becomes the older generation."""
+        known, short, older = {}, [], self.older.get
         for text in missing:
+            ids = older(text)
+            if ids is not None:
+                known[text] = ids
+                continue
             raw = text.encode("utf-8")
             whole = self.ranks.get(raw)
             if whole is not None:
@@ -208,11 +214,16 @@ class Vocabulary:
             rows = short[a : a + ROWS]
             for (_, text, _), ids in zip(rows, self.merge_rows([r[2] for r in rows]), strict=True):
                 known[text] = ids
-        if len(self.cache) + len(known) > CACHE:
-            self.cache.clear()
-        self.cache.update((k, v) for k, v in known.items() if len(k) <= WIDE)
+        for text, ids in known.items():
+            if len(text) <= WIDE:
+                if len(self.cache) >= CACHE:
+                    self.cache, self.older = {}, self.cache
+                self.cache[text] = ids
         return known
 
+    def forget(self) -> None:
+        self.cache, self.older = {}, {}
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -355,15 +366,14 @@ def encode_bpe(docs: DataFrame, path: str, text: str = "text", drop_text: bool =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
-            column = utf8(batch.column(batch.schema.get_field_index(text)))
-            for a, b in steps(buffers(column)[0], STEP):
-                raw = column.slice(a, b - a).to_pylist()
-                ids, counts = encode_texts([r.decode("utf-8", "replace") for r in raw], vocab)
-                at = np.concatenate(([0], np.cumsum(counts)))
-                ends = np.concatenate(([0], np.cumsum(vocab.sizes[ids])))
-                starts = (ends[:-1] - np.repeat(ends[at[:-1]], counts)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in kept), pa.array(counts), _binary(at * 4, ids), _binary(at * 4, starts)], [*kept, *made])
+        for part in stepwise(batches, text, STEP):
+            raw = utf8(part.column(part.schema.get_field_index(text))).to_pylist()
+            ids, counts = encode_texts([r.decode("utf-8", "replace") for r in raw], vocab)
+            at = np.concatenate(([0], np.cumsum(counts)))
+            ends = np.concatenate(([0], np.cumsum(vocab.sizes[ids])))
+            starts = (ends[:-1] - np.repeat(ends[at[:-1]], counts)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(counts), _binary(at * 4, ids), _binary(at * 4, starts)], [*kept, *made])
+        vocab.forget()
 
     types = dict(docs.dtypes)
     return docs.mapInArrow(encode, "".join(f"`{c.replace('`', '``')}` {types[c]}, " for c in kept) + "n_tokens long, ids binary, starts binary")
@@ -375,11 +385,9 @@ def decode_bpe(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
-            column = batch.column(2).cast(pa.large_binary())
-            for a, b in steps(buffers(column)[0], 2 << 20):
-                rows = [vocab.decode(np.frombuffer(i, np.uint32), np.frombuffer(s, np.uint32)) for i, s in zip(column.slice(a, b - a).to_pylist(), batch.column(3).slice(a, b - a).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(rows, pa.binary())], [key, "n_tokens", "ids", "decoded"])
+        for part in stepwise(batches, "ids", STEP):
+            rows = [vocab.decode(np.frombuffer(i, np.uint32), np.frombuffer(s, np.uint32)) for i, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(rows, pa.binary())], [key, "n_tokens", "ids", "decoded"])
 
     return encoded.select(key, "n_tokens", "ids", "starts").mapInArrow(decode, f"`{key}` {kind}, n_tokens long, ids binary, decoded binary")
 

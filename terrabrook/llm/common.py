@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step works on; the arrays it makes are some 40 times as large.
@@ -15,10 +16,12 @@ STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees. Only where none is set, as in tests, one is made."""
+    """The folder in spark.checkpoint.dir, which every executor sees. Only in local mode, where one machine runs all, is one made if none is set."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-terrabrook-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")
@@ -36,10 +39,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_schema(*fields: tuple[str, pa.DataType]) -> pa.Schema:
-    return pa.schema(list(fields))
-
-
 def utf8(column: pa.Array) -> pa.Array:
     """Text as binary with 64-bit offsets; null becomes empty."""
     return column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
@@ -62,6 +61,18 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         a = min(b, n)
 
 
+def stepwise(batches: Iterator[pa.RecordBatch], name: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches as slices of about `most` bytes of a text or binary column, by rows. What Arrow holds beyond them goes back to the system after each batch, so
+    that a worker that Spark keeps for later stages stays small."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name))
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in steps(np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))), most):
+            yield batch.slice(a, b - a)
+        del batch, column
+        pa.default_memory_pool().release_unused()
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices starts[i] .. starts[i] + lengths[i] - 1 of every i, one after another."""
     ends = np.cumsum(lengths)

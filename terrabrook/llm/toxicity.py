@@ -1,8 +1,8 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals make document scores and spans.
 
 Fitting. Of the labelled rows a bounded sample is drawn by hash (`TOXIC_ROWS` and `CLEAN_ROWS`). Features of a token are
-the word in lower case, its beginnings and its endings. Those that mark toxic rows are found by counting rows (aggregates over
-the sample), and label the tokens: in toxic rows a token with a feature that nearly only toxic rows have is toxic, all
+the word in lower case, its beginnings and its endings. Those that mark toxic rows are found by counting the rows of all of them (an aggregate over
+the sample, of which the `FEATURES` best leave Spark), and label the tokens: in toxic rows a token with a feature that nearly only toxic rows have is toxic, all
 others are clean. On these token labels the field (weights of features, a bias, transitions) is fitted by its likelihood's
 gradient from forward-backward, on rows of the sample drawn by hash whatever their length: `FIELD_ROWS` / 2 of either class with a feature and
 `FIELD_ROWS` / 10 without. A row counts in windows of `WINDOW` tokens around its features, of which a longer one has `ROW_WINDOWS` drawn by hash.
@@ -29,16 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, stepwise
 
-#: Bounds of what is fitted on: labelled rows of either class, candidate features, features kept, rows of the field.
-TOXIC_ROWS, CLEAN_ROWS, CANDIDATES, FEATURES, FIELD_ROWS = 2000, 4000, 20_000, 4096, 1500
+#: Bounds of what is fitted on: labelled rows of either class, features kept, rows of the field.
+TOXIC_ROWS, CLEAN_ROWS, FEATURES, FIELD_ROWS = 2000, 4000, 4096, 1500
 #: Rows that must have a feature; share of toxic rows from which it is kept, and from which it labels tokens.
 LEAST, KEPT, SURE = 3, 0.5, 0.8
 #: A run without evidence counts as so many tokens at most while the field is fitted; tokens of a window, windows of a row.
 GAP, WINDOW, ROW_WINDOWS = 32, 250, 8
 WORD = re.compile(r"[^\W_]+")
-CACHE = 400_000
+#: Words whose evidence a task keeps, each of LONGEST characters at most; features that a task counts before it hands them on; bytes of text in a step.
+CACHE, LONGEST, COUNTED, STEP = 100_000, 64, 100_000, 1 << 20
 
 
 def features(word: str) -> list[str]:
@@ -48,7 +49,24 @@ def features(word: str) -> list[str]:
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """In lower case, each by itself: lower case may be longer than the text, and offsets are the text's."""
+    return [w.lower() for w in WORD.findall(text)]
+
+
+class Evidence(dict):
+    """What `of` says about words as they stand, worked out once each; emptied when it is full."""
+
+    def __init__(self, of) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str):
+        value = self.of(word.lower())
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = value
+        return value
 
 
 @dataclass
@@ -221,24 +239,25 @@ def fit_score(x: np.ndarray, y: np.ndarray, rates: tuple[int, int]) -> tuple[flo
     return tuple(map(float, beta))
 
 
-def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """(f, n): rows that have a feature, by task; wanted: only these."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """(f, t, c): toxic and clean rows that have a feature, of those that LEAST toxic rows have. rows: (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["f", "n"])
+        def made(counts: Counter, toxic: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(np.full(len(counts), toxic, np.int32)), pa.array(list(counts.values()), pa.int64())], ["f", "toxic", "n"])
 
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                every = {f for w in set(words(text)) for f in features(w)}
-                counts.update(every if wanted is None else every & wanted)
-                if len(counts) > 300_000:
-                    yield made(counts)
-                    counts = Counter()
-        yield made(counts)
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for part in stepwise(batches, "text", STEP):
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                counts[toxic].update({f for w in set(words(text)) for f in features(w)})
+                if len(counts[toxic]) > COUNTED:
+                    yield made(counts[toxic], toxic)
+                    counts[toxic].clear()
+        for toxic in (0, 1):
+            yield made(counts[toxic], toxic)
 
-    return rows.select("text").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    each = [F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(name) for k, name in ((1, "t"), (0, "c"))]
+    return rows.select("text", "toxic").mapInArrow(run, "f string, toxic int, n long").groupBy("f").agg(*each).where(F.col("t") >= LEAST)
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -258,31 +277,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field:
     if not have.get(0) or not have.get(1):
         n, k = have.get(0, 0) + have.get(1, 0), have.get(1, 0)
         return Field(score=(float(np.log((k + 0.5) / (n - k + 0.5))) if n else -4.0, 0.0, 0.0, 0.0))
-    toxic = dict(map(tuple, _counted(rows.where("toxic = 1"), None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()))
-    clean = dict(map(tuple, _counted(rows.where("toxic = 0"), set(toxic)).collect()))
     rate = totals[0] / have[0] * have[1] / totals[1]  # clean rows are drawn more thinly
-    share = {f: (n + 0.5) / (n + clean.get(f, 0) * rate + 1) for f, n in toxic.items()}
-    best = sorted((f for f in share if share[f] >= KEPT), key=lambda f: (-share[f] * np.log1p(toxic[f]), f))[:FEATURES]
-    kept = {f: share[f] for f in best}
+    marking = _counted(rows).withColumn("share", (F.col("t") + 0.5) / (F.col("t") + F.col("c") * rate + 1)).where(F.col("share") >= KEPT)
+    kept = {r["f"]: r["share"] for r in marking.orderBy(F.desc(F.col("share") * F.log1p("t")), "f").limit(FEATURES).collect()}
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
-        for batch in batches:
+        known = Evidence(lambda w: any(f in kept for f in features(w)))
+        for part in stepwise(batches, "text", STEP):
             some, cut = [], []
-            for text, place in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ws = words(text)
-                at = []
-                for i, w in enumerate(ws):
-                    hit = known.get(w)
-                    if hit is None:
-                        hit = known[w] = any(f in kept for f in features(w))
-                    if hit:
-                        at.append(i)
-                every = windows(ws, at)
+            for text, place in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                raw = WORD.findall(text)
+                at = [i for i, w in enumerate(raw) if known[w]]
+                every = windows([w.lower() for w in raw], at)
                 drawn = sorted(range(len(every)), key=lambda i: (zlib.crc32(f"{place} {i}".encode()), i))[:ROW_WINDOWS]
                 some.append(bool(at))
                 cut.append([every[i] for i in sorted(drawn)])
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(some, pa.bool_()), pa.array(cut, pa.list_(pa.list_(pa.string())))], ["toxic", "place", "tie", "some", "windows"])
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(some, pa.bool_()), pa.array(cut, pa.list_(pa.list_(pa.string())))], ["toxic", "place", "tie", "some", "windows"])
 
     placed = rows.select("text", "toxic", order.alias("place"), F.xxhash64("text").alias("tie"))
     found = saved(placed.mapInArrow(places, "toxic int, place long, tie long, some boolean, windows array<array<string>>"), "windows")
@@ -292,16 +302,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field:
     model = fit_field(chains, kept)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        for batch in batches:
+        known = Evidence(model.evidence)
+        for part in stepwise(batches, "text", STEP):
             made = []
-            for text in batch.column(0).to_pylist():
-                ws = words(text)
-                for w in set(ws) - known.keys():
-                    known[w] = model.evidence(w)
-                at = [i for i, w in enumerate(ws) if known[w]]
-                made.append(list(map(float, model.summary(model.marginals(at, [known[ws[i]] for i in at], len(ws))))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2, 3)), pa.array(made, pa.list_(pa.float64()))], ["toxic", "place", "tie", "x"])
+            for text in part.column(0).to_pylist():
+                e = [known[w] for w in WORD.findall(text)]
+                at = [i for i, v in enumerate(e) if v]
+                made.append(list(map(float, model.summary(model.marginals(at, [e[i] for i in at], len(e))))))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (1, 2, 3)), pa.array(made, pa.list_(pa.float64()))], ["toxic", "place", "tie", "x"])
 
     got = placed.mapInArrow(summaries, "toxic int, place long, tie long, x array<double>").collect()
     got = sorted((r["place"], r["tie"], r["toxic"], r["x"]) for r in got)
@@ -309,46 +317,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field:
     return model
 
 
+def score_text(text: str, known: Evidence, model: Field) -> tuple[float, list[dict]]:
+    """The score of a text and its offending runs of tokens, as character offsets [start, end) in it and their surest probability."""
+    e = [known[w] for w in WORD.findall(text)]
+    at = [i for i, v in enumerate(e) if v]
+    p = model.marginals(at, [e[i] for i in at], len(e))
+    bad = {i: q for i, q in zip(at, p, strict=True) if q >= 0.5}
+    found: list[dict] = []
+    last = -1
+    for i, m in enumerate(WORD.finditer(text)) if bad else ():
+        if i in bad:
+            if found and last == i - 1:
+                found[-1]["end"], found[-1]["p"] = m.end(), max(found[-1]["p"], bad[i])
+            else:
+                found.append({"start": m.start(), "end": m.end(), "p": bad[i]})
+            last = i
+    return model.total(p), found
+
+
 def score_toxicity(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
-    """docs with `toxicity` (0 to 1) and `toxic_spans`: character offsets [start, end) in the lower-case text of offending runs of tokens and their surest probability."""
+    """docs with `toxicity` (0 to 1) and `toxic_spans`: character offsets [start, end) in the text of offending runs of tokens and their surest probability."""
     docs = docs.drop("toxicity", "toxic_spans")
     names = docs.columns
-    at_text = names.index(text)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                scores, spans = [], []
-                for raw in batch.column(at_text).slice(a, 1000).to_pylist():
-                    low = (raw or "").lower()
-                    ws = WORD.findall(low)
-                    e = list(map(known.get, ws))
-                    if None in e:
-                        for i, v in enumerate(e):
-                            if v is None:
-                                w = ws[i]
-                                v = known.get(w)
-                                if v is None:
-                                    v = known[w] = model.evidence(w)
-                                e[i] = v
-                        if len(known) > CACHE:
-                            known = {}
-                    at = [i for i, v in enumerate(e) if v]
-                    p = model.marginals(at, [e[i] for i in at], len(ws))
-                    scores.append(model.total(p))
-                    found: list[list] = []
-                    bad = {i: q for i, q in zip(at, p, strict=True) if q >= 0.5}
-                    if bad:
-                        for i, m in enumerate(WORD.finditer(low)):
-                            if i in bad:
-                                if found and found[-1][3] == i - 1:
-                                    found[-1][1:] = [m.end(), max(found[-1][2], bad[i]), i]
-                                else:
-                                    found.append([m.start(), m.end(), bad[i], i])
-                    spans.append([{"start": f[0], "end": f[1], "p": f[2]} for f in found])
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, 1000) for i in range(len(names))), pa.array(scores, pa.float64()), pa.array(spans, kind)], [*names, "toxicity", "toxic_spans"])
+        known = Evidence(model.evidence)
+        for part in stepwise(batches, text, STEP):
+            rows = [score_text(raw or "", known, model) for raw in part.column(names.index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], kind)], [*names, "toxicity", "toxic_spans"])
 
     types = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in docs.dtypes)
     return docs.mapInArrow(run, f"{types}, toxicity double, toxic_spans array<struct<start:int,end:int,p:double>>")
