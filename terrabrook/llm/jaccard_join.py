@@ -1,29 +1,30 @@
-"""N-gram Jaccard join: rare-first prefix filtering, joined on prefix n-grams, verified once per pair.
+"""N-gram Jaccard join: rare-first prefix filtering, joined on prefix n-grams and verified once per pair.
 
 A document's set holds its distinct shingles of `WORDS` words (64-bit hashes; fewer words: the whole sequence as
 one), words being what ASCII white space separates, A-Z lower-cased. Two documents link when the Jaccard similarity is
-at least `percent` / 100. All sets are ordered alike, rare shingles first: the commonest ones, counted in parts of the corpus
-where they repeat, come last by count, the others by hash. Any common order gives all links; a rarer-first one gives fewer candidates.
-Two linked sets of n and m shingles share one among the first n - ceil(percent * n / 100) + 1 of each (prefix), n and m
+at least `percent` / 100. All sets are ordered alike, rare shingles first: the `COMMON` commonest, counted over all documents in
+parts within which they repeat, come last by count, the others by hash. Any common order gives all links; a rarer-first one gives
+fewer candidates. Two linked sets of n and m shingles share one among the first n - ceil(percent * n / 100) + 1 of each (prefix), n and m
 differ by no more than that share (length), and enough shared shingles follow the first one in both prefixes (position).
 
-Prefix shingles are shuffled once, and those that no other prefix has go; shingles that the same documents share make one group, at the
-place of their first. In each group documents first meet one hub, so a
-group of near copies costs as many pairs as members; what is linked then is one component. Only documents of a group that still are in
-different components meet further: other hubs while that finds links, and in the end all pairs that the filters leave, so
-no link between components is lost. A
-pair is verified once: a suffix filter on sketches of the sets (counts by the shingles' low bits, a few bytes in place of texts)
-bounds the overlap, and what it leaves is intersected, on whole texts. The texts of
+Of equal sets one document stands for all. Prefix shingles are shuffled once, those of very many documents in parts, and those that no other
+prefix has go; shingles that the same documents share make one group, at the place of their first. In each group documents first meet one hub,
+so a group of near copies costs as many pairs as members; what is linked then is one component, and groups within one component are done. That is
+repeated with other hubs while it finds links, `ROUNDS` times at most. The documents that are left meet within blocks of a group: those of like lengths, and
+of them only documents that have enough shared shingles left for a partner of such a length. No link between components is lost.
+A pair is verified once: the suffix filter cuts both sets at the same pivots, which are fixed, so that a set's counts between
+pivots are a sketch of a few bytes; counts that differ bound the overlap. What it leaves is intersected, on whole texts. The texts of
 a hub's partners are dealt in parts, so a hub of very many partners isn't one task's.
 
 Null or empty text, or only white space: an empty set, linked with nothing, its own component. Equal texts link. Rows that repeat a doc_id
 are one document with the links of all their texts, and are returned each with its own count; null doc_id: no links, component
-null. An empty table gives no rows. Other columns are not read.
+null. A text longer than a step is a step of its own, taken whole. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +32,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, mixed, saved, steps, utf8
+from .common import buffers, mixed, saved, steps, stepwise, utf8
 from .components import components
 
 WORDS = 5
 #: Shingles counted together for the order, the count from which one is reported, and how many of the commonest are ordered by count.
-COUNTED, REPEATED, COMMON = 4_000_000, 4, 65_536
-#: Partners of a hub that are verified together.
-PART = 1000
-#: Bits of the filter that keeps texts without candidates from being shuffled (half a MB; doc_ids beyond share bits).
-MARKS = 1 << 22
-#: Hub rounds at most, before what is left meets in all pairs.
-ROUNDS = 1
+COUNTED, REPEATED, COMMON = 2_000_000, 3, 131_072
+#: Documents of a shingle from which its prefix rows are dealt in parts of about so many.
+HOT = 1000
+#: Partners of a hub that are verified together; texts of whose sets a task remembers that it has sent them.
+PART, SENT = 1000, 50_000
+#: Bits of the filter that keeps texts without candidates from being shuffled: at least and at most (8 MB); doc_ids beyond share bits.
+MARKS, MOST_MARKS = 1 << 22, 1 << 26
+#: Hub rounds at most, before what is left meets in blocks.
+ROUNDS = 3
+#: Lengths of a block differ by this factor at most.
+BLOCK = 1.1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -106,19 +111,19 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """How many shingles fall to each of about n / 4 values of their low bits; empty if a count doesn't fit a byte."""
-    size = 1 << max(0, (len(s) - 1).bit_length() - 2)
-    counts = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    """How many shingles lie between each two of about n / 4 pivots, which divide all hashes evenly; empty if a count doesn't fit a byte."""
+    bits = max(0, (len(s) - 1).bit_length() - 2)
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if len(s) and counts.max() < 256 else b""
 
 
 def may_overlap(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
-    """False if the sketches of sets of n and m shingles show that they don't link: each unit that counts differ by is a shingle in one set only."""
+    """The suffix filter: False if the sketches of sets of n and m shingles show that they don't link, since each unit that counts between pivots differ by is a shingle in one set only."""
     if not x or not y:
         return True
     a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
     size = min(len(a), len(b))
-    differ = int(np.abs(a.reshape(-1, size).sum(0) - b.reshape(-1, size).sum(0)).sum())
+    differ = int(np.abs(a.reshape(size, -1).sum(1) - b.reshape(size, -1).sum(1)).sum())
     return n + m - differ >= 2 * _overlap(n, m, percent)
 
 
@@ -134,11 +139,11 @@ def _summaries(docs: DataFrame) -> DataFrame:
             k = int(keep.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], names)
 
-        for batch in batches:
-            sets = shingle_sets(utf8(batch.column(1)))
+        for part in stepwise(batches, "text"):
+            sets = shingle_sets(utf8(part.column(1)))
             digests = [hashlib.md5(s.tobytes()).digest() for s in sets]
             k = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
             for s, d in zip(sets, digests, strict=True):
                 if d not in seen:
                     seen.add(d)
@@ -152,48 +157,92 @@ def _summaries(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, h long, c long")
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """(h, doc): the prefix shingles of docs. Copies within a task count once. common: rarest first."""
+def _prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
+    """(h, part, doc): the prefix shingles of docs. Copies within a task count once. common: rarest first; part: -1, or of a shingle of very many documents the part that doc is dealt to."""
     order = np.argsort(common)
     values = common[order]
+    parts = np.where(counts > HOT, 1 << np.ceil(np.log2(np.maximum(counts / HOT, 1))).astype(np.int64), 0)[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
-            ids, column = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
-            for a, b in steps(buffers(column)[0]):
-                parts, docs_ = [], []
-                for doc, s in zip(ids[a:b], shingle_sets(column.slice(a, b - a)), strict=True):
-                    digest = hashlib.md5(s.tobytes()).digest()
-                    if not len(s) or digest in seen:
-                        continue
-                    seen.add(digest)
-                    p = len(s) - -(-percent * len(s) // 100) + 1
-                    if len(values):
-                        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                        rank = np.where(values[at] == s, order[at] + 1, 0)
-                        if rank.any():
-                            s = s[np.argsort(rank, kind="stable")]
-                    parts.append(s[:p])
-                    docs_.append(np.full(p, doc))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(docs_).astype(np.int64))], ["h", "doc"])
-
-    return docs.where("doc_id is not null").mapInArrow(run, "h long, doc long")
-
-
-def _may_link(a: str, b: str, percent: int):
+        for batch in stepwise(batches, "text"):
+            hashes, dealt, docs_ = [], [], []
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(utf8(batch.column(1))), strict=True):
+                digest = hashlib.md5(s.tobytes()).digest()
+                if not len(s) or digest in seen:
+                    continue
+                if len(seen) >= SENT:
+                    seen.clear()
+                seen.add(digest)
+                p = len(s) - -(-percent * len(s) // 100) + 1
+                part = np.full(p, -1, np.int32)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                    rank = np.where(values[at] == s, order[at] + 1, 0)
+                    if rank.any():
+                        first = np.argsort(rank, kind="stable")[:p]
+                        s, of = s[first], np.where(rank[first] > 0, parts[at[first]], 0)
+                        number = int(mixed(np.array([doc & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] >> np.uint64(32))
+                        part = np.where(of > 0, number % np.maximum(of, 1), -1).astype(np.int32)
+                hashes.append(s[:p])
+                dealt.append(part)
+                docs_.append(np.full(p, doc))
+            if hashes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(dealt)), pa.array(np.concatenate(docs_).astype(np.int64))], ["h", "part", "doc"])
+
+    return docs.where("doc_id is not null").mapInArrow(run, "h long, part int, doc long")
+
+
+def _groups(prefixes: DataFrame) -> DataFrame:
+    """(h, doc, k, g): prefix rows of shingles that k > 1 documents have; g: alike for shingles of the same documents. A shingle's parts are summed up apart."""
+    group = Window.partitionBy("h", "part")
+    same = F.xxhash64(F.count("*").over(group), F.bit_xor(F.xxhash64("doc")).over(group), F.bit_xor(F.xxhash64("doc", F.lit(1))).over(group))
+    rows = saved(prefixes.withColumns({"k": F.count("*").over(group), "g": same}).where("k > 1 or part >= 0"), "groups")
+    parts = rows.where("part >= 0").groupBy("h", "part").agg(F.first("k").alias("k"), F.first("g").alias("g"))
+    hot = parts.groupBy("h").agg(F.sum("k").alias("all_k"), F.xxhash64(F.bit_xor(F.xxhash64("part", "g")), F.count("*")).alias("all_g"))
+    met = rows.join(F.broadcast(hot), "h", "left")  # COMMON rows at most
+    return met.select("h", "doc", F.coalesce("all_k", "k").alias("k"), F.coalesce("all_g", "g").alias("g")).where("k > 1")
+
+
+def _least(n: Column, m: Column, percent: int) -> Column:
+    """How many shingles the shared lists of linked sets of n and m have in common at least: what such a pair shares lies in both prefixes, or behind the one that ends first."""
+    return F.ceil((n + m) * percent / (100 + percent) - 1e-9) - F.ceil(F.greatest(n, m) * percent / 100 - 1e-9) + 1
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
     """Whether rows {a}n, {a}r, {a}s and {b}n, {b}r, {b}s can be the first shingle that the prefixes of a linked pair share.
 
-    The sets may differ in length by so much. What a pair shares lies in both prefixes, or behind the one that ends first; so its
-    prefixes share at least `least` shingles, all of which occur in some other prefix too, and behind the first there
-    must be that many more in either list of such shingles: s of them, of which this is number r.
+    The sets may differ in length by so much, and behind the first shared shingle there must be enough more in either list
+    of shingles that occur in some other prefix too: s of them, of which this is number r.
     """
     n, m, i, j, x, y = (F.col(c).cast("long") for c in (f"{a}n", f"{b}n", f"{a}r", f"{b}r", f"{a}s", f"{b}s"))
-    long_ = F.greatest(n, m)
-    overlap = F.ceil((n + m) * percent / (100 + percent) - 1e-9)
-    least = overlap - F.ceil(long_ * percent / 100 - 1e-9) + 1
-    return (F.least(n, m) * 100 >= long_ * percent) & (i <= x - least) & (j <= y - least)
+    least = _least(n, m, percent)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (i <= x - least) & (j <= y - least)
+
+
+def _hub_pairs(apart: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): of each group one document with all that are in other components."""
+    order = F.struct(F.lit(0) if not turn else F.xxhash64("doc", F.lit(turn)), "doc", "n", "r", "s", "root")
+    met = apart.join(apart.groupBy("h").agg(F.min(order).alias("hub")), "h").where("root <> hub.root")
+    pairs = met.select(*(F.col(f"hub.{c}").alias(f"a{k}") for c, k in (("doc", ""), ("n", "n"), ("r", "r"), ("s", "s"))), *(F.col(c).alias(f"b{k}") for c, k in (("doc", ""), ("n", "n"), ("r", "r"), ("s", "s"))))
+    return pairs.where(_may_link("a", "b", percent)).select("a", "b")
+
+
+def _block_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents of a group in different components that may link. A document goes to the blocks (shorter, longer) of lengths that a partner may have, if its place leaves enough shared shingles for one."""
+    level = F.floor(F.log(BLOCK, F.col("n") + 0.5)).cast("int")
+    reach = math.floor(math.log(100 / percent, BLOCK)) + 1
+    n, room = F.col("n").cast("long"), F.col("s") - F.col("r")
+    edge = lambda k: F.pow(F.lit(BLOCK), k)
+    rows = apart.withColumn("own", level).withColumn("other", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
+    # the partner that asks least: the longest of a longer block, up to 2 for rounding, the shortest of a shorter one
+    longest = F.least(F.floor(edge(F.col("other") + 1)) + 1, F.floor(n * 100 / percent))
+    shortest = F.greatest(F.floor(edge(F.col("other"))) - 1, F.ceil(n * percent / 100 - 1e-9), F.lit(1))
+    ask = F.when(F.col("other") > F.col("own"), _least(n, longest, percent)).when(F.col("other") < F.col("own"), _least(n, shortest, percent)).otherwise(F.least(_least(n, F.greatest(longest, n), percent), _least(n, F.least(shortest, n), percent)))
+    rows = rows.where(room >= ask - 2).select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("short"), (F.col("own") >= F.col("other")).alias("long"), "doc", "n", "r", "s", "root")
+    side = lambda k: rows.select("h", "lo", "hi", *(F.col(c).alias(f"{k}{x}") for c, x in (("doc", ""), ("n", "n"), ("r", "r"), ("s", "s"), ("root", "root"), ("short", "short"), ("long", "long"))))
+    met = side("a").where("ashort").join(side("b").where("blong"), ["h", "lo", "hi"]).where("aroot <> broot and (lo < hi or a < b)").where(_may_link("a", "b", percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _unlike_left_out(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
@@ -210,80 +259,76 @@ def _unlike_left_out(pairs: DataFrame, base: DataFrame, percent: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "an", "x", "bn", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _marked(ids: DataFrame) -> Column:
-    """A condition on doc_id that holds for all of ids, and for others only where they share a bit of a filter of fixed size."""
-    slot = F.pmod(F.col("doc_id"), F.lit(MARKS))
+def _marked(ids: DataFrame, of: int) -> Column:
+    """A condition on doc_id that holds for all of ids, and for others only where they share a bit of a filter whose size is bounded. of: documents in all."""
+    bits = min(MOST_MARKS, max(MARKS, 1 << (8 * of).bit_length()))
+    slot = F.pmod(F.col("doc_id"), F.lit(bits))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("doc_id"), F.lit(64)).cast("int"))
-    words = ids.select(F.floor(slot / 64).alias("k"), bit.alias("w")).unionByName(ids.sparkSession.range(MARKS // 64).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("w")))
+    words = ids.select(F.floor(slot / 64).alias("k"), bit.alias("w")).unionByName(ids.sparkSession.range(bits // 64).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("w")))
     words = words.groupBy("k").agg(F.bit_or("w").alias("w"))
     table = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("words"))
     word = F.element_at(table.scalar(), (F.floor(slot / 64) + 1).cast("int"))
     return F.call_function("shiftright", word, F.pmod(F.col("doc_id"), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, of: int) -> DataFrame:
     """The pairs (a, b) that link. a is the hub."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     hubs = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
     asked = saved(dealt.unionByName(hubs), "asked")
-    marked = _marked(asked.select(F.col("b").alias("doc_id")))
+    marked = _marked(asked.select(F.col("b").alias("doc_id")), of)
     texts = docs.where("doc_id is not null").where(marked).select(F.col("doc_id").alias("b"), F.coalesce("text", F.lit("")).alias("text"))
     rows = asked.join(texts, "b").select("a", "part", (F.col("a") != F.col("b")).alias("late"), "b", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "late")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hubs_ = None, []
-        for batch in batches:
-            column = utf8(batch.column(4))
-            for x, y in steps(buffers(column)[0]):
-                keys = list(zip(batch.column(0).slice(x, y - x).to_pylist(), batch.column(1).slice(x, y - x).to_pylist(), strict=True))
-                late, others = batch.column(2).slice(x, y - x).to_pylist(), batch.column(3).slice(x, y - x).to_pylist()
-                found = []
-                for key, is_late, other, s in zip(keys, late, others, shingle_sets(column.slice(x, y - x)), strict=True):
-                    if key != hub:
-                        hub, hubs_ = key, []
-                    if not is_late:
-                        hubs_.append(s)  # more than one where rows repeat a doc_id
-                    elif any(linked(h, s, percent) for h in hubs_):
-                        found.append((key[0], other))
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+        for part in stepwise(batches, "text"):
+            keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+            found = []
+            for key, is_late, other, s in zip(keys, part.column(2).to_pylist(), part.column(3).to_pylist(), shingle_sets(utf8(part.column(4))), strict=True):
+                if key != hub:
+                    hub, hubs_ = key, []
+                if not is_late:
+                    hubs_.append(s)  # more than one where rows repeat a doc_id
+                elif any(linked(h, s, percent) for h in hubs_):
+                    found.append((key[0], other))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The groups that hold documents of different components, which become `root`."""
+    rows = shared.join(roots, shared["doc"] == roots["node"], "left").select("h", "doc", "n", "r", "s", F.coalesce("root", "doc").alias("root"))
+    ends = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return rows.join(ends.select("h"), "h", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     both = saved(_summaries(docs), "summaries")
     base = both.where("h is null").select("doc_id", "n", "digest", "sketch")
+    of = base.count()
     rows = both.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON).collect()
-    common = np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
-    classes = base.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v"), F.count("*").alias("k")).where("k > 1")
-    copies = saved(base.join(classes, "digest").select(F.col("doc_id").alias("u"), "v"), "copies")
+    common, counts = np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64), np.array([r["c"] for r in reversed(rows)], np.int64)
+    classes = base.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v"), F.count("*").alias("k"))
+    copies = saved(base.where("doc_id is not null").join(classes.where("k > 1"), "digest").select(F.col("doc_id").alias("u"), "v"), "copies")
     # of equal sets the first document stands for all; the filter may let others pass, which only costs
-    firsts = base.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    group, mine = Window.partitionBy("h"), Window.partitionBy("doc")
-    same = F.xxhash64(F.count("*").over(group), F.bit_xor(F.xxhash64("doc")).over(group), F.bit_xor(F.xxhash64("doc", F.lit(1))).over(group))
-    groups = _prefixes(docs.where(_marked(firsts)), common, percent).withColumns({"k": F.count("*").over(group), "g": same}).where("k > 1")
+    firsts = docs.where(_marked(classes.select(F.col("v").alias("doc_id")), of))
+    mine = Window.partitionBy("doc")
     places = {"r": (F.row_number().over(mine.orderBy("k", "h")) - 1).cast("long"), "s": F.count("*").over(mine)}
-    groups = groups.withColumns(places).groupBy("doc", "g").agg(F.min("r").alias("r"), F.first("s").alias("s"))
+    groups = _groups(_prefixes(firsts, common, counts, percent)).withColumns(places).groupBy("doc", "g").agg(F.min("r").alias("r"), F.first("s").alias("s"))
     sizes = base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "n").distinct()
     shared = saved(groups.join(sizes, "doc").select(F.col("g").alias("h"), "doc", "n", "r", "s"), "shared")
     roots = copies.select(F.col("u").alias("node"), F.col("v").alias("root"))  # stars already, unless texts share a doc_id
-    tested, rounds, found_any, closed = None, 0, True, False
+    tested, turn, closed = None, 0, False
     apart = shared.select("*", F.col("doc").alias("root"))
     while True:
-        last = rounds == ROUNDS or not found_any
-        if not last:
-            order = F.struct("doc", "n", "r", "s", "root") if not rounds else F.struct(F.xxhash64("doc", F.lit(rounds)), "doc", "n", "r", "s", "root")
-            met = apart.withColumn("hub", F.min(order).over(Window.partitionBy("h"))).where("root <> hub.root")
-            pairs = met.select(*(F.col(f"hub.{c}").alias(k) for c, k in (("doc", "a"), ("n", "an"), ("r", "ar"), ("s", "as"))), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("r").alias("br"), F.col("s").alias("bs")).where(_may_link("a", "b", percent))
-        else:
-            x = apart.select("h", *(F.col(c).alias(k) for c, k in (("doc", "a"), ("n", "an"), ("r", "ar"), ("s", "as"), ("root", "aroot"))))
-            y = apart.select("h", *(F.col(c).alias(k) for c, k in (("doc", "b"), ("n", "bn"), ("r", "br"), ("s", "bs"), ("root", "broot"))))
-            pairs = x.join(y, "h").where("aroot < broot").where(_may_link("a", "b", percent))
-        pairs = pairs.select("a", "b").distinct()
+        hubs = turn < ROUNDS
+        pairs = (_hub_pairs(apart, turn, percent) if hubs else _block_pairs(apart, percent)).distinct()
         if tested is not None:
             old = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -291,28 +336,41 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         close = saved(_unlike_left_out(pairs, base, percent), "close")
         found_any = False
         if not close.isEmpty():
-            found = saved(_verified(docs, close, percent), "found")
+            found = saved(_verified(docs, close, percent, of), "found")
             found_any = not found.isEmpty()
-            if found_any:
-                links = found.select(F.col("b").alias("u"), F.col("a").alias("v"))
-                roots = saved(components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
-                closed = True
-        if last:
+        if found_any:
+            links = found.select(F.col("b").alias("u"), F.col("a").alias("v"))
+            roots = saved(components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
+            closed = True
+        if not hubs:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        rounds += 1
-        if found_any or rounds == 1:
-            apart = shared.join(roots, shared["doc"] == roots["node"], "left").select("h", "doc", "n", "r", "s", F.coalesce("root", "doc").alias("root"))
-            several = Window.partitionBy("h")
-            apart = saved(apart.withColumns({"lo": F.min("root").over(several), "hi": F.max("root").over(several)}).where("lo <> hi").drop("lo", "hi"), "apart")
+        if found_any or not turn:
+            apart = saved(_across(shared, roots), "apart")
+        turn = turn + 1 if found_any else ROUNDS
     if not closed:
         roots = saved(components(copies), "roots")
     out = base.join(roots, base["doc_id"] == roots["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """docs with `_id`: doc_id, except that of the different texts of a doc_id all but one get numbers beyond all. Of rows with equal doc_id and text one stays, the least by its columns."""
+    named = docs.where("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long"))
+    several = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if several.isEmpty():
+        return named
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    texts = named.join(several, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_h"), F.length("text").alias("_n")).agg(F.min(row).alias("_row"))
+    texts = saved(texts.withColumn("_more", F.monotonically_increasing_id()), "texts")
+    beyond = named.agg(F.max("_id")).first()[0] + 1
+    first = texts.groupBy("doc_id").agg(F.min("_more").alias("_first"))
+    texts = texts.join(first, "doc_id").select("_row.*", F.when(F.col("_more") == F.col("_first"), F.col("doc_id").cast("long")).otherwise(F.lit(beyond) + F.col("_more")).alias("_id"))
+    return named.join(several, "doc_id", "left_anti").select(*docs.columns, "_id").unionByName(texts)
+
+
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs with one document of each component left, the one with the smallest doc_id; rows without a doc_id stay. Rows that repeat a doc_id: one stays."""
-    kept = jaccard_components(docs, percent).where("component_id = doc_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """docs with one document of each component left, the one with the smallest doc_id; rows without a doc_id stay. Different texts of one doc_id are documents of their own."""
+    rows = _told_apart(docs)
+    kept = jaccard_components(rows.select(F.col("_id").alias("doc_id"), "text"), percent).where("component_id = doc_id").select(F.col("doc_id").alias("_id"))
+    return rows.join(kept, "_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

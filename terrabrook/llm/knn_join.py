@@ -6,14 +6,16 @@ queries can score: for q in the cell of p with radius r and norms up to N, and x
 
     p.o - r|o| - N d  <=  q.x  <=  p.o + r|o| + N d.
 
-The (k+1)-th largest lower bound is a score that every query of the group reaches, so x is copied to the group only if its
-upper bound does; cells of near pivots with few queries share a copy. A group's data are dealt in slices and its queries in chunks of bounded size, each unit is solved by matrix products on
-exact numbers, and a window merges the slices. Of equal vectors only the k + 1 smallest identifiers can win, so a vector that many
+With m the most vectors that one identifier has (1, if identifiers are unique), the (k+m)-th largest lower bound is a score that every query of the
+group reaches with k others, so x is copied to the group only if its upper bound does. Cells of near pivots share a copy where that costs less: a
+copy saved against products made in vain. A group's data are dealt in slices and its queries in chunks of bounded size, each unit is solved by matrix
+products on exact numbers, and a window merges the slices. Of equal vectors only the k + 1 smallest identifiers can win, so a vector that many
 rows share is reduced, before it is shuffled, to those.
 
-Vectors that are null, hold null or non-finite components, or don't have the length that most vectors have take no part, nor do
-rows without identifier; equal rows count once. Ties go to the smaller identifier. Scores are longs; components saturate at a long, and products
-beyond it wrap as longs do. Fewer than k candidates: all. An empty table gives no rows; other columns are not read.
+Vectors that are null, hold null or non-finite components or none take no part, nor do rows without identifier; equal rows count once. Vectors of
+different lengths never meet: each length is searched by itself. An identifier with several vectors: its pairs are those of any of its vectors with
+the rows of other identifiers. Ties go to the smaller identifier. Scores are longs; components saturate at a long, and products beyond it wrap as longs
+do. Fewer than k candidates: all. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Pivots at most (their table of bounds has the square of that), queries of cells that share data, rows of a slice, queries of a chunk, queries multiplied at once.
-PIVOTS, GROUP, SLICE, CHUNK, BLOCK = 256, 4096, 20_000, 50_000, 256
+#: Pivots at most (their table of bounds has the square of that), rows of a slice, queries of a chunk, queries multiplied at once.
+PIVOTS, SLICE, CHUNK, BLOCK = 1024, 20_000, 50_000, 256
+#: Products that cost as much as a copy of a row, and vectors of one identifier beyond which nothing is left out by bounds.
+COPY, SAME = 2000, 500
 
 
 def _packed(v: np.ndarray) -> list[bytes]:
     """Rows as bytes: 16-bit numbers if they fit, else 64-bit."""
-    small = np.abs(v).max(1, initial=0) < 1 << 15
+    small = (v.min(1, initial=0) >= -(1 << 15)) & (v.max(1, initial=0) < 1 << 15)  # the least long has no absolute value
     return [r.astype("<i2").tobytes() if s else r.tobytes() for r, s in zip(v, small, strict=True)]
 
 
@@ -101,7 +105,7 @@ def _top(q: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, list[np.n
 
 
 def _solved(units: DataFrame, dim: int, k: int) -> DataFrame:
-    """(query_id, other, score): the k + 1 best of each unit for its queries, themselves left out. A unit's data come first."""
+    """(query_id, other, score): the k best of each unit for its queries, rows of their own identifier left out. A unit's data come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, parts, data, ids = None, [], None, None
@@ -127,7 +131,8 @@ def _solved(units: DataFrame, dim: int, k: int) -> DataFrame:
                         y = min(b, x + BLOCK)
                         which: dict[bytes, int] = {}
                         place = [which.setdefault(v, len(which)) for v in vectors[x:y]]
-                        scores, best = _top(_unpacked(list(which), dim), data, k + 1)
+                        own = np.searchsorted(ids, number[x:y], "right") - np.searchsorted(ids, number[x:y])
+                        scores, best = _top(_unpacked(list(which), dim), data, k + int(own.max()))
                         q_out, id_out, s_out = [], [], []
                         for query, i in zip(number[x:y], place, strict=True):
                             near = best[i][ids[best[i]] != query][:k]
@@ -140,51 +145,72 @@ def _solved(units: DataFrame, dim: int, k: int) -> DataFrame:
     return units.mapInArrow(run, "query_id long, other long, score long")
 
 
+def grouped(cells: dict[int, tuple[int, np.ndarray]], far: np.ndarray, copied) -> list[list[int]]:
+    """Cells as groups that share a copy of the data. cells: queries and distances from which vectors must be copied; far: distances of pivots; copied: rows of such distances."""
+    left, out = set(cells), []
+    while left:
+        seed = max(left, key=lambda i: (cells[i][0], -i))
+        left.remove(seed)
+        group, (queries, need) = [seed], cells[seed]
+        rows = copied(need)
+        for i in sorted(left, key=lambda i: (far[seed, i], i)):
+            more, alone = cells[i][0], copied(cells[i][1])
+            both = np.minimum(need, cells[i][1])
+            together = copied(both)
+            if queries + more > CHUNK or (COPY + queries + more) * together > (COPY + queries) * rows + (COPY + more) * alone:
+                break
+            group.append(i)
+            left.remove(i)
+            queries, need, rows = queries + more, both, together
+        out.append(group)
+    return out
+
+
 def knn_join(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of every query with all other rows. is_query: a condition on column `id`."""
     rows = saved(quantised(vectors, key, vector, scale), "vectors")
-    spark = rows.sparkSession
-    common = rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, n = common["dim"], common["n"]
-    rows = rows.where(F.col("dim") == dim)
+    lengths = sorted(rows.groupBy("dim").agg(F.count("*").alias("n")).collect(), key=lambda r: r["dim"])
+    best = rows.sparkSession.createDataFrame([], "query_id long, other long, score long")
+    for r in lengths:
+        best = best.unionByName(_of_length(rows.where(F.col("dim") == r["dim"]), r["dim"], r["n"], is_query, k))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "other"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("other").alias("vec_id"), "score")
+
+
+def _of_length(rows: DataFrame, dim: int, n: int, is_query: Column, k: int) -> DataFrame:
+    """(query_id, other, score): candidates that hold the k best of every query among the n rows, which have `dim` components."""
     drawn = rows.groupBy("v").agg(F.min(F.xxhash64("id")).alias("h")).orderBy("h", "v").limit(int(min(PIVOTS, max(1, n**0.5 / 4)))).collect()
     pivots = _unpacked([bytes(r["v"]) for r in drawn], dim)
     cells = saved(_assigned(rows, pivots), "cells")
+    most = cells.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    several = k + min(most, SAME)
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     data = saved(cells.withColumn("place", first).where(F.col("place") <= k + 1).drop("place"), "data")
-    near = data.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("d", "id"))).where(F.col("place") <= k + 1).select("cell", "d").collect()  # (k + 1) rows a pivot
+    near = data.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("d", "id"))).where(F.col("place") <= several).select("cell", "d").collect()  # so many rows a pivot
     held = {r["cell"]: r for r in data.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}
-    groups = {r["cell"]: r for r in cells.where(is_query).groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r"), F.max("norm").alias("norm")).collect()}
+    asked = {r["cell"]: r for r in cells.where(is_query).groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r"), F.max("norm").alias("norm")).collect()}
     p = pivots.astype(np.float64)
     dots, norms = p @ p.T, np.sqrt((p * p).sum(1))
     near_cell, near_d = np.array([r["cell"] for r in near], np.int64), np.array([r["d"] for r in near])
-    least = np.full((len(p), len(p)), np.inf)  # the distance from its pivot at which a vector of a cell must be copied to a group
-    for i, g in groups.items():
+    least = {}  # by cell of queries: the distance from its pivot at which a vector of each cell must be copied
+    for i, g in asked.items():
         low = dots[i, near_cell] - g["r"] * norms[near_cell] - g["norm"] * near_d
-        reached = np.sort(low)[-(k + 1)] if len(low) > k else -np.inf
+        reached = np.sort(low)[-several] if len(low) >= several and most <= SAME else -np.inf
         slack = 1e-9 * (1 + abs(reached) + np.abs(dots[i]) + g["r"] * norms)
         room = reached - slack - dots[i] - g["r"] * norms
-        least[i] = np.where(room <= 0, -1.0, room / max(g["norm"], 1e-300) * (1 - 1e-9))
-    # cells whose pivots are close share one copy of the data, as long as their queries are few
-    group_of, left, n_groups = np.zeros(len(p), np.int64), set(groups), 0
-    while left:
-        seed = max(left, key=lambda i: (groups[i]["n"], -i))
-        queries = 0
-        for i in sorted(left, key=lambda i: (float(((p[i] - p[seed]) ** 2).sum()), i)):
-            if queries and queries + groups[i]["n"] > GROUP:
-                break
-            group_of[i], queries = n_groups, queries + groups[i]["n"]
-            left.remove(i)
-        n_groups += 1
+        least[i] = (g["n"], np.where(room <= 0, -1.0, room / max(g["norm"], 1e-300) * (1 - 1e-9)))
+    sizes, radii = np.zeros(len(p), np.int64), np.full(len(p), -1.0)
+    for j, c in held.items():
+        sizes[j], radii[j] = c["n"], c["r"]
+    square = (p * p).sum(1)
+    groups = grouped(least, square[:, None] + square - 2 * dots, lambda need: int(sizes[need <= radii].sum()))
+    n_groups, group_of = len(groups), np.zeros(len(p), np.int64)
     need = np.full((n_groups, len(p)), np.inf)
     slices, chunks = np.zeros(n_groups, np.int64), np.zeros(n_groups, np.int64)
-    for g in range(n_groups):
-        members = [i for i in groups if group_of[i] == g]
-        need[g] = least[members].min(0)
-        copied = sum(c["n"] for j, c in held.items() if need[g, j] <= c["r"])
-        slices[g], chunks[g] = max(1, -(-copied // SLICE)), -(-sum(groups[i]["n"] for i in members) // CHUNK)
+    for g, members in enumerate(groups):
+        group_of[members] = g
+        need[g] = np.min([least[i][1] for i in members], axis=0)
+        slices[g], chunks[g] = max(1, -(-int(sizes[need[g] <= radii].sum()) // SLICE)), -(-sum(least[i][0] for i in members) // CHUNK)
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,6 +235,4 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_
     shape = "g int, slice int, chunk int, asked boolean, id long, v binary"
     units = data.select("id", "v", "cell", "d").mapInArrow(copy, shape).unionByName(cells.where(is_query).select("id", "v", "cell").mapInArrow(ask, shape))
     units = units.repartition("g", "slice", "chunk").sortWithinPartitions("g", "slice", "chunk", "asked")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "other"))
-    best = _solved(units, dim, k).withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("other").alias("vec_id"), "score")
+    return _solved(units, dim, k)

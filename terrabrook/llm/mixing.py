@@ -6,9 +6,10 @@ source the mix takes whole passes, then part of one more: the documents are coun
 the budget is spread over the lengths in proportion, and a bounded-knapsack programme over the remaining counts
 fits the rest of it to the word. Which documents of a length are taken follows a seeded hash of doc_id.
 
-Only histograms (source, length, count) are gathered: by source, never documents. Null text and text without
-words have size 0 and take 0; null sources are a source; rows repeating a doc_id are rows like others, and
-equal rows may swap places; an empty table gives an empty result; other columns are not read. Reruns agree.
+Only histograms (source, length, count) are gathered: by source, never documents. Documents of one source and length are ranked
+in parts, whose number grows with the table. Null text and text without words have size 0 and take 0; null sources are a source;
+rows repeating a doc_id, and rows without one, are rows like others, told apart by their texts, so only rows with equal
+identifier, source and text may swap places; an empty table gives an empty result; other columns are not read. Reruns agree.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import saved
 
 #: The rest of a budget that the programme fits, in words.
 DP_WORDS = 1 << 16
-#: Parts of the documents of one source and length that are ranked apart.
-SALTS = 64
+#: Parts of the documents of one source and length that are ranked apart: so many at least, and so that a part of all documents would have PART.
+SALTS, PART = 64, 250_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -102,10 +103,15 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, cap
     return sources.select("_key", "source_size", F.least(F.col("source_size") * F.lit(float(cap)), F.col("weight") * level).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every row of docs: how often the mix takes it."""
+def _sized(docs: DataFrame, seed: int, salts: int, *more: str | Column) -> DataFrame:
+    """(_key, size, _salt, _order, *more): what a document is ranked by."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
-    sized = saved(docs.select("doc_id", key.alias("_key"), word_count("text").alias("size")), "sized").withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(SALTS)))
+    order = F.struct(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", F.xxhash64("text"))
+    return docs.select(key.alias("_key"), word_count("text").alias("size"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), F.lit(salts)).alias("_salt"), order.alias("_order"), *more)
+
+
+def _shares(sized: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """(_key, size, _salt, source_size, target, _passes, _take): of the documents of a source, length and part, how many are taken once more than _passes."""
     targets = source_targets(sized, weights, share, cap)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budget = F.round(F.col("target") - passes * F.col("source_size")).cast("long")
@@ -119,16 +125,27 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     chosen = counts.join(targets, "_key").groupBy("_key").applyInPandas(fit, "_key string, size long, _take long, source_size long, target double, _passes long")
     before = F.sum("n").over(Window.partitionBy("_key", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     parts = sized.groupBy("_key", "size", "_salt").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(before, F.lit(0)))
-    parts = parts.join(chosen, ["_key", "size"]).select("_key", "size", "_salt", "source_size", "target", "_passes", (F.col("_take") - F.col("_before")).alias("_take"))
-    place = F.row_number().over(Window.partitionBy("_key", "size", "_salt").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id"))
-    rows = sized.withColumn("_place", place).join(parts, ["_key", "size", "_salt"])
-    copies = F.col("_passes") + (F.col("_place") <= F.col("_take")).cast("long")
+    return parts.join(chosen, ["_key", "size"]).select("_key", "size", "_salt", "source_size", "target", "_passes", (F.col("_take") - F.col("_before")).alias("_take"))
+
+
+def _mixed(docs: DataFrame, more: Sequence[str | Column], weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
+    """(_key, size, source_size, target, copies, *more) of every row of docs. The rows with what they carry are shuffled once, by the keys of the ranking and the join."""
+    salts = max(SALTS, -(-docs.count() // PART))
+    narrow = saved(_sized(docs, seed, salts).drop("_order"), "sized")
+    parts = _shares(narrow, weights, share, cap)
+    place = F.row_number().over(Window.partitionBy("_key", "size", "_salt").orderBy("_order"))
+    rows = _sized(docs, seed, salts, *more).withColumn("_place", place).drop("_order").join(parts, ["_key", "size", "_salt"])
+    return rows.withColumn("copies", F.col("_passes") + (F.col("_place") <= F.col("_take")).cast("long"))
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every row of docs: how often the mix takes it."""
+    rows = _mixed(docs, ["doc_id"], weights, share, cap, seed)
     source = F.when(F.col("_key").startswith("0"), F.substring("_key", 2, 1 << 30))
-    return rows.select("doc_id", source.alias("source"), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return rows.select("doc_id", source.alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix: docs, each as often as the mix takes it (0: left out). Rows that share a doc_id follow the most taken one; a null doc_id is left out."""
-    plan = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(plan, "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+def apply_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """The rows of the mix: docs, each as often as the mix takes it (0: left out), whatever its doc_id."""
+    rows = _mixed(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")], weights, share, cap, seed).where("copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

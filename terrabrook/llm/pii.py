@@ -12,6 +12,8 @@ Every place where a shape begins is tried, also within a match that didn't valid
 What follows a value isn't taken with it: an international number has the digits of its calling code's plan (`PLANS`; of other codes as many
 groups as 15 digits and the next value allow), an IBAN its country's length (`IBANS`), or else the longest run of its groups that validates.
 
+Repeats of unbounded length are possessive, so that no text, however long or odd, makes the matcher recurse or try again.
+
 Null text stays null, with 0 replaced; texts are taken whole at any length; rows are independent, so repeated rows give repeated
 results; an empty table gives no rows; all columns are kept, `replaced` is new (an old one of that name goes).
 """
@@ -47,7 +49,7 @@ _FREE = rf"(?:(?! (?:{_OTHER})){_NEXT}){{7,14}}{_END}|[0-9]{_NEXT}{{7,14}}"
 _PLANNED = "|".join(f"(?:{codes}){_NEXT}{{{n}}}{_END}" for n, codes in PLANS.items())
 #: The shapes of what may be personal, by kind.
 SHAPES = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])",
     "date": rf"{_NO_WORD}(?:(?:19|20)[0-9]{{2}}(?<day>[\-/.])(?:0[1-9]|1[0-2])\k<day>(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)[0-9]{{2}}|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{{2}}){_END}",
     "ssn": rf"(?<![\p{{L}}\p{{N}}\-])(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}(?![\p{{L}}\p{{N}}]|-[0-9])",

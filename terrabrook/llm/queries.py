@@ -37,9 +37,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(warc.to_warc(records, warc.http_key("X-Page-Id")), path)
     read = warc.read_warc(spark, path, payloads=False).withColumn("page_id", warc.http_key("X-Page-Id"))
     read = saved(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "record_id", F.col("refers_to").alias("refers_id"), "intact"), "records")
-    named = read.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to"))
+    named = read.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.struct("payload_digest", "payload_bytes").alias("held"))
     alone = read.where("refers_id is null").withColumn("refers_to", F.lit(None).cast("long"))
-    again = read.where("refers_id is not null").join(named.withColumnRenamed("record_id", "refers_id"), "refers_id", "left")
+    again = read.where("refers_id is not null").drop("intact").join(named, "refers_id", "left")
+    again = again.withColumn("intact", F.coalesce(F.col("held") == F.struct("payload_digest", "payload_bytes"), F.lit(False)))  # the response that it names holds such a payload
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
     return alone.select(columns).unionByName(again.select(columns))
 

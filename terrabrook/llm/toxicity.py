@@ -33,13 +33,15 @@ from .common import saved, stepwise
 
 #: Bounds of what is fitted on: labelled rows of either class, features kept, rows of the field.
 TOXIC_ROWS, CLEAN_ROWS, FEATURES, FIELD_ROWS = 2000, 4000, 4096, 1500
-#: Rows that must have a feature; share of toxic rows from which it is kept, and from which it labels tokens.
+#: Toxic rows that must have a feature; share of toxic rows from which it is kept, and from which it labels tokens.
 LEAST, KEPT, SURE = 3, 0.5, 0.8
+#: Likelihood ratio (twice its logarithm) from which a feature isn't in toxic rows by chance: of half a million features two are.
+CHANCE = 20.0
 #: A run without evidence counts as so many tokens at most while the field is fitted; tokens of a window, windows of a row.
 GAP, WINDOW, ROW_WINDOWS = 32, 250, 8
 WORD = re.compile(r"[^\W_]+")
 #: Words whose evidence a task keeps, each of LONGEST characters at most; features that a task counts before it hands them on; bytes of text in a step.
-CACHE, LONGEST, COUNTED, STEP = 100_000, 64, 100_000, 1 << 20
+CACHE, LONGEST, COUNTED, STEP = 200_000, 64, 100_000, 1 << 20
 
 
 def features(word: str) -> list[str]:
@@ -128,7 +130,7 @@ class Field:
         if not p:
             return np.array([1.0, 0.0, 0.0, 0.0])
         clean = sum(np.log1p(-min(x, 1 - 1e-9)) for x in p)
-        return np.array([1.0, min(20.0, np.log(max(np.expm1(-clean), 1e-6)) + 14), np.log1p(sum(p)), max(p)])
+        return np.array([1.0, min(20.0, np.log(max(np.expm1(min(-clean, 50.0)), 1e-6)) + 14), np.log1p(sum(p)), max(p)])
 
     def total(self, p: list[float]) -> float:
         z = float(self.summary(p) @ np.array(self.score))
@@ -227,15 +229,21 @@ def fit_score(x: np.ndarray, y: np.ndarray, rates: tuple[int, int]) -> tuple[flo
     """Weights of what summary returns, from summaries and labels; rates: clean and toxic rows in all."""
     weight = np.where(y == 1, rates[1] / max(y.sum(), 1), rates[0] / max((1 - y).sum(), 1))
     weight /= weight.mean()
-    beta = np.zeros(4)
-    for _ in range(50):  # Newton's method, with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (weight * (y - p)) - 0.05 * np.array([0, 1, 1, 1]) * beta
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.05, 0.05, 0.05])
-        change = np.linalg.solve(curve, slope)
-        beta += np.clip(change, -5, 5)
-        if np.abs(change).max() < 1e-8:
+    ridge, beta = np.array([1e-6, 0.05, 0.05, 0.05]), np.zeros(4)
+
+    def loss(b: np.ndarray) -> float:
+        return float((weight * np.logaddexp(0.0, np.where(y == 1, -1.0, 1.0) * (x @ b))).sum() + (ridge * b * b).sum() / 2)
+
+    for _ in range(100):  # Newton's method; a step that goes too far is halved
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+        slope = x.T @ (weight * (y - p)) - ridge * beta
+        change = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), slope)
+        least, size = loss(beta), 1.0
+        while size > 1e-6 and loss(beta + size * change) > least - 1e-4 * size * float(slope @ change):
+            size /= 2
+        if size <= 1e-6 or np.abs(size * change).max() < 1e-8:
             break
+        beta += size * change
     return tuple(map(float, beta))
 
 
@@ -278,8 +286,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field:
         n, k = have.get(0, 0) + have.get(1, 0), have.get(1, 0)
         return Field(score=(float(np.log((k + 0.5) / (n - k + 0.5))) if n else -4.0, 0.0, 0.0, 0.0))
     rate = totals[0] / have[0] * have[1] / totals[1]  # clean rows are drawn more thinly
-    marking = _counted(rows).withColumn("share", (F.col("t") + 0.5) / (F.col("t") + F.col("c") * rate + 1)).where(F.col("share") >= KEPT)
-    kept = {r["f"]: r["share"] for r in marking.orderBy(F.desc(F.col("share") * F.log1p("t")), "f").limit(FEATURES).collect()}
+    toxic = have[1] / (have[0] + have[1])
+    both = F.col("t") + F.col("c")
+    chance = 2 * (F.col("t") * F.log(F.col("t") / (both * toxic)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (both * (1 - toxic)))).otherwise(0.0))
+    marking = _counted(rows).withColumns({"share": (F.col("t") + 0.5) / (F.col("t") + F.col("c") * rate + 1), "chance": chance}).where((F.col("share") >= KEPT) & (F.col("chance") >= CHANCE) & (F.col("t") > both * toxic))
+    kept = {r["f"]: r["share"] for r in marking.orderBy(F.desc("chance"), "f").limit(FEATURES).collect()}
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Evidence(lambda w: any(f in kept for f in features(w)))
@@ -306,7 +317,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field:
         for part in stepwise(batches, "text", STEP):
             made = []
             for text in part.column(0).to_pylist():
-                e = [known[w] for w in WORD.findall(text)]
+                e = list(map(known.__getitem__, WORD.findall(text)))
                 at = [i for i, v in enumerate(e) if v]
                 made.append(list(map(float, model.summary(model.marginals(at, [e[i] for i in at], len(e))))))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (1, 2, 3)), pa.array(made, pa.list_(pa.float64()))], ["toxic", "place", "tie", "x"])
@@ -319,7 +330,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field:
 
 def score_text(text: str, known: Evidence, model: Field) -> tuple[float, list[dict]]:
     """The score of a text and its offending runs of tokens, as character offsets [start, end) in it and their surest probability."""
-    e = [known[w] for w in WORD.findall(text)]
+    e = list(map(known.__getitem__, WORD.findall(text)))
     at = [i for i, v in enumerate(e) if v]
     p = model.marginals(at, [e[i] for i in at], len(e))
     bad = {i: q for i, q in zip(at, p, strict=True) if q >= 0.5}

@@ -3,15 +3,16 @@
 An ARC file starts with a version block, `filedesc://name ip date text/plain length`, which declares its version and
 header line: version 1 has `URL IP-address Archive-date Content-type Archive-length`, version 2 puts result code, checksum,
 location, offset and filename before the length. `read_arc` walks the records by these lines and their declared lengths.
-`to_warc` gives each a WARC identifier (a UUID of what the record is), timestamp, type (response for HTTP, resource for the
-rest) and digest, and turns repeats of a payload of at least `least` bytes into revisits of the one that `order` puts last.
+`to_warc` gives each a WARC identifier (a UUID of what the record is and where it stood), timestamp, type (response for HTTP, resource for the
+rest) and digest, and turns repeats of a payload of at least `least` bytes into revisits of the one that `order` puts last. Only payloads
+whose digest repeats, which a filter of bounded size tells, are shuffled to meet the decision; all others stay where they were parsed.
 `write_warc` writes WARC/1.1 files with Spark's text writer, records being separated by their closing CRLF CRLF; `read_warc`
 reads them by declared length.
 
 Payloads are any bytes, empty ones too. A header line of too few fields is skipped up to the next line; a length that
 runs past the end keeps what is there and marks the record truncated; dates of 8 or 12 digits are filled up, others become the
 version block's. Rows repeating key and payload all stay responses. Empty tables make archives without records. Columns that an
-operator doesn't name aren't read. A file is parsed in one task, so writers bound its records.
+operator doesn't name aren't read. A file is parsed in one task, so writers bound its bytes: `FILE_ROWS` rows of `SEGMENT` bytes, or of one longer record.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: The fields of header lines by version.
 ARC_FIELDS = {1: ("url", "ip", "date", "mime", "length"), 2: ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length")}
 ARC_NAMES = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 CRLF2 = b"\r\n\r\n"
-SEGMENT = 4 << 20
-RECORDS_A_FILE = 10_000
+SEGMENT, FILE_ROWS = 4 << 20, 16
+#: Bits of the filter that tells repeated digests: 1 MB; digests beyond share bits, which only costs.
+MARKS = 1 << 23
 
 
 def _date14(text: bytes, otherwise: str) -> str:
@@ -135,17 +139,17 @@ def read_arc(archives: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
         for batch in batches:
-            for content in batch.column(1):
-                raw = content.as_py() or b""
-                raw = zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                place, raw = path.as_py() or "", content.as_py() or b""
+                raw = b"".join(_plain(raw))
                 rows, size = [], 0
-                for _, kind, url, ip, date, mime, _, short, document in parse_arc(raw):
+                for _, kind, url, ip, date, mime, offset, short, document in parse_arc(raw):
                     if kind == "filedesc":
                         continue
                     web = document.startswith(b"HTTP/")
                     head, gap, body = document.partition(CRLF2) if web else (b"", b"", document)
                     digest = hashlib.sha1(body).hexdigest()
-                    what = hashlib.sha1("\0".join((url, date, digest)).encode() + b"\0" + head).digest()
+                    what = hashlib.sha1("\0".join((url, date, digest, place, str(offset))).encode() + b"\0" + head).digest()
                     rows.append((url, ip, date, mime, str(uuid.UUID(bytes=what[:16], version=5)), "response" if web else "resource", short, head + gap, body, len(body), digest))
                     size += len(document)
                     if size > SEGMENT:
@@ -161,15 +165,29 @@ def http_key(name: str, http: str = "http") -> Column:
     return F.regexp_extract(F.col(http).cast("string"), rf"(?m)^{name}: (-?\d+)", 1).try_cast("long")
 
 
+def _repeats(digests: DataFrame) -> Column:
+    """A condition on payload_digest that holds for all of digests, and for others only where they share a bit of a filter of fixed size."""
+    slot = F.pmod(F.xxhash64("payload_digest"), F.lit(MARKS))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    words = digests.select(F.floor(slot / 64).alias("k"), bit(slot).alias("w")).unionByName(digests.sparkSession.range(MARKS // 64).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("w")))
+    table = words.groupBy("k").agg(F.bit_or("w").alias("w")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("words"))
+    return F.element_at(table.scalar(), (F.floor(slot / 64) + 1).cast("int")).bitwiseAND(bit(slot)) != 0
+
+
 def to_warc(records: DataFrame, order: Column, least: int = 1000) -> DataFrame:
-    """records with repeats as revisits: record_type, refers_to (identifier), refers_url and refers_date. order: the largest of equal payloads is the one kept."""
+    """records with repeats as revisits: record_type, refers_to (identifier), refers_url and refers_date. order: the largest of equal payloads is the one kept.
+
+    Digests are gathered in a first pass over records without payloads; the second pass carries payloads."""
     keyed = records.withColumn("_order", order)
     long_ = keyed.where(F.col("payload_bytes") >= least)
     kept = long_.groupBy("payload_digest", "payload_bytes").agg(F.max_by(F.struct("record_id", "url", "warc_date", "_order"), F.struct("_order", "record_id")).alias("_kept"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    met = keyed.join(kept, ["payload_digest", "payload_bytes"], "left")
+    kept = saved(kept, "kept")
+    may = (F.col("payload_bytes") >= least) & _repeats(kept.select("payload_digest"))
+    met = keyed.where(may).join(kept, ["payload_digest", "payload_bytes"], "left")
+    alone = keyed.where(~may).withColumn("_kept", F.lit(None).cast(kept.schema["_kept"].dataType))
     again = F.col("_kept").isNotNull() & ~F.col("_order").eqNullSafe(F.col("_kept._order"))
     refers = {c: F.when(again, F.col(f"_kept.{f}")) for c, f in (("refers_to", "record_id"), ("refers_url", "url"), ("refers_date", "warc_date"))}
-    return met.select("url", "ip", "warc_date", "mime", "record_id", F.when(again, "revisit").otherwise(F.col("record_type")).alias("record_type"), "truncated", "http", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", *(c.alias(k) for k, c in refers.items()))
+    return met.unionByName(alone).select("url", "ip", "warc_date", "mime", "record_id", F.when(again, "revisit").otherwise(F.col("record_type")).alias("record_type"), "truncated", "http", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", *(c.alias(k) for k, c in refers.items()))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -179,9 +197,9 @@ def write_warc(records: DataFrame, path: str) -> None:
         info = b"software: terrabrook\r\nformat: WARC File Format 1.1\r\n"
         yield pa.RecordBatch.from_arrays([pa.array([b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Date: 1997-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:uuid:%s>\r\nContent-Type: application/warc-fields\r\nContent-Length: %d" % (str(uuid.uuid5(uuid.NAMESPACE_URL, "terrabrook")).encode(), len(info)) + CRLF2 + info], pa.binary())], ["value"])
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                out = []
-                for r in batch.slice(a, 500).to_pylist():
+            out, size = [], 0
+            for a in range(0, batch.num_rows, 100):
+                for r in batch.slice(a, 100).to_pylist():
                     block = r["http"] + (b"" if r["record_type"] == "revisit" else r["payload"])
                     digest = base64.b32encode(bytes.fromhex(r["payload_digest"])).decode()
                     head = [f"WARC-Type: {r['record_type']}", f"WARC-Target-URI: {r['url']}", f"WARC-Date: {r['warc_date']}", f"WARC-Record-ID: <urn:uuid:{r['record_id']}>", f"WARC-IP-Address: {r['ip']}", f"WARC-Payload-Digest: sha1:{digest}"]
@@ -193,10 +211,15 @@ def write_warc(records: DataFrame, path: str) -> None:
                         head.append("WARC-Truncated: length")
                     head += [f"Content-Type: {r['mime'] if r['record_type'] == 'resource' else 'application/http;msgtype=response'}", f"Content-Length: {len(block)}"]
                     out.append("\r\n".join(["WARC/1.1", *head]).encode() + CRLF2 + block)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    size += len(block)
+                    if size >= SEGMENT:
+                        yield pa.RecordBatch.from_arrays([pa.array([CRLF2.join(out)], pa.binary())], ["value"])
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([CRLF2.join(out)], pa.binary())], ["value"])
 
     text = records.mapInArrow(render, "value binary").select(F.col("value").cast("string").alias("value"))
-    text.write.option("lineSep", CRLF2.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    text.write.option("lineSep", CRLF2.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -236,7 +259,7 @@ READ = "url string, warc_date string, record_id string, record_type string, refe
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records under path, warcinfo left out. Digest and size are of the full payload: computed, for revisits as recorded. intact: the digests agree."""
+    """The records under path, warcinfo left out. Digest and size are of the full payload: computed, for revisits as recorded. intact: the digests agree; null for revisits, whose payload is elsewhere."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in READ.split(", ")]
@@ -257,7 +280,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     listed = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
                     if kind == "revisit":
                         length = re.search(rb"(?im)^content-length: *(\d+)", first)
-                        n, digest, ok = int(length[1]) if length else None, listed, True
+                        n, digest, ok = int(length[1]) if length else None, listed, None
                     else:
                         n, digest = len(body), hashlib.sha1(body).hexdigest()
                         ok = digest == listed

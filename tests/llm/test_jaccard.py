@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from terrabrook.llm import jaccard_join
@@ -51,10 +52,13 @@ def corpus(seed):
     return [(i * 3 + 1, (" ".join(r), "\t".join(r).upper(), " \n".join(r) + "\x0b")[rng.randint(0, 2)]) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "rounds", "hot"), [(1, 0, 1000), (2, 3, 2), (3, 1, 1)])
+def test_against_all_pairs(spark, seed, rounds, hot, monkeypatch):
+    """With the blocks at once, after hubs, and with shingles dealt in parts."""
     monkeypatch.setattr(jaccard_join, "REPEATED", 2)
     monkeypatch.setattr(jaccard_join, "PART", 3)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     rows = [*corpus(seed), (0, None), (2, "     "), (5, "")]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string")
     got = sorted(map(tuple, jaccard_join.jaccard_components(df.repartition(3)).collect()))
@@ -78,7 +82,35 @@ def test_edges(spark):
     got = sorted(map(tuple, jaccard_join.jaccard_components(df).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (7, 2, 1), (8, 1, 8), (9, 1, 8), (9, 0, 8)], key=str)
     kept = jaccard_join.one_of_each(df)
-    assert kept.columns == df.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 8, None]
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c d e f"), (8, "a b c"), (9, None), (None, "a b c d e f")], key=str)
+
+
+def test_different_texts_of_one_identifier_stay(spark):
+    many = " ".join(f"w{i}" for i in range(100))
+    rows = [(3, "one two three four five six", "a"), (3, "quite another text of some words", "b"), (3, many, "c"), (3, many + " more", "c"), (1, many + " more", "d"), (3, "one two three four five six", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = sorted(map(tuple, jaccard_join.one_of_each(df).collect()))
+    assert first == sorted([rows[0], rows[1], rows[4]])
+    assert first == sorted(map(tuple, jaccard_join.one_of_each(df.repartition(5)).collect()))
+
+
+def test_suffix_filter_never_hides_a_link():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate((x[rng.random(len(x)) < rng.choice([0.8, 0.9, 1.0])], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 5))).astype(np.uint64))))
+        if jaccard_join.linked(x, y, 75):
+            assert jaccard_join.may_overlap(len(x), jaccard_join.sketch(x), len(y), jaccard_join.sketch(y), 75)
+    far = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    assert not jaccard_join.may_overlap(len(far), jaccard_join.sketch(far), len(far), jaccard_join.sketch(far + np.uint64(1 << 63)), 75)
+
+
+def test_a_text_beyond_one_step(spark):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, long), (2, long + " end"), (3, "w1 w2 w3 w4 w5 w6")]
+    got = sorted(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 399_996, 1), (2, 399_997, 1), (3, 2, 3)]
 
 
 def test_components(spark):

@@ -7,15 +7,13 @@ from terrabrook.llm.knn_join import F
 
 
 def brute(rows, k):
-    ok = sorted({(i, tuple(math.floor(64 * float(x)) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)})
-    dims = [len(v) for _, v in ok]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 0
-    ok = [r for r in ok if len(r[1]) == dim]
+    whole = lambda x: max(-(2**63), min(2**63 - 1024, math.floor(64 * float(x))))
+    wrapped = lambda s: (s + 2**63) % 2**64 - 2**63
+    ok = sorted({(i, tuple(map(whole, v))) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)})
     out = []
-    for i, q in ok:
-        if i % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i)[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    for i in sorted({i for i, _ in ok if i % 20 == 0}):
+        best = sorted((-wrapped(sum(a * b for a, b in zip(q, v))), j) for n, q in ok if n == i for j, v in ok if j != i and len(v) == len(q))[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     return sorted(out)
 
 
@@ -27,7 +25,7 @@ def run(spark, rows, k=20):
 def test_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(knn_join, "SLICE", 150)
     monkeypatch.setattr(knn_join, "CHUNK", 7)
-    monkeypatch.setattr(knn_join, "GROUP", 12)
+    monkeypatch.setattr(knn_join, "COPY", 3)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8))
     rows = [(int(i), [float(np.float32(x)) for x in centres[rng.integers(12)] + 0.1 * rng.normal(size=8)]) for i in range(900)]
@@ -44,11 +42,32 @@ def test_few_and_none(spark):
     assert run(spark, []) == []
 
 
+def test_one_identifier_with_several_vectors(spark):
+    """Its own rows don't take the places of others."""
+    rows = [(20, [float(i), 9.0]) for i in range(5)] + [(1, [1.0, 1.0]), (2, [0.5, 1.0]), (3, [-1.0, 2.0])]
+    assert run(spark, rows, 3) == brute(rows, 3)
+    rng = np.random.default_rng(7)
+    many = [(int(i % 40), [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(400)]
+    assert run(spark, many, 5) == brute(many, 5)
+
+
+def test_lengths_meet_only_their_like(spark):
+    rows = [(i, [float(i % 7), 1.0, -1.0][: 2 + i % 2]) for i in range(60)]
+    assert run(spark, rows, 4) == brute(rows, 4)
+
+
+def test_saturated_components(spark):
+    rows = [(0, [-1e30, 1.0]), (20, [1e30, 2.0]), (1, [-1e30, 0.0]), (2, [1.0, 1.0]), (3, [-512.0, 511.99])]
+    got = knn_join._unpacked(knn_join._packed(np.array([[-(2**63), 1], [-32768, 32767], [32768, 0]])), 2)
+    assert got.tolist() == [[-(2**63), 1], [-32768, 32767], [32768, 0]]
+    assert {r[:1] + r[2:] for r in run(spark, rows) if r[0] == 0} == {r[:1] + r[2:] for r in brute(rows, 20) if r[0] == 0}
+
+
 def test_bounds_leave_out_far_cells(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centres = 40 * rng.normal(size=(10, 6))
     rows = [(int(i), [float(np.float32(x)) for x in centres[i % 10] + 0.01 * rng.normal(size=6)]) for i in range(3000)]
-    monkeypatch.setattr(knn_join, "GROUP", 1)
+    monkeypatch.setattr(knn_join, "COPY", 0)
     seen = []
     real = knn_join._solved
     monkeypatch.setattr(knn_join, "_solved", lambda units, dim, k: seen.append(units.where("not asked").groupBy("g").count().agg(F.avg("count")).first()[0]) or real(units, dim, k))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from terrabrook.llm import chat, mixing, mpeg_audio, url_filter
 
@@ -140,7 +141,24 @@ def test_mix(spark):
     assert mixing.apply_mix(docs).columns == docs.columns
 
 
-def test_urls(spark):
+def test_mix_keeps_rows_without_or_with_a_shared_identifier(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " + "w " * (i % 11), ["a", None, "b"][i % 7 % 3], str(i)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    plan = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        plan[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got = Counter()
+    for r in mixing.apply_mix(docs).collect():
+        assert (r["doc_id"], r["text"], r["source"], r["lang"]) == rows[int(r["lang"])]
+        got[r["doc_id"], r["source"], len(r["text"].split())] += 1
+    assert got == +plan and sum(n for (d, _, _), n in got.items() if d is None) > 50
+    assert max(Counter(r["lang"] for r in mixing.apply_mix(docs).collect()).values()) <= 2
+
+
+@pytest.mark.parametrize("words", [1 << 17, 0])
+def test_urls(spark, monkeypatch, words):
+    """With the filter as an array, and dealt by its blocks."""
+    monkeypatch.setattr(url_filter, "FILTER_WORDS", words)
     urls = ["http://www.Example.com/en/a?b", "https://x.example.com/en/", "http://net/es/x#y", "notnet://anet/es/", "ftp://a.b.net/fr/", None, "", "no scheme", "http://bad.org/x.html?q", "http://www.bad.org/x/", "http://good.org/x", "http://", "a://b://c/d", "http://bad.org/x.html?q"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     rules = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -150,4 +168,9 @@ def test_urls(spark):
     got = [(rows[i]["host"], rows[i]["path"], rows[i]["rule"], rows[i]["verdict"]) for i in range(len(urls))]
     assert got == [("www.example.com", "/en/a", "www.example.com/en/", "allow"), ("x.example.com", "/en/", "example.com/en/", "block"), ("net", "/es/x", "net/es/", "block"), ("anet", "/es/", None, "allow"), ("a.b.net", "/fr/", "net/fr/", "block"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("bad.org", "/x.html", None, "block"), ("www.bad.org", "/x/", None, "block"), ("good.org", "/x", None, "allow"), ("", "", None, "allow"), ("b:", "//c/d", None, "allow"), ("bad.org", "/x.html", None, "block")]
     assert url_filter.judge_urls(pages, rules, listed.limit(0)).where("rule is null and verdict = 'block'").count() == 0
+    long = spark.createDataFrame([(1, "http://x.org/" + "a/" * 500_000), (2, "http://" + "b" * 500_000 + ".org/y"), (3, "http://x.org/" + "a/" * 499_999)], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(long, rules, long.where("page_id < 3").select("url")).collect()} == {1: "block", 2: "block", 3: "allow"}
+    many = spark.range(20_000).select(F.concat(F.lit("http://h.org/"), "id").alias("url"))
+    asked = spark.range(40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.h.org/"), "id", F.lit("/")).alias("url"))
+    assert {r["verdict"]: r["n"] for r in url_filter.judge_urls(asked, rules, many).groupBy("verdict", F.expr("page_id < 20000")).agg(F.count("*").alias("n")).collect()} == {"block": 20_000, "allow": 20_000}
     assert url_filter.judge_urls(pages.limit(0), rules, listed).count() == 0

@@ -124,3 +124,13 @@ def test_many_values_in_a_text(spark):
     many = [f"10.{i // 256}.{i % 256}.9" for i in range(3000)]
     text, n = run(spark, ["x " + " 2024 ".join(many) + " y"])[0]
     assert n == 3000 and text == "x " + " 2024 ".join(map(ip, many)) + " y"
+
+
+def test_long_and_odd_texts(spark):
+    """Nothing recurses: dotted, dashed and spaced runs of any length."""
+    plain = ["x" + "." * 100_000, "1-" * 50_000, "1 " * 50_000, "+1" + "-2" * 50_000, "AB12" + " WXYZ" * 30_000, "a@" * 40_000, "%+" * 50_000 + "@", ("a" * 60 + ".") * 2000, "(1" * 50_000]
+    got = run(spark, plain)
+    assert [got[i][0] for i in range(len(plain)) if i not in (3, 4)] == [t for i, t in enumerate(plain) if i not in (3, 4)]
+    assert all(len(got[i][0]) == len(t) for i, t in enumerate(plain))
+    text, n = run(spark, ["x@" + "a." * 60_000 + "b 97.51.17.173"])[0]
+    assert n == 2 and text.endswith("@" + "a." * 60_000 + "b " + ip("97.51.17.173"))

@@ -1,10 +1,11 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from terrabrook.llm import toxicity
+from terrabrook.llm import queries, toxicity
 
 
 def brute(model, at, evidence, n):
@@ -101,3 +102,57 @@ def test_field_learns_from_rows_of_any_length(spark, monkeypatch):
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(marks, "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs, labels)
     assert model.evidence("moron") > 1 and model.evidence("scumbag") > 1
+
+
+def test_score_against_every_labelling():
+    """A text's score, worked out from marginals by summing over all labellings; spans are offsets into the text itself."""
+    model = toxicity.Field({"wbad": 5.0, "pwor": 3.0}, -2.0, ((0.0, -0.5), (-0.2, 0.4)), -1.0, (-2.0, 0.3, 1.1, 2.0))
+    known = toxicity.Evidence(model.evidence)
+    for text in ("fine words", "BAD", "a bad, worst thing", "İİİİ bad", "İ bad İ İİ worse bad x", "bad " * 9):
+        ws = toxicity.words(text)
+        at = [i for i, w in enumerate(ws) if model.evidence(w)]
+        p = brute(model, at, [model.evidence(ws[i]) for i in at], len(ws))
+        score, spans = toxicity.score_text(text, known, model)
+        assert score == pytest.approx(model.total(p), abs=1e-9)
+        flagged = [ws[i] for i, q in zip(at, p) if q >= 0.5]
+        assert [w for s in spans for w in toxicity.words(text[s["start"] : s["end"]])] == flagged
+    assert [(s["start"], s["end"]) for s in toxicity.score_text("İİİİ bad", known, model)[1]] == [(5, 8)]
+
+
+def test_registered_query(spark, tmp_path):
+    """held_out by crc32, predicted from score; labels of held-out rows don't matter."""
+    rows, marks = corpus(300, 8)
+    rows.append((None, "no identifier", "x"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = zlib.crc32
+    for name, flip in (("a", False), ("b", True)):
+        labels = [(d, 1 - t if flip and out(str(d).encode()) % 5 == 0 else t, 0) for d, t in marks]
+        spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.read.parquet(f"{tmp_path}/documents.parquet").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    one, two = (sorted(map(tuple, queries.op7_toxicity(spark, f"{tmp_path}/{n}").collect()), key=str) for n in "ab")
+    assert one == two and len(one) == 301
+    for doc, held, score, predicted, _ in one:
+        assert held is (doc is not None and out(str(doc).encode()) % 5 == 0) and predicted == (score >= 0.5) and 0 <= score <= 1
+
+
+def test_score_fit_converges():
+    """Summaries that one column separates are separated, however large another column gets."""
+    rng = np.random.default_rng(3)
+    clean = np.zeros((4000, 4))
+    some = rng.random(4000) < 0.1
+    clean[some, 1:] = np.stack((rng.uniform(8, 20, some.sum()), rng.uniform(0.05, 3, some.sum()), rng.uniform(0.05, 0.8, some.sum())), 1)
+    toxic = np.stack((np.zeros(1700), rng.uniform(19.5, 20, 1700), rng.uniform(1, 5, 1700), rng.uniform(0.95, 1, 1700)), 1)
+    x = np.concatenate((clean, toxic))
+    x[:, 0] = 1
+    y = np.repeat([0.0, 1.0], [4000, 1700])
+    beta = np.array(toxicity.fit_score(x, y, (15000, 1700)))
+    assert np.mean((x @ beta >= 0) == (y == 1)) > 0.999
+
+
+def test_chance_isn_t_evidence(spark):
+    """Rare words that a few toxic rows happen to have don't become features."""
+    rng = random.Random(2)
+    rows, marks = corpus(600, 12)
+    rows = [(d, t + " " + " ".join(f"rare{rng.randint(0, 400)}" for _ in range(3)), s) for d, t, s in rows]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert model.evidence("moron") > 1 and not any(w.startswith("wrare") for w in model.weights)
