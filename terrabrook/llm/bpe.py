@@ -358,9 +358,10 @@ def _binary(at: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def encode_bpe(docs: DataFrame, path: str, text: str = "text", drop_text: bool = False) -> DataFrame:
-    """docs with n_tokens, ids and starts: little-endian unsigned 32-bit ids, and the byte offsets at which they begin."""
-    made = ["n_tokens", "ids", "starts"]
+def encode_bpe(docs: DataFrame, path: str, text: str = "text", drop_text: bool = False, decoded: bool = False) -> DataFrame:
+    """docs with n_tokens, ids and starts: little-endian unsigned 32-bit ids, and the byte offsets at which they begin. decoded: with `decoded` too, the bytes
+    that decoding these ids gives, worked out where they were made, which saves decode_bpe's own workers."""
+    made = ["n_tokens", "ids", "starts", *["decoded"] * decoded]
     docs = docs.drop(*made)
     kept = [c for c in docs.columns if not (drop_text and c == text)]
 
@@ -372,11 +373,14 @@ def encode_bpe(docs: DataFrame, path: str, text: str = "text", drop_text: bool =
             at = np.concatenate(([0], np.cumsum(counts)))
             ends = np.concatenate(([0], np.cumsum(vocab.sizes[ids])))
             starts = (ends[:-1] - np.repeat(ends[at[:-1]], counts)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(counts), _binary(at * 4, ids), _binary(at * 4, starts)], [*kept, *made])
+            new = [pa.array(counts), _binary(at * 4, ids), _binary(at * 4, starts)]
+            if decoded:
+                new.append(pa.array([vocab.decode(ids[i:j], starts[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), *new], [*kept, *made])
         vocab.forget()
 
     types = dict(docs.dtypes)
-    return docs.mapInArrow(encode, "".join(f"`{c.replace('`', '``')}` {types[c]}, " for c in kept) + "n_tokens long, ids binary, starts binary")
+    return docs.mapInArrow(encode, "".join(f"`{c.replace('`', '``')}` {types[c]}, " for c in kept) + "n_tokens long, ids binary, starts binary" + ", decoded binary" * decoded)
 
 
 def decode_bpe(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -394,5 +398,5 @@ def decode_bpe(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded."""
-    rows = decode_bpe(encode_bpe(docs.select("doc_id", "text"), path, drop_text=True), path)
+    rows = encode_bpe(docs.select("doc_id", "text"), path, drop_text=True, decoded=True)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step works on; the arrays it makes are some 40 times as large.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+
+
+_C = ctypes.CDLL(None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,15 +66,23 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
 
 
 def stepwise(batches: Iterator[pa.RecordBatch], name: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches as slices of about `most` bytes of a text or binary column, by rows. What Arrow holds beyond them goes back to the system after each batch, so
-    that a worker that Spark keeps for later stages stays small."""
+    """Batches as slices of about `most` bytes of a text or binary column, by rows. What Arrow and the C library hold beyond them goes back to the system after each
+    batch, so that a worker that Spark keeps for later stages stays small."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(name))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b in steps(np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))), most):
             yield batch.slice(a, b - a)
         del batch, column
-        pa.default_memory_pool().release_unused()
+        give_back()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_C, "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -53,3 +53,5 @@ def test_digest(spark, library):
     kept = bpe.encode_bpe(docs, PATH)
     assert kept.columns == ["doc_id", "text", "n_tokens", "ids", "starts"]
     assert kept.limit(0).count() == 0
+    apart = {r["doc_id"]: r["decoded"] for r in bpe.decode_bpe(kept, PATH).collect()}
+    assert apart == {r["doc_id"]: r["decoded"] for r in bpe.encode_bpe(docs, PATH, decoded=True).collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
