@@ -42,9 +42,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode_bpe(docs.select("doc_id", "lang", "source", "text"), path, drop_text=True)
-    rows = bpe.decode_bpe(encoded.withColumn("key", F.struct("doc_id", "lang", "source")), path, "key")
-    return rows.select("key.*", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode_bpe(docs.select("doc_id", "lang", "source", "text"), path, drop_text=True, decoded=True)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", one_of_each), ("pii", pseudonymise), ("mix", mix), ("bpe", encode)]
