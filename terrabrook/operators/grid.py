@@ -76,6 +76,13 @@ def native_grid(dx: Column, dy: Column, native: float = 10.0, most: int = 2000)
     return F.struct(res.alias("res_m"), side(dx).alias("width"), side(dy).alias("height"))
 
 
+def capped_grid(dx: Column, dy: Column, native: float = 10.0, longest: int = 1200) -> Column:
+    """(res_m, width, height) of a box in metres: a long side of `longest` cells, within 0.5 to 40 m and not finer than half the sensor's resolution."""
+    res = F.greatest(F.least(F.greatest(F.greatest(dx, dy) / longest, F.lit(0.5)), F.lit(40.0)), F.lit(native / 2))
+    side = lambda d: F.greatest(F.lit(1), F.ceil(d / res)).cast("int")
+    return F.struct(res.alias("res_m"), side(dx).alias("width"), side(dy).alias("height"))
+
+
 def edges_of(rings: Sequence[Sequence[tuple[float, float]]]) -> list[tuple[float, float, float, float]]:
     return [(*a, *b) for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]]) if a != b]
 
@@ -90,6 +97,45 @@ def inside(x: Column, y: Column, rings: Sequence[Sequence[tuple[float, float]]])
     return crossed % 2 == 1
 
 
+def meets(points: Column, rings: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """Whether a polygon given as an array of points (x, y) and one given as rings have a point in common."""
+    n = F.size(points)
+    edges = F.transform(points, lambda p, i: F.struct(p.alias("a"), F.get(points, (i + 1) % n).alias("b")))
+    sides = F.array(*(F.struct(F.struct(F.lit(x1).alias("x"), F.lit(y1).alias("y")).alias("a"), F.struct(F.lit(x2).alias("x"), F.lit(y2).alias("y")).alias("b")) for x1, y1, x2, y2 in edges_of(rings)))
+    turn = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+    apart = lambda e, f, k: (F.greatest(e["a"][k], e["b"][k]) < F.least(f["a"][k], f["b"][k])) | (F.greatest(f["a"][k], f["b"][k]) < F.least(e["a"][k], e["b"][k]))
+    cross = lambda e, f: ~apart(e, f, "x") & ~apart(e, f, "y") & (turn(e["a"], e["b"], f["a"]) * turn(e["a"], e["b"], f["b"]) <= 0) & (turn(f["a"], f["b"], e["a"]) * turn(f["a"], f["b"], e["b"]) <= 0)
+    x, y = rings[0][0]
+    spans = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (F.lit(x) < (e["b"]["x"] - e["a"]["x"]) * (F.lit(y) - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+    first = F.get(points, F.lit(0))
+    return F.exists(edges, lambda e: F.exists(sides, lambda f: cross(e, f))) | (F.size(spans) % 2 == 1) | inside(first["x"], first["y"], rings)
+
+
+def of_field(cells: DataFrame, rings: Sequence[Sequence[tuple[float, float]]], size: DataFrame, row: str = "row", col: str = "col") -> DataFrame:
+    """The cells whose centre lies in a polygon in shares of the grid's width and height. size: one row (h, w)."""
+    met = cells.join(F.broadcast(size.select(F.col("h").alias("_h"), F.col("w").alias("_w"))))
+    return met.where(inside((F.col(col) + 0.5) / F.col("_w"), (F.col(row) + 0.5) / F.col("_h"), rings)).drop("_h", "_w")
+
+
+def rings_of(geojson: Column) -> Column:
+    """The rings of a GeoJSON polygon, or of the first of a MultiPolygon, as arrays of points (x, y); also of a Feature's geometry."""
+    kind = "struct<type:string,coordinates:string,geometry:struct<type:string,coordinates:string>>"
+    read = F.from_json(geojson, kind)
+    shape = F.coalesce(read["geometry"], F.struct(read["type"].alias("type"), read["coordinates"].alias("coordinates")))
+    rings = F.when(shape["type"] == "MultiPolygon", F.get(F.from_json(shape["coordinates"], "array<array<array<array<double>>>>"), F.lit(0))).otherwise(F.from_json(shape["coordinates"], "array<array<array<double>>>"))
+    return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+
+
+def reprojected(rings: Column, epsg: int) -> Column:
+    """Rings of points (lon, lat) as points (east, north) of a UTM zone."""
+
+    def moved(p: Column) -> Column:
+        x, y = to_utm(p["x"], p["y"], epsg)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(rings, lambda r: F.transform(r, moved))
+
+
 def rasterised(cells: DataFrame, rings: Sequence[Sequence[tuple[float, float]]]) -> DataFrame:
     """The cells whose centre lies in the polygon, which is in grid coordinates (column, row)."""
     flat = [p for ring in rings for p in ring]

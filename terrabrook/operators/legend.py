@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups
 from ..functions.classify import bin_of
+from .quantiles import exact_percentiles
+from .raster import gaussian, upsampled
 
 
 def index_bin(v: Column, index: str) -> Column:
@@ -42,13 +44,10 @@ def merged_legend(values: DataFrame, v: str, index: str, res_m: float = 10.0) ->
 
 def stretched(pixels: DataFrame, red: str = "b04", green: str = "b03", blue: str = "b02") -> DataFrame:
     """pixels with r, g, b from 0 to 255: a common stretch between the 2nd and 98th percentile of the luminance, a mild gamma, truncation."""
-    lum = F.expr(f"0.2126 * {red} + 0.7152 * {green} + 0.0722 * {blue}")
-    ends = pixels.agg(F.percentile(lum, F.array(F.lit(0.02), F.lit(0.98))).alias("_e"))
-    met = pixels.join(F.broadcast(ends))  # one row
-    flat = F.col("_e")[1] <= F.col("_e")[0]
-    lo, hi = F.when(flat, 0.0).otherwise(F.col("_e")[0]), F.when(flat, 0.3).otherwise(F.col("_e")[1])
+    ends = exact_percentiles(pixels.select(F.expr(f"0.2126 * {red} + 0.7152 * {green} + 0.0722 * {blue}").alias("v")), "v", (0.02, 0.98))
+    lo, hi = ends if ends and ends[1] > ends[0] else (0.0, 0.3)
     tone = lambda c: F.floor(F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce(F.col(c), F.lit(0.0)) - lo) / (hi - lo))), F.lit(1 / 1.15)) * 255).cast("int")
-    return met.withColumns({"r": tone(red), "g": tone(green), "b": tone(blue)}).drop("_e")
+    return pixels.withColumns({"r": tone(red), "g": tone(green), "b": tone(blue)})
 
 
 def rgba(color: Column) -> Column:
@@ -60,6 +59,20 @@ def darkened(parts: Column, by: float = 0.82) -> Column:
     return F.transform(parts, lambda x, i: F.when(i < 3, F.floor(x * by)).otherwise(x).cast("int"))
 
 
+def painted(bins: Column, index: str, factor: float = 0.82) -> Column:
+    """[r, g, b, a] of a bin: colours a little darker, bin 0 (missing) transparent."""
+    colors = F.array(*(darkened(rgba(F.lit(c)), factor) for c in lookups.palette(index)))
+    last = len(lookups.palette(index)) - 1
+    return F.when(bins > 0, F.get(colors, F.least(bins, F.lit(last)))).otherwise(F.array(*[F.lit(0)] * 4))
+
+
+def rendered(grid: DataFrame, index: str, times: int = 1, smooth: bool = False, sigma: float = 1.0) -> DataFrame:
+    """(row, col, bin, rgba) of a grid (row, col, v), at times x times its cells and smoothed if asked."""
+    fine = upsampled(grid, times) if times > 1 else grid
+    fine = gaussian(fine, max(0.1, sigma)) if smooth else fine
+    return fine.select("row", "col", index_bin(F.col("v"), index).alias("bin")).withColumn("rgba", painted(F.col("bin"), index))
+
+
 def legend_score(legend: DataFrame) -> DataFrame:
     """(score, factor): the weighted share of the labels, null without any area."""
     from ..functions.classify import factor

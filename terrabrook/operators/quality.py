@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,20 +13,39 @@ def finite(v: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
+def _with_largest(pixels: DataFrame, values: dict[str, Column], by: Sequence[str]) -> DataFrame:
+    """pixels with `_max`, the largest of each of `values` in its array (of a scene): a small aggregate that is joined, so no scene's pixels come together in a task."""
+    largest = pixels.groupBy(*by).agg(F.struct(*(F.max(v).alias(n) for n, v in values.items())).alias("_max"))
+    return pixels.join(largest, list(by), "left")
+
+
+def _reflectance(b: str, above: float = 1.5) -> Column:
+    return F.when(F.col(f"_max.{b}") > above, F.col(b) * 1e-4).otherwise(F.col(b))
+
+
+def _power(b: str) -> Column:
+    v = F.when(finite(F.col(b)) > 0, F.col(b))
+    return F.when(F.col(f"_max.{b}") <= 2.0, v).otherwise(v * v)
+
+
 def scaled_reflectance(pixels: DataFrame, bands: Sequence[str], by: Sequence[str], above: float = 1.5) -> DataFrame:
     """Bands times 1e-4 where the array (a scene's band) has a value above the threshold."""
-    w = Window.partitionBy(*by)
-    return pixels.withColumns({b: F.when(F.max(finite(F.col(b))).over(w) > above, F.col(b) * 1e-4).otherwise(F.col(b)) for b in bands})
+    met = _with_largest(pixels, {b: finite(F.col(b)) for b in bands}, by)
+    return met.withColumns({b: _reflectance(b, above) for b in bands}).select(*pixels.columns)
 
 
 def radar_power(pixels: DataFrame, bands: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Positive values as power: as they are where none of the array is above 2, else squared."""
-    w = Window.partitionBy(*by)
-    out = {}
-    for b in bands:
-        v = F.when(finite(F.col(b)) > 0, F.col(b))
-        out[b] = F.when(F.max(v).over(w) <= 2.0, v).otherwise(v * v)
-    return pixels.withColumns(out)
+    met = _with_largest(pixels, {b: finite(F.col(b)) for b in bands}, by)
+    return met.withColumns({b: _power(b) for b in bands}).select(*pixels.columns)
+
+
+def stacked(pixels: DataFrame, bands: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Tiles as an analysis reads them: finite values, optical bands as reflectance, radar bands as positive power; tiles without any value in any band are left out."""
+    radar = [b for b in bands if b in ("vv", "vh")]
+    met = _with_largest(pixels, {b: finite(F.col(b)) for b in bands}, by)
+    met = met.where(F.coalesce(*(F.col(f"_max.{b}") for b in bands)).isNotNull())
+    return met.withColumns({b: _power(b) if b in radar else finite(_reflectance(b)) for b in bands}).select(*pixels.columns)
 
 
 def mask_clouds(pixels: DataFrame, columns: Sequence[str], classes: Sequence[int]) -> DataFrame:

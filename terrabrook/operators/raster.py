@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,35 +26,59 @@ def _clamped(i: Column, n: Column) -> Column:
     return F.greatest(F.lit(0), F.least(n - 1, i))
 
 
-def gaussian(grid: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """Normalised smoothing: missing cells weigh nothing and are filled from their neighbours; edges reflect, kernel radius int(4 sigma + 0.5).
+def gaussian(grid: DataFrame, sigma: float = 1.0, names: Sequence[str] = ("v",), size: DataFrame | None = None) -> DataFrame:
+    """Normalised smoothing of columns: missing cells weigh nothing and are filled from their neighbours; edges reflect, kernel radius int(4 sigma + 0.5).
 
-    A cell gives its value to the cells around it, along rows and then along columns, so each pass is one aggregate.
+    A cell gives its value to the cells around it, along rows and then along columns, so each pass is one aggregate: with an edge's
+    reflection the positions have a period of twice the side, within which a cell stands at two places. size: one row (h, w), where the grid is larger than its cells. sigma 0 or less: the grid as it is.
     """
+    if sigma <= 0:
+        return grid.select("row", "col", *names)
     radius = int(4 * sigma + 0.5)
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
     kernel = [x / sum(kernel) for x in kernel]
     offsets = F.array(*(F.struct(F.lit(k - radius).alias("d"), F.lit(x).alias("x")) for k, x in enumerate(kernel)))
-    out = grid.select("row", "col", F.coalesce("v", F.lit(0.0)).alias("s"), F.col("v").isNotNull().cast("double").alias("m"))
-    size = F.broadcast(size_of(grid))
+    sums, weights = [f"_s{i}" for i in range(len(names))], [f"_m{i}" for i in range(len(names))]
+    out = grid.select("row", "col", *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(s) for n, s in zip(names, sums)), *(F.col(n).isNotNull().cast("double").alias(m) for n, m in zip(names, weights)))
+    size = F.broadcast(size_of(grid) if size is None else size.select("h", "w"))
+
+    def places(at: Column, n: Column, own: bool) -> Column:
+        return F.transform(offsets, lambda o: F.struct(F.pmod(at - o["d"], 2 * n).alias("p"), o["x"].alias("x"), ((o["d"] == 0) & F.lit(own)).alias("own")))
+
     for axis, n in (("col", "w"), ("row", "h")):
-        # position p receives from reflect(p + d): asked from the receiving side
-        asked = out.select("row", "col").join(size).select("row", "col", F.explode(offsets).alias("o"), n)
-        asked = asked.withColumn("_at", _reflected(F.col(axis) + F.col("o.d"), F.col(n)))
         other = "row" if axis == "col" else "col"
-        given = out.select(F.col(other).alias("_other"), F.col(axis).alias("_at"), "s", "m")
-        met = asked.join(given, (asked[other] == given["_other"]) & (asked["_at"] == given["_at"]))
-        out = met.groupBy("row", "col").agg(F.sum(F.col("o.x") * F.col("s")).alias("s"), F.sum(F.col("o.x") * F.col("m")).alias("m"))
-    return out.select("row", "col", F.when(F.col("m") > 1e-6, F.col("s") / F.col("m")).alias("v"))
+        to = F.concat(places(F.col(axis), F.col(n), True), places(-1 - F.col(axis), F.col(n), False))
+        given = out.join(size).select(other, *sums, *weights, F.explode(F.filter(to, lambda g: g["p"] < F.col(n))).alias("g"))
+        totals = [F.sum(F.col("g.x") * F.col(c)).alias(c) for c in (*sums, *weights)]
+        out = given.groupBy(other, F.col("g.p").cast(dict(out.dtypes)[axis]).alias(axis)).agg(*totals, F.bool_or("g.own").alias("own")).where("own").drop("own")  # only cells of the grid
+    return out.select("row", "col", *(F.when(F.col(m) > 1e-6, F.col(s) / F.col(m)).alias(n) for n, s, m in zip(names, sums, weights)))
 
 
 def median3x3(grid: DataFrame) -> DataFrame:
-    """The median of the nine cells around; beyond an edge the edge's own cell counts again."""
-    offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    asked = grid.select("row", "col").join(F.broadcast(size_of(grid))).select("row", "col", F.explode(offsets).alias("o"), "h", "w")
-    asked = asked.select("row", "col", _clamped(F.col("row") + F.col("o.a"), F.col("h")).alias("_r"), _clamped(F.col("col") + F.col("o.b"), F.col("w")).alias("_c"))
-    given = grid.select(F.col("row").alias("_r"), F.col("col").alias("_c"), "v")
-    return asked.join(given, ["_r", "_c"]).groupBy("row", "col").agg(F.median("v").alias("v"))
+    """The median of the nine cells around; beyond an edge the edge's own cell counts again. A cell gives its value to those around it, so this is one aggregate."""
+    near = lambda axis, n: F.concat(F.sequence(F.col(axis) - 1, F.col(axis) + 1), F.when(F.col(axis) == 0, F.array(axis)).otherwise(F.array().cast("array<long>")), F.when(F.col(axis) == F.col(n) - 1, F.array(axis)).otherwise(F.array().cast("array<long>")))
+    cells = grid.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "v").join(F.broadcast(size_of(grid)))
+    given = cells.select("v", "row", "col", F.explode(near("row", "h")).alias("_r"), "w").select("v", "row", "col", "_r", F.explode(near("col", "w")).alias("_c"))
+    kinds = dict(grid.dtypes)
+    at = [F.col("_r").cast(kinds["row"]).alias("row"), F.col("_c").cast(kinds["col"]).alias("col")]
+    met = given.select(*at, "v", ((F.col("row") == F.col("_r")) & (F.col("col") == F.col("_c"))).alias("own"))
+    return met.groupBy("row", "col").agg(F.median("v").alias("v"), F.bool_or("own").alias("own")).where("own").drop("own")
+
+
+def window(grid: DataFrame, row: int, col: int, rows: int, cols: int, h: int | None = None, w: int | None = None) -> DataFrame:
+    """The part of a grid of rows x cols cells from (row, col), counted from its corner; h, w: read at so many cells, each the one that its centre falls in. Beyond the grid: null."""
+    inside = grid.where(F.col("row").between(row, row + rows - 1) & F.col("col").between(col, col + cols - 1))
+    part = inside.select((F.col("row") - row).alias("row"), (F.col("col") - col).alias("col"), "v")
+    h, w = h or rows, w or cols
+    target = grid.sparkSession.range(h * w).select(F.floor(F.col("id") / w).cast("long").alias("row"), (F.col("id") % w).cast("int").alias("col"))
+    met = target.select("row", "col", F.floor((F.col("row") + 0.5) * rows / h).cast("long").alias("_r"), F.floor((F.col("col") + 0.5) * cols / w).cast("int").alias("_c"))
+    return met.join(part.select(F.col("row").alias("_r"), F.col("col").alias("_c"), "v"), ["_r", "_c"], "left").select("row", "col", "v")
+
+
+def upsampled(grid: DataFrame, times: int) -> DataFrame:
+    """Every cell as times x times cells."""
+    each = lambda axis: F.explode(F.sequence(F.col(axis) * times, F.col(axis) * times + times - 1)).alias(axis)
+    return grid.select(each("row"), "col", "v").select("row", each("col"), "v")
 
 
 def nearest(grid: DataFrame, h: int, w: int) -> DataFrame:
@@ -81,10 +107,12 @@ def bilinear(grid: DataFrame, h: int, w: int) -> DataFrame:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in spark.checkpoint.dir, which every executor sees; the lineage is cut. Only where none is set, as in tests, a folder is made."""
+    """df as a table in spark.checkpoint.dir, which every executor sees; the lineage is cut. Only in local mode, where one machine runs all, a folder is made if none is set."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-terrabrook-"))
         at = spark.sparkContext.getCheckpointDir()
     path = f"{at.rstrip('/')}/terrabrook/{name}-{uuid.uuid4().hex}"
@@ -97,7 +125,7 @@ def _roots(edges: DataFrame) -> DataFrame:
     neighbours of a node on its smallest one, then all smaller ones; the number of rounds grows with the logarithm of the nodes."""
     links = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
-    while True:
+    while not links.isEmpty():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -106,37 +134,73 @@ def _roots(edges: DataFrame) -> DataFrame:
         links = saved(small.where("u <> v").distinct(), "links")
         state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         seen = state
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+#: Side of the tiles within which cells are labelled at once.
+TILE = 256
+
+
+def _labelled(tile: pd.DataFrame, diagonal: bool, side: int) -> pd.DataFrame:
+    """A tile's cells with the first cell (row-major) that each is connected with inside the tile. Labels hook on to smaller ones and jump, on arrays."""
+    r, c = tile["row"].to_numpy() % side, tile["col"].to_numpy() % side
+    at = np.full((side + 2, side + 2), -1, np.int64)
+    at[r + 1, c + 1] = np.arange(len(tile))
+    place, z = np.argsort(np.argsort(r * side + c)), tile["z"].to_numpy()
+    here, there = [], []
+    for a, b in ((0, 1), (1, 0), (1, 1), (1, -1)) if diagonal else ((0, 1), (1, 0)):
+        other = at[r + 1 + a, c + 1 + b]
+        same = np.flatnonzero((other >= 0) & (z[other] == z))
+        here.append(place[same])
+        there.append(place[other[same]])
+    u, v, label = np.concatenate(here), np.concatenate(there), np.arange(len(tile))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for x in (u, v, label[u], label[v]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    first = np.argsort(place)[label[place]]
+    return tile.assign(r0=tile["row"].to_numpy()[first], c0=tile["col"].to_numpy()[first].astype(np.int64))
 
 
 def components(cells: DataFrame, diagonal: bool) -> DataFrame:
-    """(grid, row, col, z, label): connected cells of equal z within a grid, labelled by their first cell (row-major). Rows are cut into runs
-    of equal cells by windows; runs are linked by an equal join of their cells with the row above, and the links solved by joins and aggregates."""
-    w = Window.partitionBy("grid", "row").orderBy("col")
-    new = (F.lag("z").over(w).eqNullSafe(F.col("z")) & (F.lag("col").over(w) == F.col("col") - 1)).cast("boolean")
-    first = F.last(F.when(~F.coalesce(new, F.lit(False)), F.col("col")), True).over(w)
-    marked = saved(cells.select("grid", "row", "col", "z", first.alias("_a")), "runs")
-    run = F.struct("grid", "z", "row", F.col("_a").alias("col"))
-    reach = F.array(*map(F.lit, (-1, 0, 1) if diagonal else (0,)))
-    below = marked.select("grid", "z", (F.col("row") - 1).alias("row"), "col", run.alias("u"), F.explode(reach).alias("_d")).withColumn("col", F.col("col") + F.col("_d"))
-    links = below.join(marked.select("grid", "z", "row", "col", run.alias("v")), ["grid", "z", "row", "col"]).select("u", "v")
-    roots = _roots(links).select("node.grid", "node.z", "node.row", F.col("node.col").alias("_a"), F.struct(F.col("root.row").alias("r0"), F.col("root.col").cast("long").alias("c0")).alias("_label"))
-    own = F.struct(F.col("row").alias("r0"), F.col("_a").cast("long").alias("c0"))
-    return marked.join(roots, ["grid", "z", "row", "_a"], "left").select("grid", "row", "col", "z", F.coalesce("_label", own).alias("label"))
+    """(grid, row, col, z, label): connected cells of equal z within a grid, labelled by their first cell (row-major). Cells are labelled within tiles of TILE x TILE; labels of
+    different tiles are linked by an equal join of the cells along the tiles' rims, and the links solved by joins and aggregates."""
+    side = TILE
+    tile = [F.floor(F.col(x) / side).alias(f"_{x}") for x in ("row", "col")]
+    kinds = dict(cells.dtypes)
+    shape = f"grid {kinds['grid']}, row {kinds['row']}, col {kinds['col']}, z {kinds['z']}, r0 long, c0 long"
+    marked = saved(cells.select("grid", "row", "col", "z").groupBy("grid", *tile).applyInPandas(lambda pdf: _labelled(pdf, diagonal, side), shape), "tiles")
+    near = lambda axis: F.pmod(F.col(axis), F.lit(side))
+    rim = marked.where(near("row").isin(0, side - 1) | near("col").isin(0, side - 1)).select("grid", "z", "row", "col", F.struct("grid", "z", "r0", "c0").alias("u"))
+    reach = F.array(*(F.struct(F.lit(d).alias("d")) for d in ((-1, 0, 1) if diagonal else (0,))))
+    above = F.when(near("row") == 0, F.transform(reach, lambda o: F.struct(F.lit(-1).alias("a"), o["d"].alias("b"))))
+    before = F.when(near("col") == 0, F.transform(reach, lambda o: F.struct(o["d"].alias("a"), F.lit(-1).alias("b"))))
+    asked = rim.withColumn("o", F.explode(F.concat(F.coalesce(above, F.array()), F.coalesce(before, F.array()))))
+    asked = asked.select("grid", "z", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"), "u")
+    links = asked.join(rim.withColumnRenamed("u", "v"), ["grid", "z", "row", "col"]).where("u <> v").select("u", "v")
+    roots = _roots(links).select("node.grid", "node.z", "node.r0", "node.c0", F.struct("root.r0", "root.c0").alias("_label"))
+    met = marked.join(roots, ["grid", "z", "r0", "c0"], "left")
+    return met.select("grid", "row", "col", "z", F.coalesce("_label", F.struct("r0", "c0")).alias("label"))
 
 
 def dissolved(cells: DataFrame, least: int) -> DataFrame:
-    """Patches (8-connected, zone above 0) of fewer than `least` cells take the commonest zone in their bounding box and one cell around it, the smallest of equals; all others stay. One pass."""
+    """Patches (8-connected, zone above 0) of fewer than `least` cells take the commonest other zone in their bounding box and one cell around it, the
+    smallest of equals; without one, and all other patches, they stay. One pass: all look at the zones as they were."""
     zones = cells.where("z > 0")
-    labels = components(zones, True)
+    labels = saved(components(zones, True), "labels")
     patch = labels.groupBy("grid", "z", "label").agg(F.count("*").alias("n"), F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("col").alias("c1"), F.max("col").alias("c2"))
     small = patch.where(F.col("n") < least)
-    box = small.select("grid", "z", "label", F.explode(F.sequence(F.col("r1") - 1, F.col("r2") + 1)).alias("row"), "c1", "c2").select("grid", F.col("z").alias("own"), "label", "row", F.explode(F.sequence((F.col("c1") - 1).cast("int"), (F.col("c2") + 1).cast("int"))).alias("col"))
-    around = box.join(zones, ["grid", "row", "col"]).join(labels.select("grid", "row", "col", F.col("label").alias("_label")), ["grid", "row", "col"])
-    votes = around.where(~((F.col("z") == F.col("own")) & (F.col("label") == F.col("_label")))).groupBy("grid", "own", "label", "z").agg(F.count("*").alias("k"))
-    first = F.row_number().over(Window.partitionBy("grid", "own", "label").orderBy(F.desc("k"), "z"))
-    winner = votes.withColumn("_n", first).where("_n = 1").select("grid", "label", F.col("own").alias("z"), F.col("z").alias("_new"))
+    box = small.select("grid", F.col("z").alias("own"), "label", F.explode(F.sequence(F.col("r1") - 1, F.col("r2") + 1)).alias("row"), "c1", "c2")
+    box = box.select("grid", "own", "label", "row", F.explode(F.sequence((F.col("c1") - 1).cast("int"), (F.col("c2") + 1).cast("int"))).alias("col"))
+    votes = box.join(zones, ["grid", "row", "col"]).where("z <> own").groupBy("grid", "own", "label", "z").agg(F.count("*").alias("k"))
+    winner = votes.groupBy("grid", F.col("own").alias("z"), "label").agg(F.max_by("z", F.struct("k", -F.col("z"))).alias("_new"))
     moved = labels.join(winner, ["grid", "z", "label"]).select("grid", "row", "col", "_new")
     return cells.join(moved, ["grid", "row", "col"], "left").select("grid", "row", "col", F.coalesce("_new", "z").alias("z"))
 

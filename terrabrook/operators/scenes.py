@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import meets
+
 
 def search(scenes: DataFrame, start: str | None = None, end: str | None = None, collections: Sequence[str] | None = None, page: int | None = None) -> DataFrame:
     """Scenes from start to the end of day `end` in the given collections; page: the first so many by time and identifier."""
@@ -26,6 +28,19 @@ def on_day(scenes: DataFrame, day: str, limit: int = 6) -> DataFrame:
     return search(scenes, day, day, page=limit)
 
 
+def newest(scenes: DataFrame, n: int = 1) -> DataFrame:
+    """The n latest scenes, the smaller identifier of equals first."""
+    return scenes.orderBy(F.desc("acquired"), "item_id").limit(n)
+
+
+def intersecting(scenes: DataFrame, rings: Sequence[Sequence[tuple[float, float]]], footprint: str = "footprint") -> DataFrame:
+    """Scenes whose footprint (array of structs x, y; closed or not) meets a polygon: bounding boxes first, then edges that cross or one shape within the other."""
+    xs, ys = [p[0] for ring in rings for p in ring], [p[1] for ring in rings for p in ring]
+    across, along = F.transform(footprint, lambda p: p["x"]), F.transform(footprint, lambda p: p["y"])
+    box = (F.array_min(across) <= max(xs)) & (F.array_max(across) >= min(xs)) & (F.array_min(along) <= max(ys)) & (F.array_max(along) >= min(ys))
+    return scenes.where(box).where(meets(F.col(footprint), rings))
+
+
 def first_tier(rows: DataFrame, tier: Column) -> DataFrame:
     """The rows of the lowest tier that has any: fallbacks between providers, cloud limits or date windows as one plan. Null tiers go."""
     tagged = rows.withColumn("_tier", tier).where("_tier is not null")
@@ -42,11 +57,11 @@ def provider_fallback(scenes: DataFrame, order: Sequence[int]) -> DataFrame:
 
 
 def cloud_ladder(scenes: DataFrame, start: str, end: str, limits: Sequence[float] = (20, 100), widen: int = 30) -> DataFrame:
-    """Scenes under the first cloud limit that leaves any, else those of a wider window."""
+    """Scenes under the first cloud limit that leaves any, else those of a wider window under the last limit."""
     day = F.to_date("acquired")
     inside = day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     near = day.between(F.date_sub(F.lit(start).cast("date"), widen), F.date_add(F.lit(end).cast("date"), widen))
-    tier = F.when(near, len(limits))
+    tier = F.when(near & (F.col("cloud") < limits[-1]), len(limits))
     for k, most in reversed(list(enumerate(limits))):
         tier = F.when(inside & (F.col("cloud") < most), k).otherwise(tier)
     return first_tier(scenes, tier)
@@ -79,18 +94,32 @@ def points(n: int | None, least: int = 8, most: int = 16) -> int:
 
 
 def even_sample(rows: DataFrame, by: str, n: int) -> DataFrame:
-    """n rows evenly spaced in the order of a unique column, the first and the last among them. rows: one per day, few."""
-    place = F.row_number().over(Window.orderBy(by)) - 1
-    total = F.count("*").over(Window.partitionBy())
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("_total") - 1) / (n - 1)).cast("int"))
-    counted = rows.withColumns({"_place": place, "_total": total})
-    return counted.where((F.col("_total") <= n) | F.array_contains(wanted, F.col("_place"))).drop("_place", "_total")
+    """n rows evenly spaced in the order of a unique column, the first and the last among them. The column's values (of a series, its days) come together as one array; rows don't."""
+    every = F.array_sort(F.collect_set(by))
+    last = F.size("_all") - 1
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at("_all", F.bround(i * last / (n - 1)).cast("int") + 1))
+    days = rows.agg(every.alias("_all")).select(F.explode(F.when(last < n, F.col("_all")).when(last >= n, wanted)).alias(by)).distinct()
+    return rows.join(F.broadcast(days), by, "left_semi")  # n rows
 
 
 def has_assets(assets: str, required: Sequence[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, required)), F.map_keys(assets))) == 0
 
 
+def first_asset(assets: str, names: Sequence[str] = ("vv", "VV", "red", "B04", "B04.jp2", "B04.tif", "B04.TIF")) -> Column:
+    """The address of the first of these assets that a scene has, else of its first asset by name; null without any."""
+    address = lambda k: F.nullif(F.try_element_at(assets, k), F.lit(""))
+    others = F.filter(F.transform(F.array_sort(F.map_keys(assets)), address), lambda h: h.isNotNull())
+    return http_url(F.coalesce(*(address(F.lit(n)) for n in names), F.get(others, F.lit(0))))
+
+
+def prefer_http(href: Column, alternates: Column) -> Column:
+    """href as an https address; one of another scheme gives way to the first http(s) address among its alternates."""
+    plain = http_url(href)
+    other = F.get(F.filter(alternates, lambda a: a.rlike("^https?://")), F.lit(0))
+    return F.when(plain.rlike("^https?://"), plain).otherwise(F.coalesce(other, plain))
+
+
 def http_url(href: Column) -> Column:
     """s3://bucket/key as an https address; others as they are."""
     return F.when(href.startswith("s3://"), F.regexp_replace(href, r"^s3://([^/]+)/(.*)$", r"https://$1.s3.amazonaws.com/$2")).otherwise(href)
@@ -102,10 +131,10 @@ def crs_code(epsg: Column, code: Column) -> Column:
 
 
 def keep_share(pixels: DataFrame, masked: Sequence[int], by: str = "scene_id") -> DataFrame:
-    """(by, keep_pct): the share of a scene's vegetated, unmasked pixels, of those with an NDVI."""
+    """(by, keep_pct): the share of a scene's pixels that have an NDVI and no masked class. pixels: every cell of the field, seen or not."""
     ndvi = F.expr("(b08 - b04) / nullif(b08 + b04, 0)")
-    kept = ndvi.isNotNull() & ~F.col("scl").isin(*masked)
-    return pixels.groupBy(by).agg((F.count_if(kept) / F.greatest(F.count_if(ndvi.isNotNull()), F.lit(1)) * 100).alias("keep_pct"))
+    kept = ndvi.isNotNull() & ~F.coalesce(F.col("scl").isin(*masked), F.lit(False))
+    return pixels.groupBy(by).agg((F.count_if(kept) / F.greatest(F.count("*"), F.lit(1)) * 100).alias("keep_pct"))
 
 
 def radar_share(pixels: DataFrame, by: str = "scene_id") -> DataFrame:

@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from ..functions import lookups
 from ..functions.classify import absolute_zone, relative_zone
 from ..functions.indices import index_column
+from .grid import from_utm
 from .quality import clamp
+from .quantiles import exact_percentiles
 from .raster import components, saved
 
 
+#: Bands that a soil analysis can't do without.
+SOIL_BANDS = ("b02", "b04", "b08", "b11", "b12")
+
+
 def soil_indices(pixels: DataFrame) -> DataFrame:
+    """pixels with the six soil indices; null where a band of theirs is."""
+    missing = [b for b in SOIL_BANDS if b not in pixels.columns]
+    if missing:
+        raise ValueError(f"soil indices need the bands {missing}")
     return pixels.withColumns({n.lower(): index_column(n, "soil") for n in ("NDVI", "NDWI", "SAVI", "BSI", "CLAY", "SWIR1")})
 
 
@@ -31,42 +41,45 @@ def soc_stats(maps: DataFrame, res_m: float = 10.0) -> DataFrame:
 
 
 def soc_class(v: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for label, lo, hi in lookups.SOC_CLASSES:
-        inside = v < hi if lo is None else v >= lo if hi is None else (v >= lo) & (v < hi)
-        out = F.when(inside, label).otherwise(out)
-    return out
+    """The label of a value; null: null."""
+    edges = F.array(*(F.lit(lo) for _, lo, _ in lookups.SOC_CLASSES[1:]))
+    labels = F.array(*(F.lit(label) for label, _, _ in lookups.SOC_CLASSES))
+    return F.element_at(labels, F.size(F.filter(edges, lambda e: e <= v)) + F.when(v.isNotNull(), 1))
 
 
 def soc_classes(maps: DataFrame, res_m: float = 10.0) -> DataFrame:
     """(class, pixels, ha, acres, pct_area) of all five classes, with or without pixels."""
-    counted = maps.where("soc is not null").groupBy(soc_class(F.col("soc")).alias("class")).agg(F.count("*").alias("n"))
-    every = maps.sparkSession.createDataFrame([(c[0],) for c in lookups.SOC_CLASSES], "class string")
-    total = F.sum("pixels").over(Window.partitionBy())  # five rows
-    met = F.broadcast(every).join(counted, "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("pixels"))
+    inside = lambda lo, hi: (F.lit(True) if lo is None else F.col("soc") >= lo) & (F.lit(True) if hi is None else F.col("soc") < hi)
+    counts = maps.select("soc").agg(*(F.count_if(F.col("soc").isNotNull() & inside(lo, hi)).alias(f"n{i}") for i, (_, lo, hi) in enumerate(lookups.SOC_CLASSES)))
+    total = sum((F.col(f"n{i}") for i in range(len(lookups.SOC_CLASSES))), F.lit(0))
+    met = counts.select(total.alias("_all"), F.explode(F.array(*(F.struct(F.lit(label).alias("class"), F.col(f"n{i}").alias("pixels")) for i, (label, _, _) in enumerate(lookups.SOC_CLASSES)))).alias("c")).select("c.*", "_all")
     ha = F.col("pixels") * (res_m * res_m) / lookups.M2_PER_HA
-    return met.select("class", "pixels", F.bround(ha, 3).alias("ha"), F.bround(F.bround(ha, 12) * lookups.ACRES_PER_HA, 3).alias("acres"), F.bround(F.col("pixels") / F.greatest(total, F.lit(1)) * 100, 1).alias("pct_area"))
+    return met.select("class", "pixels", F.bround(ha, 3).alias("ha"), F.bround(F.bround(ha, 12) * lookups.ACRES_PER_HA, 3).alias("acres"), F.bround(F.col("pixels") / F.greatest("_all", F.lit(1)) * 100, 1).alias("pct_area"))
+
+
+def mean_indices(indices: DataFrame, names: Sequence[str] = ("ndvi", "ndwi", "savi", "bsi", "swir1", "clay")) -> DataFrame:
+    """One row: the mean of each index, to five places."""
+    return indices.agg(*(F.bround(F.avg(n), 5).alias(n) for n in names))
 
 
 def quantile_zones(values: DataFrame, v: str, n: int = 5) -> DataFrame:
     """values with `zone` from 1 to n by the quantiles of v; equal edges collapse, so ties share a zone."""
     _check(n)
-    ends = values.agg(F.array_distinct(F.percentile(F.col(v), F.array(*(F.lit(k / n) for k in range(n + 1))))).alias("_e"))
-    inner = F.when(F.size("_e") > 2, F.slice("_e", F.lit(2), F.size("_e") - 2)).otherwise(F.array().cast("array<double>"))
-    return values.join(F.broadcast(ends)).withColumn("zone", relative_zone(F.col(v), inner)).drop("_e")
+    edges = sorted(set(exact_percentiles(values, v, [k / n for k in range(n + 1)])))
+    return values.withColumn("zone", relative_zone(F.col(v), F.array(*map(F.lit, edges[1:-1])).cast("array<double>")))
 
 
 def kmeans_edges(values: DataFrame, v: str, k: int, rounds: int = 25) -> list[float]:
-    """Inner edges between k centres of one dimension: seeds are the percentiles from 5 to 95, each round is one aggregate of k rows."""
+    """Inner edges between k centres of one dimension: seeds are the percentiles from 5 to 95. Equal values are counted once for all rounds; each round is one aggregate of k rows."""
     _check(k)
-    data = values.where(F.col(v).isNotNull()).select(F.col(v).alias("_v"))
-    seeds = data.agg(F.percentile("_v", F.array(*(F.lit(0.05 + 0.9 * i / (k - 1)) for i in range(k))))).first()[0]
+    seeds = exact_percentiles(values, v, [0.05 + 0.9 * i / (k - 1) for i in range(k)])
     if not seeds:
         return []
+    data = saved(values.where(F.col(v).isNotNull()).groupBy(F.col(v).alias("_v")).agg(F.count("*").alias("_n")), "values")
     centres = list(seeds)
     for _ in range(rounds):
         near = F.array_min(F.array(*(F.struct(F.abs(F.col("_v") - c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres))))["i"]
-        means = {r["i"]: r["m"] for r in data.groupBy(near.alias("i")).agg(F.avg("_v").alias("m")).collect()}
+        means = {r["i"]: r["m"] for r in data.groupBy(near.alias("i")).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("m")).collect()}
         new = [means.get(i, c) for i, c in enumerate(centres)]
         same = all(abs(a - b) <= 1e-4 + 1e-5 * abs(a) for a, b in zip(centres, new, strict=True))
         centres = new
@@ -125,21 +138,69 @@ def rates_absolute(maps: DataFrame, nutrient: str, res_m: float = 10.0) -> DataF
     return _rates(met, [(i, label, lookups.ABSOLUTE_FRACTIONS[i]) for i, label in ((1, "Low"), (2, "Medium"), (3, "High"))], nutrient)
 
 
-def features(found: DataFrame, rings: DataFrame | None = None, labels: Sequence[str] = ()) -> DataFrame:
-    """(grid, patch_id, feature): GeoJSON features; the geometry is the traced rings, or else the bounding box."""
-    box = F.array(F.array(*(F.array(F.col(x).cast("double"), F.col(y).cast("double")) for x, y in (("c1", "r1"), ("c2x", "r1"), ("c2x", "r2x"), ("c1", "r2x"), ("c1", "r1")))))
-    rows = found.withColumns({"c2x": F.col("c2") + 1, "r2x": F.col("r2") + 1})
-    shape = box
-    if rings is not None:
-        rows = rows.join(rings.withColumnRenamed("z", "zone"), ["grid", "zone", "r0", "c0"])
-        shape = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p[1].cast("double"), p[0].cast("double"))))
+def placed(rings: Column, x0: float, y0: float, res_m: float, epsg: int) -> Column:
+    """Rings of grid corners (row, col) as rings of (lon, lat), rounded to 7 places; (x0, y0) is the grid's upper left corner in the UTM zone."""
+
+    def point(p: Column) -> Column:
+        lon, lat = from_utm(F.lit(x0) + p[1] * res_m, F.lit(y0) - p[0] * res_m, epsg)
+        return F.array(F.round(lon, 7), F.round(lat, 7))
+
+    return F.transform(rings, lambda r: F.transform(r, point))
+
+
+def features(found: DataFrame, rings: DataFrame | None = None, labels: Sequence[str] = (), at: tuple[float, float, float, int] | None = None) -> DataFrame:
+    """(grid, patch_id, feature): GeoJSON features; the geometry is the traced rings, or else the bounding box. at: (x0, y0, res_m, epsg) of the grid for longitudes and latitudes."""
+    corners = F.array(*(F.array(F.col(r), F.col(c)) for r, c in (("r1", "c1"), ("r1", "c2x"), ("r2x", "c2x"), ("r2x", "c1"), ("r1", "c1"))))
+    rows = found.withColumns({"c2x": (F.col("c2") + 1).cast("long"), "r2x": (F.col("r2") + 1).cast("long")}).withColumns({c: F.col(c).cast("long") for c in ("r1", "c1")})
+    rows = rows.withColumn("rings", F.array(corners)) if rings is None else rows.join(rings.withColumnRenamed("z", "zone"), ["grid", "zone", "r0", "c0"])
+    shape = placed(F.col("rings"), *at) if at else F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p[1].cast("double"), p[0].cast("double"))))
     name = F.element_at(F.array(*map(F.lit, labels)), F.col("zone")) if labels else F.concat(F.lit("Zone "), F.col("zone").cast("string"))
     properties = F.struct("patch_id", name.alias("zone_class"), "patch_type", "area_ha", F.col("pixels").alias("pixel_count"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), shape.alias("coordinates")).alias("geometry"), properties.alias("properties"))
     return rows.select("grid", "patch_id", F.to_json(feature).alias("feature"))
 
 
+def collection_lines(features: DataFrame, epsg: int = 4326) -> DataFrame:
+    """(grid, part, patch_id, line): the lines of each grid's FeatureCollection in order of part and patch_id, so that it can be written without being gathered."""
+    first = features.groupBy("grid").agg(F.min("patch_id").alias("_first"))
+    head = first.select("grid", F.lit(0).alias("part"), F.lit(0).alias("patch_id"), F.lit(f'{{"type":"FeatureCollection","crs":{{"type":"name","properties":{{"name":"EPSG:{epsg}"}}}},"features":[').alias("line"))
+    body = features.join(first, "grid").select("grid", F.lit(1).alias("part"), "patch_id", F.concat(F.when(F.col("patch_id") == F.col("_first"), "").otherwise(","), "feature").alias("line"))
+    return head.unionByName(body).unionByName(first.select("grid", F.lit(2).alias("part"), F.lit(0).alias("patch_id"), F.lit("]}").alias("line")))
+
+
 def report_rows(rates: DataFrame) -> DataFrame:
     """(zone, line): the lines of a report's dose table, zones without pixels left out."""
     line = F.concat(F.lit("    "), F.rpad("label", 12, " "), F.format_string(" %8d %10.3f %10.3f %12.1f %10.1f", "patches", "area_ha", "area_acres", "product_dose", "total_kg"))
     return rates.where("pixels > 0").select("zone", line.alias("line"))
+
+
+#: The report's closing lines.
+REPORT_END = (
+    "  ── INTERPRETATION ────────────────────────────────────────────",
+    "  Lowest zone class  = Soil is nutrient-deficient → highest dose",
+    "  Highest zone class = Soil is nutrient-rich      → lowest dose",
+    "  Zones are RELATIVE to this field (quantile/k-means breaks), and each",
+    "  zone is a vectorized patch on the native Sentinel-2 grid.",
+)
+
+
+def text_report(meta: dict, stats: DataFrame, classes: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
+    """(section, place, line): a field's report in order of section and place. meta: crop, date, cloud, collection, height, width, res_m, zones, method; stats and classes as of soc_stats and soc_classes; rates by nutrient. A few dozen rows."""
+    spark, rule = stats.sparkSession, "═" * 70
+
+    def fixed(section: int, lines: Sequence[str], start: int = 0) -> DataFrame:
+        return spark.createDataFrame([(section, start + i, x) for i, x in enumerate(lines)], "section int, place int, line string")
+
+    head = [rule, "  VARIABLE RATE APPLICATION (VRA) FIELD REPORT — Grid-Patch Edition", *(f"  {k:<12}: {v}" for k, v in (("Crop", meta["crop"]), ("Scene date", meta["date"]), ("Cloud cover", f"{meta['cloud']} %"), ("Data source", meta["collection"]), ("Grid", f"{meta['height']} × {meta['width']} px  @  {meta['res_m']:.1f} m/px (native Sentinel-2 resolution)"), ("Zones", f"{meta['zones']} ({meta['method']})"))), rule, "", "  ── SOIL ORGANIC CARBON (SOC) SUMMARY ─────────────────────────"]
+    out = fixed(0, head)
+    texts = [F.format_string(f"  {n:<6}: %.2f %%", c) for n, c in (("Mean", "mean_pct"), ("Min", "min_pct"), ("Max", "max_pct"))] + [F.format_string("  Field : %.2f ha  (%.2f acres)", "total_ha", "total_acres"), F.lit("")]
+    out = out.unionByName(stats.select(F.lit(1).alias("section"), F.posexplode(F.array(*texts)).alias("place", "line")))
+    names = F.create_map(*(F.lit(x) for i, (label, _, _) in enumerate(lookups.SOC_CLASSES) for x in (label, i)))
+    out = out.unionByName(classes.select(F.lit(2).alias("section"), F.element_at(names, F.col("class")).alias("place"), F.concat(F.lit("  "), F.rpad("class", 28, " "), F.format_string(": %.3f ha  (%.3f ac)", "ha", "acres")).alias("line")))
+    out = out.unionByName(fixed(3, ["", rule, "  ── VRA NUTRIENT ZONES & APPLICATION RATES (patch-based) ──", ""]))
+    for k, (nutrient, table) in enumerate(rates.items()):
+        product, percent = lookups.PRODUCTS[nutrient]
+        titles = f"    {'Zone':<12} {'Patches':>8} {'Area (ha)':>10} {'Area (ac)':>10} {'Dose kg/ha':>12} {'Total kg':>10}"
+        out = out.unionByName(fixed(4 + k, [f"  ► {nutrient} — {product}  ({percent:.0f}% nutrient)", titles, "    " + " ".join("─" * n for n in (12, 8, 10, 10, 12, 10))]))
+        out = out.unionByName(report_rows(table).select(F.lit(4 + k).alias("section"), (F.col("zone") + 2).cast("int").alias("place"), "line")).unionByName(fixed(4 + k, [""], 100))
+    return out.unionByName(fixed(4 + len(rates), [rule, *REPORT_END, rule]))

@@ -1,83 +1,127 @@
-"""The service's analyses as lazy plans: availability, index map, time series, nutrient availability, crop health, soil carbon, variable rates."""
+"""The service's analyses as lazy plans: availability, index map, time series, nutrient availability, crop health, soil carbon, variable rates.
+
+Each takes pixels, one row for a cell of a scene, and optionally a field: a polygon in shares of the grid. Reading makes bands sound (finite, reflectance or
+power) and clips them to the field, so counts and shares are of the field's cells.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, lookups
 from ..functions.indices import index_column, lookup
-from ..operators import legend, mosaic, quality, raster, zoning
+from ..operators import grid, legend, mosaic, quality, raster, zoning
 from ..operators import scenes as choose
 
 VEGETATION_CLOUD, WATER_CLOUD = 60, 80
 
 
+@dataclass(frozen=True)
+class Field:
+    """A polygon in shares of a grid's width and height; row and col name the cells' columns, size is one row (h, w)."""
+
+    rings: Sequence[Sequence[tuple[float, float]]]
+    size: DataFrame
+    row: str = "row"
+    col: str = "col"
+
+    def clip(self, cells: DataFrame) -> DataFrame:
+        return grid.of_field(cells, self.rings, self.size, self.row, self.col)
+
+
+def read(pixels: DataFrame, bands: Sequence[str], field: Field | None = None, by: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """Pixels as analyses read them: sound bands, the field's cells."""
+    rows = quality.stacked(pixels, bands, by)
+    return field.clip(rows) if field else rows
+
+
 def availability(scenes: DataFrame, start: str, end: str) -> DataFrame:
     return choose.availability(choose.search(scenes, start, end))
 
 
+def pick_scene(pixels: DataFrame, field: Field | None = None, radar: bool = False, n: int = 1) -> DataFrame:
+    """The n scenes that show most of the field."""
+    rows = field.clip(pixels) if field else pixels
+    return choose.best_scenes(choose.radar_share(rows) if radar else choose.keep_share(rows, lookups.CLOUDS_INDEX), n)
+
+
 def index_values(pixels: DataFrame, index: str, family: str = "calc", mask: tuple[int, ...] = lookups.CLOUDS_INDEX) -> DataFrame:
     """pixels with `v`, the index, null under clouds."""
     return quality.mask_clouds(pixels.withColumn("v", index_column(index, family)), ["v"], mask)
 
 
-def index_map(pixels: DataFrame, index: str, cell: list[str], order: list[str]) -> DataFrame:
+def index_map(pixels: DataFrame, index: str, cell: list[str], order: list[str], field: Field | None = None) -> DataFrame:
     """The index of a mosaic: per cell the first scene, in order, with all of its bands; a sparse mosaic is filled with medians, then clouds are masked."""
     bands = list(lookup(index).bands)
-    base = mosaic.first_valid(pixels, cell, bands, order).select(*cell, "scl", *bands)
-    every = pixels.select(*cell).distinct().join(base, cell, "left")
-    fill = mosaic.temporal_median(pixels, cell, bands, order)
-    return index_values(mosaic.fill_if_sparse(every, fill, cell, bands), index)
+    cells = mosaic.first_and_median(read(pixels, bands, field), cell, bands, order, ["scl"])
+    return index_values(mosaic.filled_if_sparse(cells, bands), index)
 
 
 def index_legend(values: DataFrame, index: str, res_m: float = 10.0) -> DataFrame:
     return legend.merged_legend(values, "v", index, res_m)
 
 
-def time_series(pixels: DataFrame, scenes: DataFrame, index: str, family: str, n: int | None = None) -> DataFrame:
-    """(day, value, status) of the best scene of each of at most `n` days. pixels.scene_id names scenes.item_id."""
+def time_series(pixels: DataFrame, scenes: DataFrame, index: str, family: str, n: int | None = None, field: Field | None = None) -> DataFrame:
+    """(day, value, status) of the best scene of each of at most `n` days, by day. pixels.scene_id names scenes.item_id."""
     most = VEGETATION_CLOUD if family == "veg_ts" else WATER_CLOUD
     picked = choose.even_sample(choose.best_per_date(scenes), "day", choose.points(n))
     cloud = choose.known_cloud(F.col("cloud"))
     picked = picked.where(cloud.isNull() | (cloud <= most)).select(F.col("item_id").alias("scene_id"), "day")
-    value = index_column(index, family)
-    mean = pixels.join(F.broadcast(picked), "scene_id").groupBy("day", "scene_id").agg(F.bround(F.avg(value), 3).alias("value"))  # 16 days at most
+    met = read(pixels.join(F.broadcast(picked), "scene_id"), lookup(index, family).bands, field)  # 16 days at most
+    mean = met.groupBy("day", "scene_id").agg(F.bround(F.avg(index_column(index, family)), 3).alias("value"))
     daily = mean.groupBy("day").agg(F.avg("value").alias("value")).where("value is not null")
     ladder = classify.vegetation_class if family == "veg_ts" else classify.water_class
-    return daily.select("day", "value", ladder(index, F.col("value")).alias("status"))
+    return daily.select("day", "value", ladder(index, F.col("value")).alias("status")).orderBy("day")
 
 
 def series_summary(series: DataFrame) -> DataFrame:
     return series.agg(F.bround(F.min("value"), 3).alias("least"), F.bround(F.avg("value"), 3).alias("mean"), F.bround(F.max("value"), 3).alias("most"))
 
 
-def nutrient_availability(pixels: DataFrame) -> DataFrame:
+def nutrient_availability(pixels: DataFrame, field: Field | None = None) -> DataFrame:
     """(nutrient, source_index, score, factor) from the legends of three indices."""
     out = None
     for nutrient, index in (("N", "NITROGEN"), ("P", "CCC"), ("K", "NDMI")):
-        scored = legend.legend_score(index_legend(index_values(pixels, index), index))
+        scored = legend.legend_score(index_legend(index_values(read(pixels, lookup(index).bands, field), index), index))
         scored = scored.select(F.lit(nutrient).alias("nutrient"), F.lit(index).alias("source_index"), "score", "factor")
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def crop_health(pixels: DataFrame, days: int | None = None, by: str = "scene_id") -> DataFrame:
-    """(by, ndvi, ndre, stage, health, status, stress, cloud_coverage) of every scene, `days` after sowing."""
-    masked = quality.mask_clouds(pixels.withColumns({"ndvi": index_column("NDVI"), "ndre": index_column("NDRE")}), ["ndvi", "ndre"], lookups.CLOUDS_SHADOW)
-    cloudy = F.count_if(F.col("scl").isin(*lookups.CLOUDS_SHADOW)) / F.greatest(F.count("*"), F.lit(1)) * 100
-    mean = masked.groupBy(by).agg(F.avg("ndvi").alias("ndvi"), F.avg("ndre").alias("ndre"), F.bround(cloudy, 2).alias("cloud_coverage"))
+def crop_health(pixels: DataFrame, days: int | None = None, by: str = "scene_id", field: Field | None = None) -> DataFrame:
+    """(by, ndvi, ndre, stage, health, status, stress, cloud_coverage) of every scene, `days` after sowing. Both indices are averaged over the
+    clear cells that have all four bands; a scene without such a cell has no health."""
+    bands = ["b04", "b05", "b08", "b8a"]
+    rows = read(pixels, bands, field, (by,))
+    cloudy = F.coalesce(F.col("scl").isin(*lookups.CLOUDS_SHADOW), F.lit(False))
+    valid = ~cloudy
+    for b in bands:
+        valid &= F.col(b).isNotNull()
+    means = [F.avg(F.when(valid, index_column(n))).alias(n.lower()) for n in ("NDVI", "NDRE")]
+    mean = rows.groupBy(by).agg(*means, F.bround(F.count_if(cloudy) / F.greatest(F.count("*"), F.lit(1)) * 100, 2).alias("cloud_coverage"))
     stage = classify.growth_stage(F.lit(days).cast("int"))
     ranges = F.create_map(*(x for name, (_, a, b) in lookups.STAGES.items() for x in (F.lit(name), F.array(*map(F.lit, (*a, *b))))))
     met = mean.withColumn("stage", stage).withColumn("_r", F.element_at(ranges, F.col("stage")))
     score = 0.6 * classify.stage_score(F.col("ndvi"), F.col("_r")[0], F.col("_r")[1]) + 0.4 * classify.stage_score(F.col("ndre"), F.col("_r")[2], F.col("_r")[3])
-    met = met.withColumn("health", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).cast("int"))
+    met = met.withColumn("health", F.when(F.col("ndvi").isNotNull(), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).cast("int")))
     return met.select(by, "ndvi", "ndre", "stage", "health", classify.health_status(F.col("health")).alias("status"), classify.health_stress(F.col("health")).alias("stress"), "cloud_coverage")
 
 
-def soil_carbon(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def soil_field(pixels: DataFrame, field: Field | None = None, sigma: float = 1.0, row: str = "row", col: str = "col") -> DataFrame:
+    """(row, col, six indices, soc, n, p, k) of one scene's cells: five bands are needed, the field's polygon first, clouds and shadows masked, indices smoothed."""
+    names = ["ndvi", "ndwi", "savi", "bsi", "swir1", "clay"]
+    cells = zoning.soil_indices(read(pixels, zoning.SOIL_BANDS, field))
+    cells = quality.mask_clouds(cells, names, lookups.CLOUDS_SHADOW).withColumnsRenamed({row: "row", col: "col"})
+    return zoning.soil_maps(raster.gaussian(cells.select("row", "col", *names), sigma, names, field.size if field else None))
+
+
+def soil_carbon(pixels: DataFrame, field: Field | None = None) -> tuple[DataFrame, DataFrame]:
     """(statistics, classes) of soil organic carbon."""
-    masked = quality.mask_clouds(zoning.soil_indices(pixels), ["ndvi", "savi", "bsi", "clay"], lookups.CLOUDS_SHADOW)
+    masked = quality.mask_clouds(zoning.soil_indices(read(pixels, zoning.SOIL_BANDS, field)), ["ndvi", "savi", "bsi", "clay"], lookups.CLOUDS_SHADOW)
     maps = zoning.soil_maps(masked)
     return zoning.soc_stats(maps), zoning.soc_classes(maps)
 
@@ -92,6 +136,8 @@ def zone_pipeline(grid: DataFrame, n: int = 5, method: str = "quantile", least_h
     return raster.dissolved(cells, max(1, round(least_ha * lookups.M2_PER_HA / (res_m * res_m))))
 
 
-def variable_rates(grid: DataFrame, nutrient: str, n: int = 5, method: str = "quantile") -> DataFrame:
-    """Doses by zone of one nutrient's grid."""
-    return zoning.rates_from_patches(zoning.patches(zone_pipeline(grid, n, method)), nutrient, n)
+def variable_rates(grid: DataFrame, nutrient: str, n: int = 5, method: str = "quantile", crop: str | None = None) -> DataFrame:
+    """Doses by zone of one nutrient's grid, and the crop's key and demand of it in kg for a tonne of yield."""
+    key = lookups.crop_key(crop)
+    rates = zoning.rates_from_patches(zoning.patches(zone_pipeline(grid, n, method)), nutrient, n)
+    return rates.withColumns({"crop": F.lit(key), "demand_kg_t": F.lit(lookups.CROP_DEMAND[key]["NPK".index(nutrient)])})

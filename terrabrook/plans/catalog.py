@@ -20,8 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: A polygon in grid coordinates of the raster, which has 64 columns.
-FIELD = [[(3.0, 5.0), (60.0, 20.0), (55.0, 300.0), (30.0, 180.0), (8.0, 420.0)]]
+#: A polygon in shares of a grid's width and height.
+FIELD = [[(0.05, 0.01), (0.94, 0.04), (0.86, 0.6), (0.47, 0.36), (0.13, 0.84)]]
 _CELL, _ORDER = ["order_id", "line"], ["acquired", "scene_id", "b08", "b04"]
 
 
@@ -47,8 +47,49 @@ def _ra(body: str) -> str:
     return f"WITH {RASTER_SQL} {body}"
 
 
+#: The indices once more, as another engine's SQL writes them by hand.
+_DB = "10 * log10({0} + 0.000001)"
+FORMULAS = {
+    ("calc", "NDVI"): "(b08 - b04) / (b08 + b04 + 0.000001)",
+    ("calc", "EVI"): "(b08 - b04) * 2.5 / (b08 + b04 * 6 - b02 * 7.5 + 1.000001)",
+    ("calc", "EVI2"): "(b08 - b04) * 2.5 / (b08 + b04 * 2.4 + 1.000001)",
+    ("calc", "SAVI"): "(b08 - b04) * 1.5 / (b08 + b04 + 0.500001)",
+    ("calc", "MSAVI"): "(2 * b08 + 1 - sqrt(greatest(0, pow(2 * b08 + 1, 2) - 8 * (b08 - b04)))) / 2",
+    ("calc", "NDMI"): "(b08 - b11) / (b08 + b11 + 0.000001)",
+    ("calc", "SMI"): "(b08 - b11) / (b08 + b11 + 0.000001)",
+    ("calc", "NDWI"): "(b03 - b11) / (b03 + b11 + 0.000001)",
+    ("calc", "CCC"): "pow(b05, 2) / (b03 * b04 + 0.000001)",
+    ("calc", "NITROGEN"): "(b05 - b04) / (b04 + b05 + 0.000001)",
+    ("calc", "SOC"): "(b03 + b04) / (b11 + b12 + 0.000001)",
+    ("calc", "NDRE"): "(b8a - b05) / (b8a + b05 + 0.000001)",
+    ("calc", "RECI"): "(b08 - b05) / (b05 + 0.000001)",
+    ("calc", "RVI"): "vh * 4 / (vh + vv + 0.000001)",
+    ("calc", "VH_VV"): "vh / (vv + 0.000001)",
+    ("calc", "VV_VH"): "vv / (vh + 0.000001)",
+    ("calc", "SDWI"): "ln(vv * vh * 10 + 0.000001)",
+    ("calc", "VV"): _DB.format("vv"), ("calc", "SIGMA0_VV"): _DB.format("vv"), ("calc", "GAMMA0_VV"): _DB.format("vv"),
+    ("calc", "VH"): _DB.format("vh"), ("calc", "SIGMA0_VH"): _DB.format("vh"), ("calc", "GAMMA0_VH"): _DB.format("vh"),
+    ("veg_ts", "NDVI"): "(b08 - b04) / (b08 + b04 + 0.000001)",
+    ("veg_ts", "EVI"): "(b08 - b04) * 2.5 / (b08 + b04 * 6 - b02 * 7.5 + 1.000001)",
+    ("veg_ts", "SAVI"): "(b08 - b04) * 1.5 / (b08 + b04 + 0.500001)",
+    ("veg_ts", "SUCROSE"): "(b11 - b04) / (b11 + b04 + 0.000001)",
+    ("water_ts", "NDMI"): "(b08 - b11) / (b08 + b11 + 0.000001)",
+    ("water_ts", "NDWI"): "(b03 - b08) / (b03 + b08 + 0.000001)",
+    ("water_ts", "SMI"): "0.1 + (b08 - b04) / (b08 + b04 + 0.000001) * 0.3",
+    ("water_ts", "MSI"): "b11 / (b08 + 0.000001)",
+    ("water_ts", "WI"): "b08 / (b11 + 0.000001)",
+    ("water_ts", "NMDI"): "(b08 - b11 - b12) / (b08 + b11 + b12 + 0.000001)",
+    ("soil", "NDVI"): "(b08 - b04) / (b08 + b04)",
+    ("soil", "NDWI"): "(b08 - b12) / (b08 + b12)",
+    ("soil", "SAVI"): "1.5 * (b08 - b04) / (b08 + b04 + 0.5)",
+    ("soil", "BSI"): "(b04 + b11 - b02 - b08) / (b02 + b04 + b08 + b11)",
+    ("soil", "CLAY"): "b11 / b12",
+    ("soil", "SWIR1"): "b11",
+}
+
+
 def _masked(name: str, family: str = "calc", classes: tuple[int, ...] = lookups.CLOUDS_INDEX) -> str:
-    return f"CASE WHEN scl NOT IN {classes} THEN {REGISTRY[family, name].sql} END"
+    return f"CASE WHEN scl NOT IN {classes} THEN {FORMULAS[family, name]} END"
 
 
 # Indices: every one of the registry, by scene.
@@ -60,10 +101,10 @@ def _index_query(family: str, name: str) -> Query:
     return run
 
 
-for (_family, _name), _index in REGISTRY.items():
+for _family, _name in REGISTRY:
     _key = f"idx_{_family}_{_name.lower()}"
     QUERIES[_key] = _index_query(_family, _name)
-    SQL[_key] = _px(f", x AS (SELECT scene_id, {_index.sql} AS v FROM pixels) SELECT scene_id, count(v) AS n, round(avg(v), 6) AS mean, round(min(v), 6) AS least, round(max(v), 6) AS most FROM x GROUP BY scene_id")
+    SQL[_key] = _px(f", x AS (SELECT scene_id, {FORMULAS[_family, _name]} AS v FROM pixels) SELECT scene_id, count(v) AS n, round(avg(v), 6) AS mean, round(min(v), 6) AS least, round(max(v), 6) AS most FROM x GROUP BY scene_id")
 
 
 def _bin_sql(v: str, index: str) -> str:
@@ -145,14 +186,24 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(choose.even_sample(choose.best_per_date(scenes(spark, sf_dir)), "day", 8).select("day", "item_id"))
 
 
-@query(_sc(" SELECT item_id, provider FROM scenes WHERE k > 90 AND provider = (SELECT min(CASE provider WHEN 1 THEN 0 WHEN 0 THEN 1 END) FROM scenes WHERE k > 90) + 1"))
+@query(_sc(" SELECT item_id, provider FROM scenes WHERE provider = (SELECT arg_min(provider, CASE provider WHEN 1 THEN 1 WHEN 0 THEN 2 END) FROM scenes)"))
 def provider_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choose.provider_fallback(scenes(spark, sf_dir).where("k > 90"), [1, 0]).select("item_id", "provider")
+    return choose.provider_fallback(scenes(spark, sf_dir), [7, 1, 0]).select("item_id", "provider")
+
+
+_LADDER = """, d AS (SELECT item_id, acquired, cloud, CAST(acquired AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' AS hit FROM scenes WHERE CAST(acquired AS DATE) BETWEEN DATE '2023-12-06' AND DATE '2024-02-08'),
+t AS (SELECT item_id, acquired, CASE WHEN hit AND cloud < {0} THEN 0 WHEN hit AND cloud < {1} THEN 1 WHEN cloud < {1} THEN 2 END AS tier FROM d), x AS (SELECT item_id, acquired FROM t WHERE tier = (SELECT min(tier) FROM t)) """
 
 
-@query(_sc(", t AS (SELECT item_id, CASE WHEN CAST(acquired AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' AND cloud < 0 THEN 0 WHEN CAST(acquired AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' AND cloud < 20 THEN 1 WHEN CAST(acquired AS DATE) BETWEEN DATE '2024-01-05' - 30 AND DATE '2024-01-09' + 30 THEN 2 END AS tier FROM scenes) SELECT item_id FROM t WHERE tier = (SELECT min(tier) FROM t)"))
+@query(_sc(_LADDER.format(20, 100) + "SELECT item_id FROM x"))
 def cloud_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choose.cloud_ladder(scenes(spark, sf_dir), "2024-01-05", "2024-01-09", (0, 20)).select("item_id")
+    return choose.cloud_ladder(scenes(spark, sf_dir), "2024-01-05", "2024-01-09").select("item_id")
+
+
+@query(_sc(_LADDER.format(0, 0.02) + "SELECT item_id FROM x ORDER BY acquired DESC, item_id LIMIT 8"))
+def newest_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hardly any scene is so clear: the widened window is asked."""
+    return choose.newest(choose.cloud_ladder(scenes(spark, sf_dir), "2024-01-05", "2024-01-09", (0, 0.02)), 8).select("item_id")
 
 
 @query(_sc(", t AS (SELECT item_id, abs(date_diff('day', DATE '2024-02-05', CAST(acquired AS DATE))) AS d FROM scenes) SELECT item_id FROM t WHERE d <= CASE WHEN (SELECT min(d) FROM t) = 0 THEN 0 ELSE 14 END"))
@@ -194,12 +245,21 @@ def crs_from_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes(spark, sf_dir).select("item_id", choose.crs_code(epsg, F.concat(F.lit("EPSG:"), (F.col("k") + 32700).cast("string"))).alias("epsg"))
 
 
-_KEEP = f"keep AS (SELECT scene_id, count(CASE WHEN scl NOT IN {lookups.CLOUDS_INDEX} THEN (b08 - b04) / nullif(b08 + b04, 0) END)::DOUBLE / greatest(count((b08 - b04) / nullif(b08 + b04, 0)), 1) * 100 AS keep_pct FROM pixels GROUP BY scene_id)"
+#: Pixels of which some weren't seen, or have no class.
+_HOLED = "holed AS (SELECT scene_id, CASE WHEN order_id % 7 > 0 THEN b08 END AS b08, b04, b05, CASE WHEN line <> 2 THEN b8a END AS b8a, CASE WHEN scene_id % 10 = 3 THEN 9 WHEN order_id % 5 > 0 THEN scl END AS scl FROM pixels)"
+
+
+def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holes = {"b08": "CASE WHEN order_id % 7 > 0 THEN b08 END", "b8a": "CASE WHEN line <> 2 THEN b8a END", "scl": "CASE WHEN scene_id % 10 = 3 THEN 9 WHEN order_id % 5 > 0 THEN scl END"}
+    return pixels(spark, sf_dir).withColumns({c: F.expr(x) for c, x in holes.items()})
+
+
+_KEEP = f"{_HOLED}, keep AS (SELECT scene_id, sum(CASE WHEN b08 IS NULL OR scl IN (8, 9, 10, 11) THEN 0 ELSE 1 END) * 100.0::DOUBLE / count(*) AS keep_pct FROM holed GROUP BY scene_id)"
 
 
 @query(_px(f", {_KEEP} SELECT scene_id, round(keep_pct, 6) AS keep_pct FROM keep"))
 def keep_pct_optical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choose.keep_share(pixels(spark, sf_dir), lookups.CLOUDS_INDEX).select("scene_id", F.round("keep_pct", 6).alias("keep_pct"))
+    return choose.keep_share(_holed(spark, sf_dir), lookups.CLOUDS_INDEX).select("scene_id", F.round("keep_pct", 6).alias("keep_pct"))
 
 
 @query(_px(" SELECT scene_id, round(count(CASE WHEN vv - 0.02 > 0 THEN 1 END)::DOUBLE / count(*) * 100, 6) AS keep_pct FROM pixels GROUP BY scene_id"))
@@ -210,17 +270,18 @@ def keep_pct_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_px(f", {_KEEP} SELECT scene_id, round(keep_pct, 6) AS keep_pct FROM keep ORDER BY keep.keep_pct DESC, scene_id LIMIT 10"))
 def best_scene_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choose.best_scenes(choose.keep_share(pixels(spark, sf_dir), lookups.CLOUDS_INDEX), 10).select("scene_id", F.round("keep_pct", 6).alias("keep_pct"))
+    return analyses.pick_scene(_holed(spark, sf_dir), n=10).select("scene_id", F.round("keep_pct", 6).alias("keep_pct"))
 
 
 # Time series: pixels belong to the scene of the same number.
 def _series_sql(index: str, family: str, cloud: int, status: str, body: str) -> str:
-    sql = REGISTRY[family, index].sql
+    sql = FORMULAS[family, index]
     return f"WITH {PIXELS_SQL}, {SCENES_SQL}, {_BEST}, {_EVEN}, picked AS (SELECT item_id AS scene_id, day FROM sampled WHERE nullif(cloud, 0) IS NULL OR cloud <= {cloud}), m AS (SELECT day, scene_id, round_even(avg({sql}), 3) AS value FROM (SELECT p.*, day FROM pixels p JOIN picked USING (scene_id)) GROUP BY day, scene_id), series AS (SELECT day, avg(value) AS value FROM m WHERE value IS NOT NULL GROUP BY day) " + body.format(status=status)
 
 
 def _series(spark: SparkSession, sf_dir: str, index: str, family: str) -> DataFrame:
-    rows = scenes(spark, sf_dir).withColumn("item_id", F.col("item_id") % 100 + 1)
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    rows = scenes(spark, sf_dir).withColumn("item_id", F.col("item_id") % suppliers.scalar() + 1)
     return analyses.time_series(pixels(spark, sf_dir), rows, index, family)
 
 
@@ -232,10 +293,10 @@ for _family, _name in [k for k in REGISTRY if k[0].endswith("_ts")]:
     _status = _STATUS.get(_name, _VEG.format("Very Poor", "Moderate", "Good", "Very Good") if _family == "veg_ts" else _WATER)
     _key = f"{_family}_{_name.lower()}"
     QUERIES[_key] = lambda spark, sf_dir, n=_name, f=_family: _named(_series(spark, sf_dir, n, f))
-    SQL[_key] = _series_sql(_name, _family, _most, _status, "SELECT CAST(day AS VARCHAR) AS day, value, {status} AS status FROM series").replace("event_id AS item_id", "event_id % 100 + 1 AS item_id")
+    SQL[_key] = _series_sql(_name, _family, _most, _status, "SELECT CAST(day AS VARCHAR) AS day, value, {status} AS status FROM series").replace("event_id AS item_id", "event_id % (SELECT count(*) FROM supplier) + 1 AS item_id")
 
 
-@query(_series_sql("NDVI", "veg_ts", 60, "", "SELECT round_even(min(value), 3) AS least, round_even(avg(value), 3) AS mean, round_even(max(value), 3) AS most FROM series").replace("event_id AS item_id", "event_id % 100 + 1 AS item_id"))
+@query(_series_sql("NDVI", "veg_ts", 60, "", "SELECT round_even(min(value), 3) AS least, round_even(avg(value), 3) AS mean, round_even(max(value), 3) AS most FROM series").replace("event_id AS item_id", "event_id % (SELECT count(*) FROM supplier) + 1 AS item_id"))
 def ts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.series_summary(_series(spark, sf_dir, "NDVI", "veg_ts"))
 
@@ -250,18 +311,18 @@ def mosaic_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic.first_valid(pixels(spark, sf_dir), _CELL, ["b08", "b04"], _ORDER).select(*_CELL, "scene_id", F.round("b08", 6).alias("b08"))
 
 
-@query(_px(f", {_MEDIAN} SELECT order_id, line, round(b08, 6) AS b08, round(b04, 6) AS b04 FROM med"))
+@query(_px(f", {_MEDIAN} SELECT order_id, line, round(b08, 9) AS b08, round(b04, 9) AS b04 FROM med"))
 def temporal_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mosaic.temporal_median(pixels(spark, sf_dir), _CELL, ["b08", "b04"], _ORDER).select(*_CELL, F.round("b08", 6).alias("b08"), F.round("b04", 6).alias("b04"))
+    return mosaic.temporal_median(pixels(spark, sf_dir), _CELL, ["b08", "b04"], _ORDER).select(*_CELL, F.round("b08", 9).alias("b08"), F.round("b04", 9).alias("b04"))  # means of two have ties at fewer places
 
 
-@query(_px(f", {_FIRST}, {_MEDIAN}, hole AS (SELECT order_id, line, CASE WHEN scl < 8 THEN b08 END AS b08, CASE WHEN scl < 8 THEN b04 END AS b04 FROM first_), c AS (SELECT count(b08)::DOUBLE / count(*) AS share FROM hole) SELECT h.order_id, h.line, round(coalesce(h.b08, CASE WHEN share < 0.7 THEN m.b08 END), 6) AS b08, round(coalesce(h.b04, CASE WHEN share < 0.7 THEN m.b04 END), 6) AS b04 FROM hole h LEFT JOIN med m USING (order_id, line), c"))
+@query(_px(f", {_FIRST}, {_MEDIAN}, hole AS (SELECT order_id, line, CASE WHEN scl < 8 THEN b08 END AS b08, CASE WHEN scl < 8 THEN b04 END AS b04 FROM first_), c AS (SELECT count(b08)::DOUBLE / count(*) AS share FROM hole) SELECT h.order_id, h.line, round(coalesce(h.b08, CASE WHEN share < 0.7 THEN m.b08 END), 9) AS b08, round(coalesce(h.b04, CASE WHEN share < 0.7 THEN m.b04 END), 9) AS b04 FROM hole h LEFT JOIN med m USING (order_id, line), c"))
 def fill_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pixels(spark, sf_dir)
     first = mosaic.first_valid(rows, _CELL, ["b08", "b04"], _ORDER)
     hole = first.select(*_CELL, *(F.when(F.col("scl") < 8, F.col(b)).alias(b) for b in ("b08", "b04")))
     fill = mosaic.temporal_median(rows, _CELL, ["b08", "b04"], _ORDER)
-    return mosaic.fill_if_sparse(hole, fill, _CELL, ["b08", "b04"]).select(*_CELL, F.round("b08", 6).alias("b08"), F.round("b04", 6).alias("b04"))
+    return mosaic.fill_if_sparse(hole, fill, _CELL, ["b08", "b04"]).select(*_CELL, F.round("b08", 9).alias("b08"), F.round("b04", 9).alias("b04"))
 
 
 @query(_px(f", {_FIRST}, v AS (SELECT {_masked('NDVI')} AS v FROM first_) SELECT {_bin_sql('v', 'NDVI')} AS bin, count(*) AS n, round(avg(v), 6) AS mean FROM v GROUP BY 1"))
@@ -277,15 +338,15 @@ def truecolor_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rgba_sql(index: str) -> str:
-    rows = ", ".join("(" + ", ".join(map(str, (i, *(int(c[k : k + 2], 16) for k in (1, 3, 5))))) + ")" for i, c in enumerate(lookups.palette(index)))
-    return _px(f", v AS (SELECT scene_id, {_masked(index)} AS v FROM pixels), b AS (SELECT scene_id, {_bin_sql('v', index)} AS bin FROM v), p(bin, r, g, b) AS (VALUES {rows}) SELECT scene_id, CAST(floor(p.r * 0.82) AS INTEGER) AS r, CAST(floor(p.g * 0.82) AS INTEGER) AS g, CAST(floor(p.b * 0.82) AS INTEGER) AS b, count(*) AS n FROM b JOIN p USING (bin) GROUP BY 1, 2, 3, 4")
+    rows = ", ".join("(" + ", ".join(map(str, (i, *((int(c[k : k + 2], 16) * 82 // 100 if i else 0) for k in (1, 3, 5)), 255 if i else 0))) + ")" for i, c in enumerate(lookups.palette(index)))
+    return _px(f", v AS (SELECT scene_id, {_masked(index)} AS v FROM pixels), b AS (SELECT scene_id, {_bin_sql('v', index)} AS bin FROM v), p(bin, r, g, b, a) AS (VALUES {rows}) SELECT scene_id, p.r, p.g, p.b, p.a, count(*) AS n FROM b JOIN p USING (bin) GROUP BY ALL")
 
 
 @query(_rgba_sql("NDVI"))
 def rgba_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = analyses.index_values(pixels(spark, sf_dir), "NDVI")
-    met = values.withColumn("bin", legend.index_bin(F.col("v"), "NDVI")).join(F.broadcast(legend.legend_rows(spark, "NDVI")), "bin")
-    return met.withColumn("c", legend.darkened(legend.rgba(F.col("color")))).groupBy("scene_id", *(F.col("c")[i].alias(n) for i, n in enumerate("rgb"))).agg(F.count("*").alias("n"))
+    met = values.withColumn("c", legend.painted(legend.index_bin(F.col("v"), "NDVI"), "NDVI"))
+    return met.groupBy("scene_id", *(F.col("c")[i].alias(n) for i, n in enumerate("rgba"))).agg(F.count("*").alias("n"))
 
 
 # Scores.
@@ -320,21 +381,21 @@ def _health_sql(days: int) -> str:
         base, span = f"(({v} + 1) / 2 * 100)", max(hi - lo, 1e-6)
         return f"greatest(0.0, least(100.0, CASE WHEN {v} < {lo} THEN {base} - least(40.0, ({lo} - {v}) / {span} * 35) WHEN {v} > {hi} THEN {base} - least(25.0, ({v} - {hi}) / {span} * 20) ELSE {base} + 10 END))"
 
-    c = lookups.CLOUDS_SHADOW
+    ok = "b04 IS NOT NULL AND b05 IS NOT NULL AND b08 IS NOT NULL AND b8a IS NOT NULL AND coalesce(scl NOT IN (3, 8, 9, 10, 11), true)"
     return _px(
-        f", m AS (SELECT scene_id, avg({_masked('NDVI', 'calc', c)}) AS ndvi, avg({_masked('NDRE', 'calc', c)}) AS ndre, round_even(count(CASE WHEN scl IN {c} THEN 1 END)::DOUBLE / count(*) * 100, 2) AS cloud_coverage FROM pixels GROUP BY scene_id),"
-        f" h AS (SELECT *, CAST(round_even(0.6 * {score('ndvi', *a)} + 0.4 * {score('ndre', *b)}, 0) AS INTEGER) AS health FROM m)"
-        f" SELECT scene_id, round(ndvi, 6) AS ndvi, round(ndre, 6) AS ndre, '{stage}' AS stage, health, CASE WHEN health >= 75 THEN 'Healthy' WHEN health >= 50 THEN 'Moderate' ELSE 'Poor' END AS status, CASE WHEN health >= 75 THEN 'Low' WHEN health >= 50 THEN 'Medium' ELSE 'High' END AS stress, cloud_coverage FROM h"
+        f", {_HOLED}, m AS (SELECT scene_id, avg({FORMULAS['calc', 'NDVI']}) FILTER ({ok}) AS ndvi, avg({FORMULAS['calc', 'NDRE']}) FILTER ({ok}) AS ndre, round_even(count(*) FILTER (scl IN (3, 8, 9, 10, 11)) * 100.0::DOUBLE / count(*), 2) AS cloud_coverage FROM holed GROUP BY scene_id),"
+        f" h AS (SELECT *, CASE WHEN ndvi IS NOT NULL THEN CAST(round_even(0.6 * {score('ndvi', *a)} + 0.4 * {score('ndre', *b)}, 0) AS INTEGER) END AS health FROM m)"
+        f" SELECT scene_id, round(ndvi, 6) AS ndvi, round(ndre, 6) AS ndre, '{stage}' AS stage, health, CASE WHEN health >= 75 THEN 'Healthy' WHEN health >= 50 THEN 'Moderate' WHEN health < 50 THEN 'Poor' END AS status, CASE WHEN health >= 75 THEN 'Low' WHEN health >= 50 THEN 'Medium' WHEN health < 50 THEN 'High' END AS stress, cloud_coverage FROM h"
     )
 
 
 for _days in (15, 45, 90, 120):
-    QUERIES[f"crop_health_day{_days}"] = lambda spark, sf_dir, d=_days: analyses.crop_health(pixels(spark, sf_dir), d).withColumns({c: F.round(c, 6) for c in ("ndvi", "ndre")})
+    QUERIES[f"crop_health_day{_days}"] = lambda spark, sf_dir, d=_days: analyses.crop_health(_holed(spark, sf_dir), d).withColumns({c: F.round(c, 6) for c in ("ndvi", "ndre")})
     SQL[f"crop_health_day{_days}"] = _health_sql(_days)
 
 
 # Soil.
-_SOIL = ", ".join(f"{REGISTRY['soil', n].sql} AS {n.lower()}" for n in ("NDVI", "SAVI", "BSI", "CLAY"))
+_SOIL = ", ".join(f"{FORMULAS['soil', n]} AS {n.lower()}" for n in ("NDVI", "SAVI", "BSI", "CLAY"))
 _clamp = lambda v, lo, hi: f"CASE WHEN {v} IS NOT NULL THEN greatest({lo}::DOUBLE, least({hi}::DOUBLE, {v})) END"
 _MAPS = f"si AS (SELECT scene_id, order_id, line, {_SOIL} FROM pixels), sm AS (SELECT *, {_clamp('0.8 + 1.5 * ndvi - 0.6 * bsi', 0.1, 5)} AS soc FROM si), maps AS (SELECT *, {_clamp('140 * soc', 50, 600)} AS n, {_clamp('15 + 40 * (savi + 0.2)', 10, 80)} AS p, {_clamp('80 + 120 * (clay - 0.7)', 50, 350)} AS k FROM sm)"
 
@@ -390,21 +451,26 @@ for _name in "NPK":
 
 
 # Grids and polygons, on the raster.
+_SIZE = 'z AS (SELECT max("row") + 1 AS h, max(col) + 1 AS w FROM raster)'
+
+
 def _inside_sql(x: str, y: str) -> str:
     return " + ".join(f"CASE WHEN ({y1} > {y}) <> ({y2} > {y}) AND {x} < ({x2} - {x1}) * ({y} - {y1}) / ({y2} - {y1}) + {x1} THEN 1 ELSE 0 END" for x1, y1, x2, y2 in grids.edges_of(FIELD))
 
 
-_AOI = f'aoi AS (SELECT * FROM raster WHERE ({_inside_sql("(col + 0.5)", chr(40) + chr(34) + "row" + chr(34) + " + 0.5)")}) % 2 = 1)'
+_AOI = _SIZE + ', u AS (SELECT "row", col, v, (col + 0.5::DOUBLE) / w AS x, ("row" + 0.5::DOUBLE) / h AS y FROM raster, z), ' + f"aoi AS (SELECT * FROM u WHERE ({_inside_sql('x', 'y')}) % 2 = 1)"
 
 
 @query(_ra(f', {_AOI} SELECT "row", col FROM aoi'))
 def aoi_rasterize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.rasterised(raster_of(spark, sf_dir), FIELD).select("row", "col")
+    cells = raster_of(spark, sf_dir)
+    return grids.of_field(cells, FIELD, raster.size_of(cells)).select("row", "col")
 
 
 @query(_ra(f", {_AOI} SELECT count(*) AS n, round(avg(v), 6) AS mean FROM aoi"))
 def aoi_masked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.rasterised(raster_of(spark, sf_dir), FIELD).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    cells = raster_of(spark, sf_dir)
+    return grids.of_field(cells, FIELD, raster.size_of(cells)).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
 _SIDES = "s AS (SELECT o_orderkey AS id, o_totalprice / 20 AS dx, o_totalprice / 50 + 7 AS dy FROM orders)"
@@ -439,9 +505,6 @@ def bounds_wgs84(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Neighbourhoods.
-_SIZE = 'z AS (SELECT max("row") + 1 AS h, max(col) + 1 AS w FROM raster)'
-
-
 def _gauss_sql() -> str:
     import math
 
@@ -461,25 +524,59 @@ def gaussian_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.gaussian(holed).select("row", "col", F.round("v", 6).alias("v"))
 
 
-@query(_ra(f', {_SIZE}, o(a, b) AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b)) SELECT r."row", r.col, round(median(n.v), 6) AS v FROM raster r CROSS JOIN o CROSS JOIN z JOIN raster n ON n."row" = greatest(0, least(h - 1, r."row" + a)) AND n.col = greatest(0, least(w - 1, r.col + b)) GROUP BY 1, 2'))
+def _median_sql(of: str) -> str:
+    """CTEs that end in med(row, col, v) of a relation (row, col, v)."""
+    return f'o(a, b) AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b)), near AS MATERIALIZED (SELECT r."row", r.col, greatest(0, least(h - 1, r."row" + a)) AS r2, greatest(0, least(w - 1, r.col + b)) AS c2 FROM {of} r, o, z), med AS MATERIALIZED (SELECT near."row", near.col, median(n.v) AS v FROM near JOIN {of} n ON n."row" = r2 AND n.col = c2 GROUP BY 1, 2)'
+
+
+@query(_ra(f", {_SIZE}, {_median_sql('raster')} SELECT \"row\", col, round(v, 6) AS v FROM med"))
 def median3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.median3x3(raster_of(spark, sf_dir)).select("row", "col", F.round("v", 6).alias("v"))
 
 
-@query(_ra(f', {_SIZE}, t AS (SELECT i // 40 AS "row", CAST(i % 40 AS INTEGER) AS col, CAST(floor((i // 40 + 0.5) * h / 200) AS BIGINT) AS r, CAST(floor((i % 40 + 0.5) * w / 40) AS INTEGER) AS c FROM range(8000) x(i), z) SELECT t."row", t.col, round(v, 6) AS v FROM t LEFT JOIN raster s ON s."row" = r AND s.col = c'))
+#: The target: two fifths of the rows, 40 columns.
+_TARGET = ", ".join((_SIZE, "s AS (SELECT *, greatest(1, h * 2 // 5) AS th FROM z)"))
+
+
+def _target(cells: DataFrame) -> int:
+    return max(1, raster.size_of(cells).first()["h"] * 2 // 5)
+
+
+@query(_ra(f', {_TARGET}, t AS (SELECT i // 40 AS "row", CAST(i % 40 AS INTEGER) AS col, CAST(floor((i // 40 + 0.5) * h / th) AS BIGINT) AS r, CAST(floor((i % 40 + 0.5) * w / 40) AS INTEGER) AS c FROM (SELECT *, unnest(range(th * 40)) AS i FROM s)) SELECT t."row", t.col, round(v, 6) AS v FROM t LEFT JOIN raster o ON o."row" = r AND o.col = c'))
 def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.nearest(raster_of(spark, sf_dir), 200, 40).select("row", "col", F.round("v", 6).alias("v"))
+    cells = raster_of(spark, sf_dir)
+    return raster.nearest(cells, _target(cells), 40).select("row", "col", F.round("v", 6).alias("v"))
 
 
 @query(
     _ra(
-        f', {_SIZE}, t AS (SELECT i // 40 AS "row", CAST(i % 40 AS INTEGER) AS col, (i // 40 + 0.5::DOUBLE) * h / 200 - 0.5 AS y, (i % 40 + 0.5::DOUBLE) * w / 40 - 0.5 AS x, h, w FROM range(8000) q(i), z), o(a, b) AS (SELECT a, b FROM range(0, 2) x(a), range(0, 2) y(b)),'
+        f', {_TARGET}, t AS (SELECT i // 40 AS "row", CAST(i % 40 AS INTEGER) AS col, (i // 40 + 0.5::DOUBLE) * h / th - 0.5 AS y, (i % 40 + 0.5::DOUBLE) * w / 40 - 0.5 AS x, h, w FROM (SELECT *, unnest(range(th * 40)) AS i FROM s)), o(a, b) AS (SELECT a, b FROM range(0, 2) x(a), range(0, 2) y(b)),'
         ' k AS (SELECT t."row", t.col, (CASE WHEN a = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS k, greatest(0, least(h - 1, floor(y) + a)) AS r, greatest(0, least(w - 1, floor(x) + b)) AS c FROM t, o)'
         ' SELECT k."row", k.col, round(sum(k * v) / sum(k), 6) AS v FROM k JOIN raster s ON s."row" = r AND s.col = c WHERE k > 0 GROUP BY 1, 2'
     )
 )
 def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.bilinear(raster_of(spark, sf_dir), 200, 40).select("row", "col", F.round("v", 6).alias("v"))
+    cells = raster_of(spark, sf_dir)
+    return raster.bilinear(cells, _target(cells), 40).select("row", "col", F.round("v", 6).alias("v"))
+
+
+_HALF = 'half AS (SELECT "row", col, v FROM raster WHERE "row" % 2 = 0 AND col % 2 = 0)'
+
+
+@query(_ra(f', {_HALF} SELECT r."row", r.col, CAST(floor((h.v + 1) * 6) AS INTEGER) AS scl FROM raster r JOIN half h ON h."row" // 2 = r."row" // 2 AND h.col // 2 = r.col // 2'))
+def scl_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes at half the resolution, on the grid of the bands."""
+    coarse = raster_of(spark, sf_dir).where("row % 2 = 0 and col % 2 = 0").select((F.col("row") / 2).cast("long").alias("row"), (F.col("col") / 2).cast("int").alias("col"), F.floor((F.col("v") + 1) * 6).cast("int").alias("v"))
+    fine = raster.upsampled(coarse, 2).withColumnRenamed("v", "scl")
+    return raster_of(spark, sf_dir).select("row", "col").join(fine, ["row", "col"]).select("row", "col", "scl")
+
+
+@query(_ra(f', {_SIZE}, p AS (SELECT CAST(h // 10 AS BIGINT) AS r0, CAST(h // 2 AS BIGINT) AS rows FROM z), t AS (SELECT i // 20 AS "row", CAST(i % 20 AS INTEGER) AS col, r0 + (2 * (i // 20) + 1) * rows // (2 * (rows // 3)) AS r, CAST(floor(9 + (i % 20 + 0.5) * 50 / 20) AS INTEGER) AS c FROM (SELECT *, unnest(range(rows // 3 * 20)) AS i FROM p)) SELECT t."row", t.col, round(v, 6) AS v FROM t LEFT JOIN raster o ON o."row" = r AND o.col = c'))
+def band_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows from a tenth on and 50 columns from the ninth on, read at a third of the rows and 20 columns."""
+    cells = raster_of(spark, sf_dir)
+    h = raster.size_of(cells).first()["h"]
+    return raster.window(cells, h // 10, 9, h // 2, 50, h // 2 // 3, 20).select("row", "col", F.round("v", 6).alias("v"))
 
 
 # Zones of the raster.
@@ -488,7 +585,16 @@ def zones_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zoning.quantile_zones(raster_of(spark, sf_dir), "v").select("row", "col", "zone")
 
 
-@query()
+_KMEANS = """, cnt AS (SELECT count(*) AS n FROM raster), it(i, c, done) AS (
+  SELECT 0, (SELECT quantile_cont(v, [0.05, 0.275, 0.5, 0.725, 0.95]) FROM raster), false
+  UNION ALL SELECT i + 1, m, list_bool_and(list_transform(list_zip(c, m), lambda p: abs(p[1] - p[2]) <= 1e-4 + 1e-5 * abs(p[1]))) FROM (
+    SELECT i, c, list(coalesce(mean, old) ORDER BY k) AS m FROM (
+      SELECT i, c, k, c[k] AS old, (SELECT avg(v) FROM raster WHERE list_position(list_transform(c, lambda x: abs(v - x)), list_min(list_transform(c, lambda x: abs(v - x)))) = k) AS mean FROM it, range(1, 6) r(k) WHERE i < 25 AND NOT done) GROUP BY i, c)
+), e AS (SELECT list_transform(range(1, 5), lambda k: (list_sort(c)[k] + list_sort(c)[k + 1]) / 2) AS e FROM it ORDER BY i DESC LIMIT 1)
+SELECT "row", col, CAST(1 + len(list_filter(list_distinct(e), lambda q: q < v)) AS INTEGER) AS zone FROM raster, e"""
+
+
+@query(_ra(_KMEANS).replace("WITH ", "WITH RECURSIVE ", 1))
 def zones_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zoning.kmeans_zones(raster_of(spark, sf_dir), "v").select("row", "col", "zone")
 
@@ -497,17 +603,46 @@ def _cells(spark: SparkSession, sf_dir: str, classes: int = 2) -> DataFrame:
     return raster_of(spark, sf_dir).select(F.lit(0).cast("long").alias("grid"), F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), F.floor((F.col("v") + 1) * 8 % classes + 1).cast("int").alias("z"))
 
 
-@query()
+def _cells_sql(classes: int) -> str:
+    return f'cells AS MATERIALIZED (SELECT "row", col, CAST(floor((v + 1) * 8 % {classes} + 1) AS INTEGER) AS z FROM raster)'
+
+
+def _labels_sql(of: str, diagonal: bool, name: str, rounds: int = 24) -> str:
+    """CTEs that end in {name}(id, l): the least of the identifiers row * 64 + col that a cell of a relation (row, col, z) is connected with; zone 0 is none. Labels hook on and jump, so rounds are few."""
+    steps = "(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)" if diagonal else "(-1, 0), (0, -1), (0, 1), (1, 0)"
+    return (
+        f'{name}_n AS MATERIALIZED (SELECT x."row" * 64 + x.col AS a, y."row" * 64 + y.col AS b FROM (SELECT c.*, c."row" + p AS r2, c.col + q AS c2 FROM {of} c, (VALUES {steps}) s(p, q) WHERE c.z > 0) x JOIN {of} y ON y."row" = r2 AND y.col = c2 AND y.z = x.z),'
+        f' {name}_i(i, id, l) AS (SELECT 0, "row" * 64 + col, "row" * 64 + col FROM {of} WHERE z > 0 UNION ALL SELECT i + 1, x, min(c) FROM ('
+        f' SELECT p.i, p.id AS x, g.l AS c FROM {name}_i p JOIN {name}_i g ON g.id = p.l UNION ALL'
+        f' SELECT p.i, unnest([p.id, p.l]) AS x, h.l AS c FROM {name}_n n JOIN {name}_i p ON p.id = n.a JOIN {name}_i o ON o.id = n.b JOIN {name}_i h ON h.id = o.l) WHERE i < {rounds} GROUP BY i, x),'
+        f' {name} AS MATERIALIZED (SELECT id, l FROM {name}_i WHERE i = {rounds})'
+    )
+
+
+def _dissolved_sql(of: str, least: int) -> str:
+    """CTEs that end in flat(row, col, z)."""
+    return (
+        _labels_sql(of, True, "l8") + f', p8 AS MATERIALIZED (SELECT l, any_value(z) AS own, count(*) AS n, min("row") AS r1, max("row") AS r2, min(col) AS c1, max(col) AS c2 FROM l8 JOIN {of} ON id = "row" * 64 + col GROUP BY l),'
+        f' votes AS (SELECT l, z, count(*) AS k FROM p8 JOIN {of} c ON c."row" BETWEEN r1 - 1 AND r2 + 1 AND c.col BETWEEN c1 - 1 AND c2 + 1 WHERE n < {least} AND z > 0 AND z <> own GROUP BY l, z),'
+        f' won AS (SELECT l, z FROM votes QUALIFY row_number() OVER (PARTITION BY l ORDER BY k DESC, z) = 1), flat AS MATERIALIZED (SELECT c."row", c.col, coalesce(w.z, c.z) AS z FROM {of} c LEFT JOIN l8 ON id = "row" * 64 + col LEFT JOIN won w USING (l))'
+    )
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(_ra(f', {_cells_sql(2)}, {_labels_sql("cells", False, "lab")} SELECT "row", col, z, l // 64 AS r0, l % 64 AS c0 FROM cells JOIN lab ON id = "row" * 64 + col')))
 def components4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.components(_cells(spark, sf_dir), False).select("row", "col", "z", "label.r0", "label.c0")
 
 
-@query()
+@query(_recursive(_ra(f', {_cells_sql(2)}, {_labels_sql("cells", True, "lab")} SELECT "row", col, z, l // 64 AS r0, l % 64 AS c0 FROM cells JOIN lab ON id = "row" * 64 + col')))
 def components8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.components(_cells(spark, sf_dir), True).select("row", "col", "z", "label.r0", "label.c0")
 
 
-@query()
+@query(_recursive(_ra(f', {_cells_sql(3)}, {_dissolved_sql("cells", 5)} SELECT "row", col, z FROM flat')))
 def dissolve_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.dissolved(_cells(spark, sf_dir, 3), 5).select("row", "col", "z")
 
@@ -516,24 +651,48 @@ def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.zone_pipeline(raster_of(spark, sf_dir))
 
 
-@query()
+#: Quantile zones, median filtered, small patches dissolved, and the patches.
+_PATCHES = (
+    f", {_SIZE}, e AS (SELECT quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS e FROM raster), zoned AS MATERIALIZED (SELECT \"row\", col, CAST(1 + len(list_filter(list_distinct(e), lambda q: q < v)) AS DOUBLE) AS v FROM raster, e), {_median_sql('zoned')},"
+    f' cells AS MATERIALIZED (SELECT "row", col, CAST(v AS INTEGER) AS z FROM med), {_dissolved_sql("cells", 5)}, {_labels_sql("flat", False, "l4")},'
+    ' found AS MATERIALIZED (SELECT any_value(z) AS zone, l, count(*) AS pixels, round_even(count(*) * 100.0::DOUBLE / 10000, 4) AS area_ha, min("row") AS r1, max("row") AS r2, min(col) AS c1, max(col) AS c2 FROM l4 JOIN flat ON id = "row" * 64 + col GROUP BY l),'
+    ' patch AS (SELECT 0::BIGINT AS grid, zone, CAST(row_number() OVER (ORDER BY zone, l) AS INTEGER) AS patch_id, pixels, area_ha, CASE WHEN area_ha >= 1 THEN \'core\' WHEN r1 = a1 OR r2 = a2 OR c1 = b1 OR c2 = b2 THEN \'edge\' ELSE \'isolated\' END AS patch_type, r1, r2, c1, c2, l // 64 AS r0, l % 64 AS c0'
+    ' FROM found, (SELECT min("row") AS a1, max("row") AS a2, min(col) AS b1, max(col) AS b2 FROM flat))'
+)
+
+
+@query(_recursive(_ra(f"{_PATCHES} SELECT * FROM patch")))
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zoning.patches(_zones(spark, sf_dir))
 
 
-for _name in "NPK":
-    QUERIES[f"vra_rates_{_name.lower()}"] = lambda spark, sf_dir, n=_name: analyses.variable_rates(raster_of(spark, sf_dir), n)
+def _vra_sql(nutrient: str, crop: str) -> str:
+    rows = ", ".join(f"({i + 1}, '{label}', {d}::DOUBLE, {p}::DOUBLE)" for i, (label, (d, p)) in enumerate(zip(lookups.zone_labels(5), (lookups.doses(nutrient, f) for f in lookups.dose_fractions(5)), strict=True)))
+    return _recursive(_ra(
+        f"{_PATCHES}, d(zone, label, nutrient_dose, product_dose) AS (VALUES {rows}), s AS (SELECT zone, sum(pixels) AS pixels, sum(area_ha) AS ha, count(*) AS patches FROM patch GROUP BY zone), rates AS (SELECT d.*, coalesce(CAST(pixels AS BIGINT), 0) AS pixels, coalesce(ha, 0) AS ha, coalesce(patches, 0) AS patches FROM d LEFT JOIN s USING (zone))"
+        f" SELECT zone, label, pixels, round_even(ha, 3) AS area_ha, round_even(ha * 2.47105, 3) AS area_acres, nutrient_dose, '{lookups.PRODUCTS[nutrient][0]}' AS product, product_dose, round_even(product_dose * ha, 1) AS total_kg, patches, '{crop}' AS crop, {lookups.CROP_DEMAND[crop]['NPK'.index(nutrient)]}::DOUBLE AS demand_kg_t FROM rates"
+    ))
+
+
+for _name, _crop in (("N", "Onion"), ("P", None), ("K", "quinoa")):
+    QUERIES[f"vra_rates_{_name.lower()}"] = lambda spark, sf_dir, n=_name, c=_crop: analyses.variable_rates(raster_of(spark, sf_dir), n, crop=c)
+    SQL[f"vra_rates_{_name.lower()}"] = _vra_sql(_name, {"N": "onion", "P": "wheat", "K": "default"}[_name])
 
 
 @query()
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a FeatureCollection in longitudes and latitudes."""
     zones = _zones(spark, sf_dir)
-    return zoning.features(zoning.patches(zones), raster.traced(zones.where("z > 0")), lookups.zone_labels(5))
+    return zoning.collection_lines(zoning.features(zoning.patches(zones), raster.traced(zones.where("z > 0")), lookups.zone_labels(5), (500_000.0, 2_200_000.0, 10.0, 32643)))
 
 
 @query()
 def text_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zoning.report_rows(analyses.variable_rates(raster_of(spark, sf_dir), "N"))
+    """A whole report: carbon of the pixels, doses of the raster."""
+    maps, cells = _maps(spark, sf_dir), raster_of(spark, sf_dir)
+    size = raster.size_of(cells).first()
+    meta = {"crop": lookups.crop_key("Onion"), "date": "2024-01-10", "cloud": 3.5, "collection": lookups.collections("s2")[0], "height": size["h"], "width": size["w"], "res_m": 10.0, "zones": 5, "method": "quantile"}
+    return zoning.text_report(meta, zoning.soc_stats(maps), zoning.soc_classes(maps), {n: analyses.variable_rates(cells, n) for n in "NPK"})
 
 
 @query(_ra(' SELECT min("row") AS r1, max("row") AS r2, min(col) AS c1, max(col) AS c2 FROM raster WHERE v > 0.3'))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrabrook.functions import classify, lookups
 from terrabrook.functions.indices import REGISTRY, canonical_name, index_column, is_radar, lookup, register_index, resolve_asset
-from terrabrook.operators import grid, legend, mosaic, quality, raster, scenes, zoning
+from terrabrook.operators import grid, legend, mosaic, quality, quantiles, raster, scenes, zoning
 from terrabrook.plans import analyses, catalog
 
 PIXEL = {"b02": 0.05, "b03": 0.08, "b04": 0.10, "b05": 0.18, "b08": 0.40, "b8a": 0.42, "b11": 0.25, "b12": 0.15, "vv": 0.05, "vh": 0.01}
@@ -94,7 +94,7 @@ def test_scene_choice(spark):
     assert scenes.provider_fallback(df.limit(0), [0]).count() == 0
     assert [r["item_id"] for r in scenes.date_window(df, "2024-01-05", 3).collect()] == [3, 4]
     assert [r["item_id"] for r in scenes.cloud_ladder(df, "2024-01-01", "2024-01-01").collect()] == [1]
-    assert sorted(r["item_id"] for r in scenes.cloud_ladder(df, "2024-01-04", "2024-01-05").collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r["item_id"] for r in scenes.cloud_ladder(df, "2024-01-04", "2024-01-05").collect()) == [1, 2, 5]
     assert [r["item_id"] for r in scenes.search(df, "2024-01-02", "2024-01-02").orderBy("item_id").collect()] == [3, 4]
     with pytest.raises(ValueError):
         scenes.search(df, "2024-02-01", "2024-01-01")
@@ -198,7 +198,7 @@ def test_components_dissolve_and_rings(spark, seed):
     for mark, cells in patches.items():
         if len(cells) < 5:
             rs, cs = [c[0] for c in cells], [c[1] for c in cells]
-            votes = Counter(int(z[i, j]) for i in range(max(0, min(rs) - 1), min(14, max(rs) + 2)) for j in range(max(0, min(cs) - 1), min(12, max(cs) + 2)) if marks[i, j] != mark)
+            votes = Counter(int(z[i, j]) for i in range(max(0, min(rs) - 1), min(14, max(rs) + 2)) for j in range(max(0, min(cs) - 1), min(12, max(cs) + 2)) if z[i, j] != z[mark])
             if votes:
                 best = min(votes, key=lambda k: (-votes[k], k))
                 for cell in cells:
@@ -279,16 +279,53 @@ def test_legend_and_scores(spark):
     assert health["health"] == round(0.6 * 90 + 0.4 * 80) and health["stage"] == "vegetative" and health["status"] == "Healthy"
 
 
-def test_catalogue_is_whole():
-    assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) > 110
-
-
-def test_components_need_no_task_of_a_whole_class(spark):
-    """A spiral in one class: many rounds of links, solved without a Python group."""
+def test_components_cross_tiles(spark, monkeypatch):
+    """A spiral in one class, and random cells with holes, over many small tiles: no task has more than a tile."""
+    monkeypatch.setattr(raster, "TILE", 4)
     n = 9
     spiral = {(0, c) for c in range(n)} | {(r, n - 1) for r in range(n)} | {(n - 1, c) for c in range(n)} | {(r, 0) for r in range(2, n)} | {(2, c) for c in range(n - 2)} | {(r, n - 3) for r in range(2, n - 2)}
     cells = spark.createDataFrame([(5, r, c, 1 if (r, c) in spiral else 2) for r in range(n) for c in range(n)], "grid long, row long, col int, z int")
     named = raster.components(cells, False)
-    assert "FlatMapGroupsInPandas" not in named._jdf.queryExecution().toString()
     assert {tuple(r["label"]) for r in named.where("z = 1").collect()} == {(0, 0)}
     assert named.count() == n * n
+    rng = np.random.default_rng(6)
+    z = rng.integers(1, 3, (19, 14))
+    for diagonal in (False, True):
+        got = {(r["row"], r["col"]): tuple(r["label"]) for r in raster.components(cells_of(spark, z), diagonal).collect()}
+        assert got == label(z, diagonal)
+    two = cells_of(spark, z).unionByName(cells_of(spark, z).withColumn("grid", F.lit(1).cast("long"))).where("(row + col) % 5 > 0")
+    sizes = [sorted(r["n"] for r in raster.components(two.where(f"grid = {g}"), True).groupBy("label").agg(F.count("*").alias("n")).collect()) for g in (0, 1)]
+    both = raster.components(two, True).groupBy("grid", "label").agg(F.count("*").alias("n")).collect()
+    assert sizes[0] == sizes[1] == sorted(r["n"] for r in both if r["grid"] == 1)
+    assert raster.components(cells.limit(0), True).count() == 0
+
+
+def test_dissolve_leaves_out_the_own_zone(spark):
+    """A diagonal of four cells, whose box is mostly other patches of its zone, takes the smaller of two other zones that are as frequent."""
+    z = np.full((6, 6), 0)
+    for i in range(1, 5):
+        z[i, i] = 1
+    free = [(r, c) for r in range(6) for c in range(6) if z[r, c] == 0]
+    apart = [(r, c) for r, c in free if all(max(abs(r - i), abs(c - i)) > 1 for i in range(1, 5))]
+    for k, cell in enumerate(c for c in free if c not in apart):
+        z[cell] = 2 + k % 2
+    for cell in apart:
+        z[cell] = 1
+    want = {2: 0, 3: 0}
+    for cell in free:
+        if z[cell] in want:
+            want[z[cell]] += 1
+    got = array_of(raster.dissolved(cells_of(spark, z), 5), z.shape, "z")
+    assert {got[i, i] for i in range(1, 5)} == {min(want, key=lambda k: (-want[k], k))}
+
+
+def test_percentiles_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = np.concatenate((rng.normal(size=4000), np.full(3000, 0.25), rng.integers(0, 5, 900)))
+    df = spark.createDataFrame([(float(x),) for x in data] + [(None,), (float("nan"),)], "v double").repartition(5)
+    fractions = [0.0, 0.02, 0.2, 0.5, 0.77, 0.98, 1.0]
+    monkeypatch.setattr(quantiles, "GATHERED", 40)
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    assert quantiles.exact_percentiles(df, "v", fractions) == pytest.approx(list(np.quantile(data, fractions)), abs=1e-12)
+    assert quantiles.exact_percentiles(df.limit(0), "v", fractions) == []
+    assert quantiles.exact_percentiles(spark.createDataFrame([(3.0,)], "v double"), "v", fractions) == [3.0] * 7
