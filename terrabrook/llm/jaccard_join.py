@@ -223,7 +223,8 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 def _hub_pairs(apart: DataFrame, turn: int, percent: int) -> DataFrame:
     """(a, b): of each group one document with all that are in other components."""
     order = F.struct(F.lit(0) if not turn else F.xxhash64("doc", F.lit(turn)), "doc", "n", "r", "s", "root")
-    met = apart.join(apart.groupBy("h").agg(F.min(order).alias("hub")), "h").where("root <> hub.root")
+    hubs = saved(apart.groupBy("h").agg(F.min(order).alias("hub")), "hubs")  # a table of its own, so that Spark may split the groups it is joined with
+    met = apart.join(hubs, "h").where("root <> hub.root")
     pairs = met.select(*(F.col(f"hub.{c}").alias(f"a{k}") for c, k in (("doc", ""), ("n", "n"), ("r", "r"), ("s", "s"))), *(F.col(c).alias(f"b{k}") for c, k in (("doc", ""), ("n", "n"), ("r", "r"), ("s", "s"))))
     return pairs.where(_may_link("a", "b", percent)).select("a", "b")
 
@@ -301,9 +302,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, of: int) -> DataF
 
 def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The groups that hold documents of different components, which become `root`."""
-    rows = shared.join(roots, shared["doc"] == roots["node"], "left").select("h", "doc", "n", "r", "s", F.coalesce("root", "doc").alias("root"))
-    ends = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return rows.join(ends.select("h"), "h", "left_semi")
+    rows = saved(shared.join(roots, shared["doc"] == roots["node"], "left").select("h", "doc", "n", "r", "s", F.coalesce("root", "doc").alias("root")), "rooted")
+    ends = saved(rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "ends")
+    return rows.join(ends, "h", "left_semi")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
