@@ -228,6 +228,48 @@ def asset_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", *(choose.http_url(resolve_asset("assets", b)).alias(n) for n, b in (("red", "B04"), ("nir", "B08"))))
 
 
+_ANY = " ".join(f"WHEN {c} THEN 'https://bucket.s3.amazonaws.com/{n}/' || item_id" for n, c in (("red", "k % 3 = 0"), ("B04", "k % 2 = 0"), ("B08", "k % 7 = 0"), ("nir", "k % 5 <> 0")))
+
+
+@query(_sc(f" SELECT item_id, CASE {_ANY} END AS href, CASE WHEN k % 2 = 0 THEN 'https://a.s3.amazonaws.com/' || item_id WHEN k % 3 = 0 THEN 'http://b/' || item_id ELSE 'gs://c/' || item_id END AS preferred FROM scenes"))
+def asset_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first asset that a reader would open, and an http address before one of another scheme."""
+    rows, name = _assets(scenes(spark, sf_dir)), F.col("item_id").cast("string")
+    href = F.concat(F.when(F.col("k") % 2 == 0, "s3://a/").otherwise("gs://c/"), name)
+    others = F.when(F.col("k") % 3 == 0, F.array(F.concat(F.lit("ftp://d/"), name), F.concat(F.lit("http://b/"), name))).otherwise(F.array().cast("array<string>"))
+    return rows.select("item_id", choose.first_asset("assets").alias("href"), choose.prefer_http(href, others).alias("preferred"))
+
+
+@query(_sc(" SELECT item_id FROM scenes WHERE item_id % 3 = 2 AND acquired >= TIMESTAMP '2024-01-03' AND acquired < TIMESTAMP '2024-01-21' AND provider = 0"))
+def search_by_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radar scenes of the provider that is asked first by default."""
+    names = F.array(*map(F.lit, (*lookups.OPTICAL_COLLECTIONS, *lookups.RADAR_COLLECTIONS)))
+    rows = scenes(spark, sf_dir).withColumn("collection", F.get(names, (F.col("item_id") % 3).cast("int")))
+    rows = rows.withColumn("provider", F.when(F.col("provider") == 0, "planetary").otherwise("aws"))
+    return choose.provider_fallback(choose.search(rows, "2024-01-03", "2024-01-20", lookups.collections("s1")), lookups.provider_order("both")).select("item_id")
+
+
+def _meets_sql() -> str:
+    edges = ", ".join(f"({', '.join(map(str, e))})" for e in grids.edges_of(FIELD))
+    turn = lambda a, b, c: f"sign(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+    inside = " + ".join(f"CASE WHEN ({y1} > y0) <> ({y2} > y0) AND x0 < ({x2} - {x1}) * (y0 - {y1}) / ({y2} - {y1}) + {x1} THEN 1 ELSE 0 END" for x1, y1, x2, y2 in grids.edges_of(FIELD))
+    x, y = FIELD[0][0]
+    return (
+        f", f AS (SELECT item_id, item_id % 97 / 97.0::DOUBLE AS x0, item_id % 89 / 89.0::DOUBLE AS y0, item_id % 97 / 97.0::DOUBLE + 0.0625 AS x1, item_id % 89 / 89.0::DOUBLE + 0.03125 AS y1 FROM scenes), e(px, py, qx, qy) AS (VALUES {edges}),"
+        " s AS (SELECT item_id, x0 AS cx, y0 AS cy, x1 AS dx, y0 AS dy FROM f UNION ALL SELECT item_id, x1, y0, x1, y1 FROM f UNION ALL SELECT item_id, x1, y1, x0, y1 FROM f UNION ALL SELECT item_id, x0, y1, x0, y0 FROM f),"
+        f" c AS (SELECT DISTINCT item_id FROM s, e WHERE greatest(px, qx) >= least(cx, dx) AND greatest(cx, dx) >= least(px, qx) AND greatest(py, qy) >= least(cy, dy) AND greatest(cy, dy) >= least(py, qy) AND {turn('p', 'q', 'c')} * {turn('p', 'q', 'd')} <= 0 AND {turn('c', 'd', 'p')} * {turn('c', 'd', 'q')} <= 0)"
+        f" SELECT item_id FROM c UNION SELECT item_id FROM f WHERE ({inside}) % 2 = 1 OR ({x} BETWEEN x0 AND x1 AND {y} BETWEEN y0 AND y1)"
+    )
+
+
+@query(_sc(_meets_sql()))
+def scenes_intersecting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes whose rectangle meets the field."""
+    x, y = F.col("item_id") % 97 / F.lit(97.0), F.col("item_id") % 89 / F.lit(89.0)
+    points = F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (0.0625, 0), (0.0625, 0.03125), (0, 0.03125))))
+    return choose.intersecting(scenes(spark, sf_dir).withColumn("footprint", points), FIELD).select("item_id")
+
+
 @query(_sc(" SELECT item_id FROM scenes WHERE k % 2 = 0 AND k % 7 = 0"))
 def required_assets_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assets(scenes(spark, sf_dir)).where(choose.has_assets("assets", ["B04", "B08"])).select("item_id")
@@ -490,15 +532,57 @@ def native_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sides(spark, sf_dir).select("id", grids.native_grid(F.col("dx"), F.col("dy")).alias("g")).select("id", F.round("g.res_m", 9).alias("res_m"), "g.width", "g.height")
 
 
-@query("SELECT o_orderkey AS id, round(75 + (o_custkey % 60) / 20.0 - 1.5, 6)::DOUBLE AS lon, round((o_orderkey % 1600) / 20.0 - 40, 6)::DOUBLE AS lat FROM orders")
+@query(f"WITH {_SIDES}, r AS (SELECT *, greatest(5.0, least(40.0, greatest(0.5, greatest(dx, dy) / 1200))) AS res FROM s) SELECT id, round(res, 9) AS res_m, CAST(greatest(1, ceil(dx / res)) AS INTEGER) AS width, CAST(greatest(1, ceil(dy / res)) AS INTEGER) AS height FROM r")
+def capped_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sides(spark, sf_dir).select("id", grids.capped_grid(F.col("dx"), F.col("dy")).alias("g")).select("id", F.round("g.res_m", 9).alias("res_m"), "g.width", "g.height")
+
+
+#: The published series of the transverse Mercator projection, as numbers, for zone 43 north.
+_AHEAD, _THIRD = (8.377318206244698e-4, 7.608527773572307e-7, 1.197645503329453e-9, 2.429170607201359e-12), 0.0016792203863837047
+
+
+def _utm_sql(of: str) -> str:
+    """(*, x, y) of a relation with lon and lat."""
+    x, y = (" + ".join(f"{c} * {f}({2 * j} * xi) * {h}({2 * j} * eta)" for j, c in enumerate(_AHEAD, 1)) for f, h in (("cos", "sinh"), ("sin", "cosh")))
+    return (
+        f"(SELECT * EXCLUDE (t, l, xi, eta), 500000 + 0.9996 * 6367449.145823415e0 * (eta + {x}) AS x, 0.9996 * 6367449.145823415e0 * (xi + {y}) AS y FROM (SELECT *, atan2(t, cos(l)) AS xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS eta"
+        f" FROM (SELECT *, radians(lon - 75) AS l, sinh(atanh(sin(radians(lat))) - 0.08181919084262149 * atanh(0.08181919084262149 * sin(radians(lat)))) AS t FROM {of})))"
+    )
+
+
+@query(f"WITH p AS (SELECT o_orderkey AS id, (75 + (o_custkey % 60) / 20.0 - 1.5)::DOUBLE AS lon, ((o_orderkey % 1600) / 20.0 - 40)::DOUBLE AS lat FROM orders) SELECT id, round(x, 2) AS x, round(y, 2) AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {_utm_sql('p')}")
 def utm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("cast(75 + (o_custkey % 60) / 20.0 - 1.5 as double)").alias("lon"), F.expr("cast((o_orderkey % 1600) / 20.0 - 40 as double)").alias("lat"))
     east, north = grids.to_utm(F.col("lon"), F.col("lat"), 32643)
     lon, lat = grids.from_utm(F.col("x"), F.col("y"), 32643)
-    return rows.select("id", east.alias("x"), north.alias("y")).select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+    return rows.select("id", east.alias("x"), north.alias("y")).select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-@query()
+_BOX = "b AS (SELECT o_orderkey AS id, 75 + (o_custkey % 60) / 20.0 - 1.5 AS lon0, (o_orderkey % 1600) / 20.0 - 40 AS lat0 FROM orders), p AS (SELECT id, (lon0 + a)::DOUBLE AS lon, (lat0 + c)::DOUBLE AS lat FROM b, (VALUES (0, 0), (0.25, 0.125), (-0.125, 0.5)) v(a, c))"
+
+
+@query(f"WITH {_BOX} SELECT id, round(min(x), 3) AS x1, round(max(x), 3) AS x2, round(min(y), 3) AS y1, round(max(y), 3) AS y2 FROM {_utm_sql('p')} GROUP BY id")
+def geojson_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons read from GeoJSON, reprojected, and their bounds; every other one is a Feature."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("75 + (o_custkey % 60) / 20.0 - 1.5").alias("lon"), F.expr("(o_orderkey % 1600) / 20.0 - 40").alias("lat"))
+    ring = F.concat_ws(",", *(F.concat(F.lit("["), (F.col("lon") + a).cast("string"), F.lit(","), (F.col("lat") + c).cast("string"), F.lit("]")) for a, c in ((0, 0), (0.25, 0.125), (-0.125, 0.5), (0, 0))))
+    shape = F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}"))
+    text = F.when(F.col("id") % 2 == 0, shape).otherwise(F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit("}")))
+    ring = rows.select("id", grids.reprojected(grids.rings_of(text), 32643)[0].alias("r"))
+    across, along = F.transform("r", lambda p: p["x"]), F.transform("r", lambda p: p["y"])
+    return ring.select("id", *(F.round(c, 3).alias(n) for n, c in (("x1", F.array_min(across)), ("x2", F.array_max(across)), ("y1", F.array_min(along)), ("y2", F.array_max(along)))))
+
+
+_BACK = (
+    f"WITH n AS (SELECT {_THIRD!r}::DOUBLE AS n), b AS (SELECT n, n / 2 - 2 * pow(n, 2) / 3 + 37 * pow(n, 3) / 96 AS b1, pow(n, 2) / 48 + pow(n, 3) / 15 AS b2, 17 * pow(n, 3) / 480 AS b3, 2 * n - 2 * pow(n, 2) / 3 - 2 * pow(n, 3) AS d1, 7 * pow(n, 2) / 3 - 8 * pow(n, 3) / 5 AS d2, 56 * pow(n, 3) / 15 AS d3 FROM n),"
+    " p AS (SELECT s_suppkey * 10 / (0.9996 * 6367449.145823415e0) AS e, (2200000.0 + s_suppkey * 7) / (0.9996 * 6367449.145823415e0) AS k FROM supplier),"
+    " q AS (SELECT b.*, k - b1 * sin(2 * k) * cosh(2 * e) - b2 * sin(4 * k) * cosh(4 * e) - b3 * sin(6 * k) * cosh(6 * e) AS k, e - b1 * cos(2 * k) * sinh(2 * e) - b2 * cos(4 * k) * sinh(4 * e) - b3 * cos(6 * k) * sinh(6 * e) AS e FROM p, b),"
+    " r AS (SELECT *, asin(sin(k) / cosh(e)) AS c FROM q), g AS (SELECT 75 + degrees(atan(sinh(e) / cos(k))) AS lon, degrees(c + d1 * sin(2 * c) + d2 * sin(4 * c) + d3 * sin(6 * c)) AS lat FROM r)"
+    " SELECT round(min(lon), 7) AS west, round(min(lat), 7) AS south, round(max(lon), 7) AS east, round(max(lat), 7) AS north FROM g"
+)
+
+
+@query(_BACK)
 def bounds_wgs84(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = table(spark, sf_dir, "supplier").select((F.lit(500000.0) + F.col("s_suppkey") * 10).alias("x"), (F.lit(2200000.0) + F.col("s_suppkey") * 7).alias("y"))
     return grids.bounds_lonlat(corners, 32643).select(*(F.round(c, 7).alias(c) for c in ("west", "south", "east", "north")))
@@ -700,6 +784,84 @@ def tight_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.tight_extent(raster_of(spark, sf_dir).where("v > 0.3"))
 
 
+# Analyses of a field: cells are (order_id, line) as row and column.
+_FIELD_ROWS = f"px AS (SELECT * EXCLUDE (fx, fy, h, w) FROM (SELECT p.*, h, w, (line + 0.5::DOUBLE) / w AS fx, (order_id + 0.5::DOUBLE) / h AS fy FROM pixels p, (SELECT max(order_id) + 1 AS h, max(line) + 1 AS w FROM pixels)) WHERE ({_inside_sql('fx', 'fy')}) % 2 = 1)"
+
+
+def _field(spark: SparkSession, sf_dir: str) -> analyses.Field:
+    size = pixels(spark, sf_dir).agg((F.max("order_id") + 1).alias("h"), (F.max("line") + 1).alias("w"))
+    return analyses.Field(FIELD, size, "order_id", "line")
+
+
+def _of_field(sql: str) -> str:
+    """SQL on the pixels, on those of the field."""
+    return sql.replace("FROM lineitem)", f"FROM lineitem), {_FIELD_ROWS}", 1).replace("FROM pixels", "FROM px").replace("FROM px p, (SELECT max(order_id) + 1 AS h, max(line) + 1 AS w FROM px)", "FROM pixels p, (SELECT max(order_id) + 1 AS h, max(line) + 1 AS w FROM pixels)").replace("FROM (SELECT p.*, day FROM px p", "FROM (SELECT p.*, day FROM px p")
+
+
+@query(_of_field(SQL["index_map_ndvi"]))
+def index_map_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = analyses.index_map(pixels(spark, sf_dir), "NDVI", _CELL, _ORDER, _field(spark, sf_dir))
+    return values.groupBy(legend.index_bin(F.col("v"), "NDVI").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query(_of_field(SQL["veg_ts_evi"]))
+def time_series_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    rows = scenes(spark, sf_dir).withColumn("item_id", F.col("item_id") % suppliers.scalar() + 1)
+    return _named(analyses.time_series(pixels(spark, sf_dir), rows, "EVI", "veg_ts", field=_field(spark, sf_dir)))
+
+
+@query(_of_field(SQL["npk_score_factor"]))
+def nutrients_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.nutrient_availability(pixels(spark, sf_dir), _field(spark, sf_dir))
+
+
+@query(_of_field(SQL["crop_health_day45"]))
+def crop_health_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.crop_health(_holed(spark, sf_dir), 45, field=_field(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("ndvi", "ndre")})
+
+
+_CLEAR = _MAPS.replace("FROM pixels)", "FROM pixels WHERE scl NOT IN (3, 8, 9, 10, 11))")
+
+
+@query(_of_field(SQL["soc_stats"].replace(_MAPS, _CLEAR)))
+def soil_carbon_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.soil_carbon(pixels(spark, sf_dir), _field(spark, sf_dir))[0]
+
+
+def _soil_sql() -> str:
+    import math
+
+    k = [math.exp(-(d * d) / 2) for d in range(-4, 5)]
+    rows = ", ".join(f"({d}, {x / sum(k)!r}::DOUBLE)" for d, x in zip(range(-4, 5), k))
+    names = ("ndvi", "ndwi", "savi", "bsi", "swir1", "clay")
+    flip = lambda i, n: f"CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
+    first = "best AS (SELECT * FROM px QUALIFY row_number() OVER (PARTITION BY order_id, line ORDER BY acquired, scene_id, b08, b04) = 1)"
+    values = ", ".join(f"CASE WHEN scl NOT IN (3, 8, 9, 10, 11) THEN {FORMULAS['soil', n.upper()]} END AS {n}" for n in names)
+    one = ", ".join(f"sum(x * coalesce(o.{n}, 0)) AS s_{n}, sum(x * CASE WHEN o.{n} IS NULL THEN 0 ELSE 1 END) AS m_{n}" for n in names)
+    two = ", ".join(f"sum(x * o.s_{n}) AS s_{n}, sum(x * o.m_{n}) AS m_{n}" for n in names)
+    mean = ", ".join(f"round_even(avg(CASE WHEN m_{n} > 1e-6 THEN s_{n} / m_{n} END), 5) AS {n}" for n in names)
+    return _of_field(_px(
+        f", {first}, z AS (SELECT max(order_id) + 1 AS h, max(line) + 1 AS w FROM lines), g AS MATERIALIZED (SELECT order_id AS r, line AS c, {values} FROM best), k(d, x) AS (VALUES {rows}),"
+        f" a1 AS MATERIALIZED (SELECT r, c, x, {flip('c + d', 'w')} AS c2 FROM g, k, z), a AS MATERIALIZED (SELECT a1.r, a1.c, {one} FROM a1 JOIN g o ON o.r = a1.r AND o.c = c2 GROUP BY 1, 2),"
+        f" b1 AS MATERIALIZED (SELECT r, c, x, {flip('r + d', 'h')} AS r2 FROM a, k, z), b AS (SELECT b1.r, b1.c, {two} FROM b1 JOIN a o ON o.c = b1.c AND o.r = r2 GROUP BY 1, 2) SELECT {mean} FROM b"
+    )).replace("FROM lines)", "FROM pixels)")
+
+
+@query(_soil_sql())
+def soil_field_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The soil analysis of a field's mosaic: required bands, clip, clouds, smoothing, mean indices."""
+    field = _field(spark, sf_dir)
+    first = mosaic.first_valid(pixels(spark, sf_dir), _CELL, zoning.SOIL_BANDS, _ORDER)
+    return zoning.mean_indices(analyses.soil_field(first, field, 1.0, "order_id", "line"))
+
+
+@query(_ra(f", v AS (SELECT \"row\" * 2 + a AS \"row\", CAST(col * 2 + b AS INTEGER) AS col, {_bin_sql('v', 'NDVI')} AS bin FROM raster, range(2) x(a), range(2) y(b)), p(bin, r, g, b, a) AS (VALUES " + ", ".join("(" + ", ".join(map(str, (i, *((int(c[k : k + 2], 16) * 82 // 100 if i else 0) for k in (1, 3, 5)), 255 if i else 0))) + ")" for i, c in enumerate(lookups.palette("NDVI"))) + ') SELECT v."row", v.col, bin, p.r, p.g, p.b, p.a FROM v JOIN p USING (bin)'))
+def rendered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster as coloured cells at twice its resolution."""
+    return legend.rendered(raster_of(spark, sf_dir), "NDVI", 2).select("row", "col", "bin", *(F.col("rgba")[i].alias(n) for i, n in enumerate("rgba")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
