@@ -45,7 +45,7 @@ PART, SENT = 1000, 50_000
 #: Bits of the filter that keeps texts without candidates from being shuffled: at least and at most (8 MB); doc_ids beyond share bits.
 MARKS, MOST_MARKS = 1 << 22, 1 << 26
 #: Hub rounds at most, before what is left meets in blocks.
-ROUNDS = 3
+ROUNDS = 2
 #: Lengths of a block differ by this factor at most.
 BLOCK = 1.1
 

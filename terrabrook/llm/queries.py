@@ -129,5 +129,34 @@ FROM ruled r LEFT JOIN listed l ON r.canonical = l.canonical
 """
 
 
+_CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), m AS (SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^<\[\\]', '', 'g')) + 13 AS chars, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
+  sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w
+), classes AS MATERIALIZED (SELECT min(doc_id) AS v, list_sort(s) AS k, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY 2, 3),
+h AS MATERIALIZED (SELECT v, n, unnest(k) AS g FROM classes),
+pairs AS MATERIALIZED (SELECT a.v AS a, b.v AS b FROM h a JOIN h b ON a.g = b.g AND a.v < b.v AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.v, b.v, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+lab(i, id, l) AS (
+  SELECT 0, v, v FROM classes
+  UNION ALL SELECT i + 1, x, min(c) FROM (
+    SELECT p.i, p.id AS x, g.l AS c FROM lab p JOIN lab g ON g.id = p.l
+    UNION ALL SELECT p.i, unnest([p.id, p.l]) AS x, o.l AS c FROM edges e JOIN lab p ON p.id = e.a JOIN lab o ON o.id = e.b) WHERE i < 24 GROUP BY i, x
+)
+SELECT sets.doc_id, len(s) AS n_shingles, coalesce(l, sets.doc_id) AS component_id FROM sets LEFT JOIN classes c ON c.k = list_sort(sets.s) LEFT JOIN lab ON lab.id = c.v AND lab.i = 24
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_knn_join": _KNN_SQL, "op4_warc": _WARC_SQL, "op6_url_filter": _URL_SQL}
+    return {"op1_knn_join": _KNN_SQL, "op4_warc": _WARC_SQL, "op5_chat_format": _CHAT_SQL, "op6_url_filter": _URL_SQL, "op8_jaccard_join": _JACCARD_SQL}
