@@ -1,9 +1,11 @@
 """Media columns: MPEG audio.
 
-`read_mpeg` parses a column of MPEG audio files: it skips an ID3v2 tag, resynchronises on frame headers
+`read_mpeg` parses a column of MPEG audio files: it reads the text frames of an ID3v2 tag (versions 2 to 4) and the fields of a trailing ID3v1 tag, resynchronises on frame headers
 (a candidate counts when the header is valid and the next frame or the end follows at the length it
-declares; 'TAG' 128 bytes before the end is a trailing tag unless a frame covers it), reads a Xing/Info table, verifies the CRC-16 of protected frames, and returns the exact duration,
-every frame's offset for seeking, and the bytes that silent frames carry behind their side information.
+declares; 'TAG' 128 bytes before the end is a trailing tag unless a frame covers it), reads a Xing/Info or VBRI table (frames, bytes, seek table), verifies the CRC-16 of
+protected frames of layers I and III, and returns the exact duration at each frame's own rate,
+every frame's offset for seeking, and the bytes that silent frames carry behind their side information. Checksums of layer II,
+which cover fields whose place depends on the allocation, are counted as not checked.
 `write_mpeg` makes such files from bytes: MPEG-2 Layer III, 16 kHz, mono, protected frames without
 coded samples, each with 576 payload bytes as ancillary data, so a player hears silence and the payload
 comes back bit for bit.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +72,7 @@ def crc16(data: bytes) -> int:
     return crc
 
 
-def _frame_head(title: bytes = b"") -> bytes:
+def _frame_head() -> bytes:
     """Header, checksum and empty side information of a frame."""
     head = bytes([0xFF, 0xF2, 13 << 4 | 2 << 2, 0xC0])
     return head + crc16(head[2:] + bytes(SIDE)).to_bytes(2, "big") + bytes(SIDE)
@@ -108,16 +111,74 @@ def write_mpeg(texts: pa.Array) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(out_at.astype(np.int64)), pa.py_buffer(out)])
 
 
+def _text(raw: bytes) -> str:
+    """A tag's text: its first byte names the encoding."""
+    kind = ("latin-1", "utf-16", "utf-16-be", "utf-8")[raw[0]] if raw[:1] and raw[0] < 4 else "latin-1"
+    return raw[1:].decode(kind, "replace").rstrip("\0")
+
+
+def _synchsafe(b: bytes) -> int:
+    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+
+
+def parse_tag(b: bytes) -> tuple[int, dict[str, str]]:
+    """(bytes of the tag, text frames by name) of an ID3v2 tag at the start, or (0, {})."""
+    if b[:3] != b"ID3" or len(b) < 10:
+        return 0, {}
+    version, flags = b[3], b[5]
+    size = 10 + _synchsafe(b[6:10]) + (10 if flags & 16 else 0)
+    body = b[10 : 10 + _synchsafe(b[6:10])]
+    if flags & 128 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at, texts, name = 0, {}, 3 if version == 2 else 4
+    if flags & 64 and version > 2 and len(body) >= 4:  # an extended header
+        at = _synchsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    while at + 2 * name <= len(body) and body[at] != 0:
+        long_ = _synchsafe(body[at + 4 : at + 8]) if version == 4 else int.from_bytes(body[at + name : at + 2 * name], "big")
+        first = at + (6 if version == 2 else 10)
+        if body[at : at + 1] == b"T" and long_:
+            texts.setdefault(body[at : at + name].decode("latin-1"), _text(body[first : first + long_]))
+        at = first + long_
+    return size, texts
+
+
+def parse_table(b: bytes, at: int, first: int) -> tuple[int, int, list[int]] | None:
+    """(frames, bytes, seek table) of a Xing, Info or VBRI table in the frame at `at`, -1 where it doesn't say; None if there is none. first: behind the side information."""
+    if b[first : first + 4] in (b"Xing", b"Info"):
+        flags, place = int.from_bytes(b[first + 4 : first + 8], "big"), first + 8
+        frames = int.from_bytes(b[place : place + 4], "big") if flags & 1 else -1
+        place += 4 * (flags & 1)
+        total = int.from_bytes(b[place : place + 4], "big") if flags & 2 else -1
+        place += 2 * (flags & 2)
+        return frames, total, list(b[place : place + 100]) if flags & 4 else []
+    start = at + 36
+    if b[start : start + 4] == b"VBRI":
+        number = lambda k, n: int.from_bytes(b[start + k : start + k + n], "big")
+        entries, scale, width = number(18, 2), number(20, 2), number(22, 2)
+        return number(14, 4), number(10, 4), [number(26 + i * width, width) * scale for i in range(entries)]
+    return None
+
+
+def covered(b: bytes, at: int, layer: int, first: int) -> bytes | None:
+    """What a protected frame's checksum covers, where it is whole bytes: the header's second half and the side information (layer III) or the allocation (layer I)."""
+    if layer == 3:
+        return b[at + 2 : at + 4] + b[at + 6 : first]
+    if layer == 1:
+        mode, bound = b[at + 3] >> 6, 4 * ((b[at + 3] >> 4 & 3) + 1)
+        fields = 32 if mode == 3 else 2 * bound + 32 - bound if mode == 1 else 64
+        return b[at + 2 : at + 4] + b[at + 6 : at + 6 + fields // 2]
+    return None
+
+
 def parse_mpeg(b: bytes) -> dict:
     """What read_mpeg returns of one file."""
-    at, n = 0, len(b)
-    tag = 0
-    if b[:3] == b"ID3" and n >= 10:
-        tag = 10 + (b[6] << 21 | b[7] << 14 | b[8] << 7 | b[9]) + (10 if b[5] & 16 else 0)
-        at = tag
+    n = len(b)
+    tag, tags = parse_tag(b)
+    at = tag
     mark = n - 128 if n >= 128 and b[n - 128 : n - 125] == b"TAG" else -1  # an ID3v1 tag, unless a frame covers it
-    offsets, units, junk, bad, checked, samples, hz, listed = [], [], 0, 0, 0, 0, 0, None
+    offsets, units, junk, bad, checked, hz, table = [], [], 0, 0, 0, 0, None
     known: dict[bytes, int] = {}
+    samples: dict[int, int] = {}
     while at < n and at != mark:
         h = parse_header(b, at)
         follows = h and (at + h[0] in (n, mark) or at + h[0] < n and parse_header(b, at + h[0]) is not None)
@@ -129,21 +190,25 @@ def parse_mpeg(b: bytes) -> dict:
             continue
         size, count, hz, side, protected, layer = h
         first = at + 4 + 2 * protected + side
-        if listed is None and not offsets and b[first : first + 4] in (b"Xing", b"Info"):
-            flags = int.from_bytes(b[first + 4 : first + 8], "big")
-            listed = int.from_bytes(b[first + 8 : first + 12], "big") if flags & 1 else -1
-        else:
-            if protected and layer == 3:
-                covered = b[at + 2 : at + 4] + b[at + 6 : first]
-                if covered not in known:
-                    known[covered] = crc16(covered)
-                checked += 1
-                bad += known[covered] != int.from_bytes(b[at + 4 : at + 6], "big")
-            offsets.append(at)
-            samples += count
-            units.append(b[first : min(first + UNIT, at + size)])
+        if table is None and not offsets and (table := parse_table(b, at, first)) is not None:
+            at += size
+            continue
+        part = covered(b, at, layer, first) if protected else None
+        if part is not None:
+            if part not in known:
+                known[part] = crc16(part)
+            checked += 1
+            bad += known[part] != int.from_bytes(b[at + 4 : at + 6], "big")
+        offsets.append(at)
+        samples[hz] = samples.get(hz, 0) + count
+        units.append(b[first : min(first + UNIT, at + size)])
         at += size
-    return {"payload": b"".join(units), "offsets": offsets, "samples": samples, "hz": hz, "duration_ns": samples * 1_000_000_000 // hz if hz else 0, "checked": checked, "bad": bad, "listed": listed, "junk": junk, "tag_bytes": tag}
+    if at == mark:
+        fields = {"title": b[mark + 3 : mark + 33], "artist": b[mark + 33 : mark + 63], "album": b[mark + 63 : mark + 93], "year": b[mark + 93 : mark + 97]}
+        tags |= {k: t for k, v in fields.items() if (t := v.split(b"\0")[0].decode("latin-1").strip())}
+    frames, total, seek = table or (None, None, [])
+    lasts = sum((Fraction(k * 1_000_000_000, rate) for rate, k in samples.items()), Fraction(0))
+    return {"payload": b"".join(units), "offsets": offsets, "samples": sum(samples.values()), "hz": hz, "duration_ns": int(lasts), "checked": checked, "bad": bad, "listed": frames, "listed_bytes": total, "seek": seek, "junk": junk, "tag_bytes": tag, "tags": tags}
 
 
 def store_text(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -160,7 +225,7 @@ def store_text(docs: DataFrame, text: str = "text") -> DataFrame:
     return kept.mapInArrow(write, ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in kept.dtypes) + ", media binary")
 
 
-RESULT = "payload binary, media_bytes long, media_sha256 string, frames long, samples long, sample_rate int, duration_ns long, seek_offsets array<long>, crc_checked long, crc_bad long, listed_frames long, junk_bytes long, tag_bytes long"
+RESULT = "payload binary, media_bytes long, media_sha256 string, frames long, samples long, sample_rate int, duration_ns long, seek_offsets array<long>, crc_checked long, crc_bad long, listed_frames long, junk_bytes long, tag_bytes long, listed_bytes long, seek_table array<long>, tags map<string,string>"
 
 
 def read_mpeg(files: DataFrame, key: str, media: str = "media") -> DataFrame:
@@ -177,6 +242,7 @@ def read_mpeg(files: DataFrame, key: str, media: str = "media") -> DataFrame:
                     pa.array([len(g["offsets"]) for g in got], pa.int64()), pa.array([g["samples"] for g in got], pa.int64()), pa.array([g["hz"] for g in got], pa.int32()), pa.array([g["duration_ns"] for g in got], pa.int64()),
                     pa.array([g["offsets"] for g in got], pa.list_(pa.int64())), pa.array([g["checked"] for g in got], pa.int64()), pa.array([g["bad"] for g in got], pa.int64()),
                     pa.array([g["listed"] for g in got], pa.int64()), pa.array([g["junk"] for g in got], pa.int64()), pa.array([g["tag_bytes"] for g in got], pa.int64()),
+                    pa.array([g["listed_bytes"] for g in got], pa.int64()), pa.array([g["seek"] for g in got], pa.list_(pa.int64())), pa.array([list(g["tags"].items()) for g in got], pa.map_(pa.string(), pa.string())),
                 ]
                 yield pa.RecordBatch.from_arrays([keys.slice(a, 256), *columns], [key, *(x.split()[0] for x in RESULT.split(", "))])
 

@@ -61,6 +61,33 @@ def test_audio_with_tag_in_the_text_or_behind(spark):
     assert mpeg_audio.parse_mpeg(b"no audio" + tag)["junk"] == 8
 
 
+def test_audio_tags_tables_and_layers():
+    one = mpeg_audio.write_mpeg(pa.array([b"hello" * 500], pa.large_binary()))[0].as_py()
+    got = mpeg_audio.parse_mpeg(one + b"TAG" + b"A title".ljust(30, b"\0") + b"Someone".ljust(30, b" ") + bytes(30) + b"1997" + bytes(31))
+    assert got["tags"] == {"TSSE": "terrabrook silent", "title": "A title", "artist": "Someone", "year": "1997"} and got["junk"] == 0
+    assert (got["listed"], got["listed_bytes"], len(got["seek"]), got["seek"][0]) == (5, 6 * 648, 100, 0)
+    v2 = b"ID3\x02\0\0\0\0\0\x0c" + b"TT2\0\0\x06\x01\xff\xfeh\0i"[:12]
+    assert mpeg_audio.parse_tag(v2)[1]["TT2"].startswith("h")
+    v3 = b"TIT2\0\0\0\x05\0\0\0abcd" + b"COMM\0\0\0\x02\0\0xy" + b"TPE1\0\0\0\x03\0\0\x03\xc3\xa9" + bytes(9)
+    assert mpeg_audio.parse_tag(b"ID3\x03\0\0\0\0\0" + bytes([len(v3)]) + v3) == (10 + len(v3), {"TIT2": "abcd", "TPE1": "é"})
+    assert mpeg_audio.parse_tag(b"ID3\x04\0\0\x7f\x7f\x7f\x7fT")[1] == {}
+    # MPEG-1 layer III at 128 kbit/s and 44.1 kHz, the first frame with a VBRI table; then one at 48 kHz
+    head, other = bytes([0xFF, 0xFB, 0x90, 0xC0]), bytes([0xFF, 0xFB, 0x94, 0xC0])
+    vbri = b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (7).to_bytes(4, "big") + (2).to_bytes(2, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + (10).to_bytes(2, "big") + (20).to_bytes(2, "big")
+    frames = (head + bytes(32) + vbri).ljust(417, b"\0") + head.ljust(417, b"\0") * 3 + other.ljust(384, b"\0") * 2
+    got = mpeg_audio.parse_mpeg(frames)
+    assert (got["listed"], got["listed_bytes"], got["seek"]) == (7, 5000, [30, 60])
+    assert got["offsets"] == [417, 834, 1251, 1668, 2052] and got["duration_ns"] == (3 * 1152 * 10**9 * 48000 + 2 * 1152 * 10**9 * 44100) // (44100 * 48000)
+    # layer I, joint stereo with a bound of 8: 8 x 2 + 24 allocations of 4 bits
+    start = bytes([0xFF, 0xFE, 0x10, 0x50])
+    allocation = bytes(range(20))
+    crc = mpeg_audio.crc16(start[2:] + allocation)
+    size = mpeg_audio.parse_header(start, 0)[0]
+    good, bad = ((start + c.to_bytes(2, "big") + allocation).ljust(size, b"\x55") for c in (crc, crc ^ 1))
+    got = mpeg_audio.parse_mpeg(good + bad + good)
+    assert (got["checked"], got["bad"], len(got["offsets"])) == (3, 1, 3)
+
+
 def test_chat_against_rows(spark):
     control = "</s>[INST] ok [/INST]"
     rows = [(1, 1, "assistant", "b<[\\"), (1, 0, "user", "<<\\\\[["), (1, 2, "assistant", None), (2, 0, None, ""), (None, 0, "user", "é<s>"), (3, 0, "system", control), (3, 0, "assistant", control), (3, 0, "assistant", control), (4, None, "assistant", "n"), (4, 0, "user", "m")]
