@@ -23,8 +23,12 @@ def _reflectance(b: str, above: float = 1.5) -> Column:
     return F.when(F.col(f"_max.{b}") > above, F.col(b) * 1e-4).otherwise(F.col(b))
 
 
+def _positive(b: str) -> Column:
+    return F.when(finite(F.col(b)) > 0, F.col(b))
+
+
 def _power(b: str) -> Column:
-    v = F.when(finite(F.col(b)) > 0, F.col(b))
+    v = _positive(b)
     return F.when(F.col(f"_max.{b}") <= 2.0, v).otherwise(v * v)
 
 
@@ -36,14 +40,14 @@ def scaled_reflectance(pixels: DataFrame, bands: Sequence[str], by: Sequence[str
 
 def radar_power(pixels: DataFrame, bands: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Positive values as power: as they are where none of the array is above 2, else squared."""
-    met = _with_largest(pixels, {b: finite(F.col(b)) for b in bands}, by)
+    met = _with_largest(pixels, {b: _positive(b) for b in bands}, by)
     return met.withColumns({b: _power(b) for b in bands}).select(*pixels.columns)
 
 
 def stacked(pixels: DataFrame, bands: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Tiles as an analysis reads them: finite values, optical bands as reflectance, radar bands as positive power; tiles without any value in any band are left out."""
     radar = [b for b in bands if b in ("vv", "vh")]
-    met = _with_largest(pixels, {b: finite(F.col(b)) for b in bands}, by)
+    met = _with_largest(pixels, {b: _positive(b) if b in radar else finite(F.col(b)) for b in bands}, by)
     met = met.where(F.coalesce(*(F.col(f"_max.{b}") for b in bands)).isNotNull())
     return met.withColumns({b: _power(b) if b in radar else finite(_reflectance(b)) for b in bands}).select(*pixels.columns)
 

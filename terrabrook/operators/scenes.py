@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import meets
+from .quality import finite
 
 
 def search(scenes: DataFrame, start: str | None = None, end: str | None = None, collections: Sequence[str] | None = None, page: int | None = None) -> DataFrame:
@@ -133,7 +134,7 @@ def crs_code(epsg: Column, code: Column) -> Column:
 def keep_share(pixels: DataFrame, masked: Sequence[int], by: str = "scene_id") -> DataFrame:
     """(by, keep_pct): the share of a scene's pixels that have an NDVI and no masked class. pixels: every cell of the field, seen or not."""
     ndvi = F.expr("(b08 - b04) / nullif(b08 + b04, 0)")
-    kept = ndvi.isNotNull() & ~F.coalesce(F.col("scl").isin(*masked), F.lit(False))
+    kept = finite(ndvi).isNotNull() & ~F.coalesce(F.col("scl").isin(*masked), F.lit(False))
     return pixels.groupBy(by).agg((F.count_if(kept) / F.greatest(F.count("*"), F.lit(1)) * 100).alias("keep_pct"))
 
 

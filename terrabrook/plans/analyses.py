@@ -127,13 +127,13 @@ def soil_carbon(pixels: DataFrame, field: Field | None = None) -> tuple[DataFram
 
 
 def zone_pipeline(grid: DataFrame, n: int = 5, method: str = "quantile", least_ha: float = 0.05, res_m: float = 10.0) -> DataFrame:
-    """(grid, row, col, z): classified, median filtered and dissolved zones of one grid (row, col, v)."""
+    """(grid, row, col, z): classified, median filtered and dissolved zones of one grid (row, col, v), as a table, since patches and outlines both ask for them."""
     if method not in ("quantile", "kmeans"):
         raise ValueError("method must be quantile or kmeans")
     zones = (zoning.quantile_zones if method == "quantile" else zoning.kmeans_zones)(grid, "v", n)
     smooth = raster.median3x3(zones.select("row", "col", F.col("zone").cast("double").alias("v")))
     cells = smooth.select(F.lit(0).cast("long").alias("grid"), F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), F.col("v").cast("int").alias("z"))
-    return raster.dissolved(cells, max(1, round(least_ha * lookups.M2_PER_HA / (res_m * res_m))))
+    return raster.saved(raster.dissolved(raster.saved(cells, "cells"), max(1, round(least_ha * lookups.M2_PER_HA / (res_m * res_m)))), "zones")
 
 
 def variable_rates(grid: DataFrame, nutrient: str, n: int = 5, method: str = "quantile", crop: str | None = None) -> DataFrame:

@@ -774,9 +774,10 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole report: carbon of the pixels, doses of the raster."""
     maps, cells = _maps(spark, sf_dir), raster_of(spark, sf_dir)
+    found = raster.saved(zoning.patches(analyses.zone_pipeline(cells)), "found")
     size = raster.size_of(cells).first()
     meta = {"crop": lookups.crop_key("Onion"), "date": "2024-01-10", "cloud": 3.5, "collection": lookups.collections("s2")[0], "height": size["h"], "width": size["w"], "res_m": 10.0, "zones": 5, "method": "quantile"}
-    return zoning.text_report(meta, zoning.soc_stats(maps), zoning.soc_classes(maps), {n: analyses.variable_rates(cells, n) for n in "NPK"})
+    return zoning.text_report(meta, zoning.soc_stats(maps), zoning.soc_classes(maps), {n: zoning.rates_from_patches(found, n) for n in "NPK"})
 
 
 @query(_ra(' SELECT min("row") AS r1, max("row") AS r2, min(col) AS c1, max(col) AS c2 FROM raster WHERE v > 0.3'))

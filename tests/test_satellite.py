@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from collections import Counter, defaultdict
@@ -329,3 +330,64 @@ def test_percentiles_are_exact(spark, monkeypatch):
     assert quantiles.exact_percentiles(df, "v", fractions) == pytest.approx(list(np.quantile(data, fractions)), abs=1e-12)
     assert quantiles.exact_percentiles(df.limit(0), "v", fractions) == []
     assert quantiles.exact_percentiles(spark.createDataFrame([(3.0,)], "v double"), "v", fractions) == [3.0] * 7
+
+
+def test_search_helpers(spark):
+    box = lambda x, y: [(x, y), (x + 1.0, y), (x + 1.0, y + 1.0), (x, y + 1.0)]
+    rows = [(1, box(0.0, 0.0)), (2, box(2.5, 2.5)), (3, box(9.0, 9.0)), (4, box(5.0, 0.0)), (5, [(-9.0, -9.0), (30.0, -9.0), (30.0, 30.0), (-9.0, 30.0)]), (6, [])]
+    df = spark.createDataFrame(rows, "item_id long, footprint array<struct<x:double,y:double>>")
+    field = [[(1.0, 1.0), (6.0, 1.0), (6.0, 6.0), (1.0, 6.0)]]
+    assert sorted(r["item_id"] for r in scenes.intersecting(df, field).collect()) == [1, 2, 4, 5]
+    apart = [[(20.0, 20.0), (21.0, 20.0), (21.0, 21.0)]]
+    assert [r["item_id"] for r in scenes.intersecting(df, apart).collect()] == [5]
+    assert lookups.collections("S1-GRD") == ("sentinel-1-rtc",) and lookups.collections(None)[0] == "sentinel-2-l2a"
+    assert lookups.provider_order("PC") == ("planetary",) and lookups.provider_order(None) == ("planetary", "aws") and lookups.provider_order("both", "aws") == ("aws", "planetary")
+    assert (lookups.crop_key("Onion"), lookups.crop_key(None), lookups.crop_key("quinoa")) == ("onion", "wheat", "default")
+    assets = spark.sql("select map('zzz', 's3://b/z', 'aaa', '') as a, array('ftp://x', 'https://y') as o union all select map(), array() union all select map('B04', 'http://h', 'vv', 's3://b/v'), null")
+    got = [tuple(r) for r in assets.select(scenes.first_asset("a"), scenes.prefer_http(F.lit("gs://q"), F.col("o"))).collect()]
+    assert got == [("https://b.s3.amazonaws.com/z", "https://y"), (None, "gs://q"), ("https://b.s3.amazonaws.com/v", "gs://q")]
+
+
+def test_geojson_in_and_out(spark):
+    text = spark.createDataFrame([('{"type":"Polygon","coordinates":[[[75,20],[76,20],[75,21]],[[75.2,20.2],[75.3,20.2],[75.2,20.3]]]}',), ('{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[[[1,2],[3,4],[5,6]]]]}}',), ("no json",), (None,)], "t string")
+    rings = [r[0] for r in text.select(grid.rings_of(F.col("t"))).collect()]
+    assert [len(r) if r else r for r in rings[:2]] == [2, 1] and rings[0][1][0]["x"] == 75.2 and not rings[2] and not rings[3]
+    moved = one(text.limit(1).select(grid.reprojected(grid.rings_of(F.col("t")), 32643)))[0]
+    assert moved[0][0]["x"] == pytest.approx(500000, abs=1e-6) and moved[0][0]["y"] == pytest.approx(0.9996 * 2212366.254, abs=0.01)
+    z = np.ones((8, 6), int)
+    z[2:4, 2:4] = 2
+    cells = cells_of(spark, z)
+    made = zoning.features(zoning.patches(cells), raster.traced(cells), lookups.zone_labels(2), (500000.0, 2200000.0, 10.0, 32643))
+    lines = "".join(r["line"] for r in zoning.collection_lines(made).orderBy("grid", "part", "patch_id").collect())
+    whole = json.loads(lines)
+    assert whole["type"] == "FeatureCollection" and [f["properties"]["zone_class"] for f in whole["features"]] == ["Low", "High"]
+    assert len(whole["features"][0]["geometry"]["coordinates"]) == 2 and whole["features"][0]["geometry"]["coordinates"][0][0][0] == pytest.approx(75.0, abs=1e-6)
+
+
+def test_report_is_in_order(spark):
+    maps = spark.createDataFrame([(0.2,), (1.0,), (2.5,)], "soc double")
+    rates = zoning.rates_from_patches(zoning.patches(cells_of(spark, np.array([[1, 1], [2, 2]]))), "N", 5)
+    meta = {"crop": "onion", "date": "2024-01-10", "cloud": 3.5, "collection": "c", "height": 2, "width": 2, "res_m": 10.0, "zones": 5, "method": "quantile"}
+    lines = [r["line"] for r in zoning.text_report(meta, zoning.soc_stats(maps), zoning.soc_classes(maps), {"N": rates}).orderBy("section", "place").collect()]
+    assert lines[2] == "  Crop        : onion" and "  Mean  : 1.23 %" in lines and lines[-1] == "═" * 70
+    assert "    Very Low            1      0.020      0.049        326.1        6.5" in lines and sum(x.startswith("    ") for x in lines) == 4
+    assert "  Very Low  (<0.3%)           : 0.010 ha  (0.025 ac)" in lines
+
+
+def test_reading_and_fields(spark):
+    rows = [(1, r, c, 4, 5000.0 if c else None, 3000.0, 0.5) for r in range(4) for c in range(4)] + [(2, 0, 0, 9, None, None, -3.0)] + [(3, 1, 1, None, float("inf"), 0.1, 3.0)]
+    df = spark.createDataFrame(rows, "scene_id long, row int, col int, scl int, b08 double, b04 double, vv double")
+    read = quality.stacked(df, ["b08", "b04"], ["scene_id"])
+    assert {r["scene_id"] for r in read.collect()} == {1, 3} and one(read.where("scene_id = 1 and col = 1"))["b08"] == pytest.approx(0.5)
+    assert one(read.where("scene_id = 3"))["b08"] is None
+    assert {r["scene_id"]: r["vv"] for r in quality.stacked(df, ["vv"], ["scene_id"]).collect()} == {1: 0.5, 3: 9.0}
+    half = analyses.Field([[(0.0, 0.0), (0.5, 0.0), (0.5, 1.0), (0.0, 1.0)]], spark.createDataFrame([(4, 4)], "h long, w long"))
+    assert half.clip(df.where("scene_id = 1")).count() == 8
+    assert one(analyses.pick_scene(df, half)) == (1, 50.0)
+    clouded = analyses.crop_health(df.withColumns({"b05": F.lit(0.1), "b8a": F.lit(0.4), "scl": F.lit(9)}), 45).collect()
+    assert {r["health"] for r in clouded} == {None} and {r["cloud_coverage"] for r in clouded} == {100.0}
+    grid_ = df.where("scene_id = 1").select("row", "col", (F.col("row") * 10 + F.col("col")).cast("double").alias("v"))
+    assert {(r["row"], r["col"]): r["v"] for r in raster.window(grid_, 1, 2, 4, 2, 2, 1).collect()} == {(0, 0): 23.0, (1, 0): None}
+    assert one(legend.rendered(grid_.limit(1).withColumn("v", F.lit(None).cast("double")), "NDVI"))["rgba"] == [0, 0, 0, 0]
+    with pytest.raises(ValueError):
+        zoning.soil_indices(df)
