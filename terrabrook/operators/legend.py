@@ -66,6 +66,12 @@ def painted(bins: Column, index: str, factor: float = 0.82) -> Column:
     return F.when(bins > 0, F.get(colors, F.least(bins, F.lit(last)))).otherwise(F.array(*[F.lit(0)] * 4))
 
 
+def painted_zones(zones: Column, n: int) -> Column:
+    """[r, g, b, a] of a zone from 1 to n on the ramp of zones; zone 0 (missing) transparent."""
+    colors = F.array(*(rgba(F.lit(c)) for c in lookups.zone_colors(n)))
+    return F.when(zones > 0, F.get(colors, zones - 1)).otherwise(F.array(*[F.lit(0)] * 4))
+
+
 def rendered(grid: DataFrame, index: str, times: int = 1, smooth: bool = False, sigma: float = 1.0) -> DataFrame:
     """(row, col, bin, rgba) of a grid (row, col, v), at times x times its cells and smoothed if asked."""
     fine = upsampled(grid, times) if times > 1 else grid

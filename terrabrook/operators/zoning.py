@@ -40,13 +40,6 @@ def soc_stats(maps: DataFrame, res_m: float = 10.0) -> DataFrame:
     return maps.agg(*(F.bround(f("soc"), 3).alias(n) for n, f in (("mean_pct", F.avg), ("min_pct", F.min), ("max_pct", F.max), ("std_pct", F.stddev_pop))), F.bround(ha, 3).alias("total_ha"), F.bround(ha * lookups.ACRES_PER_HA, 3).alias("total_acres"))
 
 
-def soc_class(v: Column) -> Column:
-    """The label of a value; null: null."""
-    edges = F.array(*(F.lit(lo) for _, lo, _ in lookups.SOC_CLASSES[1:]))
-    labels = F.array(*(F.lit(label) for label, _, _ in lookups.SOC_CLASSES))
-    return F.element_at(labels, F.size(F.filter(edges, lambda e: e <= v)) + F.when(v.isNotNull(), 1))
-
-
 def soc_classes(maps: DataFrame, res_m: float = 10.0) -> DataFrame:
     """(class, pixels, ha, acres, pct_area) of all five classes, with or without pixels."""
     inside = lambda lo, hi: (F.lit(True) if lo is None else F.col("soc") >= lo) & (F.lit(True) if hi is None else F.col("soc") < hi)

@@ -669,6 +669,12 @@ def zones_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zoning.quantile_zones(raster_of(spark, sf_dir), "v").select("row", "col", "zone")
 
 
+@query(_ra(', e AS (SELECT quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS e FROM raster), z AS (SELECT "row", col, 1 + len(list_filter(list_distinct(e), lambda q: q < v)) AS zone FROM raster, e) SELECT "row", col, r, g, b FROM z JOIN (VALUES (1, 183, 28, 28), (2, 216, 98, 33), (3, 248, 168, 37), (4, 146, 146, 44), (5, 46, 125, 50)) c(zone, r, g, b) USING (zone)'))
+def zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = zoning.quantile_zones(raster_of(spark, sf_dir), "v").withColumn("c", legend.painted_zones(F.col("zone"), 5))
+    return zones.select("row", "col", *(F.col("c")[i].alias(n) for i, n in enumerate("rgb")))
+
+
 _KMEANS = """, cnt AS (SELECT count(*) AS n FROM raster), it(i, c, done) AS (
   SELECT 0, (SELECT quantile_cont(v, [0.05, 0.275, 0.5, 0.725, 0.95]) FROM raster), false
   UNION ALL SELECT i + 1, m, list_bool_and(list_transform(list_zip(c, m), lambda p: abs(p[1] - p[2]) <= 1e-4 + 1e-5 * abs(p[1]))) FROM (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrabrook.functions import classify, lookups
 from terrabrook.functions.indices import REGISTRY, canonical_name, index_column, is_radar, lookup, register_index, resolve_asset
 from terrabrook.operators import grid, legend, mosaic, quality, quantiles, raster, scenes, zoning
-from terrabrook.plans import analyses, catalog
+from terrabrook.plans import analyses
 
 PIXEL = {"b02": 0.05, "b03": 0.08, "b04": 0.10, "b05": 0.18, "b08": 0.40, "b8a": 0.42, "b11": 0.25, "b12": 0.15, "vv": 0.05, "vh": 0.01}
 #: Worked out by hand from the formulas.
