@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that one numpy step works on; the arrays it makes are some 40 times as large.
 STEP_BYTES = 1 << 20
 
-
 _C = ctypes.CDLL(None)
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,3 +96,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores behind it as it takes to be none of the taken names (which differ in more than case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def cut_words(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """(start, row, word) of the longest runs of bytes that a table of 256 has inside; rows are data[at[i] : at[i + 1]], and no run crosses their ends. A-Z lower-cased."""
+    word, begins = inside[data], np.zeros(len(data) + 1, bool)
+    begins[at[:-1]] = True
+    first = word.copy()
+    first[1:] &= ~word[:-1] | begins[1:-1]
+    starts = np.flatnonzero(first)
+    lengths = np.diff(np.append(np.cumsum(word, dtype=np.int64)[starts] - 1, np.count_nonzero(word)))
+    ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    body = data[word].tobytes().translate(_LOWER)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(body)]).dictionary_encode()
+    return starts, np.searchsorted(at, starts, "right") - 1, words

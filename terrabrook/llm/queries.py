@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, knn_join, mixing, mpeg_audio, pii, toxicity, url_filter, warc
+from . import bpe, chat, jaccard_join, knn_join, lexical, mixing, mpeg_audio, phrases, pii, sharding, toxicity, url_filter, warc
 from .common import saved, scratch_path
 
 
@@ -86,8 +86,21 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
+    return shards.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_knn_join, op2_mix_sources, op3_pii, op4_warc, op5_chat_format, op6_url_filter, op7_toxicity, op8_jaccard_join, op9_bpe, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op1_knn_join, op2_mix_sources, op3_pii, op4_warc, op5_chat_format, op6_url_filter, op7_toxicity, op8_jaccard_join, op9_bpe, op10_mpeg_audio, op11_phrases, op12_lexical_search, op13_shards)}
 
 
 _KNN_SQL = """
@@ -158,5 +171,28 @@ SELECT sets.doc_id, len(s) AS n_shingles, coalesce(l, sets.doc_id) AS component_
 """
 
 
+_PHRASES_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces), words AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i : i + m - 1], ' '))) AS phrase FROM w, range(1, 6) r(m) WHERE len(ws) >= m),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+alone AS (SELECT * FROM f c WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM f o WHERE o.lang = c.lang AND o.m > c.m AND 100 * o.f >= 100 * c.f AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS y FROM alone, range(1, 5) t(k) WHERE k < m),
+scored AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.x JOIN f y ON y.lang = c.lang AND y.phrase = c.y JOIN words ON words.lang = c.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM weakest QUALIFY rank <= 2000
+"""
+
+_TERMS_OF = r"unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+_LEXICAL_SQL = f"""
+WITH t AS (SELECT doc_id, {_TERMS_OF} FROM documents), p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id), s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term), m AS (SELECT doc_id, 10 + (90 * n * nn) // ll AS m FROM d, s),
+q AS (SELECT DISTINCT item_id, {_TERMS_OF} FROM benchmark),
+x AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_knn_join": _KNN_SQL, "op4_warc": _WARC_SQL, "op5_chat_format": _CHAT_SQL, "op6_url_filter": _URL_SQL, "op8_jaccard_join": _JACCARD_SQL}
+    return {"op1_knn_join": _KNN_SQL, "op4_warc": _WARC_SQL, "op5_chat_format": _CHAT_SQL, "op6_url_filter": _URL_SQL, "op8_jaccard_join": _JACCARD_SQL, "op11_phrases": _PHRASES_SQL, "op12_lexical_search": _LEXICAL_SQL}
