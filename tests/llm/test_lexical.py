@@ -68,8 +68,8 @@ def test_empty_tables(spark):
 
 def test_pairs_bound_tighter_than_terms_and_lose_nothing():
     rng = np.random.default_rng(4)
-    size, k = 4000, 12
-    at = [np.sort(rng.choice(size, 60 + 10 * (k - t), replace=False)) for t in range(k)]
+    size, k = 1200, 12
+    at = [np.sort(rng.choice(size, 18 + k - t, replace=False)) for t in range(k)]
     impact = [rng.integers(80, 100, len(a)) for t, a in enumerate(at)]
     pairs = {(t, t + 1): lexical.joint(at[t], impact[t], at[t + 1], impact[t + 1]) for t in range(k - 1)}
     total = np.zeros(size, np.int64)
