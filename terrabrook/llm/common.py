@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def extended(docs: DataFrame, text: str, run: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]], more: dict[str, str]) -> DataFrame:
+    """docs with further columns (name: type) that `run` puts behind those of its batches; it is given the place of `text`. Columns go by place, so any names will do."""
+    at, names = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns) + len(more))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches, at):
+            yield pa.RecordBatch.from_arrays(batch.columns, names)
+
+    kinds = [*(t for _, t in docs.dtypes), *more.values()]
+    out = docs.toDF(*names[: len(docs.columns)]).mapInArrow(renamed, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
+    return out.toDF(*docs.columns, *more)
+
+
 def utf8(column: pa.Array) -> pa.Array:
     """Text as binary with 64-bit offsets; null becomes empty."""
     return column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
@@ -65,11 +78,11 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         a = min(b, n)
 
 
-def stepwise(batches: Iterator[pa.RecordBatch], name: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def stepwise(batches: Iterator[pa.RecordBatch], name: str | int, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches as slices of about `most` bytes of a text or binary column, by rows. What Arrow and the C library hold beyond them goes back to the system after each
     batch, so that a worker that Spark keeps for later stages stays small."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(name))
+        column = batch.column(name)
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b in steps(np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))), most):
             yield batch.slice(a, b - a)

@@ -356,22 +356,23 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def _told_apart(docs: DataFrame) -> DataFrame:
-    """docs with `_id`: doc_id, except that of the different texts of a doc_id all but one get numbers beyond all. Of rows with equal doc_id and text one stays, the least by its columns."""
-    named = docs.where("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long"))
-    several = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """(_row, _id): the rows of docs, and doc_id, except that of the different texts of a doc_id all but one get numbers beyond all. Of rows with equal doc_id and text one stays, the least by its columns."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    named = docs.where("doc_id is not null").select(row, F.col("doc_id").cast("long").alias("_id"))
+    several = named.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id")
     if several.isEmpty():
         return named
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    texts = named.join(several, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_h"), F.length("text").alias("_n")).agg(F.min(row).alias("_row"))
+    texts = named.join(several, "_id", "left_semi").groupBy("_id", F.xxhash64("_row.text").alias("_h"), F.length("_row.text").alias("_n")).agg(F.min("_row").alias("_row"))
     texts = saved(texts.withColumn("_more", F.monotonically_increasing_id()), "texts")
     beyond = named.agg(F.max("_id")).first()[0] + 1
-    first = texts.groupBy("doc_id").agg(F.min("_more").alias("_first"))
-    texts = texts.join(first, "doc_id").select("_row.*", F.when(F.col("_more") == F.col("_first"), F.col("doc_id").cast("long")).otherwise(F.lit(beyond) + F.col("_more")).alias("_id"))
-    return named.join(several, "doc_id", "left_anti").select(*docs.columns, "_id").unionByName(texts)
+    first = texts.groupBy("_id").agg(F.min("_more").alias("_first"))
+    texts = texts.join(first, "_id").select("_row", F.when(F.col("_more") == F.col("_first"), F.col("_id")).otherwise(F.lit(beyond) + F.col("_more")).alias("_id"))
+    return named.join(several, "_id", "left_anti").select("_row", "_id").unionByName(texts)
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs with one document of each component left, the one with the smallest doc_id; rows without a doc_id stay. Different texts of one doc_id are documents of their own."""
+    """docs with one document of each component left, the one with the smallest doc_id; rows without a doc_id stay. Different texts of one doc_id are documents of their own. All columns are kept."""
     rows = _told_apart(docs)
-    kept = jaccard_components(rows.select(F.col("_id").alias("doc_id"), "text"), percent).where("component_id = doc_id").select(F.col("doc_id").alias("_id"))
-    return rows.join(kept, "_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = jaccard_components(rows.select(F.col("_id").alias("doc_id"), "_row.text"), percent).where("component_id = doc_id").select(F.col("doc_id").alias("_id"))
+    names = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return rows.join(kept, "_id", "left_semi").select(*names).unionByName(docs.where("doc_id is null"))

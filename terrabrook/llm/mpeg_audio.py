@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, steps, utf8
+from .common import buffers, extended, steps, utf8
 
 #: Fixed values of the format: kbit/s by bitrate index, Hz by rate index.
 BITRATES = {
@@ -212,17 +212,16 @@ def parse_mpeg(b: bytes) -> dict:
 
 
 def store_text(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column `media`: each text (null: empty) in UTF-8, padded with 255, as an MPEG audio file."""
+    """docs with a column `media`: each text (null: empty) in UTF-8, padded with 255, as an MPEG audio file. An old column of just that name goes, all others stay."""
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = utf8(batch.column(batch.schema.get_field_index(text)))
+            column = utf8(batch.column(place))
             at, _ = buffers(column)
             for a, b in steps(at, 4 << 20):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(batch.num_columns)), write_mpeg(column.slice(a, b - a)).cast(pa.binary())], [*batch.schema.names, "media"])
 
-    kept = docs.drop("media")
-    return kept.mapInArrow(write, ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in kept.dtypes) + ", media binary")
+    return extended(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "media")), text, write, {"media": "binary"})
 
 
 RESULT = "payload binary, media_bytes long, media_sha256 string, frames long, samples long, sample_rate int, duration_ns long, seek_offsets array<long>, crc_checked long, crc_bad long, listed_frames long, junk_bytes long, tag_bytes long, listed_bytes long, seek_table array<long>, tags map<string,string>"

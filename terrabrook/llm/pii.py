@@ -15,7 +15,7 @@ groups as 15 digits and the next value allow), an IBAN its country's length (`IB
 Repeats of unbounded length are possessive, so that no text, however long or odd, makes the matcher recurse or try again.
 
 Null text stays null, with 0 replaced; texts are taken whole at any length; rows are independent, so repeated rows give repeated
-results; an empty table gives no rows; all columns are kept, `replaced` is new (an old one of that name goes).
+results; an empty table gives no rows; all columns are kept, whatever their names, `replaced` is new (an old one of just that name goes).
 """
 
 from __future__ import annotations
@@ -238,7 +238,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     column = F.col(f"`{text}`")
     names = [c for c in docs.columns if c != "replaced"]
     found = F.when(column.rlike("[0-9@]"), F.regexp_extract_all(column, F.lit(f"(?=({PATTERN}))"), F.lit(1)))
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), found.alias("_found"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), found.alias("_found"))  # the caller's names stay apart from those below
+    column = F.col(f"_row.`{text}`")
     part = lambda m: F.when(m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), _iban_part(m)).otherwise(m)
     tried = lambda m: _once(part(m), lambda p: F.struct(p.alias("old"), pseudonym(key, p).alias("new")))
     rows = rows.withColumn("_tried", F.when(F.size("_found") > 0, F.transform("_found", tried)))
@@ -262,4 +263,5 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     blocks = F.transform(F.sequence(F.lit(1), F.size("_each"), F.lit(BLOCK)), lambda i: F.slice("_each", i, F.lit(BLOCK)))
     begin = F.struct(F.lit(0).alias("left"), F.when(ahead > 0, F.slice("_gaps", 1, 1)).otherwise(none).alias("out"), F.lit(0).alias("n"))
     rows = rows.withColumn("_done", F.when(F.size("_found") > 0, F.aggregate(blocks, begin, block)))
-    return rows.select(*(F.when(F.col("_done").isNotNull(), F.array_join("_done.out", "")).otherwise(column).alias(c) if c == text else F.col(f"`{c}`") for c in names), F.coalesce("_done.n", F.lit(0)).alias("replaced"))
+    shown = F.when(F.col("_done").isNotNull(), F.array_join("_done.out", "")).otherwise(column)
+    return rows.select(*(shown.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in names), F.coalesce("_done.n", F.lit(0)).alias("replaced"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, stepwise
+from .common import extended, free_name, saved, stepwise
 
 #: Bounds of what is fitted on: labelled rows of either class, features kept, rows of the field.
 TOXIC_ROWS, CLEAN_ROWS, FEATURES, FIELD_ROWS = 2000, 4000, 4096, 1500
@@ -322,7 +322,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field:
                 made.append(list(map(float, model.summary(model.marginals(at, [e[i] for i in at], len(e))))))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (1, 2, 3)), pa.array(made, pa.list_(pa.float64()))], ["toxic", "place", "tie", "x"])
 
-    got = placed.mapInArrow(summaries, "toxic int, place long, tie long, x array<double>").collect()
+    x = placed.mapInArrow(summaries, "toxic int, place long, tie long, x array<double>")
+    got = [r for k, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)) for r in x.where(F.col("toxic") == k).orderBy("place", "tie").limit(n).collect()]  # however many rows repeat a doc_id
     got = sorted((r["place"], r["tie"], r["toxic"], r["x"]) for r in got)
     model.score = fit_score(np.array([r[3] for r in got]), np.array([r[2] for r in got], float), (totals[0], totals[1]))
     return model
@@ -346,22 +347,22 @@ def score_text(text: str, known: Evidence, model: Field) -> tuple[float, list[di
     return model.total(p), found
 
 
-def score_toxicity(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
-    """docs with `toxicity` (0 to 1) and `toxic_spans`: character offsets [start, end) in the text of offending runs of tokens and their surest probability."""
-    docs = docs.drop("toxicity", "toxic_spans")
-    names = docs.columns
+def score_toxicity(docs: DataFrame, model: Field, text: str = "text", names: tuple[str, str] = ("toxicity", "toxic_spans")) -> DataFrame:
+    """docs with `toxicity` (0 to 1) and `toxic_spans`: character offsets [start, end) in the text of offending runs of tokens and their surest probability. Columns of just those names go, all others stay."""
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         known = Evidence(model.evidence)
-        for part in stepwise(batches, text, STEP):
-            rows = [score_text(raw or "", known, model) for raw in part.column(names.index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], kind)], [*names, "toxicity", "toxic_spans"])
+        for part in stepwise(batches, at, STEP):
+            rows = [score_text(raw or "", known, model) for raw in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], kind)], [*part.schema.names, *names])
 
-    types = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{types}, toxicity double, toxic_spans array<struct<start:int,end:int,p:double>>")
+    return extended(docs, text, run, {names[0]: "double", names[1]: "array<struct<start:int,end:int,p:double>>"})
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that score 0.5 or more under a model fitted on their labels."""
-    return score_toxicity(docs, fit_toxicity(docs, labels)).where("toxicity < 0.5").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs, with all columns as they are, without the rows that score 0.5 or more under a model fitted on their labels."""
+    score, spans = free_name("toxicity", docs.columns), free_name("toxic_spans", docs.columns)
+    scored = score_toxicity(docs, fit_toxicity(docs, labels), names=(score, spans))
+    return scored.where(F.col(score) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from terrabrook.llm import bpe
+from terrabrook.llm import bpe, mixing
 from tests.llm.test_jaccard import brute
 
 
@@ -48,7 +48,8 @@ def test_stages_against_plain_python(spark, tmp_path):
         assert (r[0], *r[2:]) == (old[0], *old[2:])
         assert (r[1] == old[1]) == ("4111111111111111" not in (old[1] or ""))
     copies = Counter(r[0] for r in outs[3])
-    assert set(copies) <= set(want) and max(copies.values()) <= 2 and len(outs[4]) == len(outs[3])
+    planned = Counter({r["doc_id"]: r["copies"] for r in mixing.mix_sources(spark.read.parquet(f"{tmp_path}/2")).collect() if r["copies"]})
+    assert set(copies) <= {*want, None} and copies == planned and max(copies.values()) <= 2 and len(outs[4]) == len(outs[3])
     vocab = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     text = {r[0]: r[1] or "" for r in outs[2]}
     for doc, _, _, n, ids, digest in outs[4]:
