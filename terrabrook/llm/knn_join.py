@@ -6,8 +6,8 @@ queries can score: for q in the cell of p with radius r and norms up to N, and x
 
     p.o - r|o| - N d  <=  q.x  <=  p.o + r|o| + N d.
 
-With m the most vectors that one identifier has (1, if identifiers are unique), the (k+m)-th largest lower bound is a score that every query of the
-group reaches with k others, so x is copied to the group only if its upper bound does. Cells of near pivots share a copy where that costs less: a
+With one lower bound for each identifier, its largest, the (k+1)-th largest is a score that every query of the group reaches with k other
+identifiers, however many vectors one of them has, so x is copied to the group only if its upper bound does. Cells of near pivots share a copy where that costs less: a
 copy saved against products made in vain. A group's data are dealt in slices and its queries in chunks of bounded size, each unit is solved by matrix
 products on exact numbers, and a window merges the slices. Of equal vectors only the k + 1 smallest identifiers can win, so a vector that many
 rows share is reduced, before it is shuffled, to those.
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import mixed, saved
 
 #: Pivots at most (their table of bounds has the square of that), rows of a slice, queries of a chunk, queries multiplied at once.
 PIVOTS, SLICE, CHUNK, BLOCK = 1024, 20_000, 50_000, 256
-#: Products that cost as much as a copy of a row, and vectors of one identifier beyond which nothing is left out by bounds.
-COPY, SAME = 2000, 500
+#: Products that cost as much as a copy of a row.
+COPY = 2000
 
 
 def _packed(v: np.ndarray) -> list[bytes]:
@@ -182,20 +182,21 @@ def _of_length(rows: DataFrame, dim: int, n: int, is_query: Column, k: int) -> D
     drawn = rows.groupBy("v").agg(F.min(F.xxhash64("id")).alias("h")).orderBy("h", "v").limit(int(min(PIVOTS, max(1, n**0.5 / 4)))).collect()
     pivots = _unpacked([bytes(r["v"]) for r in drawn], dim)
     cells = saved(_assigned(rows, pivots), "cells")
-    most = cells.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    several = k + min(most, SAME)
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     data = saved(cells.withColumn("place", first).where(F.col("place") <= k + 1).drop("place"), "data")
-    near = data.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("d", "id"))).where(F.col("place") <= several).select("cell", "d").collect()  # so many rows a pivot
+    nearest = data.groupBy("cell", "id").agg(F.min("d").alias("d")).withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("d", "id")))
+    near = sorted((r["id"], r["cell"], r["d"]) for r in nearest.where(F.col("place") <= k + 1).collect())  # so many rows a pivot
     held = {r["cell"]: r for r in data.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}
     asked = {r["cell"]: r for r in cells.where(is_query).groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r"), F.max("norm").alias("norm")).collect()}
     p = pivots.astype(np.float64)
     dots, norms = p @ p.T, np.sqrt((p * p).sum(1))
-    near_cell, near_d = np.array([r["cell"] for r in near], np.int64), np.array([r["d"] for r in near])
+    near_id, near_cell, near_d = np.array([r[0] for r in near], np.int64), np.array([r[1] for r in near], np.int64), np.array([r[2] for r in near])
+    firsts = np.flatnonzero(np.concatenate(([True], near_id[1:] != near_id[:-1])))
     least = {}  # by cell of queries: the distance from its pivot at which a vector of each cell must be copied
     for i, g in asked.items():
         low = dots[i, near_cell] - g["r"] * norms[near_cell] - g["norm"] * near_d
-        reached = np.sort(low)[-several] if len(low) >= several and most <= SAME else -np.inf
+        low = np.maximum.reduceat(low, firsts)
+        reached = np.sort(low)[-k - 1] if len(low) > k else -np.inf
         slack = 1e-9 * (1 + abs(reached) + np.abs(dots[i]) + g["r"] * norms)
         room = reached - slack - dots[i] - g["r"] * norms
         least[i] = (g["n"], np.where(room <= 0, -1.0, room / max(g["norm"], 1e-300) * (1 - 1e-9)))
@@ -215,12 +216,12 @@ def _of_length(rows: DataFrame, dim: int, n: int, is_query: Column, k: int) -> D
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, d = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            part = batch.column(0).to_numpy()
+            part = mixed(batch.column(0).to_numpy().astype(np.uint64))  # identifiers may have a common stride
             for i in range(n_groups):
                 to = np.flatnonzero(d >= need[i, cell])
                 for c in range(chunks[i] if len(to) else 0):
                     fill = lambda x, m=len(to): pa.array(np.full(m, x, np.int32))
-                    yield pa.RecordBatch.from_arrays([fill(i), pa.array((part[to] % slices[i]).astype(np.int32)), fill(c), pa.array(np.zeros(len(to), bool)), batch.column(0).take(pa.array(to)), batch.column(1).take(pa.array(to))], ["g", "slice", "chunk", "asked", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([fill(i), pa.array((part[to] % np.uint64(slices[i])).astype(np.int32)), fill(c), pa.array(np.zeros(len(to), bool)), batch.column(0).take(pa.array(to)), batch.column(1).take(pa.array(to))], ["g", "slice", "chunk", "asked", "id", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,11 +42,14 @@ def test_few_and_none(spark):
     assert run(spark, []) == []
 
 
-def test_one_identifier_with_several_vectors(spark):
+def test_one_identifier_with_several_vectors(spark, monkeypatch):
     """Its own rows don't take the places of others."""
     rows = [(20, [float(i), 9.0]) for i in range(5)] + [(1, [1.0, 1.0]), (2, [0.5, 1.0]), (3, [-1.0, 2.0])]
     assert run(spark, rows, 3) == brute(rows, 3)
     rng = np.random.default_rng(7)
+    monkeypatch.setattr(knn_join, "COPY", 0)
+    own = [(20, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(700)] + [(int(i), [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(100, 400)]
+    assert run(spark, own, 5) == brute(own, 5)
     many = [(int(i % 40), [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(400)]
     assert run(spark, many, 5) == brute(many, 5)
 
@@ -73,3 +76,14 @@ def test_bounds_leave_out_far_cells(spark, monkeypatch):
     monkeypatch.setattr(knn_join, "_solved", lambda units, dim, k: seen.append(units.where("not asked").groupBy("g").count().agg(F.avg("count")).first()[0]) or real(units, dim, k))
     assert run(spark, rows, 5) == brute(rows, 5)
     assert seen[0] < 2000
+
+
+def test_identifiers_with_a_stride_share_slices(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "SLICE", 100)
+    rng = np.random.default_rng(9)
+    rows = [(int(i) * 40, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(1200)]
+    seen = []
+    real = knn_join._solved
+    monkeypatch.setattr(knn_join, "_solved", lambda units, dim, k: seen.append(units.where("not asked").groupBy("g", "slice").count().agg(F.max("count"), F.avg("count")).first()) or real(units, dim, k))
+    assert run(spark, rows, 3) == brute(rows, 3)
+    assert seen[0][0] < 2 * seen[0][1]
