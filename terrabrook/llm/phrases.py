@@ -33,8 +33,8 @@ from .common import cut_words, give_back, mixed, saved
 STEP, HELD = 2 << 20, 1 << 20
 #: Bytes of text for each hash partition; a byte has at most half an n-gram of each length.
 SHARE = 50_000_000
-#: Bits of the filter for each survivor, and bits at most (as a power of two): 2^28 are 32 MB.
-BITS_EACH, MOST_BITS = 16, 28
+#: Bits of the filter for each survivor, and bits at most (as a power of two): 2^28 are 32 MB; bits that a survivor sets.
+BITS_EACH, MOST_BITS, PROBES = 32, 28, 4
 #: Parts of a language whose first rows are chosen apart.
 PARTS = 64
 
@@ -198,9 +198,11 @@ def _placed(words: Words, skips: np.ndarray, m: int) -> np.ndarray:
 
 
 def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether a filter has h: two bits of a 64-bit block."""
-    block = bits[(h >> np.uint64(16)) % np.uint64(len(bits))]
-    return (block >> (h & np.uint64(63))) & (block >> ((h >> np.uint64(6)) & np.uint64(63))) & np.uint64(1) == 1
+    """Whether a filter has h: PROBES bits of a 64-bit block."""
+    block, out = bits[(h >> np.uint64(32)) % np.uint64(len(bits))], np.uint64(1)
+    for k in range(PROBES):
+        out = out & (block >> ((h >> np.uint64(6 * k)) & np.uint64(63)))
+    return out == 1
 
 
 def _candidates(words: Words, salt: np.ndarray, skips: np.ndarray, lengths: Sequence[int], known: int, bits: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -223,8 +225,10 @@ def _filter(survivors: DataFrame, n: int) -> np.ndarray:
     """Blocks of 64 bits that hold the survivors' hashes; only the blocks, whose number is bounded, come to the driver."""
     blocks = 1 << min(MOST_BITS - 6, max(4, (n * BITS_EACH // 64).bit_length()))
     one = F.lit(1).cast("long")
-    bit = lambda by: F.call_function("shiftleft", one, F.shiftrightunsigned("h", by).bitwiseAND(F.lit(63)).cast("int"))
-    held = survivors.groupBy(F.pmod(F.shiftrightunsigned("h", 16), F.lit(blocks)).alias("b")).agg(F.bit_or(bit(0).bitwiseOR(bit(6))).alias("v"))
+    all_ = F.lit(0).cast("long")
+    for k in range(PROBES):
+        all_ = all_.bitwiseOR(F.call_function("shiftleft", one, F.shiftrightunsigned("h", 6 * k).bitwiseAND(F.lit(63)).cast("int")))
+    held = survivors.groupBy(F.pmod(F.shiftrightunsigned("h", 32), F.lit(blocks)).alias("b")).agg(F.bit_or(all_).alias("v"))
     table, out = held.toArrow(), np.zeros(blocks, np.uint64)
     out[table.column("b").to_numpy()] = table.column("v").to_numpy().view(np.uint64)
     return out
@@ -287,9 +291,11 @@ def exact_counts(rows: DataFrame, longest: int, bits: np.ndarray) -> DataFrame:
             for name in set(langs):
                 entry = held.setdefault((name, 0), [name, "", 0])
                 entry[2] += int(sum(per[i] for i, x in enumerate(langs) if x == name)) if len(set(langs)) > 1 else int(per.sum())
+            passes = np.ones(len(words.codes) + 1, bool)
             for m, h in words.grams(longest, salt):
+                passes = _holds(shared.value, h) & passes[:-1] & passes[1:] if m > 1 else _holds(shared.value, h)  # both of its parts were frequent
                 at = _placed(words, skips, m)
-                at = at[_holds(shared.value, h[at])]
+                at = at[passes[at]]
                 if not len(at):
                     continue
                 found, first, n = np.unique(h[at], return_index=True, return_counts=True)
