@@ -1,13 +1,17 @@
-"""Exact percentiles without a task of all values: brackets from a sketch, counts below them, and only what lies in a bracket is gathered."""
+"""Exact percentiles without a task of all values: brackets from a sketch, counts below them, and only what lies in a bracket is gathered.
+
+Of one series as numbers, of all groups of a table as a table."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import saved
+
 #: Accuracy of the sketch, and distinct values of all brackets that are gathered at once.
 ACCURACY, GATHERED = 10_000, 50_000
 
@@ -55,3 +59,40 @@ def _any(conditions: list[Column]) -> Column:
     for c in conditions:
         out = out | c
     return out
+
+
+#: The values of a group of more than SMALL lie in WAYS x WAYS parts between approximate percentiles.
+WAYS, SMALL = 32, 65_536
+
+
+def grouped_percentiles(values: DataFrame, keys: Sequence[str], v: str, fractions: Sequence[float]) -> DataFrame:
+    """(*keys, n, percentiles): of every group the percentiles of v, an array in the order of fractions, by linear interpolation between neighbours; nulls and NaN don't count, and a group without values has no row.
+
+    One plan for all groups, whatever their number or size: a sketch of each group cuts it into parts; exact counts of the parts say which one each rank falls in; of
+    those parts alone, equal values are counted and ranked. The sketch decides only how large a part is, never the result.
+    """
+    names = list(keys)
+    data = saved(values.select(*names, F.col(v).cast("double").alias("_v")).where("_v is not null and not isnan(_v)"), "series")
+    cuts = F.array(*(F.lit(i / WAYS**2) for i in range(1, WAYS**2)))
+    sketch = data.groupBy(*names).agg(F.count("*").alias("_n"), F.percentile_approx("_v", cuts, F.lit(ACCURACY)).alias("_s"))
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(WAYS - 1)), lambda i: F.element_at("_s", i * WAYS))
+    fine = F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda i: F.slice("_s", i * WAYS + 1, WAYS - 1))
+    large, none = F.col("_n") > SMALL, F.array().cast("array<double>")
+    sketch = saved(sketch.select(*names, "_n", F.when(large, coarse).otherwise(none).alias("_coarse"), F.when(large, fine).otherwise(F.array(none)).alias("_fine")), "sketch")
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("_v")))
+    parts = data.join(sketch.drop("_n"), names).withColumn("_a", below("_coarse")).select(*names, "_v", (F.col("_a") * WAYS + below(F.get("_fine", F.col("_a")))).alias("_part"))
+    counts = parts.groupBy(*names, "_part").agg(F.count("*").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.array(*(F.lit(float(f)) * (F.col("_n") - 1) for f in fractions))
+    ranks = F.array_distinct(F.concat(F.transform(at, lambda a: F.floor(a)), F.transform(at, lambda a: F.ceil(a))))
+    asked = sketch.select(*names, "_n", F.explode(ranks).alias("_rank"))
+    found = counts.withColumn("_before", before).join(asked, names).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_m")))
+    found = saved(found.select(*names, "_n", "_part", "_rank", "_before"), "ranks")
+    inside = parts.join(found.select(*names, "_part").distinct(), [*names, "_part"], "left_semi").groupBy(*names, "_part", "_v").agg(F.count("*").alias("_m"))
+    less = F.coalesce(F.sum("_m").over(Window.partitionBy(*names, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = inside.withColumn("_less", less + 0).join(found, [*names, "_part"])
+    met = met.where((F.col("_rank") - F.col("_before") >= F.col("_less")) & (F.col("_rank") - F.col("_before") < F.col("_less") + F.col("_m")))
+    out = met.groupBy(*names, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_values"))
+    value = lambda rank: F.element_at("_values", rank)
+    between = F.transform(at, lambda a: value(F.floor(a)) + (value(F.ceil(a)) - value(F.floor(a))) * (a - F.floor(a)))
+    return out.select(*names, F.col("_n").alias("n"), between.alias("percentiles"))

@@ -1,10 +1,8 @@
-"""Neighbourhood operators on grids (row, col, v), as equal joins over shifted positions: no window spans a grid, no join is a range join."""
+"""Operators on grids (row, col, v): smoothing and medians in tiles with rims, windows, resampling, connected cells and outlines by equal joins."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,57 +10,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def size_of(grid: DataFrame) -> DataFrame:
-    """(h, w) in one row: positions start at 0."""
-    return grid.agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
-
-
-def _reflected(i: Column, n: Column) -> Column:
-    return F.when(i < 0, -1 - i).when(i >= n, 2 * n - 1 - i).otherwise(i)
+from . import tiles
+from .scratch import saved
+from .tiles import size_of
 
 
 def _clamped(i: Column, n: Column) -> Column:
     return F.greatest(F.lit(0), F.least(n - 1, i))
 
 
-def gaussian(grid: DataFrame, sigma: float = 1.0, names: Sequence[str] = ("v",), size: DataFrame | None = None) -> DataFrame:
+def gaussian(grid: DataFrame, sigma: float = 1.0, names: Sequence[str] = ("v",), size: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Normalised smoothing of columns: missing cells weigh nothing and are filled from their neighbours; edges reflect, kernel radius int(4 sigma + 0.5).
 
-    A cell gives its value to the cells around it, along rows and then along columns, so each pass is one aggregate: with an edge's
-    reflection the positions have a period of twice the side, within which a cell stands at two places. size: one row (h, w), where the grid is larger than its cells. sigma 0 or less: the grid as it is.
+    Of one grid, or of all that `keys` tell apart, in tiles with rims. size: a row (*keys, h, w) a grid, where grids are larger than their cells. sigma 0 or less: the grid as it is.
     """
     if sigma <= 0:
-        return grid.select("row", "col", *names)
+        return grid.select(*keys, "row", "col", *names)
     radius = int(4 * sigma + 0.5)
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    kernel = [x / sum(kernel) for x in kernel]
-    offsets = F.array(*(F.struct(F.lit(k - radius).alias("d"), F.lit(x).alias("x")) for k, x in enumerate(kernel)))
-    sums, weights = [f"_s{i}" for i in range(len(names))], [f"_m{i}" for i in range(len(names))]
-    out = grid.select("row", "col", *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(s) for n, s in zip(names, sums)), *(F.col(n).isNotNull().cast("double").alias(m) for n, m in zip(names, weights)))
-    size = F.broadcast(size_of(grid) if size is None else size.select("h", "w"))
-
-    def places(at: Column, n: Column, own: bool) -> Column:
-        return F.transform(offsets, lambda o: F.struct(F.pmod(at - o["d"], 2 * n).alias("p"), o["x"].alias("x"), ((o["d"] == 0) & F.lit(own)).alias("own")))
-
-    for axis, n in (("col", "w"), ("row", "h")):
-        other = "row" if axis == "col" else "col"
-        to = F.concat(places(F.col(axis), F.col(n), True), places(-1 - F.col(axis), F.col(n), False))
-        given = out.join(size).select(other, *sums, *weights, F.explode(F.filter(to, lambda g: g["p"] < F.col(n))).alias("g"))
-        totals = [F.sum(F.col("g.x") * F.col(c)).alias(c) for c in (*sums, *weights)]
-        out = given.groupBy(other, F.col("g.p").cast(dict(out.dtypes)[axis]).alias(axis)).agg(*totals, F.bool_or("g.own").alias("own")).where("own").drop("own")  # only cells of the grid
-    return out.select("row", "col", *(F.when(F.col(m) > 1e-6, F.col(s) / F.col(m)).alias(n) for n, s, m in zip(names, sums, weights)))
-
-
-def median3x3(grid: DataFrame) -> DataFrame:
-    """The median of the nine cells around; beyond an edge the edge's own cell counts again. A cell gives its value to those around it, so this is one aggregate."""
-    near = lambda axis, n: F.concat(F.sequence(F.col(axis) - 1, F.col(axis) + 1), F.when(F.col(axis) == 0, F.array(axis)).otherwise(F.array().cast("array<long>")), F.when(F.col(axis) == F.col(n) - 1, F.array(axis)).otherwise(F.array().cast("array<long>")))
-    cells = grid.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "v").join(F.broadcast(size_of(grid)))
-    given = cells.select("v", "row", "col", F.explode(near("row", "h")).alias("_r"), "w").select("v", "row", "col", "_r", F.explode(near("col", "w")).alias("_c"))
-    kinds = dict(grid.dtypes)
-    at = [F.col("_r").cast(kinds["row"]).alias("row"), F.col("_c").cast(kinds["col"]).alias("col")]
-    met = given.select(*at, "v", ((F.col("row") == F.col("_r")) & (F.col("col") == F.col("_c"))).alias("own"))
-    return met.groupBy("row", "col").agg(F.median("v").alias("v"), F.bool_or("own").alias("own")).where("own").drop("own")
+    return tiles.over_tiles(grid, names, radius, tiles.smoothed([x / sum(kernel) for x in kernel]), keys, size)
+
+
+def median3x3(grid: DataFrame, keys: Sequence[str] = (), size: DataFrame | None = None) -> DataFrame:
+    """The median of the nine cells around; beyond an edge the edge's own cell counts again. Missing cells don't count."""
+    return tiles.over_tiles(grid, ["v"], 1, tiles.medians, keys, size)
 
 
 def window(grid: DataFrame, row: int, col: int, rows: int, cols: int, h: int | None = None, w: int | None = None) -> DataFrame:
@@ -106,20 +77,6 @@ def bilinear(grid: DataFrame, h: int, w: int) -> DataFrame:
     return met.join(given, ["_r", "_c"]).groupBy("row", "col").agg((F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("v"))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in spark.checkpoint.dir, which every executor sees; the lineage is cut. Only in local mode, where one machine runs all, a folder is made if none is set."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-terrabrook-"))
-        at = spark.sparkContext.getCheckpointDir()
-    path = f"{at.rstrip('/')}/terrabrook/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _roots(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (u, v): root is the smallest node that can be reached. Alternating stars: each round hangs all larger
     neighbours of a node on its smallest one, then all smaller ones; the number of rounds grows with the logarithm of the nodes."""

@@ -12,8 +12,9 @@ from ..functions.classify import absolute_zone, relative_zone
 from ..functions.indices import index_column
 from .grid import from_utm
 from .quality import clamp
-from .quantiles import exact_percentiles
-from .raster import components, saved
+from .quantiles import exact_percentiles, grouped_percentiles
+from .raster import components
+from .scratch import saved
 
 
 #: Bands that a soil analysis can't do without.
@@ -55,8 +56,24 @@ def mean_indices(indices: DataFrame, names: Sequence[str] = ("ndvi", "ndwi", "sa
     return indices.agg(*(F.bround(F.avg(n), 5).alias(n) for n in names))
 
 
-def quantile_zones(values: DataFrame, v: str, n: int = 5) -> DataFrame:
-    """values with `zone` from 1 to n by the quantiles of v; equal edges collapse, so ties share a zone."""
+def _zoned(values: DataFrame, v: str, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """values with `zone` by the inner edges of their group."""
+    met = values.join(edges.withColumnRenamed("edges", "_edges"), list(keys), "left")
+    return met.withColumn("zone", relative_zone(F.col(v), F.coalesce("_edges", F.array().cast("array<double>")))).drop("_edges")
+
+
+def quantile_edges(values: DataFrame, v: str, n: int, keys: Sequence[str]) -> DataFrame:
+    """(*keys, edges): the inner edges of n zones of each group; equal ones collapse, also with the least and the largest value."""
+    _check(n)
+    edges = F.array_sort(F.array_distinct("percentiles"))
+    found = grouped_percentiles(values, keys, v, [k / n for k in range(n + 1)])
+    return found.select(*keys, F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0))).alias("edges"))
+
+
+def quantile_zones(values: DataFrame, v: str, n: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """values with `zone` from 1 to n by the quantiles of v, in each group that keys tell apart; ties share a zone."""
+    if keys:
+        return _zoned(values, v, quantile_edges(values, v, n, keys), keys)
     _check(n)
     edges = sorted(set(exact_percentiles(values, v, [k / n for k in range(n + 1)])))
     return values.withColumn("zone", relative_zone(F.col(v), F.array(*map(F.lit, edges[1:-1])).cast("array<double>")))
@@ -82,7 +99,33 @@ def kmeans_edges(values: DataFrame, v: str, k: int, rounds: int = 25) -> list[fl
     return [(a + b) / 2 for a, b in zip(centres, centres[1:])]
 
 
-def kmeans_zones(values: DataFrame, v: str, k: int = 5) -> DataFrame:
+def kmeans_edges_by(values: DataFrame, v: str, k: int, keys: Sequence[str], rounds: int = 25) -> DataFrame:
+    """(*keys, edges): inner edges between k centres of one dimension, in each group; seeds are the percentiles from 5 to 95. Equal values are counted once for all
+    rounds; a round is one aggregate by group and centre over the groups whose centres still move."""
+    _check(k)
+    names = list(keys)
+    seeds = grouped_percentiles(values, keys, v, [0.05 + 0.9 * i / (k - 1) for i in range(k)])
+    state = saved(seeds.select(*names, F.col("percentiles").alias("c"), F.lit(False).alias("still")), "centres")
+    data = saved(values.where(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))).groupBy(*names, F.col(v).cast("double").alias("_v")).agg(F.count("*").alias("_n")), "values")
+    for _ in range(rounds):
+        moving = state.where("not still")
+        near = F.array_min(F.transform("c", lambda c, i: F.struct(F.abs(F.col("_v") - c).alias("d"), i.alias("i"))))["i"]
+        means = data.join(moving, names).groupBy(*names, near.alias("i")).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("m"))
+        means = means.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("m"))
+        moved = moving.join(means, names).withColumn("new", F.transform("c", lambda c, i: F.coalesce(F.element_at("m", i), c)))
+        same = F.forall(F.arrays_zip("c", "new"), lambda p: F.abs(p["c"] - p["new"]) <= 1e-4 + 1e-5 * F.abs(p["c"]))
+        state = saved(moved.select(*names, F.col("new").alias("c"), same.alias("still")).unionByName(state.where("still")), "centres")
+        if state.where("not still").isEmpty():
+            break
+    c = F.array_sort("c")
+    between = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: (F.element_at(c, i) + F.element_at(c, i + 1)) / 2)
+    return state.select(*names, F.array_distinct(between).alias("edges"))
+
+
+def kmeans_zones(values: DataFrame, v: str, k: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """values with `zone` from 1 to k by k centres of v, in each group that keys tell apart."""
+    if keys:
+        return _zoned(values, v, kmeans_edges_by(values, v, k, keys), keys)
     edges = sorted(set(kmeans_edges(values, v, k)))
     return values.withColumn("zone", relative_zone(F.col(v), F.array(*map(F.lit, edges)).cast("array<double>")))
 
@@ -104,9 +147,9 @@ def patches(cells: DataFrame, res_m: float = 10.0) -> DataFrame:
     found = saved(found.repartitionByRange("grid", "zone", "label").withColumn("_part", F.spark_partition_id()), "patches")
     sizes = found.groupBy("grid", "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("grid").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = found.join(F.broadcast(sizes.select("grid", "_part", before.alias("_before"))), ["grid", "_part"])
+    found = found.join(sizes.select("grid", "_part", before.alias("_before")), ["grid", "_part"])
     order = (F.row_number().over(Window.partitionBy("grid", "_part").orderBy("zone", "label")) + F.col("_before")).cast("int")
-    return found.join(F.broadcast(rim), "grid").select("grid", "zone", order.alias("patch_id"), "pixels", area.alias("area_ha"), kind.alias("patch_type"), "r1", "r2", "c1", "c2", F.col("label.r0").alias("r0"), F.col("label.c0").alias("c0"))
+    return found.join(rim, "grid").select("grid", "zone", order.alias("patch_id"), "pixels", area.alias("area_ha"), kind.alias("patch_type"), "r1", "r2", "c1", "c2", F.col("label.r0").alias("r0"), F.col("label.c0").alias("c0"))
 
 
 def _rates(met: DataFrame, table: list[tuple], nutrient: str) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions import classify, lookups
 from ..functions.indices import index_column, lookup
 from ..operators import grid, legend, mosaic, quality, raster, zoning
 from ..operators import scenes as choose
+from ..operators.scratch import saved
 
 VEGETATION_CLOUD, WATER_CLOUD = 60, 80
 
@@ -133,7 +134,7 @@ def zone_pipeline(grid: DataFrame, n: int = 5, method: str = "quantile", least_h
     zones = (zoning.quantile_zones if method == "quantile" else zoning.kmeans_zones)(grid, "v", n)
     smooth = raster.median3x3(zones.select("row", "col", F.col("zone").cast("double").alias("v")))
     cells = smooth.select(F.lit(0).cast("long").alias("grid"), F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), F.col("v").cast("int").alias("z"))
-    return raster.saved(raster.dissolved(raster.saved(cells, "cells"), max(1, round(least_ha * lookups.M2_PER_HA / (res_m * res_m)))), "zones")
+    return saved(raster.dissolved(saved(cells, "cells"), max(1, round(least_ha * lookups.M2_PER_HA / (res_m * res_m)))), "zones")
 
 
 def variable_rates(grid: DataFrame, nutrient: str, n: int = 5, method: str = "quantile", crop: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.indices import REGISTRY, index_column, resolve_asset
 from ..operators import grid as grids
 from ..operators import legend, mosaic, quality, raster, zoning
 from ..operators import scenes as choose
+from ..operators.scratch import saved
 from ..sources.fixtures import PIXELS_SQL, RASTER_SQL, SCENES_SQL, pixels, scenes, table
 from ..sources.fixtures import raster as raster_of
 from . import analyses
@@ -597,8 +598,8 @@ def _gauss_sql() -> str:
     flip = lambda i, n: f"CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
     holed = "g AS (SELECT \"row\", col, CASE WHEN (\"row\" + col) % 11 <> 0 THEN v END AS v FROM raster)"
     return _ra(
-        f", {_SIZE}, {holed}, k(d, x) AS (VALUES {rows}), a AS (SELECT g.\"row\", g.col, sum(x * coalesce(o.v, 0)) AS s, sum(x * CASE WHEN o.v IS NULL THEN 0 ELSE 1 END) AS m FROM g CROSS JOIN k CROSS JOIN z JOIN g o ON o.\"row\" = g.\"row\" AND o.col = {flip('g.col + d', 'w')} GROUP BY 1, 2),"
-        f" b AS (SELECT a.\"row\", a.col, sum(x * o.s) AS s, sum(x * o.m) AS m FROM a CROSS JOIN k CROSS JOIN z JOIN a o ON o.col = a.col AND o.\"row\" = {flip('a.row + d', 'h')} GROUP BY 1, 2) SELECT \"row\", col, round(s / m, 6) AS v FROM b".replace("a.row", 'a."row"')
+        f", {_SIZE}, {holed}, k(d, x) AS (VALUES {rows}), a AS MATERIALIZED (SELECT g.\"row\", g.col, p.x * q.x AS x, {flip('g.\"row\" + p.d', 'h')} AS r2, {flip('g.col + q.d', 'w')} AS c2 FROM g, k p, k q, z)"
+        ' SELECT a."row", a.col, round(sum(x * o.v) / sum(CASE WHEN o.v IS NOT NULL THEN x END), 6) AS v FROM a JOIN g o ON o."row" = r2 AND o.col = c2 GROUP BY 1, 2'
     )
 
 
@@ -689,6 +690,34 @@ def zones_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zoning.kmeans_zones(raster_of(spark, sf_dir), "v").select("row", "col", "zone")
 
 
+#: Zones of every scene by its own values, as the index of the pixels.
+_SCENE_NDVI = f"v AS MATERIALIZED (SELECT scene_id, order_id, line, {FORMULAS['calc', 'NDVI']} AS v FROM pixels)"
+
+
+def _scene_ndvi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels(spark, sf_dir).select("scene_id", "order_id", "line", index_column("NDVI").alias("v"))
+
+
+@query(_px(f", {_SCENE_NDVI}, e AS (SELECT scene_id, list_sort(list_distinct(quantile_cont(v, [0, 0.2, 0.4, 0.6, 0.8, 1])))[2:-2] AS e FROM v GROUP BY scene_id) SELECT scene_id, order_id, line, CAST(1 + len(list_filter(e, lambda q: q < v)) AS INTEGER) AS zone FROM v JOIN e USING (scene_id)"))
+def zones_quantile_by_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zoning.quantile_zones(_scene_ndvi(spark, sf_dir), "v", keys=["scene_id"]).select("scene_id", "order_id", "line", "zone")
+
+
+_KMEANS_BY = """, it(i, scene_id, c, done) AS (
+  SELECT 0, scene_id, quantile_cont(v, [0.05, 0.275, 0.5, 0.725, 0.95]), false FROM v GROUP BY scene_id
+  UNION ALL SELECT i + 1, scene_id, m, list_bool_and(list_transform(list_zip(c, m), lambda p: abs(p[1] - p[2]) <= 1e-4 + 1e-5 * abs(p[1]))) FROM (
+    SELECT i, scene_id, c, [coalesce(m1, c[1]), coalesce(m2, c[2]), coalesce(m3, c[3]), coalesce(m4, c[4]), coalesce(m5, c[5])] AS m FROM (
+      SELECT any_value(i) AS i, scene_id, any_value(c) AS c, avg(v) FILTER (k = 1) AS m1, avg(v) FILTER (k = 2) AS m2, avg(v) FILTER (k = 3) AS m3, avg(v) FILTER (k = 4) AS m4, avg(v) FILTER (k = 5) AS m5 FROM (
+        SELECT i, it.scene_id, c, v, list_position(list_transform(c, lambda x: abs(v - x)), list_min(list_transform(c, lambda x: abs(v - x)))) AS k FROM it JOIN v ON v.scene_id = it.scene_id WHERE i < 25 AND NOT done) GROUP BY scene_id))
+), e AS (SELECT scene_id, list_transform(range(1, 5), lambda k: (list_sort(c)[k] + list_sort(c)[k + 1]) / 2) AS e FROM it QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY i DESC) = 1)
+SELECT scene_id, order_id, line, CAST(1 + len(list_filter(list_distinct(e), lambda q: q < v)) AS INTEGER) AS zone FROM v JOIN e USING (scene_id)"""
+
+
+@query(_px(f", {_SCENE_NDVI}{_KMEANS_BY}").replace("WITH ", "WITH RECURSIVE ", 1))
+def zones_kmeans_by_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zoning.kmeans_zones(_scene_ndvi(spark, sf_dir), "v", keys=["scene_id"]).select("scene_id", "order_id", "line", "zone")
+
+
 def _cells(spark: SparkSession, sf_dir: str, classes: int = 2) -> DataFrame:
     return raster_of(spark, sf_dir).select(F.lit(0).cast("long").alias("grid"), F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), F.floor((F.col("v") + 1) * 8 % classes + 1).cast("int").alias("z"))
 
@@ -780,7 +809,7 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole report: carbon of the pixels, doses of the raster."""
     maps, cells = _maps(spark, sf_dir), raster_of(spark, sf_dir)
-    found = raster.saved(zoning.patches(analyses.zone_pipeline(cells)), "found")
+    found = saved(zoning.patches(analyses.zone_pipeline(cells)), "found")
     size = raster.size_of(cells).first()
     meta = {"crop": lookups.crop_key("Onion"), "date": "2024-01-10", "cloud": 3.5, "collection": lookups.collections("s2")[0], "height": size["h"], "width": size["w"], "res_m": 10.0, "zones": 5, "method": "quantile"}
     return zoning.text_report(meta, zoning.soc_stats(maps), zoning.soc_classes(maps), {n: zoning.rates_from_patches(found, n) for n in "NPK"})
@@ -846,12 +875,10 @@ def _soil_sql() -> str:
     first = "best AS (SELECT * FROM px QUALIFY row_number() OVER (PARTITION BY order_id, line ORDER BY acquired, scene_id, b08, b04) = 1)"
     values = ", ".join(f"CASE WHEN scl NOT IN (3, 8, 9, 10, 11) THEN {FORMULAS['soil', n.upper()]} END AS {n}" for n in names)
     one = ", ".join(f"sum(x * coalesce(o.{n}, 0)) AS s_{n}, sum(x * CASE WHEN o.{n} IS NULL THEN 0 ELSE 1 END) AS m_{n}" for n in names)
-    two = ", ".join(f"sum(x * o.s_{n}) AS s_{n}, sum(x * o.m_{n}) AS m_{n}" for n in names)
     mean = ", ".join(f"round_even(avg(CASE WHEN m_{n} > 1e-6 THEN s_{n} / m_{n} END), 5) AS {n}" for n in names)
     return _of_field(_px(
         f", {first}, z AS (SELECT max(order_id) + 1 AS h, max(line) + 1 AS w FROM lines), g AS MATERIALIZED (SELECT order_id AS r, line AS c, {values} FROM best), k(d, x) AS (VALUES {rows}),"
-        f" a1 AS MATERIALIZED (SELECT r, c, x, {flip('c + d', 'w')} AS c2 FROM g, k, z), a AS MATERIALIZED (SELECT a1.r, a1.c, {one} FROM a1 JOIN g o ON o.r = a1.r AND o.c = c2 GROUP BY 1, 2),"
-        f" b1 AS MATERIALIZED (SELECT r, c, x, {flip('r + d', 'h')} AS r2 FROM a, k, z), b AS (SELECT b1.r, b1.c, {two} FROM b1 JOIN a o ON o.c = b1.c AND o.r = r2 GROUP BY 1, 2) SELECT {mean} FROM b"
+        f" a AS MATERIALIZED (SELECT r, c, p.x * q.x AS x, {flip('r + p.d', 'h')} AS r2, {flip('c + q.d', 'w')} AS c2 FROM g, k p, k q, z), b AS (SELECT a.r, a.c, {one} FROM a JOIN g o ON o.r = r2 AND o.c = c2 GROUP BY 1, 2) SELECT {mean} FROM b"
     )).replace("FROM lines)", "FROM pixels)")
 
 

@@ -391,3 +391,61 @@ def test_reading_and_fields(spark):
     assert one(legend.rendered(grid_.limit(1).withColumn("v", F.lit(None).cast("double")), "NDVI"))["rgba"] == [0, 0, 0, 0]
     with pytest.raises(ValueError):
         zoning.soil_indices(df)
+
+
+def test_tiles_with_rims(spark, monkeypatch):
+    """Small tiles give what one large tile gives, for several grids at once, with holes; the shuffle is little more than the cells."""
+    from terrabrook.operators import tiles
+
+    rng = np.random.default_rng(3)
+    shapes = {1: (37, 21), 2: (3, 50), 3: (1, 1), 4: (20, 20)}
+    rows = [(g, r, c, None if rng.random() < 0.2 else float(rng.normal())) for g, (h, w) in shapes.items() for r in range(h) for c in range(w) if g != 4 or (r + c) % 3]
+    cells = spark.createDataFrame(rows, "g int, row long, col int, v double")
+
+    def direct(run, radius):
+        out = {}
+        for g, (h, w) in shapes.items():
+            a = np.full((h, w), np.nan)
+            for k, r, c, v in rows:
+                if k == g and v is not None:
+                    a[r, c] = v
+            ri, ci = tiles._source(-radius, h + 2 * radius, h), tiles._source(-radius, w + 2 * radius, w)
+            out[g] = run([a[ri][:, ci]], radius)[0]
+        return {(g, r, c): out[g][r, c] for g, r, c, _ in rows}
+
+    for op, run, radius in ((lambda s: raster.gaussian(cells, 1.3, keys=["g"]), None, 5), (lambda s: raster.median3x3(cells, ["g"]), tiles.medians, 1)):
+        if run is None:
+            kernel = [np.exp(-(k * k) / (2 * 1.3 * 1.3)) for k in range(-radius, radius + 1)]
+            run = tiles.smoothed([x / sum(kernel) for x in kernel])
+        want = direct(run, radius)
+        for side in (256, 12):
+            monkeypatch.setattr(tiles, "SIDE", side)
+            got = {(r["g"], r["row"], r["col"]): r["v"] for r in op(side).collect()}
+            assert got.keys() == want.keys()
+            assert all((v is None and np.isnan(want[k])) or abs(v - want[k]) < 1e-12 for k, v in got.items())
+    large = spark.range(400 * 300).select(F.lit(1).alias("g"), F.floor(F.col("id") / 300).alias("row"), (F.col("id") % 300).cast("int").alias("col"), F.rand(1).alias("v"))
+    assert tiles.haloed(large, ["v"], 4, ["g"], None, 256).count() <= 1.3 * large.count()
+    assert raster.gaussian(cells.limit(0), 1.0, keys=["g"]).count() == 0
+
+
+def test_grouped_percentiles_and_zones(spark, monkeypatch):
+    from terrabrook.operators import quantiles, zoning
+
+    monkeypatch.setattr(quantiles, "SMALL", 40)
+    rng = np.random.default_rng(4)
+    groups = {1: rng.normal(size=5000), 2: np.full(300, 2.5), 3: np.array([1.0]), 4: rng.integers(0, 4, 900).astype(float), 5: np.exp(8 * rng.normal(size=2000)), 6: np.array([np.nan])}
+    df = spark.createDataFrame([(g, float(x), i) for g, xs in groups.items() for i, x in enumerate(xs)] + [(7, None, 0), (1, None, -1)], "g int, v double, i int").repartition(6)
+    fractions = [0.0, 0.02, 0.31, 0.5, 0.98, 1.0]
+    got = {r["g"]: r for r in quantiles.grouped_percentiles(df, ["g"], "v", fractions).collect()}
+    assert got.keys() == {1, 2, 3, 4, 5}
+    for g, r in got.items():
+        assert r["n"] == len(groups[g]) and np.allclose(r["percentiles"], np.quantile(groups[g], fractions), rtol=1e-12, atol=0)
+    zones = zoning.quantile_zones(df, "v", 4, ["g"]).collect()
+    for r in zones:
+        x = np.array(groups.get(r["g"], []))
+        if r["v"] is not None and not np.isnan(r["v"]):
+            inner = np.unique(np.quantile(x, np.arange(5) / 4))[1:-1]
+            assert r["zone"] == 1 + (inner < r["v"]).sum()
+    alone = {g: sorted((r["i"], r["zone"]) for r in zoning.kmeans_zones(df.where(f"g = {g}"), "v", 3).collect()) for g in (1, 4)}
+    both = zoning.kmeans_zones(df, "v", 3, ["g"]).collect()
+    assert all(sorted((r["i"], r["zone"]) for r in both if r["g"] == g) == z for g, z in alone.items())
