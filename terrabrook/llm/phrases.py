@@ -33,6 +33,8 @@ from .common import cut_words, give_back, mixed, saved
 STEP, HELD = 2 << 20, 1 << 20
 #: Bytes of text for each hash partition; a byte has at most half an n-gram of each length.
 SHARE = 50_000_000
+#: Phrases that a hash partition adds up, about.
+ENTRIES = 100_000
 #: Bits of the filter for each survivor, and bits at most (as a power of two): 2^28 are 32 MB; bits that a survivor sets.
 BITS_EACH, MOST_BITS, PROBES = 32, 28, 4
 #: Parts of a language whose first rows are chosen apart.
@@ -271,26 +273,31 @@ def frequent_hashes(rows: DataFrame, lengths: Sequence[int], threshold: int, siz
     return rows.mapInArrow(count, "h long, n long").repartition(partitions, "h").mapInArrow(summarise, "h long")
 
 
-def exact_counts(rows: DataFrame, longest: int, bits: np.ndarray) -> DataFrame:
-    """(lang, m, phrase, f) of the n-grams that pass the filter, and one row of m = 0 for each language: all its words."""
+def exact_counts(rows: DataFrame, longest: int, threshold: int, bits: np.ndarray, survivors: int) -> DataFrame:
+    """(lang, m, phrase, f) of the n-grams that pass the filter and occur `threshold` times, and one row of m = 0 for each language: all its words.
+
+    A worker hands on one record of all its entries for each hash partition, in lists; a partition adds them up by the words themselves, and is one of so many that it has about ENTRIES of them."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)  # bounded by MOST_BITS
-    kind = pa.schema([("lang", pa.string()), ("m", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), survivors // ENTRIES + 1)
+    kinds = {"lang": pa.string(), "m": pa.int32(), "phrase": pa.string(), "f": pa.int64()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}  # (hash, m): language, phrase, count; a phrase of another hash is another entry
+        held: dict[tuple, list] = {}  # (hash, m) or (language, 0): language, phrase, count
 
         def given() -> Iterator[pa.RecordBatch]:
-            rows = [(v[0], k[1], v[1], v[2]) for k, v in held.items()]
+            part = np.array([k[0] % parts if k[1] else xxhash.xxh3_64_intdigest(k[0].encode()) % parts for k in held], np.int64)
+            order = np.argsort(part, kind="stable")
+            chosen, firsts = np.unique(part[order], return_index=True)
+            entries = [(v[0], k[1], v[1], v[2]) for k, v in held.items()]
+            columns = list(zip(*(entries[i] for i in order.tolist()), strict=True)) or [[], [], [], []]
+            ends = pa.array(np.append(firsts, len(part)), pa.int32())
             held.clear()
-            for a in range(0, len(rows), 1 << 15):
-                part = list(zip(*rows[a : a + (1 << 15)], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kind.types, strict=True)], schema=kind)
+            yield pa.RecordBatch.from_arrays([pa.array(chosen), *(pa.ListArray.from_arrays(ends, pa.array(c, t)) for c, t in zip(columns, kinds.values(), strict=True))], ["part", *kinds])
 
         for words, salt, langs, skips in _steps(batches, longest - 1, STEP):
             per = np.bincount(words.stretch[_placed(words, skips, 1)], minlength=len(langs))
-            for name in set(langs):
-                entry = held.setdefault((name, 0), [name, "", 0])
-                entry[2] += int(sum(per[i] for i, x in enumerate(langs) if x == name)) if len(set(langs)) > 1 else int(per.sum())
+            for name, n in zip(langs, per.tolist(), strict=True):
+                held.setdefault((name, 0), [name, "", 0])[2] += n
             passes = np.ones(len(words.codes) + 1, bool)
             for m, h in words.grams(longest, salt):
                 passes = _holds(shared.value, h) & passes[:-1] & passes[1:] if m > 1 else _holds(shared.value, h)  # both of its parts were frequent
@@ -307,11 +314,24 @@ def exact_counts(rows: DataFrame, longest: int, bits: np.ndarray) -> DataFrame:
                         entry[2] += k
             if len(held) >= HELD // 4:
                 yield from given()
-        yield from given()
+        if held:
+            yield from given()
+        give_back()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, int] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lists = [batch.column(c)[i].values.to_pylist() for c in range(1, 5)]
+                for lang, m, phrase, f in zip(*lists, strict=True):
+                    sums[lang, m, phrase] = sums.get((lang, m, phrase), 0) + f
+        out = [(*k, f) for k, f in sums.items() if f >= threshold or not k[1]]
+        for a in range(0, len(out), 1 << 15):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + (1 << 15)], strict=True), kinds.values(), strict=True)], list(kinds))
         give_back()
 
-    found = rows.mapInArrow(count, "lang string, m int, phrase string, f long")
-    return found.groupBy("lang", "m", "phrase").agg(F.sum("f").alias("f"))
+    lists = rows.mapInArrow(count, "part long, lang array<string>, m array<int>, phrase array<string>, f array<long>")
+    return lists.repartition(parts, "part").mapInArrow(total, "lang string, m int, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, threshold: int = 100, longest: int = 5) -> DataFrame:
@@ -326,7 +346,8 @@ def frequent_phrases(docs: DataFrame, threshold: int = 100, longest: int = 5) ->
         found = saved(frequent_hashes(rows, lengths, threshold, size, known, bits), "survivors")
         all_ = found if all_ is None else all_.unionByName(found)
         known, bits = lengths[-1], _filter(found, found.count())
-    return saved(exact_counts(rows, longest, _filter(all_, all_.count())).where((F.col("m") == 0) | (F.col("f") >= threshold)), "phrases")
+    survivors = all_.count()
+    return saved(exact_counts(rows, longest, threshold, _filter(all_, survivors), survivors), "phrases")
 
 
 def collocations(docs: DataFrame, threshold: int = 100, longest: int = 5, top: int | None = 2000) -> DataFrame:
