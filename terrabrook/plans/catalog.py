@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, lookups
 from ..functions.indices import REGISTRY, index_column, resolve_asset
+from ..operators import fields as shapes
 from ..operators import grid as grids
 from ..operators import legend, mosaic, quality, raster, zoning
 from ..operators import scenes as choose
@@ -516,6 +517,83 @@ def aoi_masked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.of_field(cells, FIELD, raster.size_of(cells)).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
+#: A field for each order: this shape, times a size, at a place; every other one has a hole.
+SHAPE, HOLE = FIELD[0], [(0.25, 0.15), (0.45, 0.15), (0.35, 0.25)]
+
+
+def _shape(ring: list[tuple[float, float]]) -> Column:
+    return F.array(*(F.struct((F.col("x0") + F.col("s") * px).alias("x"), (F.col("y0") + F.col("s") * py).alias("y")) for px, py in ring))
+
+
+def _parity_sql(ring: list[tuple[float, float]], x: str, y: str) -> str:
+    at = lambda p: (f"(x0 + s * {p[0]}::DOUBLE)", f"(y0 + s * {p[1]}::DOUBLE)")
+    sides = [(*at(a), *at(b)) for a, b in zip(ring, [*ring[1:], ring[0]])]
+    return " + ".join(f"CASE WHEN ({y1} > {y}) <> ({y2} > {y}) AND {x} < ({x2} - {x1}) * ({y} - {y1}) / ({y2} - {y1}) + {x1} THEN 1 ELSE 0 END" for x1, y1, x2, y2 in sides)
+
+
+@query(
+    _ra(
+        f', {_SIZE}, f AS MATERIALIZED (SELECT o_orderkey AS field, (o_custkey % 89) / 89.0::DOUBLE * 64 - 4 AS x0, (o_orderkey % 997) / 997.0::DOUBLE * h AS y0, CAST(4 + o_orderkey % 23 AS DOUBLE) AS s FROM orders, z),'
+        ' near AS (SELECT f.*, v, col + 0.5::DOUBLE AS cx, "row" + 0.5::DOUBLE AS cy FROM f JOIN raster ON col BETWEEN floor(x0) AND x0 + s AND "row" BETWEEN floor(y0) AND y0 + s)'
+        f" SELECT field, count(*) AS n, round(avg(v), 6) AS mean FROM near WHERE ({_parity_sql(SHAPE, 'cx', 'cy')} + CASE WHEN field % 2 = 0 THEN {_parity_sql(HOLE, 'cx', 'cy')} ELSE 0 END) % 2 = 1 GROUP BY field"
+    )
+)
+def fields_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field for each order, all in one join with the cells."""
+    cells = raster_of(spark, sf_dir)
+    key, h = F.col("o_orderkey"), raster.size_of(cells).select("h").scalar()
+    fields = table(spark, sf_dir, "orders").select(key.alias("field"), (F.col("o_custkey") % 89 / F.lit(89.0) * 64 - 4).alias("x0"), (key % 997 / F.lit(997.0) * h).alias("y0"), (key % 23 + 4).cast("double").alias("s"))
+    rings = F.when(F.col("field") % 2 == 0, F.array(_shape(SHAPE), _shape(HOLE))).otherwise(F.array(_shape(SHAPE)))
+    met = shapes.cells_of(cells, fields.select("field", rings.alias("rings")), ["field"], "rings", F.col("col") + 0.5, F.col("row") + 0.5, side=4)
+    return met.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+
+
+#: Footprints and fields in a plane of 1000 x 1000, some of both crowded in a corner of it.
+_FOOT = [(0.0, 0.1), (1.0, 0.0), (1.1, 0.8), (0.1, 0.9)]
+_PLACED = {
+    "events": ("event_id", "CASE WHEN {k} % 5 = 0 THEN 300 + {k} * 7 % 200 ELSE {k} * 37 % 1000 END", "CASE WHEN {k} % 5 = 0 THEN 300 + {k} * 11 % 200 ELSE {k} * 91 % 997 END", "10 + {k} % 5"),
+    "orders": ("o_orderkey", "CASE WHEN {k} % 7 = 0 THEN 300 + {k} * 13 % 200 ELSE {k} * 53 % 1000 END", "CASE WHEN {k} % 7 = 0 THEN 300 + {k} * 3 % 200 ELSE {k} * 71 % 991 END", "2 + {k} % 7"),
+}
+
+
+def _placed_sql(name: str, key: str, ring: list[tuple[float, float]]) -> str:
+    """CTEs {name}_p(key, x0, y0, s, box) and {name}_e(key, edges)."""
+    k, x, y, size = (e.format(k=_PLACED[name][0]) for e in ("{k}", *_PLACED[name][1:]))
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    sides = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(ring, [*ring[1:], ring[0]]))
+    return (
+        f"{name}_p AS MATERIALIZED (SELECT *, x0 + s * {min(xs)}::DOUBLE AS xa, x0 + s * {max(xs)}::DOUBLE AS xb, y0 + s * {min(ys)}::DOUBLE AS ya, y0 + s * {max(ys)}::DOUBLE AS yb FROM (SELECT {k} AS {key}, CAST({x} AS DOUBLE) AS x0, CAST({y} AS DOUBLE) AS y0, CAST({size} AS DOUBLE) AS s FROM {name})),"
+        f" {name}_e AS MATERIALIZED (SELECT {key}, x0 + s * p::DOUBLE AS px, y0 + s * q::DOUBLE AS py, x0 + s * u::DOUBLE AS qx, y0 + s * v::DOUBLE AS qy FROM {name}_p, (VALUES {sides}) t(p, q, u, v))"
+    )
+
+
+def _scenes_fields_sql() -> str:
+    turn = lambda a, x, y: f"sign(({a}.qx - {a}.px) * ({y} - {a}.py) - ({a}.qy - {a}.py) * ({x} - {a}.px))"
+    cross = f"greatest(e.px, e.qx) >= least(f.px, f.qx) AND greatest(f.px, f.qx) >= least(e.px, e.qx) AND greatest(e.py, e.qy) >= least(f.py, f.qy) AND greatest(f.py, f.qy) >= least(e.py, e.qy) AND {turn('e', 'f.px', 'f.py')} * {turn('e', 'f.qx', 'f.qy')} <= 0 AND {turn('f', 'e.px', 'e.py')} * {turn('f', 'e.qx', 'e.qy')} <= 0"
+    ray = lambda e, x, y: f"sum(CASE WHEN ({e}.py > {y}) <> ({e}.qy > {y}) AND {x} < ({e}.qx - {e}.px) * ({y} - {e}.py) / ({e}.qy - {e}.py) + {e}.px THEN 1 ELSE 0 END) % 2 = 1"
+    first = lambda p, ring: (f"({p}.x0 + {p}.s * {ring[0][0]}::DOUBLE)", f"({p}.y0 + {p}.s * {ring[0][1]}::DOUBLE)")
+    return (
+        f"WITH {_placed_sql('events', 'item_id', _FOOT)}, {_placed_sql('orders', 'field', SHAPE)},"
+        " near AS MATERIALIZED (SELECT item_id, field FROM events_p a JOIN orders_p b ON a.xa <= b.xb AND b.xa <= a.xb AND a.ya <= b.yb AND b.ya <= a.yb),"
+        f" crossed AS (SELECT DISTINCT item_id, field FROM near JOIN events_e e USING (item_id) JOIN orders_e f USING (field) WHERE {cross}),"
+        f" inner1 AS (SELECT near.item_id, near.field FROM near JOIN orders_p p USING (field) JOIN events_e e ON e.item_id = near.item_id GROUP BY near.item_id, near.field, p.x0, p.y0, p.s HAVING {ray('e', *first('p', SHAPE))}),"
+        f" inner2 AS (SELECT near.item_id, near.field FROM near JOIN events_p p USING (item_id) JOIN orders_e e ON e.field = near.field GROUP BY near.item_id, near.field, p.x0, p.y0, p.s HAVING {ray('e', *first('p', _FOOT))})"
+        " SELECT * FROM crossed UNION SELECT * FROM inner1 UNION SELECT * FROM inner2"
+    )
+
+
+def _placed(spark: SparkSession, sf_dir: str, name: str, key: str, ring: list[tuple[float, float]]) -> DataFrame:
+    k, x, y, size = _PLACED[name]
+    rows = table(spark, sf_dir, name).select(F.col(k).alias(key), *(F.expr(f"cast({e.format(k=k)} as double)").alias(n) for n, e in (("x0", x), ("y0", y), ("s", size))))
+    return rows.select(key, F.array(_shape(ring)).alias("rings"))
+
+
+@query(_scenes_fields_sql())
+def scenes_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which scenes show a part of which fields: footprints of all events, fields of all orders."""
+    return shapes.meeting(_placed(spark, sf_dir, "events", "item_id", _FOOT), _placed(spark, sf_dir, "orders", "field", SHAPE), ("item_id", "field"), ("rings", "rings"), 64.0, 20_000)
+
+
 _SIDES = "s AS (SELECT o_orderkey AS id, o_totalprice / 20 AS dx, o_totalprice / 50 + 7 AS dy FROM orders)"
 
 
