@@ -1,4 +1,4 @@
-"""Operators on grids (row, col, v): smoothing and medians in tiles with rims, windows, resampling, connected cells and outlines by equal joins."""
+"""Operators on grids (row, col, v): smoothing and medians in tiles with rims, windows, resampling and connected cells by equal joins."""
 
 from __future__ import annotations
 
@@ -164,38 +164,3 @@ def dissolved(cells: DataFrame, least: int) -> DataFrame:
 
 def tight_extent(grid: DataFrame) -> DataFrame:
     return grid.where("v is not null").agg(F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("col").alias("c1"), F.max("col").alias("c2"))
-
-
-def traced(cells: DataFrame) -> DataFrame:
-    """(grid, z, label, rings): the outlines of 4-connected patches as rings of grid corners, outer ring first by its first corner; cells lie to the right of their outline. The edges of
-    outlines are found by an equal join with the four cells around; a task has the edges of a patch, never its cells."""
-    sides = [(-1, 0), (0, 1), (1, 0), (0, -1)]  # above, right, below, left
-
-    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r, c, k in sorted(zip(pdf["row"].tolist(), pdf["col"].tolist(), pdf["k"].tolist(), strict=True)):
-            corners = (r, c), (r, c + 1), (r + 1, c + 1), (r + 1, c)
-            steps.setdefault(corners[k], []).append(corners[(k + 1) % 4])
-        out = []
-        while steps:
-            start = min(steps)
-            ring, at, last = [start], start, None
-            while True:
-                ways = steps[at]
-                turn = lambda to, at=at, last=last: 0 if last is None else (at[1] - last[1]) * (to[0] - at[0]) - (at[0] - last[0]) * (to[1] - at[1])
-                to = max(ways, key=turn)  # at a corner where two cells touch, keep to this cell
-                ways.remove(to)
-                if not ways:
-                    del steps[at]
-                last, at = at, to
-                ring.append(at)
-                if at == start:
-                    break
-            out.append([[int(x) for x in p] for p in ring])
-        return pd.DataFrame({"grid": [pdf["grid"].iloc[0]], "z": [pdf["z"].iloc[0]], "r0": [pdf["r0"].iloc[0]], "c0": [pdf["c0"].iloc[0]], "rings": [out]})
-
-    flat = components(cells, False).select("grid", "row", "col", "z", "label.r0", "label.c0")
-    around = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(sides))))
-    asked = flat.withColumn("o", around).withColumns({"_r": F.col("row") + F.col("o.a"), "_c": F.col("col") + F.col("o.b")})
-    edges = asked.join(cells.select("grid", "z", F.col("row").alias("_r"), F.col("col").alias("_c")), ["grid", "z", "_r", "_c"], "left_anti").select("grid", "z", "r0", "c0", "row", "col", "o.k")
-    return edges.groupBy("grid", "z", "r0", "c0").applyInPandas(rings, "grid long, z int, r0 long, c0 long, rings array<array<array<int>>>")

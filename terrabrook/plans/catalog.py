@@ -11,7 +11,7 @@ from ..functions import classify, lookups
 from ..functions.indices import REGISTRY, index_column, resolve_asset
 from ..operators import fields as shapes
 from ..operators import grid as grids
-from ..operators import legend, mosaic, quality, raster, zoning
+from ..operators import legend, mosaic, outlines, quality, raster, zoning
 from ..operators import scenes as choose
 from ..operators.scratch import saved
 from ..sources.fixtures import PIXELS_SQL, RASTER_SQL, SCENES_SQL, pixels, scenes, table
@@ -863,6 +863,21 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zoning.patches(_zones(spark, sf_dir))
 
 
+@query(_recursive(_ra(
+    f', {_cells_sql(2)}, {_labels_sql("cells", False, "lab")}, m AS MATERIALIZED (SELECT c.*, l FROM cells c JOIN lab ON id = "row" * 64 + col),'
+    ' i AS (SELECT x.l, count(*) AS n FROM m x JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(a, b) ON true JOIN m y ON y."row" = x."row" + a AND y.col = x.col + b AND y.z = x.z GROUP BY x.l)'
+    ' SELECT any_value(z) AS z, m.l // 64 AS r0, m.l % 64 AS c0, count(*) * 4 - coalesce(any_value(i.n), 0) AS edges, CAST(count(*) AS DOUBLE) AS area FROM m LEFT JOIN i ON i.l = m.l GROUP BY m.l')))
+def patch_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every patch the length of its outlines, and its area by the shoelace formula over their corners in order: that of the outer ring less its holes."""
+    corners = outlines.rings(_cells(spark, sf_dir), 64)
+    patch = ["grid", "z", "r0", "c0"]
+    last = corners.groupBy(*patch, "ring").agg(F.count("*").alias("n"))
+    after = corners.select(*patch, "ring", F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("place").alias("_next"))
+    met = corners.join(last, [*patch, "ring"]).withColumn("_next", (F.col("place") + 1) % F.col("n")).join(after, [*patch, "ring", "_next"])
+    twice = F.sum(F.col("col") * F.col("row2") - F.col("col2") * F.col("row"))
+    return met.groupBy(*patch).agg(F.count("*").alias("edges"), (twice / 2).alias("area")).select("z", "r0", "c0", "edges", "area")
+
+
 def _vra_sql(nutrient: str, crop: str) -> str:
     rows = ", ".join(f"({i + 1}, '{label}', {d}::DOUBLE, {p}::DOUBLE)" for i, (label, (d, p)) in enumerate(zip(lookups.zone_labels(5), (lookups.doses(nutrient, f) for f in lookups.dose_fractions(5)), strict=True)))
     return _recursive(_ra(
@@ -880,7 +895,7 @@ for _name, _crop in (("N", "Onion"), ("P", None), ("K", "quinoa")):
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a FeatureCollection in longitudes and latitudes."""
     zones = _zones(spark, sf_dir)
-    return zoning.collection_lines(zoning.features(zoning.patches(zones), raster.traced(zones.where("z > 0")), lookups.zone_labels(5), (500_000.0, 2_200_000.0, 10.0, 32643)))
+    return zoning.collection_lines(zoning.features(zoning.patches(zones), outlines.traced(zones.where("z > 0")), lookups.zone_labels(5), (500_000.0, 2_200_000.0, 10.0, 32643)))
 
 
 @query()

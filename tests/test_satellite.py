@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrabrook.functions import classify, lookups
 from terrabrook.functions.indices import REGISTRY, canonical_name, index_column, is_radar, lookup, register_index, resolve_asset
-from terrabrook.operators import grid, legend, mosaic, quality, quantiles, raster, scenes, zoning
+from terrabrook.operators import grid, legend, mosaic, outlines, quality, quantiles, raster, scenes, zoning
 from terrabrook.plans import analyses
 
 PIXEL = {"b02": 0.05, "b03": 0.08, "b04": 0.10, "b05": 0.18, "b08": 0.40, "b8a": 0.42, "b11": 0.25, "b12": 0.15, "vv": 0.05, "vh": 0.01}
@@ -206,7 +206,7 @@ def test_components_dissolve_and_rings(spark, seed):
                     want[cell] = best
     assert np.array_equal(array_of(raster.dissolved(cells_of(spark, z), 5), z.shape, "z"), want)
     areas = Counter(label(z, False).values())
-    for r in raster.traced(cells_of(spark, z)).collect():
+    for r in outlines.traced(cells_of(spark, z)).collect():
         twice = sum(a[1] * b[0] - b[1] * a[0] for ring in r["rings"] for a, b in zip(ring, ring[1:]))
         assert abs(twice) == 2 * areas[r["r0"], r["c0"]] and all(ring[0] == ring[-1] for ring in r["rings"])
 
@@ -244,7 +244,7 @@ def test_patches_and_rates(spark):
     rates = {r["zone"]: r for r in zoning.rates_from_patches(found, "N", 5).collect()}
     assert rates[1]["total_kg"] == round(326.1 * 3.55, 1) and rates[5]["pixels"] == 0 and rates[2]["patches"] == 1
     assert len([r for r in zoning.report_rows(zoning.rates_from_patches(found, "N", 5)).collect()]) == 3
-    features = zoning.features(found, raster.traced(cells_of(spark, z)), lookups.zone_labels(5)).collect()
+    features = zoning.features(found, outlines.traced(cells_of(spark, z)), lookups.zone_labels(5)).collect()
     assert len(features) == 3 and all('"type":"Feature"' in r["feature"] for r in features)
 
 
@@ -357,7 +357,7 @@ def test_geojson_in_and_out(spark):
     z = np.ones((8, 6), int)
     z[2:4, 2:4] = 2
     cells = cells_of(spark, z)
-    made = zoning.features(zoning.patches(cells), raster.traced(cells), lookups.zone_labels(2), (500000.0, 2200000.0, 10.0, 32643))
+    made = zoning.features(zoning.patches(cells), outlines.traced(cells), lookups.zone_labels(2), (500000.0, 2200000.0, 10.0, 32643))
     lines = "".join(r["line"] for r in zoning.collection_lines(made).orderBy("grid", "part", "patch_id").collect())
     whole = json.loads(lines)
     assert whole["type"] == "FeatureCollection" and [f["properties"]["zone_class"] for f in whole["features"]] == ["Low", "High"]
