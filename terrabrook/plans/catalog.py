@@ -17,6 +17,7 @@ from ..operators.scratch import saved
 from ..sources.fixtures import PIXELS_SQL, RASTER_SQL, SCENES_SQL, pixels, scenes, table
 from ..sources.fixtures import raster as raster_of
 from . import analyses
+from . import requests as service
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -517,6 +518,69 @@ def aoi_masked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.of_field(cells, FIELD, raster.size_of(cells)).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
+# Requests: one for each customer, scenes of the suppliers, pixels of the line items on a grid of 40 x 8 cells.
+_ASKED = ("NDVI", "NDWI", "RVI", "VH_VV")
+_REQUEST = {
+    "day": "CASE WHEN c_custkey % 50 = 7 THEN 'soon' ELSE CAST(DATE '2024-01-01' + CAST(c_custkey % 60 AS INT) AS {text}) END",
+    "index_name": "CASE WHEN c_custkey % 60 = 13 THEN 'FOO' WHEN c_custkey % 4 = 0 THEN 'ndvi' WHEN c_custkey % 4 = 1 THEN 'NDWI' WHEN c_custkey % 4 = 2 THEN 'RVI' ELSE 'vh/vv' END",
+    "satellite": "CASE WHEN c_custkey % 60 = 12 THEN 's1' WHEN c_custkey % 60 = 14 THEN 's2' WHEN c_custkey % 4 < 2 THEN 'S2' ELSE 's1' END",
+    "provider": "CASE c_custkey % 3 WHEN 0 THEN 'planetary' WHEN 1 THEN 'aws' END",
+}
+_SEEN = {
+    "b04": "max(l_quantity / 250)", "b08": "CASE WHEN (l_suppkey + l_orderkey % 40) % 4 > 0 THEN max(l_extendedprice / 150000) END", "b03": "max(0.03 + l_discount)", "b11": "CASE WHEN (l_suppkey + l_linenumber) % 3 > 0 THEN max(0.05 + l_quantity / 200) END",
+    "vv": "CASE WHEN (l_suppkey + l_orderkey % 40 + l_linenumber) % 5 > 1 THEN max(l_extendedprice / 1000000) END", "vh": "max(l_quantity / 10000)",
+}
+_OPTICAL, _RADAR = lookups.OPTICAL_COLLECTIONS[0], lookups.RADAR_COLLECTIONS[0]
+_REQUESTS_SQL = (
+    f"WITH asked AS (SELECT c_custkey AS request_id, {', '.join(e.format(text='VARCHAR') + ' AS ' + n for n, e in _REQUEST.items())} FROM customer),"
+    " known AS (SELECT request_id, try_cast(day AS DATE) AS day, CASE WHEN index_name = 'vh/vv' THEN 'VH_VV' ELSE upper(index_name) END AS index_name, lower(satellite) = 's1' AS radar, provider FROM asked),"
+    " judged AS (SELECT *, CASE WHEN day IS NULL THEN 'date must be YYYY-MM-DD' WHEN index_name NOT IN ('NDVI', 'NDWI', 'RVI', 'VH_VV') THEN 'Unsupported index: ' || index_name WHEN radar AND index_name IN ('NDVI', 'NDWI') THEN 'Index ' || index_name || ' is not available for Sentinel-1 (radar)' WHEN NOT radar AND index_name IN ('RVI', 'VH_VV') THEN 'Index ' || index_name || ' requires Sentinel-1 (radar)' END AS detail FROM known),"
+    " r AS (SELECT *, CASE WHEN provider = 'aws' AND NOT radar THEN 'aws' ELSE 'planetary' END AS prefer, request_id % 30 AS y0, request_id % 3 + 1 AS x0 FROM judged WHERE detail IS NULL),"
+    f" scenes AS (SELECT s_suppkey AS item_id, TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey * 7 % 60 AS INTEGER)) + to_hours(CAST(s_suppkey % 24 AS INTEGER)) AS acquired, CASE WHEN s_suppkey % 2 = 0 THEN 'planetary' ELSE 'aws' END AS provider, s_suppkey % 3 = 0 AS radar, s_suppkey % 4 * 8 AS y0 FROM supplier),"
+    f" px AS MATERIALIZED (SELECT l_suppkey AS item_id, l_orderkey % 40 AS y, l_linenumber AS x, CAST(l_linenumber + 4 AS INTEGER) AS scl, {', '.join(f'CAST({e} AS DOUBLE) AS {b}' for b, e in _SEEN.items())} FROM lineitem GROUP BY l_suppkey, l_orderkey % 40, l_linenumber),"
+    " cells AS MATERIALIZED (SELECT request_id, y, x FROM r JOIN (SELECT DISTINCT y, x FROM px) ON y >= y0 AND y < y0 + 6 AND x >= x0 AND x < x0 + 4),"
+    " met AS MATERIALIZED (SELECT r.request_id, r.day, r.index_name, r.radar, r.provider AS wish, item_id, acquired, s.provider, abs(date_diff('day', day, CAST(acquired AS DATE))) AS apart, CASE WHEN s.provider = prefer THEN 0 ELSE 1 END AS k FROM r JOIN scenes s ON s.radar = r.radar AND s.y0 <= r.y0 + 6 AND r.y0 <= s.y0 + 22),"
+    " tier AS (SELECT *, CASE WHEN apart = 0 THEN k WHEN apart <= 14 THEN k + 2 END AS t FROM met), page AS (SELECT * FROM (SELECT * FROM tier WHERE t IS NOT NULL QUALIFY t = min(t) OVER (PARTITION BY request_id)) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY acquired, item_id) <= CASE WHEN apart = 0 THEN 12 ELSE 24 END),"
+    " keep AS (SELECT p.request_id, p.item_id, any_value(p.acquired) AS acquired, 100.0::DOUBLE * sum(CASE WHEN p.radar THEN CASE WHEN vv > 0 THEN 1 ELSE 0 END WHEN b08 + b04 <> 0 AND scl NOT IN (8, 9, 10, 11) THEN 1 ELSE 0 END) / count(*) AS pct FROM page p JOIN cells c USING (request_id) LEFT JOIN px ON px.item_id = p.item_id AND px.y = c.y AND px.x = c.x GROUP BY p.request_id, p.item_id),"
+    " best AS MATERIALIZED (SELECT * FROM keep QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY pct DESC, item_id) = 1),"
+    " day_ AS (SELECT m.* FROM met m JOIN best b USING (request_id) WHERE CAST(m.acquired AS DATE) = CAST(b.acquired AS DATE)), tiles AS (SELECT * FROM (SELECT * FROM day_ QUALIFY k = min(k) OVER (PARTITION BY request_id)) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY acquired, item_id) <= 6),"
+    f" laid AS (SELECT t.request_id, px.y, px.x, scl, CASE index_name WHEN 'NDVI' THEN {FORMULAS['calc', 'NDVI']} WHEN 'NDWI' THEN {FORMULAS['calc', 'NDWI']} WHEN 'RVI' THEN {FORMULAS['calc', 'RVI']} ELSE {FORMULAS['calc', 'VH_VV']} END AS v, t.acquired, t.item_id FROM tiles t JOIN cells c USING (request_id) JOIN px ON px.item_id = t.item_id AND px.y = c.y AND px.x = c.x),"
+    " mosaic AS (SELECT * FROM laid WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request_id, y, x ORDER BY acquired, item_id) = 1),"
+    " base AS MATERIALIZED (SELECT c.*, m.v, m.scl FROM cells c SEMI JOIN best USING (request_id) LEFT JOIN mosaic m ON m.request_id = c.request_id AND m.y = c.y AND m.x = c.x), sparse AS (SELECT request_id FROM base GROUP BY request_id HAVING count(v) < 0.7 * count(*)),"
+    " other AS (SELECT m.*, CASE WHEN wish IS NULL THEN k WHEN wish = m.provider THEN 0 END AS w FROM met m JOIN best b USING (request_id) SEMI JOIN sparse USING (request_id) WHERE apart <= 14 AND m.item_id <> b.item_id), six AS (SELECT * FROM (SELECT * FROM other WHERE w IS NOT NULL QUALIFY w = min(w) OVER (PARTITION BY request_id)) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY acquired, item_id) <= 6),"
+    " med AS (SELECT s.request_id, any_value(index_name) AS index_name, px.y, px.x, " + ", ".join(f"median({b}) AS {b}" for b in _SEEN) + " FROM six s JOIN cells c USING (request_id) JOIN px ON px.item_id = s.item_id AND px.y = c.y AND px.x = c.x GROUP BY s.request_id, px.y, px.x),"
+    f" fill AS (SELECT request_id, y, x, CASE index_name WHEN 'NDVI' THEN {FORMULAS['calc', 'NDVI']} WHEN 'NDWI' THEN {FORMULAS['calc', 'NDWI']} WHEN 'RVI' THEN {FORMULAS['calc', 'RVI']} ELSE {FORMULAS['calc', 'VH_VV']} END AS f FROM med),"
+    " vals AS MATERIALIZED (SELECT b.request_id, index_name, b.y, b.x, CASE WHEN radar OR scl IS NULL OR scl NOT IN (8, 9, 10, 11) THEN coalesce(v, f) END AS v, v IS NULL AND f IS NOT NULL AS filled FROM base b JOIN r USING (request_id) LEFT JOIN fill ON fill.request_id = b.request_id AND fill.y = b.y AND fill.x = b.x)"
+)
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> service.Answers:
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), *(F.expr(e.format(text="STRING")).alias(n) for n, e in _REQUEST.items()))
+    box = lambda x0, y0, x1, y1: F.array(F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1)))))
+    x, y, zero = F.col("request_id") % 3 + 1, F.col("request_id") % 30, F.lit(0)
+    fields = asked.select("request_id", box(x, y, x + 4, y + 6).alias("rings"))
+    key = F.col("s_suppkey")
+    scenes_ = table(spark, sf_dir, "supplier").select(key.alias("item_id"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(s_suppkey * 7 % 60 as int), cast(s_suppkey % 24 as int))").alias("acquired"), F.when(key % 2 == 0, "planetary").otherwise("aws").alias("provider"), F.when(key % 3 == 0, _RADAR).otherwise(_OPTICAL).alias("collection"), box(zero, key % 4 * 8, zero + 8, key % 4 * 8 + 22).alias("rings"))
+    seen = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.expr("l_orderkey % 40"), "l_linenumber").agg(*(F.expr(f"cast({e} as double)").alias(b) for b, e in _SEEN.items()))
+    seen = saved(seen.select(F.col("l_suppkey").alias("item_id"), F.col("(l_orderkey % 40)").alias("row"), F.col("l_linenumber").alias("col"), (F.col("l_linenumber") + 4).alias("scl"), *_SEEN), "pixels")
+    cells = shapes.cells_of(seen.select("row", "col").distinct(), fields, ["request_id"], "rings", F.col("col") + 0.5, F.col("row") + 0.5, side=2)
+    reach = shapes.meeting(fields, scenes_.select("item_id", "rings"), ("request_id", "item_id"), ("rings", "rings"), 16.0)
+    return service.calculate(asked, scenes_, seen, saved(cells, "cells"), reach, _ASKED)
+
+
+@query(_REQUESTS_SQL + f", b AS (SELECT *, CASE index_name WHEN 'NDVI' THEN {_bin_sql('v', 'NDVI')} WHEN 'NDWI' THEN {_bin_sql('v', 'NDWI')} WHEN 'RVI' THEN {_bin_sql('v', 'RVI')} ELSE {_bin_sql('v', 'VH_VV')} END AS bin FROM vals) SELECT request_id, index_name, CAST(bin AS INTEGER) AS bin, count(*) AS n, count(*) FILTER (filled) AS filled, round(avg(v), 6) AS mean FROM b GROUP BY request_id, index_name, bin")
+def calculate_index_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The legends of all requests at once: scene by provider and date, mosaic of its day, fill from other dates."""
+    return service.legend_bins(_answers(spark, sf_dir).values, _ASKED).withColumn("mean", F.round("mean", 6))
+
+
+@query(_REQUESTS_SQL + " SELECT request_id, CASE WHEN detail IS NOT NULL THEN 400 WHEN pct IS NOT NULL THEN 200 ELSE 404 END AS status, CASE WHEN detail IS NOT NULL THEN detail WHEN pct IS NULL THEN 'No suitable item found for date/AOI' END AS detail, item_id, round(pct, 6) AS keep_pct FROM judged LEFT JOIN best USING (request_id)")
+def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each request, and the scene picked for it."""
+    out = _answers(spark, sf_dir)
+    return out.status.join(out.picks.select("request_id", "item_id", F.round("keep_pct", 6).alias("keep_pct")), "request_id", "left")
+
+
 #: A field for each order: this shape, times a size, at a place; every other one has a hole.
 SHAPE, HOLE = FIELD[0], [(0.25, 0.15), (0.45, 0.15), (0.35, 0.25)]
 

@@ -449,3 +449,37 @@ def test_grouped_percentiles_and_zones(spark, monkeypatch):
     alone = {g: sorted((r["i"], r["zone"]) for r in zoning.kmeans_zones(df.where(f"g = {g}"), "v", 3).collect()) for g in (1, 4)}
     both = zoning.kmeans_zones(df, "v", 3, ["g"]).collect()
     assert all(sorted((r["i"], r["zone"]) for r in both if r["g"] == g) == z for g, z in alone.items())
+
+
+def test_requests_are_judged(spark):
+    from terrabrook.plans import requests as service
+
+    rows = [(1, "2024-01-05", "ndvi", "s2", "both"), (2, "5 January", "ndvi", "s2", None), (3, "2024-13-01", "ndvi", None, "pc"), (4, "2024-01-05", "vh/vv", "S1", "AWS"), (5, "2024-01-05", "vh/vv", "s2", ""), (6, "2024-01-05", "NDVI", "s1-rtc", None), (7, "2024-01-05", "soil", "s2", None), (8, "2024-1-5", "evi", None, "aws"), (9, None, None, None, None)]
+    got = {r["request_id"]: r for r in service.judged(spark.createDataFrame(rows, "request_id int, day string, index_name string, satellite string, provider string")).collect()}
+    assert {i for i, r in got.items() if r["status"] == 400} == {2, 3, 5, 6, 7, 9}
+    assert got[2]["detail"] == got[3]["detail"] == "date must be YYYY-MM-DD" and "requires" in got[5]["detail"] and "not available" in got[6]["detail"] and got[7]["detail"] == "Unsupported index: SOIL"
+    assert (got[4]["index_name"], got[4]["radar"], got[4]["_prefer"], got[4]["_named"]) == ("VH_VV", True, "planetary", ["aws"])
+    assert (got[8]["_prefer"], got[8]["_named"], str(got[8]["day"])) == ("aws", ["aws"], "2024-01-05") and got[1]["_named"] == ["planetary", "aws"]
+
+
+def test_requests_fill_from_other_dates(spark):
+    """Of four cells the picked scene shows one: the others take medians of other scenes within the days, never its own."""
+    from terrabrook.plans import requests as service
+
+    asked = spark.createDataFrame([(1, "2024-02-01", "NDVI", "s2", "both"), (2, "2024-06-01", "NDVI", "s2", "both"), (3, "2024-02-01", "NDVI", "s2", "aws")], "request_id int, day string, index_name string, satellite string, provider string")
+    scenes_ = [(10, "2024-02-01", "planetary"), (11, "2024-02-09", "planetary"), (12, "2024-01-25", "planetary"), (13, "2024-02-20", "planetary"), (14, "2024-02-02", "aws")]
+    scenes_ = spark.createDataFrame([(i, d, p, "sentinel-2-l2a") for i, d, p in scenes_], "item_id int, acquired string, provider string, collection string").withColumn("acquired", F.col("acquired").cast("timestamp_ntz"))
+    value = {10: {0: 0.6}, 11: {0: 0.1, 1: 0.2, 2: 0.3}, 12: {1: 0.4}, 13: {3: 0.9}, 14: {3: 0.5}}
+    seen = [(i, 0, c, 4, 0.1, 0.1 * (1 + v) / (1 - v), 0.0) for i, cs in value.items() for c, v in cs.items()]
+    pixels_ = spark.createDataFrame(seen, "item_id int, row long, col int, scl int, b04 double, b08 double, vv double")
+    cells = spark.createDataFrame([(r, 0, c) for r in (1, 2, 3) for c in range(4)], "request_id int, row long, col int")
+    reach = spark.createDataFrame([(r, i) for r in (1, 2, 3) for i in value], "request_id int, item_id int")
+    out = service.calculate(asked, scenes_, pixels_, cells, reach, ["NDVI"])
+    assert {r["request_id"]: r["status"] for r in out.status.collect()} == {1: 200, 2: 404, 3: 200}
+    got = {(r["request_id"], r["col"]): r for r in out.values.collect()}
+    assert [got[1, c]["filled"] for c in range(4)] == [False, True, True, False]
+    assert got[1, 0]["v"] == pytest.approx(0.6, abs=1e-4) and got[1, 2]["v"] == pytest.approx(0.3, abs=1e-4) and got[1, 3]["v"] is None
+    assert got[1, 1]["v"] == pytest.approx(float((np.median([0.1 * 1.2 / 0.8, 0.1 * 1.4 / 0.6]) - 0.1) / (np.median([0.1 * 1.2 / 0.8, 0.1 * 1.4 / 0.6]) + 0.1)), abs=1e-4)
+    picks = {r["request_id"]: r for r in out.picks.collect()}
+    assert picks[1]["item_id"] == picks[3]["item_id"] == 10  # a scene of the day comes before the preferred provider's of another
+    assert service.calculate(asked.limit(0), scenes_, pixels_, cells, reach, ["NDVI"]).values.count() == 0
