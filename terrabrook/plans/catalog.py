@@ -11,9 +11,10 @@ from ..functions import classify, lookups
 from ..functions.indices import REGISTRY, index_column, resolve_asset
 from ..operators import fields as shapes
 from ..operators import grid as grids
-from ..operators import legend, mosaic, outlines, quality, raster, zoning
+from ..operators import legend, mosaic, outlines, pyramid, quality, raster, warp, zoning
 from ..operators import scenes as choose
-from ..operators.scratch import saved
+from ..operators.scratch import saved, scratch_path
+from ..sources import clustered
 from ..sources.fixtures import PIXELS_SQL, RASTER_SQL, SCENES_SQL, pixels, scenes, table
 from ..sources.fixtures import raster as raster_of
 from . import analyses
@@ -806,6 +807,65 @@ def band_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.window(cells, h // 10, 9, h // 2, 50, h // 2 // 3, 20).select("row", "col", F.round("v", 6).alias("v"))
 
 
+@query(SQL["band_window"])
+def band_window_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same window of the cells in Morton order: the scan is given ranges of keys."""
+    cells = raster_of(spark, sf_dir)
+    h, path = raster.size_of(cells).first()["h"], scratch_path(spark, "clustered")
+    clustered.write_clustered(cells, path)
+    part = clustered.read_window(spark, path, h // 10, 9, h // 2, 50)
+    return raster.window(part, 0, 0, h // 2, 50, h // 2 // 3, 20).select("row", "col", F.round("v", 6).alias("v"))
+
+
+#: Overviews of the raster, some of whose cells are missing.
+_PYRAMID = 'l AS (SELECT k AS level, r."row" >> k AS "row", r.col >> k AS col, count(v) AS n, sum(v) AS total FROM (SELECT "row", col, CASE WHEN ("row" + col) % 11 <> 0 THEN v END AS v FROM raster) r, range(0, 5) t(k) GROUP BY 1, 2, 3)'
+
+
+def _overviews(spark: SparkSession, sf_dir: str, levels: int = 4) -> DataFrame:
+    holed = raster_of(spark, sf_dir).withColumn("v", F.when((F.col("row") + F.col("col")) % 11 != 0, F.col("v")))
+    return pyramid.overviews(holed, levels)
+
+
+@query(_ra(f', {_PYRAMID} SELECT CAST(level AS INTEGER) AS level, "row", CAST(col AS INTEGER) AS col, n, round(total / n, 6) AS mean FROM l WHERE level > 0'))
+def pyramid_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _overviews(spark, sf_dir).where("level > 0")
+    return out.select("level", "row", "col", "n", F.when(F.col("n") > 0, F.round(F.col("total") / F.col("n"), 6)).alias("mean"))
+
+
+@query(_ra(f', {_SIZE}, {_PYRAMID}, t AS (SELECT i // 12 AS "row", CAST(i % 12 AS INTEGER) AS col, CAST(floor((i // 12 + 0.5::DOUBLE) * h / (h // 5) / 4) AS BIGINT) AS r, CAST(floor((i % 12 + 0.5::DOUBLE) * w / 12 / 4) AS INTEGER) AS c FROM (SELECT *, unnest(range(h // 5 * 12)) AS i FROM z)) SELECT t."row", t.col, CASE WHEN n > 0 THEN round(total / n, 6) END AS v FROM t JOIN l ON level = 2 AND l."row" = r AND l.col = c'))
+def decimated_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the rows and 12 columns, read from the level of 4 x 4 cells."""
+    size = raster.size_of(raster_of(spark, sf_dir)).first()
+    out = pyramid.decimated(_overviews(spark, sf_dir), size["h"], size["w"], size["h"] // 5, 12, 4)
+    return out.select("row", "col", F.round("v", 6).alias("v"))
+
+
+#: The raster in zone 43, read on a grid in zone 44.
+_EAST, _NORTH, _TO_EAST, _TO_NORTH, _RES = 700_000.0, 2_500_000.0, 60_000.0, 2_510_000.0, 1000.0
+
+
+def _warp_sql() -> str:
+    _, _, back = grids._series()
+    x, y = (" - ".join([v, *(f"{c!r}::DOUBLE * {f}({2 * j} * k) * {g}({2 * j} * e)" for j, c in enumerate(back, 1))]) for v, f, g in (("e", "cos", "sinh"), ("k", "sin", "cosh")))
+    ecc, radius = "0.08181919084262149::DOUBLE", "(0.9996 * 6367449.145823415e0)"
+    steps = "".join(f", p{i + 1} AS MATERIALIZED (SELECT * REPLACE (asin(tanh(atanh(sin(chi)) + {ecc} * atanh({ecc} * sin(phi)))) AS phi) FROM p{i})" for i in range(5))
+    return _ra(
+        f', {_SIZE}, t AS (SELECT i // 90 AS r, i % 90 AS c, h, w, ({_TO_EAST} + (i % 90 + 0.5::DOUBLE) * {_RES} - 500000) / {radius} AS e, ({_TO_NORTH} - (i // 90 + 0.5::DOUBLE) * {_RES}) / {radius} AS k FROM (SELECT *, unnest(range(h * 90)) AS i FROM z)),'
+        f" s AS (SELECT r, c, h, w, {x} AS xx, {y} AS yy FROM t), p0 AS MATERIALIZED (SELECT *, asin(sin(yy) / cosh(xx)) AS chi, asin(sin(yy) / cosh(xx)) AS phi FROM s){steps},"
+        f" g AS (SELECT r, c, h, w, degrees(atan2(sinh(xx), cos(yy))) + 81 AS lon, degrees(phi) AS lat FROM p5), u AS (SELECT r, c, h, w, ({_NORTH} - y) / {_RES} - 0.5 AS y, (x - {_EAST}) / {_RES} - 0.5 AS x FROM {_utm_sql('g')}),"
+        " n AS (SELECT r, c, (CASE WHEN a = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS k, greatest(0, least(h - 1, floor(y) + a)) AS r2, greatest(0, least(w - 1, floor(x) + b)) AS c2 FROM u, range(0, 2) p(a), range(0, 2) q(b) WHERE y >= -0.5 AND y < h - 0.5 AND x >= -0.5 AND x < w - 0.5)"
+        ' SELECT r AS "row", CAST(c AS INTEGER) AS col, round(sum(k * v) FILTER (k > 0) / sum(k) FILTER (k > 0), 6) AS v FROM n JOIN raster o ON o."row" = r2 AND o.col = c2 GROUP BY r, c'
+    )
+
+
+@query(_warp_sql())
+def warp_zone43_to_44(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = raster_of(spark, sf_dir)
+    size = raster.size_of(cells).first()
+    out = warp.warped(cells, warp.Frame(_EAST, _NORTH, _RES, 32643, size["h"], size["w"]), warp.Frame(_TO_EAST, _TO_NORTH, _RES, 32644, size["h"], 90))
+    return out.select("row", "col", F.round("v", 6).alias("v"))
+
+
 # Zones of the raster.
 @query(_ra(', e AS (SELECT quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS e FROM raster) SELECT "row", col, CAST(1 + len(list_filter(list_distinct(e), lambda q: q < v)) AS INTEGER) AS zone FROM raster, e'))
 def zones_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
