@@ -11,7 +11,7 @@ from ..functions import classify, lookups
 from ..functions.indices import REGISTRY, index_column, resolve_asset
 from ..operators import fields as shapes
 from ..operators import grid as grids
-from ..operators import legend, mosaic, outlines, pyramid, quality, raster, warp, zoning
+from ..operators import legend, maps, mosaic, outlines, pyramid, quality, raster, warp, zoning
 from ..operators import scenes as choose
 from ..operators.scratch import saved, scratch_path
 from ..sources import clustered
@@ -1113,6 +1113,15 @@ def rendered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legend.rendered(raster_of(spark, sf_dir), "NDVI", 2).select("row", "col", "bin", *(F.col("rgba")[i].alias(n) for i, n in enumerate("rgba")))
 
 
+@query(SQL["rendered_cells"].replace("bin, p.r, p.g, p.b, p.a FROM v JOIN", "p.r, p.g, p.b, p.a FROM v JOIN"))
+def map_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coloured cells as PNG tiles, and their pixels read from these: base64 text, as a web page would get it, on the way."""
+    cells = legend.rendered(raster_of(spark, sf_dir), "NDVI", 2).select("row", "col", *(F.col("rgba")[i].alias(n) for i, n in enumerate("rgba")))
+    size = raster.size_of(cells).first()
+    tiles = maps.map_tiles(cells, size["h"], size["w"]).withColumn("page", F.base64("png"))
+    return maps.pixels_of(tiles.withColumn("png", F.unbase64("page")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -151,3 +151,45 @@ def test_a_window_reads_little(spark, tmp_path):
         todo += [kids.apply(i) for i in range(kids.size())]
     assert scans and 2000 <= sum(scans) < n * n / 8
     assert clustered.read_window(spark, f"{tmp_path}/t", -5, 500, 10, 40).count() == 5 * 12
+
+
+@pytest.mark.parametrize(("h", "w", "rows", "cols", "side"), [(20, 31, 20, 31, 8), (40, 30, 13, 10, 8), (9, 7, 20, 33, 16), (16, 16, 4, 4, 256)])
+def test_map_tiles(spark, h, w, rows, cols, side):
+    from terrabrook.operators import maps
+
+    rng = np.random.default_rng(h)
+    images = {g: rng.integers(0, 256, (h, w, 4)) for g in (1, 2)}
+    for image in images.values():
+        image[rng.random((h, w)) < 0.3, 3] = 0
+    data = [(g, r, c, *map(int, image[r, c])) for g, image in images.items() for r in range(h) for c in range(w)]
+    cells = spark.createDataFrame(data, "g int, row long, col int, r int, g_ int, b int, a int").withColumnsRenamed({"g": "map", "g_": "g"})
+    made = maps.map_tiles(cells.repartition(3), h, w, rows, cols, ["map"], side)
+    assert made.count() == 2 * -(-rows // side) * -(-cols // side)
+    got = {}
+    for p in maps.pixels_of(made, ["map"], side).collect():
+        got[p["map"], p["row"], p["col"]] = [p[k] for k in "rgba"]
+    for g, image in images.items():
+        want = maps.resampled(image.astype(float), maps.weights(0, rows, h / rows, 0, h, h), maps.weights(0, cols, w / cols, 0, w, w))
+        if (h, w) == (rows, cols):
+            assert (want[image[..., 3] > 0] == image[image[..., 3] > 0]).all() and (want[..., 3] == image[..., 3]).all()
+        assert all(got.pop((g, i, j)) == want[i, j].tolist() for i in range(rows) for j in range(cols))
+    assert not got
+    png = bytearray(made.first()["png"])
+    png[40] ^= 1
+    with pytest.raises(ValueError):
+        maps.read_png(bytes(png))
+
+
+def test_png_filters_and_opacity():
+    from terrabrook.operators import maps
+
+    rng = np.random.default_rng(2)
+    ramp = np.stack([np.add.outer(np.arange(50), np.arange(40))] * 4, 2).astype(np.uint8)
+    for image in (ramp, rng.integers(0, 256, (17, 9, 4)).astype(np.uint8), np.zeros((3, 1, 4), np.uint8), (ramp.astype(int) ** 2 // 7 % 256).astype(np.uint8)):
+        assert (maps.read_png(maps.write_png(image)) == image).all()
+    assert len(maps.write_png(ramp)) < ramp.size / 10
+    half = np.zeros((8, 8, 4))
+    half[:, :4] = (200, 10, 30, 255)
+    half[:, 4:] = (0, 255, 0, 0)  # transparent green lends no colour
+    out = maps.resampled(half, maps.weights(0, 2, 4, 0, 8, 8), maps.weights(0, 2, 4, 0, 8, 8))
+    assert (np.abs(out[:, :, :3].astype(int)[out[..., 3] > 0] - [200, 10, 30]) <= 1).all() and out[0, 0, 3] > out[0, 1, 3]
