@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, lookups
 from ..functions.indices import REGISTRY, index_column, resolve_asset
+from ..operators import cache
 from ..operators import fields as shapes
 from ..operators import grid as grids
 from ..operators import legend, maps, mosaic, outlines, pyramid, quality, raster, warp, zoning
@@ -176,6 +177,15 @@ def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(analyses.availability(scenes(spark, sf_dir), "2024-01-03", "2024-01-20"))
 
 
+@query(SQL["availability"])
+def availability_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, asked twice: the second answer is the table of the first."""
+    ask = lambda: _named(analyses.availability(scenes(spark, sf_dir), "2024-01-03", "2024-01-20"))
+    params = {"service": "availability", "start": "2024-01-03", "end": "2024-01-20"}
+    cache.cached(ask(), params)
+    return cache.cached(ask(), params)
+
+
 _BEST = "best AS (SELECT *, CAST(acquired AS DATE) AS day FROM scenes QUALIFY row_number() OVER (PARTITION BY CAST(acquired AS DATE) ORDER BY coalesce(nullif(cloud, 0), 999), item_id) = 1)"
 _EVEN = "sampled AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM best) WHERE n <= 8 OR i IN (SELECT CAST(round_even(j * (n - 1) / 7.0::DOUBLE, 0) AS INTEGER) FROM range(8) t(j)))"
 
