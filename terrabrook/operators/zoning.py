@@ -167,6 +167,16 @@ def rates_from_patches(found: DataFrame, nutrient: str, n: int = 5) -> DataFrame
     return _rates(met, [(i + 1, label, f) for i, (label, f) in enumerate(zip(lookups.zone_labels(n), lookups.dose_fractions(n), strict=True))], nutrient)
 
 
+def rates_by_grid(found: DataFrame, nutrient: str, n: int = 5) -> DataFrame:
+    """rates_from_patches of each grid: every zone has a row in each, with or without patches."""
+    met = found.groupBy("grid", "zone").agg(F.sum("pixels").alias("pixels"), F.sum("area_ha").alias("area_ha"), F.count("*").alias("patches"))
+    table = [(i + 1, label, *lookups.doses(nutrient, f)) for i, (label, f) in enumerate(zip(lookups.zone_labels(n), lookups.dose_fractions(n), strict=True))]
+    zones = F.explode(F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(row, ("zone", "label", "nutrient_dose", "product_dose"), strict=True))) for row in table)))
+    rows = found.select("grid").distinct().select("grid", zones.alias("d")).select("grid", "d.*").join(met, ["grid", "zone"], "left")
+    area = F.coalesce("area_ha", F.lit(0.0))
+    return rows.select("grid", "zone", "label", F.coalesce("pixels", F.lit(0)).cast("long").alias("pixels"), F.bround(area, 3).alias("area_ha"), F.bround(area * lookups.ACRES_PER_HA, 3).alias("area_acres"), "nutrient_dose", F.lit(lookups.PRODUCTS[nutrient][0]).alias("product"), "product_dose", F.bround(F.col("product_dose") * area, 1).alias("total_kg"), F.coalesce("patches", F.lit(0)).cast("long").alias("patches"))
+
+
 def rates_absolute(maps: DataFrame, nutrient: str, res_m: float = 10.0) -> DataFrame:
     """The same by fixed thresholds and pixel counts."""
     zone = absolute_zone(F.col(nutrient.lower()), nutrient).alias("zone")

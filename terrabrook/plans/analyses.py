@@ -128,17 +128,34 @@ def soil_carbon(pixels: DataFrame, field: Field | None = None) -> tuple[DataFram
 
 
 def zone_pipeline(grid: DataFrame, n: int = 5, method: str = "quantile", least_ha: float = 0.05, res_m: float = 10.0) -> DataFrame:
-    """(grid, row, col, z): classified, median filtered and dissolved zones of one grid (row, col, v), as a table, since patches and outlines both ask for them."""
+    """(grid, row, col, z): classified, median filtered and dissolved zones of a grid (row, col, v), or of all grids that a column `grid` tells apart, each by its own values; as a table, since
+    patches and outlines both ask for them."""
     if method not in ("quantile", "kmeans"):
         raise ValueError("method must be quantile or kmeans")
-    zones = (zoning.quantile_zones if method == "quantile" else zoning.kmeans_zones)(grid, "v", n)
-    smooth = raster.median3x3(zones.select("row", "col", F.col("zone").cast("double").alias("v")))
-    cells = smooth.select(F.lit(0).cast("long").alias("grid"), F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), F.col("v").cast("int").alias("z"))
+    keys = ["grid"] if "grid" in grid.columns else []
+    zones = (zoning.quantile_zones if method == "quantile" else zoning.kmeans_zones)(grid, "v", n, keys)
+    smooth = raster.median3x3(zones.select(*keys, "row", "col", F.col("zone").cast("double").alias("v")), keys)
+    number = F.col("grid") if keys else F.lit(0)
+    cells = smooth.select(number.cast("long").alias("grid"), F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), F.col("v").cast("int").alias("z"))
     return saved(raster.dissolved(saved(cells, "cells"), max(1, round(least_ha * lookups.M2_PER_HA / (res_m * res_m)))), "zones")
 
 
 def variable_rates(grid: DataFrame, nutrient: str, n: int = 5, method: str = "quantile", crop: str | None = None) -> DataFrame:
-    """Doses by zone of one nutrient's grid, and the crop's key and demand of it in kg for a tonne of yield."""
+    """Doses by zone of one nutrient's grid, and the crop's key and demand of it in kg for a tonne of yield; of several grids, which a column `grid` tells apart, by grid and zone."""
     key = lookups.crop_key(crop)
-    rates = zoning.rates_from_patches(zoning.patches(zone_pipeline(grid, n, method)), nutrient, n)
+    found = zoning.patches(zone_pipeline(grid, n, method))
+    rates = (zoning.rates_by_grid if "grid" in grid.columns else zoning.rates_from_patches)(found, nutrient, n)
     return rates.withColumns({"crop": F.lit(key), "demand_kg_t": F.lit(lookups.CROP_DEMAND[key]["NPK".index(nutrient)])})
+
+
+def zoning_run(maps: DataFrame, n: int = 5, method: str = "quantile", nutrients: Sequence[str] = ("N", "P", "K")) -> DataFrame:
+    """(grid, nutrient, zone, doses) of soil maps (grid, row, col, n, p, k): the zones of all nutrients of all fields in one run, each nutrient of a field being a grid of its own."""
+    maps = maps.withColumn("_maps", F.array(*(F.struct(F.lit(k).alias("k"), F.col(x.lower()).alias("v")) for k, x in enumerate(nutrients))))
+    each = maps.select("grid", "row", "col", F.explode("_maps").alias("m")).select((F.col("grid") * len(nutrients) + F.col("m.k")).alias("grid"), "row", "col", F.col("m.v").alias("v"))
+    found = saved(zoning.patches(zone_pipeline(each, n, method)), "patches")
+    out = None
+    for k, nutrient in enumerate(nutrients):
+        rates = zoning.rates_by_grid(found.where(F.pmod(F.col("grid"), F.lit(len(nutrients))) == k), nutrient, n).withColumn("grid", F.floor(F.col("grid") / len(nutrients)))
+        rates = rates.select("grid", F.lit(nutrient).alias("nutrient"), *(c for c in rates.columns if c != "grid"))
+        out = rates if out is None else out.unionByName(rates)
+    return out

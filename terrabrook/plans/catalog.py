@@ -15,7 +15,7 @@ from ..operators import grid as grids
 from ..operators import legend, maps, mosaic, outlines, pyramid, quality, raster, warp, zoning
 from ..operators import scenes as choose
 from ..operators.scratch import saved, scratch_path
-from ..sources import clustered
+from ..sources import clustered, tiff
 from ..sources.fixtures import PIXELS_SQL, RASTER_SQL, SCENES_SQL, pixels, scenes, table
 from ..sources.fixtures import raster as raster_of
 from . import analyses
@@ -762,9 +762,9 @@ def gaussian_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.gaussian(holed).select("row", "col", F.round("v", 6).alias("v"))
 
 
-def _median_sql(of: str) -> str:
-    """CTEs that end in med(row, col, v) of a relation (row, col, v)."""
-    return f'o(a, b) AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b)), near AS MATERIALIZED (SELECT r."row", r.col, greatest(0, least(h - 1, r."row" + a)) AS r2, greatest(0, least(w - 1, r.col + b)) AS c2 FROM {of} r, o, z), med AS MATERIALIZED (SELECT near."row", near.col, median(n.v) AS v FROM near JOIN {of} n ON n."row" = r2 AND n.col = c2 GROUP BY 1, 2)'
+def _median_sql(of: str, low: str = "0", high: str = "h - 1") -> str:
+    """CTEs that end in med(row, col, v) of a relation (row, col, v); low, high: the first and last row of a cell's grid."""
+    return f'o(a, b) AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b)), near AS MATERIALIZED (SELECT r."row", r.col, greatest({low}, least({high}, r."row" + a)) AS r2, greatest(0, least(w - 1, r.col + b)) AS c2 FROM {of} r, o, z), med AS MATERIALIZED (SELECT near."row", near.col, median(n.v) AS v FROM near JOIN {of} n ON n."row" = r2 AND n.col = c2 GROUP BY 1, 2)'
 
 
 @query(_ra(f", {_SIZE}, {_median_sql('raster')} SELECT \"row\", col, round(v, 6) AS v FROM med"))
@@ -827,6 +827,20 @@ def band_window_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.window(part, 0, 0, h // 2, 50, h // 2 // 3, 20).select("row", "col", F.round("v", 6).alias("v"))
 
 
+#: The raster in zone 43, read on a grid in zone 44.
+_EAST, _NORTH, _TO_EAST, _TO_NORTH, _RES = 700_000.0, 2_500_000.0, 60_000.0, 2_510_000.0, 1000.0
+
+
+@query(_ra(', z AS (SELECT max("row") + 1 AS h FROM raster) SELECT "row", col, round(v, 6) AS v FROM raster, z WHERE "row" < h // 2 AND col >= 20'))
+def raster_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster written as tiled files and a part of it read again; the reader is told which rows and columns."""
+    cells, path = raster_of(spark, sf_dir), scratch_path(spark, "tiff")
+    size = raster.size_of(cells).first()
+    tiff.write_raster(cells, path, warp.Frame(_EAST, _NORTH, _RES, 32643, size["h"], size["w"]), 256, 64)
+    part = tiff.read_raster(spark, path).where((F.col("row") < size["h"] // 2) & (F.col("col") >= 20))
+    return part.select("row", "col", F.round("v", 6).alias("v"))
+
+
 #: Overviews of the raster, some of whose cells are missing.
 _PYRAMID = 'l AS (SELECT k AS level, r."row" >> k AS "row", r.col >> k AS col, count(v) AS n, sum(v) AS total FROM (SELECT "row", col, CASE WHEN ("row" + col) % 11 <> 0 THEN v END AS v FROM raster) r, range(0, 5) t(k) GROUP BY 1, 2, 3)'
 
@@ -850,10 +864,6 @@ def decimated_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row", "col", F.round("v", 6).alias("v"))
 
 
-#: The raster in zone 43, read on a grid in zone 44.
-_EAST, _NORTH, _TO_EAST, _TO_NORTH, _RES = 700_000.0, 2_500_000.0, 60_000.0, 2_510_000.0, 1000.0
-
-
 def _warp_sql() -> str:
     _, _, back = grids._series()
     x, y = (" - ".join([v, *(f"{c!r}::DOUBLE * {f}({2 * j} * k) * {g}({2 * j} * e)" for j, c in enumerate(back, 1))]) for v, f, g in (("e", "cos", "sinh"), ("k", "sin", "cosh")))
@@ -1025,6 +1035,40 @@ for _name, _crop in (("N", "Onion"), ("P", None), ("K", "quinoa")):
     SQL[f"vra_rates_{_name.lower()}"] = _vra_sql(_name, {"N": "onion", "P": "wheat", "K": "default"}[_name])
 
 
+#: Fields of 90 rows each, whose rows lie two apart, so that nothing of one meets another.
+_BY_GRID = (
+    _PATCHES.replace(", e AS (SELECT quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS e FROM raster)", ', many AS MATERIALIZED (SELECT "row" // 90 * 92 + "row" % 90 AS "row", col, v FROM raster), e AS (SELECT "row" // 92 AS grid, list_sort(list_distinct(quantile_cont(v, [0, 0.2, 0.4, 0.6, 0.8, 1])))[2:-2] AS e, max("row") AS last FROM many GROUP BY 1)')
+    .replace("AS DOUBLE) AS v FROM raster, e)", 'AS DOUBLE) AS v, last FROM many JOIN e ON grid = "row" // 92)')
+    .replace(_median_sql("zoned"), _median_sql("zoned", 'r."row" // 92 * 92', "last"))
+    .replace("0::BIGINT AS grid", "l // 64 // 92 AS grid").replace("row_number() OVER (ORDER BY zone, l)", "row_number() OVER (PARTITION BY l // 64 // 92 ORDER BY zone, l)")
+    .replace("r1, r2, c1, c2, l // 64 AS r0", "r1 % 92 AS r1, r2 % 92 AS r2, c1, c2, l // 64 % 92 AS r0")
+    .replace("FROM found, (SELECT min(\"row\") AS a1, max(\"row\") AS a2, min(col) AS b1, max(col) AS b2 FROM flat)", "FROM found JOIN (SELECT \"row\" // 92 AS g, min(\"row\") AS a1, max(\"row\") AS a2, min(col) AS b1, max(col) AS b2 FROM flat GROUP BY 1) ON g = l // 64 // 92")
+)
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster_of(spark, sf_dir).select(F.floor(F.col("row") / 90).alias("grid"), (F.col("row") % 90).alias("row"), "col", "v")
+
+
+@query(_recursive(_ra(f"{_BY_GRID} SELECT * FROM patch")))
+def patches_by_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones and patches of many fields at once, each by its own quantiles."""
+    return zoning.patches(analyses.zone_pipeline(_many(spark, sf_dir)))
+
+
+def _rates_by_sql() -> str:
+    rows = ", ".join(f"({i + 1}, '{label}', {d}::DOUBLE, {p}::DOUBLE)" for i, (label, (d, p)) in enumerate(zip(lookups.zone_labels(5), (lookups.doses("P", f) for f in lookups.dose_fractions(5)), strict=True)))
+    return _recursive(_ra(
+        f"{_BY_GRID}, d(zone, label, nutrient_dose, product_dose) AS (VALUES {rows}), s AS (SELECT grid, zone, sum(pixels) AS pixels, sum(area_ha) AS ha, count(*) AS patches FROM patch GROUP BY grid, zone), rates AS (SELECT g.grid, d.*, coalesce(CAST(pixels AS BIGINT), 0) AS pixels, coalesce(ha, 0) AS ha, coalesce(patches, 0) AS patches FROM (SELECT DISTINCT grid FROM patch) g CROSS JOIN d LEFT JOIN s ON s.grid = g.grid AND s.zone = d.zone)"
+        f" SELECT grid, zone, label, pixels, round_even(ha, 3) AS area_ha, round_even(ha * 2.47105, 3) AS area_acres, nutrient_dose, '{lookups.PRODUCTS['P'][0]}' AS product, product_dose, round_even(product_dose * ha, 1) AS total_kg, patches, 'wheat' AS crop, {lookups.CROP_DEMAND['wheat'][1]}::DOUBLE AS demand_kg_t FROM rates"
+    ))
+
+
+@query(_rates_by_sql())
+def vra_rates_by_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.variable_rates(_many(spark, sf_dir), "P")
+
+
 @query()
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a FeatureCollection in longitudes and latitudes."""

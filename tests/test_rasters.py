@@ -193,3 +193,45 @@ def test_png_filters_and_opacity():
     half[:, 4:] = (0, 255, 0, 0)  # transparent green lends no colour
     out = maps.resampled(half, maps.weights(0, 2, 4, 0, 8, 8), maps.weights(0, 2, 4, 0, 8, 8))
     assert (np.abs(out[:, :, :3].astype(int)[out[..., 3] > 0] - [200, 10, 30]) <= 1).all() and out[0, 0, 3] > out[0, 1, 3]
+
+
+def test_raster_files(spark, tmp_path):
+    from terrabrook.sources import tiff
+
+    rng = np.random.default_rng(6)
+    h, w = 70, 45
+    a = rng.normal(size=(h, w))
+    a[rng.random((h, w)) < 0.2] = np.nan
+    rows = [(r, c, None if np.isnan(a[r, c]) else float(a[r, c])) for r in range(h) for c in range(w)]
+    cells = spark.createDataFrame(rows, "row long, col int, v double").repartition(3)
+    frame = warp.Frame(500_000.0, 2_000_000.0, 10.0, 32644, h, w)
+    assert tiff.write_raster(cells, f"{tmp_path}/t", frame, 32, 16) == 6
+    got = {(r["row"], r["col"]): r["v"] for r in tiff.read_raster(spark, f"{tmp_path}/t", 2).collect()}
+    assert got == {(r, c): v for r, c, v in rows}
+    part = tiff.read_raster(spark, f"{tmp_path}/t").where("row >= 30 and row < 40 and col = 17")
+    assert sorted(r["row"] for r in part.collect()) == list(range(30, 40))
+    with open(f"{tmp_path}/t/block_32_0.tif", "rb") as f:
+        raw = f.read()
+    assert raw[:4] == b"II*\0"
+    import pyarrow as pa
+
+    tags = tiff.directory(pa.PythonFile(__import__("io").BytesIO(raw), "r"))
+    assert tags[tiff.WIDTH] == (32,) and tags[tiff.TIE_POINT][3:5] == (500_000.0, 2_000_000.0 - 320) and tags[tiff.GEO_KEYS][-1] == 32644 and len(tags[tiff.TILE_OFFSETS]) == 4
+    assert tiff.write_raster(cells.limit(0), f"{tmp_path}/none", frame) == 0
+
+
+def test_raster_filters_rule_out_tiles(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    from terrabrook.sources import tiff
+
+    cells = spark.range(64 * 64).select(F.floor(F.col("id") / 64).alias("row"), (F.col("id") % 64).cast("int").alias("col"), F.rand(1).alias("v"))
+    tiff.write_raster(cells, f"{tmp_path}/t", warp.Frame(0.0, 0.0, 1.0, 32643, 64, 64), 32, 8)
+    every = tiff.Reader(f"{tmp_path}/t", 4)
+    assert sum(len(p.tiles) for p in every.partitions()) == 64 and len(every.partitions()) == 16
+    few = tiff.Reader(f"{tmp_path}/t", 4)
+    filters = [GreaterThanOrEqual(("row",), 10), LessThan(("row",), 20), EqualTo(("col",), 40)]
+    assert list(few.pushFilters(filters)) == filters
+    assert sorted((t[2], t[3]) for p in few.partitions() for t in p.tiles) == [(8, 40), (16, 40)]
+    plan = tiff.read_raster(spark, f"{tmp_path}/t").where("row >= 10 and col = 40")
+    assert plan.count() == 54

@@ -483,3 +483,16 @@ def test_requests_fill_from_other_dates(spark):
     picks = {r["request_id"]: r for r in out.picks.collect()}
     assert picks[1]["item_id"] == picks[3]["item_id"] == 10  # a scene of the day comes before the preferred provider's of another
     assert service.calculate(asked.limit(0), scenes_, pixels_, cells, reach, ["NDVI"]).values.count() == 0
+
+
+def test_zoning_run_of_many_fields(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, r, c, *(float(x) for x in rng.normal(size=3))) for g, (h, w) in {3: (9, 12), 8: (6, 7)}.items() for r in range(h) for c in range(w)]
+    maps = spark.createDataFrame(rows, "grid long, row long, col int, n double, p double, k double")
+    got = sorted(map(tuple, analyses.zoning_run(maps, 3).drop("product").collect()))
+    want = []
+    for g in (3, 8):
+        for nutrient in "NPK":
+            alone = maps.where(f"grid = {g}").select("row", "col", F.col(nutrient.lower()).alias("v"))
+            want += [(g, nutrient, *r) for r in analyses.variable_rates(alone, nutrient, 3).drop("product", "crop", "demand_kg_t").collect()]
+    assert got == sorted(map(tuple, want)) and len(got) == 18
