@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrabrook.llm import bpe, jaccard_join, mixing, pii, toxicity
-from terrabrook.llm.common import saved
+from terrabrook.operators.scratch import run_folder, saved
 
 #: Whoever runs this on real data passes their own secret.
 PII_KEY = "terrabrook pipeline"
@@ -31,7 +31,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs, PII_KEY).drop("replaced")
+    return pii.pseudonymise(docs, PII_KEY).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
+    """The rows of the last stage. What a stage saves on its way is removed when its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        with run_folder(spark):
+            docs = saved(stage(spark, docs, sf_dir), name, outside=True)
     return docs

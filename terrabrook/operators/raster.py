@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import tiles
 from .scratch import saved
+from .stars import roots
 from .tiles import size_of
 
 
@@ -77,25 +78,6 @@ def bilinear(grid: DataFrame, h: int, w: int) -> DataFrame:
     return met.join(given, ["_r", "_c"]).groupBy("row", "col").agg((F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("v"))
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (u, v): root is the smallest node that can be reached. Alternating stars: each round hangs all larger
-    neighbours of a node on its smallest one, then all smaller ones; the number of rounds grows with the logarithm of the nodes."""
-    links = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seen = None
-    while not links.isEmpty():
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = saved(small.where("u <> v").distinct(), "links")
-        state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == seen:
-            break
-        seen = state
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 #: Side of the tiles within which cells are labelled at once.
 TILE = 256
 
@@ -142,8 +124,8 @@ def components(cells: DataFrame, diagonal: bool) -> DataFrame:
     asked = rim.withColumn("o", F.explode(F.concat(F.coalesce(above, F.array()), F.coalesce(before, F.array()))))
     asked = asked.select("grid", "z", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"), "u")
     links = asked.join(rim.withColumnRenamed("u", "v"), ["grid", "z", "row", "col"]).where("u <> v").select("u", "v")
-    roots = _roots(links).select("node.grid", "node.z", "node.r0", "node.c0", F.struct("root.r0", "root.c0").alias("_label"))
-    met = marked.join(roots, ["grid", "z", "r0", "c0"], "left")
+    found = roots(links).select("node.grid", "node.z", "node.r0", "node.c0", F.struct("root.r0", "root.c0").alias("_label"))
+    met = marked.join(found, ["grid", "z", "r0", "c0"], "left")
     return met.select("grid", "row", "col", "z", F.coalesce("_label", F.struct("r0", "c0")).alias("label"))
 
 
