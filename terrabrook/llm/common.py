@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..operators.scratch import saved, scratch_path  # noqa: F401
 
 #: Bytes of text that one numpy step works on; the arrays it makes are some 40 times as large.
 STEP_BYTES = 1 << 20
@@ -19,30 +19,6 @@ _C = ctypes.CDLL(None)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees. Only in local mode, where one machine runs all, is one made if none is set."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-terrabrook-"))
-        at = sc.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/terrabrook/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: the lineage is cut, and a lost executor takes nothing with it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def extended(docs: DataFrame, text: str, run: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]], more: dict[str, str]) -> DataFrame:
     """docs with further columns (name: type) that `run` puts behind those of its batches; it is given the place of `text`. Columns go by place, so any names will do."""
     at, names = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns) + len(more))]
