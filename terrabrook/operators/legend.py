@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups
-from ..functions.classify import bin_of
+from ..functions.classify import bin_of, factor
 from .quantiles import exact_percentiles
 from .raster import gaussian, upsampled
 
@@ -79,13 +79,36 @@ def rendered(grid: DataFrame, index: str, times: int = 1, smooth: bool = False,
     return fine.select("row", "col", index_bin(F.col("v"), index).alias("bin")).withColumn("rgba", painted(F.col("bin"), index))
 
 
-def legend_score(legend: DataFrame) -> DataFrame:
-    """(score, factor): the weighted share of the labels, null without any area."""
-    from ..functions.classify import factor
+def _score(weighted: Column, percent: Column) -> Column:
+    return F.when(percent > 0, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), weighted)), 2))
 
+
+def _label_weight() -> Column:
     weight = F.lit(lookups.DEFAULT_WEIGHT)
     for label, w in lookups.LABEL_WEIGHTS.items():
         weight = F.when(F.lower(F.trim("label")) == label, w).otherwise(weight)
-    used = legend.where("percent > 0").agg(F.sum(weight * F.col("percent") / 100).alias("w"), F.sum("percent").alias("p"))
-    score = F.when(F.col("p") > 0, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("w"))), 2))
-    return used.select(score.alias("score")).withColumn("factor", factor(F.col("score")))
+    return weight
+
+
+def legend_score(legend: DataFrame) -> DataFrame:
+    """(score, factor): the weighted share of the labels, null without any area."""
+    used = legend.where("percent > 0").agg(F.sum(_label_weight() * F.col("percent") / 100).alias("w"), F.sum("percent").alias("p"))
+    return used.select(_score(F.col("w"), F.col("p")).alias("score")).withColumn("factor", factor(F.col("score")))
+
+
+def scores_of(counted: DataFrame, indices: dict[str, str]) -> DataFrame:
+    """(name, score, factor) of several legends at once, given the cells (name, bin, n) of each; indices: the index by name. As merged_legend and legend_score do for one."""
+    rows, spark = [], counted.sparkSession
+    for name, index in indices.items():
+        colors, labels = lookups.palette(index), lookups.labels(index)
+        for i in range(max(len(colors), len(labels))):
+            label = labels[i] if i < len(labels) else f"bin_{i}"
+            rows.append((name, i, label if i < len(colors) else None, "No Data" if i == 0 else label))
+    entries = spark.createDataFrame(rows, "name string, bin int, label string, shown string")  # some thirty rows
+    percent = F.bround(F.col("n") / F.sum("n").over(Window.partitionBy("name")) * 100, 2)
+    areas = counted.withColumn("percent", percent).join(F.broadcast(entries.select("name", "bin", "shown")), ["name", "bin"], "left")
+    areas = areas.select("name", F.coalesce("shown", F.concat(F.lit("bin_"), F.col("bin").cast("string"))).alias("label"), "percent")
+    met = entries.where("label is not null").select("name", "label").join(areas, ["name", "label"], "left")
+    shown = F.col("percent") > 0
+    used = met.groupBy("name").agg(F.sum(F.when(shown, _label_weight() * F.col("percent") / 100)).alias("w"), F.sum(F.when(shown, F.col("percent"))).alias("p"))
+    return used.select("name", _score(F.col("w"), F.col("p")).alias("score")).withColumn("factor", factor(F.col("score")))

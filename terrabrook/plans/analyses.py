@@ -83,14 +83,20 @@ def series_summary(series: DataFrame) -> DataFrame:
     return series.agg(F.bround(F.min("value"), 3).alias("least"), F.bround(F.avg("value"), 3).alias("mean"), F.bround(F.max("value"), 3).alias("most"))
 
 
+#: The index that stands for each nutrient.
+NUTRIENT_INDEX = {"N": "NITROGEN", "P": "CCC", "K": "NDMI"}
+
+
 def nutrient_availability(pixels: DataFrame, field: Field | None = None) -> DataFrame:
-    """(nutrient, source_index, score, factor) from the legends of three indices."""
-    out = None
-    for nutrient, index in (("N", "NITROGEN"), ("P", "CCC"), ("K", "NDMI")):
-        scored = legend.legend_score(index_legend(index_values(read(pixels, lookup(index).bands, field), index), index))
-        scored = scored.select(F.lit(nutrient).alias("nutrient"), F.lit(index).alias("source_index"), "score", "factor")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    """(nutrient, source_index, score, factor) from the legends of three indices, counted in one pass over the pixels."""
+    rows = quality.stacked_for(pixels, {n: lookup(i).bands for n, i in NUTRIENT_INDEX.items()}, ("scene_id",))
+    rows = field.clip(rows) if field else rows
+    clear = F.col("scl").isNull() | ~F.col("scl").isin(*lookups.CLOUDS_INDEX)
+    bins = F.array(*(F.when(F.col(f"_has.{n}"), F.struct(F.lit(n).alias("name"), legend.index_bin(F.when(clear, index_column(i)), i).cast("int").alias("bin"))) for n, i in NUTRIENT_INDEX.items()))
+    counted = rows.select(F.explode(bins).alias("b")).where("b is not null").groupBy("b.name", "b.bin").agg(F.count("*").alias("n"))
+    scored = legend.scores_of(counted, NUTRIENT_INDEX)
+    named = F.create_map(*(F.lit(x) for pair in NUTRIENT_INDEX.items() for x in pair))
+    return scored.select(F.col("name").alias("nutrient"), F.element_at(named, F.col("name")).alias("source_index"), "score", "factor")
 
 
 def crop_health(pixels: DataFrame, days: int | None = None, by: str = "scene_id", field: Field | None = None) -> DataFrame:
