@@ -126,10 +126,13 @@ def soil_field(pixels: DataFrame, field: Field | None = None, sigma: float = 1.0
     return zoning.soil_maps(raster.gaussian(cells.select("row", "col", *names), sigma, names, field.size if field else None))
 
 
-def soil_carbon(pixels: DataFrame, field: Field | None = None) -> tuple[DataFrame, DataFrame]:
-    """(statistics, classes) of soil organic carbon."""
-    masked = quality.mask_clouds(zoning.soil_indices(read(pixels, zoning.SOIL_BANDS, field)), ["ndvi", "savi", "bsi", "clay"], lookups.CLOUDS_SHADOW)
-    maps = zoning.soil_maps(masked)
+def soil_carbon(pixels: DataFrame, field: Field | None = None, sigma: float = 0.0, row: str = "row", col: str = "col") -> tuple[DataFrame, DataFrame]:
+    """(statistics, classes) of soil organic carbon; sigma: of the smoothing of the indices of one scene's cells (row, col), none if 0."""
+    if sigma > 0:
+        maps = soil_field(pixels, field, sigma, row, col)
+    else:
+        masked = quality.mask_clouds(zoning.soil_indices(read(pixels, zoning.SOIL_BANDS, field)), ["ndvi", "savi", "bsi", "clay"], lookups.CLOUDS_SHADOW)
+        maps = zoning.soil_maps(masked)
     return zoning.soc_stats(maps), zoning.soc_classes(maps)
 
 

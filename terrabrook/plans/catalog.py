@@ -1136,7 +1136,8 @@ def soil_carbon_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.soil_carbon(pixels(spark, sf_dir), _field(spark, sf_dir))[0]
 
 
-def _soil_sql() -> str:
+def _soil_sql(select: str | None = None) -> str:
+    """The mean of each smoothed index, or `select` from b(r, c, s_index, m_index)."""
     import math
 
     k = [math.exp(-(d * d) / 2) for d in range(-4, 5)]
@@ -1149,7 +1150,7 @@ def _soil_sql() -> str:
     mean = ", ".join(f"round_even(avg(CASE WHEN m_{n} > 1e-6 THEN s_{n} / m_{n} END), 5) AS {n}" for n in names)
     return _of_field(_px(
         f", {first}, z AS (SELECT max(order_id) + 1 AS h, max(line) + 1 AS w FROM lines), g AS MATERIALIZED (SELECT order_id AS r, line AS c, {values} FROM best), k(d, x) AS (VALUES {rows}),"
-        f" a AS MATERIALIZED (SELECT r, c, p.x * q.x AS x, {flip('r + p.d', 'h')} AS r2, {flip('c + q.d', 'w')} AS c2 FROM g, k p, k q, z), b AS (SELECT a.r, a.c, {one} FROM a JOIN g o ON o.r = r2 AND o.c = c2 GROUP BY 1, 2) SELECT {mean} FROM b"
+        f" a AS MATERIALIZED (SELECT r, c, p.x * q.x AS x, {flip('r + p.d', 'h')} AS r2, {flip('c + q.d', 'w')} AS c2 FROM g, k p, k q, z), b AS (SELECT a.r, a.c, {one} FROM a JOIN g o ON o.r = r2 AND o.c = c2 GROUP BY 1, 2) " + (select or f"SELECT {mean} FROM b")
     )).replace("FROM lines)", "FROM pixels)")
 
 
@@ -1161,6 +1162,16 @@ def soil_field_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zoning.mean_indices(analyses.soil_field(first, field, 1.0, "order_id", "line"))
 
 
+_SOC = ", soc AS (SELECT greatest(0.1, least(5.0, 0.8 + 1.5 * (s_ndvi / m_ndvi) - 0.6 * (s_bsi / m_bsi))) AS soc FROM b WHERE m_ndvi > 1e-6 AND m_bsi > 1e-6) SELECT round_even(avg(soc), 3) AS mean_pct, round_even(min(soc), 3) AS min_pct, round_even(max(soc), 3) AS max_pct, round_even(stddev_pop(soc), 3) AS std_pct, round_even(count(*) * 100.0::DOUBLE / 10000, 3) AS total_ha, round_even(count(*) * 100.0::DOUBLE / 10000 * 2.47105, 3) AS total_acres FROM soc"
+
+
+@query(_soil_sql(_SOC))
+def soil_carbon_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Soil carbon of a field's mosaic after smoothing."""
+    first = mosaic.first_valid(pixels(spark, sf_dir), _CELL, zoning.SOIL_BANDS, _ORDER)
+    return analyses.soil_carbon(first, _field(spark, sf_dir), 1.0, "order_id", "line")[0]
+
+
 @query(_ra(f", v AS (SELECT \"row\" * 2 + a AS \"row\", CAST(col * 2 + b AS INTEGER) AS col, {_bin_sql('v', 'NDVI')} AS bin FROM raster, range(2) x(a), range(2) y(b)), p(bin, r, g, b, a) AS (VALUES " + ", ".join("(" + ", ".join(map(str, (i, *((int(c[k : k + 2], 16) * 82 // 100 if i else 0) for k in (1, 3, 5)), 255 if i else 0))) + ")" for i, c in enumerate(lookups.palette("NDVI"))) + ') SELECT v."row", v.col, bin, p.r, p.g, p.b, p.a FROM v JOIN p USING (bin)'))
 def rendered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raster as coloured cells at twice its resolution."""
