@@ -1187,6 +1187,19 @@ def map_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.pixels_of(tiles.withColumn("png", F.unbase64("page")))
 
 
+# Edges, colours, labels, thresholds and doses written out once more, apart from the lookup tables.
+SQL["legend_ndvi"] = _px(
+    ", x AS (SELECT CASE WHEN scl NOT IN (8, 9, 10, 11) THEN (b08 - b04) / (b08 + b04 + 0.000001) END AS v FROM pixels), b AS (SELECT CASE WHEN v IS NULL THEN 0 WHEN v < 0 THEN 1 WHEN v < 0.1 THEN 2 WHEN v < 0.2 THEN 3 WHEN v < 0.3 THEN 4 WHEN v < 0.4 THEN 5 WHEN v < 0.5 THEN 6 WHEN v < 0.6 THEN 7 WHEN v < 0.7 THEN 8 WHEN v < 0.8 THEN 9 ELSE 10 END AS bin, count(*) AS n FROM x GROUP BY 1),"
+    " p(bin, color, label) AS (VALUES (0, '#ffffff', 'Clouds'), (1, '#d73027', 'Very Poor'), (2, '#f46d43', 'Poor'), (3, '#fdae61', 'Fair'), (4, '#fee08b', 'Moderate'), (5, '#d9ef8b', 'Good'), (6, '#a6d96a', 'Very Good'), (7, '#66bd63', 'Excellent'), (8, '#1a9850', 'Dense'), (9, '#006837', 'Very Dense'), (10, '#004529', 'Extreme')),"
+    " a AS (SELECT bin, round_even(n * 100.0::DOUBLE / 10000, 4) AS hectares, round_even(n::DOUBLE / sum(n) OVER () * 100, 2) AS percent FROM b)"
+    " SELECT p.bin, color, label, CASE WHEN p.bin > 0 THEN coalesce(hectares, 0) ELSE 0 END::DOUBLE AS hectares, CASE WHEN p.bin > 0 THEN coalesce(percent, 0) ELSE 0 END::DOUBLE AS percent FROM p LEFT JOIN a USING (bin)"  # missing cells are No Data, which no entry of the palette is called
+)
+SQL["rates_absolute_n"] = _px(
+    f", {_MAPS}, z AS (SELECT CASE WHEN n < 100 THEN 1 WHEN n <= 280 THEN 2 WHEN n IS NOT NULL THEN 3 END AS zone, count(*) AS pixels FROM maps GROUP BY 1), d(zone, label, nutrient_dose, product_dose) AS (VALUES (1, 'Low', 150.0::DOUBLE, 326.1::DOUBLE), (2, 'Medium', 97.5::DOUBLE, 212.0::DOUBLE), (3, 'High', 45.0::DOUBLE, 97.8::DOUBLE)), a AS (SELECT d.*, coalesce(pixels, 0) AS pixels, coalesce(pixels, 0) * 0.01::DOUBLE AS ha FROM d LEFT JOIN z USING (zone))"
+    " SELECT zone, label, pixels, round_even(ha, 3) AS area_ha, round_even(ha * 2.47105, 3) AS area_acres, nutrient_dose, 'Urea' AS product, product_dose, round_even(product_dose * ha, 1) AS total_kg, CAST(0 AS BIGINT) AS patches FROM a"
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
