@@ -4,8 +4,8 @@ Fitting. Of the labelled rows a bounded sample is drawn by hash (`TOXIC_ROWS` an
 the word in lower case, its beginnings and its endings. Those that mark toxic rows are found by counting the rows of all of them (an aggregate over
 the sample, of which the `FEATURES` best leave Spark), and label the tokens: in toxic rows a token with a feature that nearly only toxic rows have is toxic, all
 others are clean. On these token labels the field (weights of features, a bias, transitions) is fitted by its likelihood's
-gradient from forward-backward, on rows of the sample drawn by hash whatever their length: `FIELD_ROWS` / 2 of either class with a feature and
-`FIELD_ROWS` / 10 without. A row counts in windows of `WINDOW` tokens around its features, of which a longer one has `ROW_WINDOWS` drawn by hash.
+gradient from forward-backward, on whole rows of the sample drawn by hash whatever their length: `FIELD_ROWS` / 2 of either class with a feature and
+`FIELD_ROWS` / 10 without. Runs of tokens without a feature are powers of a matrix there as well, with their derivatives, so a row costs what its few tokens with features do.
 A small logistic model, fitted on all rows of the sample, whole, at the classes' true rates, turns a document's marginals into a score.
 
 Scoring is one pass over whole texts without a shuffle. Most tokens have no feature that weighs: a run of n of them is the n-th power of
@@ -19,7 +19,6 @@ Repeated rows score alike; an empty table gives no rows; other columns are not r
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,8 +36,6 @@ TOXIC_ROWS, CLEAN_ROWS, FEATURES, FIELD_ROWS = 2000, 4000, 4096, 1500
 LEAST, KEPT, SURE = 3, 0.5, 0.8
 #: Likelihood ratio (twice its logarithm) from which a feature isn't in toxic rows by chance: of half a million features two are.
 CHANCE = 20.0
-#: A run without evidence counts as so many tokens at most while the field is fitted; tokens of a window, windows of a row.
-GAP, WINDOW, ROW_WINDOWS = 32, 250, 8
 WORD = re.compile(r"[^\W_]+")
 #: Words whose evidence a task keeps, each of LONGEST characters at most; features that a task counts before it hands them on; bytes of text in a step.
 CACHE, LONGEST, COUNTED, STEP = 200_000, 64, 100_000, 1 << 20
@@ -137,91 +134,143 @@ class Field:
         return float(1 / (1 + np.exp(-max(-50.0, min(50.0, z)))))
 
 
-def windows(ws: list[str], at: list[int]) -> list[list[str]]:
-    """A row as windows: its words at `at`, and "" for the others, of which GAP at most stand in a row; cut within such a run where there is one."""
-    cells, last = [], -1
-    for a in at:
-        cells += [""] * min(a - last - 1, GAP) + [ws[a]]
-        last = a
-    cells += [""] * min(len(ws) - last - 1, GAP)
-    out, a = [], 0
-    while a < len(cells):
-        b = min(a + WINDOW, len(cells))
-        if b < len(cells):
-            b = next((k for k in range(b, a + WINDOW // 2, -1) if not cells[k] and not cells[k - 1]), b)
-        out.append(cells[a:b])
-        a = b
-    return out
-
-
-def fit_field(rows: list[tuple[int, list[str]]], kept: dict[str, float]) -> Field:
-    """rows: (label, window); kept: share of toxic rows by feature. The score isn't fitted yet."""
-    names = sorted(kept)
-    number = {f: i for i, f in enumerate(names)}
-    share = np.array([kept[f] for f in names])
-    vocabulary = sorted({w for r in rows for w in r[1] if w})
-    sets = [[number[f] for f in features(w) if f in number] for w in vocabulary]
-    owner, which = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([i for s in sets for i in s], np.int64)
-    sure = np.array([max(share[s]) >= SURE for s in sets], bool)
-    index = {w: i for i, w in enumerate(vocabulary)}
-    chains = []
-    for label, cells in rows:
-        ids = [index.get(w, -1) for w in cells]
-        chains.append((ids, [int(i >= 0 and label and sure[i]) for i in ids]))
-    chains.sort(key=lambda c: -len(c[0]))
-    if not chains:
+class Rows:
+    """Labelled rows as chains of their tokens with features, and the runs without between them, whose matrices are powers: likelihood and gradient are those of the whole rows."""
+
+    def __init__(self, rows: list[tuple[int, int, list[int], list[str]]], kept: dict[str, float]) -> None:
+        """rows: (label, tokens, places of those with a feature, these in lower case); kept: share of toxic rows by feature."""
+        self.names = sorted(kept)
+        number = {f: i for i, f in enumerate(self.names)}
+        share = np.array([kept[f] for f in self.names])
+        vocabulary = sorted({w for r in rows for w in r[3]})
+        sets = [[number[f] for f in features(w) if f in number] for w in vocabulary]
+        self.words = len(sets)
+        self.owner, self.which = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([i for s in sets for i in s], np.int64)
+        sure = np.array([max(share[s]) >= SURE for s in sets], bool)
+        index = {w: i for i, w in enumerate(vocabulary)}
+        self.count = sum(r[1] > 0 for r in rows)
+        self.empty = np.array([r[1] for r in rows if r[1] and not r[2]], np.int64)
+        chains = sorted((r for r in rows if r[2]), key=lambda r: -len(r[2]))
+        size = np.array([len(r[2]) for r in chains], np.int64)
+        self.live = [int((size > t).sum()) for t in range(int(size[0]) if len(size) else 0)]
+        self.first = np.concatenate(([0], np.cumsum(self.live))).astype(np.int64)  # nodes by step, the longest chains first
+        self.ids, self.tags, self.gaps = (np.zeros(self.first[-1], np.int64) for _ in range(3))
+        self.ends = np.array([r[1] - 1 - r[2][-1] for r in chains], np.int64)
+        pairs, begins = np.zeros((2, 2)), 0
+        for k, (label, _, at, ws) in enumerate(chains):
+            to = self.first[: len(at)] + k
+            self.ids[to] = [index[w] for w in ws]
+            tags = np.array([int(label and sure[index[w]]) for w in ws])
+            gaps = np.diff(np.array([-1, *at])) - 1
+            self.tags[to], self.gaps[to] = tags, gaps
+            begins += int(gaps[0] == 0 and tags[0])
+            before = np.concatenate(([0], np.where(gaps[1:] > 0, 0, tags[:-1])))
+            some = np.ones(len(at), bool)
+            some[0] = gaps[0] > 0
+            np.add.at(pairs, (before[some], tags[some]), 1)
+            pairs[1, 0] += tags[:-1][gaps[1:] > 0].sum() + (self.ends[k] > 0) * tags[-1]
+        self.seen = np.array([self.tags.sum(), pairs[0, 1], pairs[1, 0], pairs[1, 1], begins], float)  # bias, clean-toxic, toxic-clean, toxic-toxic, start
+        self.observed = np.bincount(self.ids, weights=self.tags, minlength=self.words)
+
+    def slope(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """(logarithm of the likelihood, gradient) of weights, bias, steps and start."""
+        n = len(self.names)
+        weights, (bias, s01, s10, s11, start) = theta[:n], theta[n:]
+        move, plain = np.exp(np.array([[0.0, s01], [s10, s11]])), np.array([1.0, np.exp(bias)])
+        matrix = move * plain
+        spread = np.sqrt((matrix[0, 0] - matrix[1, 1]) ** 2 + 4 * matrix[0, 1] * matrix[1, 0])
+        top, low = (matrix[0, 0] + matrix[1, 1] + spread) / 2, (matrix[0, 0] + matrix[1, 1] - spread) / 2
+        ratio, vectors = low / top, np.array([[matrix[0, 1], matrix[0, 1]], [top - matrix[0, 0], low - matrix[0, 0]]])
+        inverse = np.linalg.inv(vectors)
+        parts = [np.outer(vectors[:, k], inverse[k]) for k in (0, 1)]
+        masks = np.array([[[0, 1], [0, 1]], [[0, 1], [0, 0]], [[0, 0], [1, 0]], [[0, 0], [0, 1]]], float)
+        turned = np.einsum("ij,pjk,kl->pil", inverse, masks * matrix, vectors)
+
+        def run(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(power, its derivatives) of runs of g tokens, over the largest eigenvalue to the power of g."""
+            r = ratio**g
+            both, last = (1 - r) / (1 - ratio) / top, np.where(g > 0, g * ratio ** np.maximum(g - 1, 0), 0.0) / top
+            inner = turned[:, None] * np.stack([np.stack([g / top, both], 1), np.stack([both, last], 1)], 1)
+            return parts[0] + r[:, None, None] * parts[1], vectors @ inner @ inverse
+
+        step = masks * move
+        step[0] = 0.0
+        power, change = run(np.maximum(self.gaps - (np.arange(len(self.gaps)) < (self.live[0] if self.live else 0)), 0))
+        across, varied = power @ move, change @ move + power @ step[:, None]
+        after, varied_after = run(self.ends)
+        node = np.exp(np.clip(bias + np.bincount(self.owner, weights=weights[self.which], minlength=self.words)[self.ids], -50, 50)) if len(self.ids) else np.zeros(0)
+        psi = np.stack([np.ones(len(node)), node], 1)
+        opening = np.array([1.0, np.exp(start + bias)])
+        log, expected = 0.0, np.zeros(5)
+        if len(self.empty):
+            whole, varied_whole = run(self.empty - 1)
+            right = whole.sum(2)
+            z = right @ opening
+            log += np.log(z).sum() + ((self.empty - 1) * np.log(top)).sum()
+            begin = opening[1] * right[:, 1] / z
+            expected[:4] += (np.einsum("a,pnab->pn", opening, varied_whole) / z).sum(1)
+            expected[0] += begin.sum()
+            expected[4] += begin.sum()
+        marginal = np.zeros(len(node))
+        if self.live:
+            later = self.gaps[: self.live[0]] > 0
+            ahead = np.zeros((len(node), 2))
+            into = np.where(later[:, None], np.einsum("a,nab->nb", opening, across[: self.live[0]]), np.array([1.0, np.exp(start)]))
+            for t, k in enumerate(self.live):
+                at = slice(self.first[t], self.first[t] + k)
+                state = (into if t == 0 else np.einsum("na,nab->nb", state[:k], across[at])) * psi[at]
+                total = state.sum(1)
+                log += np.log(total).sum()
+                state = ahead[at] = state / total[:, None]
+            log += (np.maximum(self.gaps - (np.arange(len(self.gaps)) < self.live[0]), 0).sum() + self.ends.sum()) * np.log(top)
+            back = after.sum(2)
+            for t in range(len(self.live) - 1, -1, -1):
+                k, at = self.live[t], slice(self.first[t], self.first[t] + self.live[t])
+                done = slice(self.live[t + 1] if t + 1 < len(self.live) else 0, k)  # chains whose last node this is
+                z = (ahead[at][done] * back[done]).sum(1)
+                log += np.log(z).sum()
+                expected[:4] += (np.einsum("na,pnab->pn", ahead[at][done], varied_after[:, done]) / z).sum(1)
+                both = ahead[at] * back[:k]
+                marginal[at] = both[:, 1] / both.sum(1)
+                right = psi[at] * back[:k]
+                if t:
+                    left = ahead[self.first[t - 1] : self.first[t - 1] + k]
+                    z = np.einsum("na,nab,nb->n", left, across[at], right)
+                    expected[:4] += (np.einsum("na,pnab,nb->pn", left, varied[:, at], right) / z).sum(1)
+                    new = np.einsum("nab,nb->na", across[at], right)
+                    back[:k] = new / new.sum(1, keepdims=True)
+                else:
+                    expected[4] += marginal[at][~later].sum()
+                    right = right[later]
+                    beyond = np.einsum("nab,nb->na", across[at][later], right)
+                    z = beyond @ opening
+                    begin = (opening[1] * beyond[:, 1] / z).sum()
+                    expected[:4] += (np.einsum("a,pnab,nb->pn", opening, varied[:, at][:, later], right) / z).sum(1)
+                    expected[0] += begin
+                    expected[4] += begin
+        expected[0] += marginal.sum()
+        gone = np.bincount(self.ids, weights=marginal, minlength=self.words)
+        out = np.zeros_like(theta)
+        out[:n] = np.bincount(self.which, weights=(self.observed - gone)[self.owner], minlength=n)
+        out[n:] = self.seen - expected
+        found = float(theta[n:] @ self.seen + (np.bincount(self.owner, weights=weights[self.which], minlength=self.words) @ self.observed if self.words else 0.0))
+        return found - float(log), out
+
+
+def fit_field(rows: list[tuple[int, int, list[int], list[str]]], kept: dict[str, float]) -> Field:
+    """rows as of Rows. The score isn't fitted yet."""
+    chains = Rows(rows, kept)
+    if not chains.count:
         return Field()
-    size = np.array([len(c[0]) for c in chains])
-    wide = int(size[0])
-    ids, tags = np.full((len(chains), wide), -1), np.zeros((len(chains), wide), np.int64)
-    for i, (a, b) in enumerate(chains):
-        ids[i, : len(a)], tags[i, : len(b)] = a, b
-    live = [int((size > t).sum()) for t in range(wide)]
-    inside = np.arange(wide) < size[:, None]
-    seen = tags * inside
-    theta = np.concatenate((np.zeros(len(names)), [-4.0, -1.0, 0.0, 0.0, -1.0]))  # bias, clean-toxic, toxic-clean, toxic-toxic, start
+    n = len(chains.names)
+    theta = np.concatenate((np.zeros(n), [-4.0, -1.0, 0.0, 0.0, -1.0]))
     moment, square = np.zeros_like(theta), np.zeros_like(theta)
-    pairs = np.zeros((2, 2))
-    for t in range(1, wide):
-        k = live[t]
-        np.add.at(pairs, (tags[:k, t - 1], tags[:k, t]), 1)
-    known = ids >= 0
-    observed = np.bincount(ids[known], weights=seen[known], minlength=len(sets))
     for turn in range(1, 81):
-        weights, (bias, *step, start) = theta[: len(names)], theta[len(names) :]
-        move = np.exp(np.array([[0.0, step[0]], [step[1], step[2]]]))
-        by_word = np.append(np.bincount(owner, weights=weights[which], minlength=len(sets)), 0.0)
-        node = np.exp(np.clip(bias + by_word[ids], -50, 50))
-        ahead = np.zeros((wide, len(chains), 2))
-        state = np.stack((np.ones(len(chains)), np.exp(start) * node[:, 0]), 1)
-        ahead[0] = state / state.sum(1, keepdims=True)
-        for t in range(1, wide):
-            k = live[t]
-            state = ahead[t - 1, :k] @ move
-            state[:, 1] *= node[:k, t]
-            ahead[t, :k] = state / state.sum(1, keepdims=True)
-        back = np.ones((len(chains), 2))
-        marginal, expected = np.zeros((len(chains), wide)), np.zeros((2, 2))
-        for t in range(wide - 1, -1, -1):
-            k = live[t]
-            both = ahead[t, :k] * back[:k]
-            marginal[:k, t] = both[:, 1] / both.sum(1)
-            if t:
-                right = back[:k].copy()
-                right[:, 1] *= node[:k, t]
-                joint = ahead[t - 1, :k, :, None] * move * right[:, None, :]
-                expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-                new = right @ move.T
-                back[:k] = new / new.sum(1, keepdims=True)
-        gone = np.bincount(ids[known], weights=marginal[known], minlength=len(sets))
-        slope = np.zeros_like(theta)
-        slope[: len(names)] = np.bincount(which, weights=(observed - gone)[owner], minlength=len(names))
-        slope[len(names) :] = [seen.sum() - (marginal * inside).sum(), pairs[0, 1] - expected[0, 1], pairs[1, 0] - expected[1, 0], pairs[1, 1] - expected[1, 1], seen[:, 0].sum() - marginal[:, 0].sum()]
-        slope = slope / len(chains) - 0.001 * theta
+        slope = chains.slope(theta)[1] / chains.count - 0.001 * theta
         moment, square = 0.9 * moment + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         theta = theta + 0.15 * (moment / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
-    bias, step01, step10, step11, start = map(float, theta[len(names) :])
-    weights = {f: float(w) for f, w in zip(names, theta[: len(names)], strict=True) if abs(w) > 0.05}
+    bias, step01, step10, step11, start = map(float, theta[n:])
+    weights = {f: float(w) for f, w in zip(chains.names, theta[:n], strict=True) if abs(w) > 0.05}
     return Field(weights, bias, ((0.0, step01), (step10, step11)), start)
 
 
@@ -295,21 +344,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Evidence(lambda w: any(f in kept for f in features(w)))
         for part in stepwise(batches, "text", STEP):
-            some, cut = [], []
-            for text, place in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+            tokens, found, hits = [], [], []
+            for text in part.column(0).to_pylist():
                 raw = WORD.findall(text)
-                at = [i for i, w in enumerate(raw) if known[w]]
-                every = windows([w.lower() for w in raw], at)
-                drawn = sorted(range(len(every)), key=lambda i: (zlib.crc32(f"{place} {i}".encode()), i))[:ROW_WINDOWS]
-                some.append(bool(at))
-                cut.append([every[i] for i in sorted(drawn)])
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(some, pa.bool_()), pa.array(cut, pa.list_(pa.list_(pa.string())))], ["toxic", "place", "tie", "some", "windows"])
+                found.append([i for i, w in enumerate(raw) if known[w]])
+                hits.append([raw[i].lower() for i in found[-1]])
+                tokens.append(len(raw))
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(tokens, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(hits, pa.list_(pa.string()))], ["toxic", "place", "tie", "tokens", "at", "words"])
 
     placed = rows.select("text", "toxic", order.alias("place"), F.xxhash64("text").alias("tie"))
-    found = saved(placed.mapInArrow(places, "toxic int, place long, tie long, some boolean, windows array<array<string>>"), "windows")
+    found = saved(placed.mapInArrow(places, "toxic int, place long, tie long, tokens long, at array<long>, words array<string>"), "places")
     chains = []
-    for only, n in (("some and toxic = 1", FIELD_ROWS // 2), ("some and toxic = 0", FIELD_ROWS // 2), ("not some", FIELD_ROWS // 10)):
-        chains += [(r["toxic"], w) for r in found.where(only).orderBy("place", "tie", "toxic").limit(n).collect() for w in r["windows"]]
+    for only, n in (("size(at) > 0 and toxic = 1", FIELD_ROWS // 2), ("size(at) > 0 and toxic = 0", FIELD_ROWS // 2), ("size(at) = 0", FIELD_ROWS // 10)):
+        chains += [(r["toxic"], r["tokens"], r["at"], r["words"]) for r in found.where(only).orderBy("place", "tie", "toxic").limit(n).collect()]
     model = fit_field(chains, kept)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

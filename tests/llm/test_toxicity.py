@@ -76,13 +76,43 @@ def test_empty_tables_and_one_class(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
-def test_windows_hold_every_hit():
-    ws = [f"w{i}" for i in range(3000)]
-    for at in ([], [0, 2999], list(range(0, 3000, 7)), list(range(3000))):
-        cut = toxicity.windows(ws, at)
-        assert [w for c in cut for w in c if w] == [ws[i] for i in at]
-        assert cut and max(map(len, cut)) <= toxicity.WINDOW
-    assert toxicity.windows([], []) == []
+def test_likelihood_and_gradient_of_whole_rows():
+    """Runs as powers give what forward over every token gives, and the gradient is that of the likelihood."""
+    kept = {"wbad": 0.9, "wworse": 0.6, "pbad": 0.7}
+    rng = random.Random(4)
+    rows = [(1, 1, [0], ["bad"]), (0, 5, [], []), (0, 1, [], []), (1, 0, [], [])]
+    for _ in range(12):
+        n = rng.randint(1, 30)
+        at = sorted(rng.sample(range(n), rng.randint(1, min(n, 6))))
+        rows.append((rng.randint(0, 1), n, at, [rng.choice(["bad", "worse", "baddest"]) for _ in at]))
+    rows.append((1, 400, [3, 350], ["bad", "bad"]))
+    chains = toxicity.Rows(rows, kept)
+
+    def whole(theta):
+        weights, (bias, s01, s10, s11, start) = dict(zip(chains.names, theta)), theta[3:]
+        move, log = np.array([[0.0, s01], [s10, s11]]), 0.0
+        for label, n, at, ws in rows:
+            e = np.full(n, bias)
+            tags = np.zeros(n, int)
+            for i, w in zip(at, ws):
+                fs = [f for f in toxicity.features(w) if f in kept]
+                e[i] += sum(weights[f] for f in fs)
+                tags[i] = int(label and max(kept[f] for f in fs) >= toxicity.SURE)
+            a = np.array([0.0, start + e[0]]) if n else None
+            for t in range(1, n):
+                a = np.logaddexp(a[0] + move[0], a[1] + move[1]) + [0, e[t]]
+            if n:
+                log += tags[0] * start + (tags * e).sum() + sum(move[p, q] for p, q in zip(tags, tags[1:])) - np.logaddexp(*a)
+        return log
+
+    for seed in range(3):
+        theta = np.random.default_rng(seed).normal(size=8) - np.array([0, 0, 0, 2, 0, 0, 0, 0])
+        value, slope = chains.slope(theta)
+        assert value == pytest.approx(whole(theta), abs=1e-8)
+        for i in range(8):
+            h = np.zeros(8)
+            h[i] = 1e-5
+            assert slope[i] == pytest.approx((whole(theta + h) - whole(theta - h)) / 2e-5, abs=1e-5)
 
 
 def test_field_learns_from_rows_of_any_length(spark, monkeypatch):
