@@ -10,6 +10,9 @@ part of it the pairs (request_id, item_id) of `fields.meeting`. Nothing depends
 5. Clouds are masked; radar isn't.
 
 Rows of requests with equal identifiers are one too many: they must be unique. A request without a field or a scene has status 404.
+
+`alike` and `first_scenes` come before: requests that ask for the same in equal fields are answered once, and of scenes with the same footprint, day, provider and collection those that no page reaches
+stay out. So the pairs of fields and scenes grow with the different ones of either, not with the requests times the scenes.
 """
 
 from __future__ import annotations
@@ -79,6 +82,26 @@ def _page(rows: DataFrame, tier: Column, most: Column | int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(by.orderBy("acquired", "item_id"))).where(F.col("_n") <= most).drop("_tier", "_least", "_n")
 
 
+def alike(requests: DataFrame, rings: str = "rings") -> tuple[DataFrame, DataFrame]:
+    """(firsts, members): of the requests that ask for the same in equal fields (`rings`) that of the least identifier, and (request_id, _first) of all of them."""
+    asked = ["day", "index_name", "satellite", "provider", rings]
+    same = F.struct(*asked).alias("_same")
+    firsts = saved(requests.groupBy(*asked).agg(F.min("request_id").alias("request_id")), "asked")
+    members = requests.select("request_id", same).join(firsts.select(F.col("request_id").alias("_first"), same), "_same").select("request_id", "_first")
+    return firsts, saved(members, "members")
+
+
+def of_members(answers: DataFrame, members: DataFrame) -> DataFrame:
+    """What firsts are answered, for each request that asks for the same."""
+    return answers.withColumnRenamed("request_id", "_first").join(members, "_first").select(*answers.columns)
+
+
+def first_scenes(scenes: DataFrame, rings: str = "rings") -> DataFrame:
+    """Scenes without those that can't be asked for: of equal footprints (`rings`), day, provider and collection a request has all or none in a tier, and a page ends after WIDE_PAGE by time and identifier."""
+    by = Window.partitionBy(rings, F.to_date("acquired"), "provider", "collection").orderBy("acquired", "item_id")
+    return scenes.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= WIDE_PAGE).drop("_n")
+
+
 def _whole(bands: Sequence[str]) -> Column:
     out = F.lit(True)
     for b in bands:
@@ -93,11 +116,12 @@ def calculate(requests: DataFrame, scenes: DataFrame, pixels: DataFrame, cells:
     value, whole = (_of_index({n: f(n) for n in names}) for f in (index_column, lambda n: _whole(lookup(n).bands)))
     all_ = judged(requests)
     asked = all_.where(F.col("status").isNull() & F.col("index_name").isin(*names)).drop("status", "detail")
-    sound = quality.stacked(pixels.select("item_id", "row", "col", "scl", *dict.fromkeys([*bands, "b04", "b08", "vv"])), list(dict.fromkeys([*bands, "b04", "b08", "vv"])), ["item_id"])
     kinds = F.when(F.col("radar"), F.col("collection").isin(*lookups.RADAR_COLLECTIONS)).otherwise(F.col("collection").isin(*lookups.OPTICAL_COLLECTIONS))
     met = reach.join(asked, "request_id").join(scenes.select("item_id", "acquired", "provider", "collection"), "item_id").where(kinds)
     rank = F.when(F.col("provider") == F.col("_prefer"), 0).when(F.col("provider").isin(*lookups.PROVIDERS), 1)
     met = saved(met.withColumns({"_apart": F.abs(F.date_diff(F.to_date("acquired"), F.col("day"))), "_rank": rank}).where(F.col("_apart") <= 2 * DAYS), "met")
+    used = list(dict.fromkeys([*bands, "b04", "b08", "vv"]))
+    sound = quality.stacked(pixels.select("item_id", "row", "col", "scl", *used).join(met.select("item_id").distinct(), "item_id", "left_semi"), used, ["item_id"])
     # the scene that shows most of the field
     near = F.when(F.col("_apart") == 0, F.col("_rank")).when(F.col("_apart") <= DAYS, F.col("_rank") + 2)
     chosen = _page(met, near, F.when(F.col("_apart") == 0, PAGE).otherwise(WIDE_PAGE))

@@ -485,6 +485,31 @@ def test_requests_fill_from_other_dates(spark):
     assert service.calculate(asked.limit(0), scenes_, pixels_, cells, reach, ["NDVI"]).values.count() == 0
 
 
+def test_requests_that_ask_the_same_are_answered_once(spark):
+    """Copies of requests and scenes that no page reaches add no pairs, and every request is answered as if it were alone."""
+    from terrabrook.plans import requests as service
+
+    box = lambda x: F.array(F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((x, 0), (x + 4, 0), (x + 4, 4)))))
+    rows = [(i, "2024-02-01", "NDVI", "s2", (None, "aws", "both")[i % 3]) for i in range(60)] + [(100, "soon", "NDVI", "s2", None), (101, None, None, None, None), (102, None, None, None, None)]
+    asked = spark.createDataFrame(rows, "request_id int, day string, index_name string, satellite string, provider string").withColumn("rings", F.when(F.col("request_id") % 2 == 0, box(0)).otherwise(box(2)))
+    firsts, members = service.alike(asked)
+    assert sorted(r["request_id"] for r in firsts.collect()) == [0, 1, 2, 3, 4, 5, 100, 101, 102]
+    assert {r["request_id"]: r["_first"] for r in members.collect()} == {i: i if i > 99 else i % 6 for i, *_ in rows}
+    scenes_ = spark.createDataFrame([(i, f"2024-02-{1 + i % 2:02d}T{i % 24:02d}:00:00", ("planetary", "aws")[i // 2 % 2], "sentinel-2-l2a") for i in range(200)], "item_id int, acquired string, provider string, collection string")
+    scenes_ = scenes_.withColumn("acquired", F.col("acquired").cast("timestamp_ntz")).withColumn("rings", box(0))
+    few = service.first_scenes(scenes_)
+    assert few.count() == 4 * service.WIDE_PAGE
+    pixels_ = scenes_.select("item_id", F.lit(0).cast("long").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("col")).where(F.pmod(F.hash("item_id", "col"), F.lit(3)) > 0)
+    pixels_ = pixels_.withColumns({"scl": F.lit(4), "b04": F.lit(0.1), "b08": 0.2 + F.col("item_id") / 400, "vv": F.lit(0.0)})
+    cells = lambda r: r.select("request_id", F.lit(0).cast("long").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("col"))
+    reach = lambda r, s: r.select("request_id").join(s.select("item_id"))
+    once = service.calculate(firsts, few, pixels_, cells(firsts), reach(firsts, few), ["NDVI"])
+    alone = service.calculate(asked, scenes_, pixels_, cells(asked), reach(asked, scenes_), ["NDVI"])
+    for a, b in zip(once, alone, strict=True):
+        assert sorted(map(repr, service.of_members(a, members).collect())) == sorted(map(repr, b.collect()))
+    assert once.picks.count() == 6 and alone.picks.count() == 60
+
+
 def test_zoning_run_of_many_fields(spark):
     rng = np.random.default_rng(5)
     rows = [(g, r, c, *(float(x) for x in rng.normal(size=3))) for g, (h, w) in {3: (9, 12), 8: (6, 7)}.items() for r in range(h) for c in range(w)]
