@@ -9,6 +9,8 @@ parity of crossed edges is asked in rim tiles only.
 
 `meeting` joins polygons with polygons: both go to the tiles that their boxes overlap, and a pair is reported in the one tile that holds the
 lower left corner of the boxes' common part. Tiles with too many members on both sides are quartered, round by round, so no task gets all pairs of a crowded place.
+Equal polygons are tested once: one of each goes to the tiles, and the pairs found are handed on to all that are equal. Polygons of up to CARRIED edges bring these to the tiles, so a pair
+is tested where it is found; the edges of larger ones are joined to their pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .scratch import saved
 SIDE, LEVELS = 16, 4
 #: Pairs of a tile beyond which it is quartered, and quarterings at most.
 PAIRS, ROUNDS = 1_000_000, 8
+#: Edges that a polygon takes along to its tiles; those of one with more stay behind.
+CARRIED = 64
 NO_EDGES = "cast(array() as array<struct<x1:double,y1:double,x2:double,y2:double>>)"
 
 
@@ -126,7 +130,7 @@ def meet(a: Column, b: Column) -> Column:
 
 
 def _boxes(polygons: DataFrame, key: str, rings: str, size: float) -> DataFrame:
-    boxes = polygons.select(F.col(key).alias("_key"), edges_of(F.col(rings)).alias("_e")).where(F.size("_e") > 2).select("_key", box_of(F.col("_e")).alias("_box"))
+    boxes = polygons.select(F.col(key).alias("_key"), edges_of(F.col(rings)).alias("_e")).where(F.size("_e") > 2).select("_key", box_of(F.col("_e")).alias("_box"), F.when(F.size("_e") <= CARRIED, F.col("_e")).alias("_e"))
     at = lambda a, b: F.explode(F.sequence(F.floor(F.col(f"_box.{a}") / size), F.floor(F.col(f"_box.{b}") / size)))
     return boxes.withColumn("_tx", at("x1", "x2")).withColumn("_ty", at("y1", "y2")).withColumn("_size", F.lit(size))
 
@@ -138,11 +142,18 @@ def _quartered(members: DataFrame, crowded: DataFrame) -> DataFrame:
     quarters = F.array(*(F.struct((F.col("_size") / 2).alias("s"), (F.col("_tx") * 2 + a).alias("x"), (F.col("_ty") * 2 + b).alias("y")) for a in (0, 1) for b in (0, 1)))
     met = met.withColumn("_q", F.explode(F.when(F.col("_split"), quarters).otherwise(F.array(F.struct(F.col("_size").alias("s"), F.col("_tx").alias("x"), F.col("_ty").alias("y"))))))
     overlap = lambda a, b, t: (F.floor(F.col(f"_box.{a}") / F.col("_q.s")) <= F.col(f"_q.{t}")) & (F.floor(F.col(f"_box.{b}") / F.col("_q.s")) >= F.col(f"_q.{t}"))
-    return met.where(overlap("x1", "x2", "x") & overlap("y1", "y2", "y")).select("_key", "_box", F.col("_q.x").alias("_tx"), F.col("_q.y").alias("_ty"), F.col("_q.s").alias("_size"))
+    return met.where(overlap("x1", "x2", "x") & overlap("y1", "y2", "y")).select("_key", "_box", "_e", F.col("_q.x").alias("_tx"), F.col("_q.y").alias("_ty"), F.col("_q.s").alias("_size"))
+
+
+def different(polygons: DataFrame, key: str, rings: str) -> tuple[DataFrame, DataFrame]:
+    """(_key, _rings) of each different polygon, by the least key that has it, and (_key, _one) of all keys that have it."""
+    rows = polygons.select(F.col(key).alias("_one"), F.col(rings).alias("_rings")).where(F.size(edges_of(F.col("_rings"))) > 2)
+    own = saved(rows.groupBy("_rings").agg(F.min("_one").alias("_key")), "shapes")
+    return own, saved(rows.join(own, "_rings").select("_key", "_one"), "members")
 
 
 def candidates(a: DataFrame, b: DataFrame, keys: tuple[str, str], rings: tuple[str, str], size: float = 64.0, pairs: int = PAIRS) -> tuple[DataFrame, DataFrame]:
-    """The members (_key, _box, _tx, _ty, _size) of tiles of both sides, crowded tiles quartered."""
+    """The members (_key, _box, _e, _tx, _ty, _size) of tiles of both sides, crowded tiles quartered; _e is null where there are more edges than CARRIED."""
     left, right = (saved(_boxes(p, k, r, float(size)), "members") for p, k, r in ((a, keys[0], rings[0]), (b, keys[1], rings[1])))
     tile = ["_size", "_tx", "_ty"]
     for _ in range(ROUNDS):
@@ -156,11 +167,18 @@ def candidates(a: DataFrame, b: DataFrame, keys: tuple[str, str], rings: tuple[s
 
 def meeting(a: DataFrame, b: DataFrame, keys: tuple[str, str], rings: tuple[str, str], size: float = 64.0, pairs: int = PAIRS) -> DataFrame:
     """(*keys) of the polygons of a and b that have a point in common, each pair once. Keys name rows of their side and differ in name; size: of the tiles at first, about that of the polygons or larger."""
-    left, right = candidates(a, b, keys, rings, size, pairs)
-    right = right.withColumnsRenamed({"_key": "_other", "_box": "_at"})
+    (a, of_a), (b, of_b) = (different(p, k, r) for p, k, r in ((a, keys[0], rings[0]), (b, keys[1], rings[1])))
+    left, right = candidates(a, b, ("_key", "_key"), ("_rings", "_rings"), size, pairs)
+    right = right.withColumnsRenamed({"_key": "_other", "_box": "_at", "_e": "_f"})
     x, y = F.greatest("_box.x1", "_at.x1"), F.greatest("_box.y1", "_at.y1")
     both = (x <= F.least("_box.x2", "_at.x2")) & (y <= F.least("_box.y2", "_at.y2"))
     here = (F.floor(x / F.col("_size")) == F.col("_tx")) & (F.floor(y / F.col("_size")) == F.col("_ty"))
-    found = left.join(right, ["_size", "_tx", "_ty"]).where(both & here).select("_key", "_other")
-    found = found.join(a.select(F.col(keys[0]).alias("_key"), edges_of(F.col(rings[0])).alias("_e")), "_key").join(b.select(F.col(keys[1]).alias("_other"), edges_of(F.col(rings[1])).alias("_f")), "_other")
-    return found.where(meet(F.col("_e"), F.col("_f"))).select(F.col("_key").alias(keys[0]), F.col("_other").alias(keys[1]))
+    near = lambda p, q: p.join(q, ["_size", "_tx", "_ty"]).where(both & here)
+    found = near(left.where("_e is not null"), right.where("_f is not null")).where(meet(F.col("_e"), F.col("_f"))).select("_key", "_other")
+    many, more = left.where("_e is null"), right.where("_f is null")
+    if not (many.isEmpty() and more.isEmpty()):
+        far = near(many, right).unionByName(near(left.where("_e is not null"), more)).select("_key", "_other")
+        far = far.join(a.select("_key", edges_of(F.col("_rings")).alias("_e")), "_key").join(b.select(F.col("_key").alias("_other"), edges_of(F.col("_rings")).alias("_f")), "_other")
+        found = found.unionByName(far.where(meet(F.col("_e"), F.col("_f"))).select("_key", "_other"))
+    found = found.join(of_a.select("_key", F.col("_one").alias(keys[0])), "_key").join(of_b.select(F.col("_key").alias("_other"), F.col("_one").alias(keys[1])), "_other")
+    return found.select(*keys)

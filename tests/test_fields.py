@@ -119,3 +119,16 @@ def test_crowded_tiles_are_quartered(spark):
     left, right = fields.candidates(df, df, ("id", "id"), ("rings", "rings"), 64.0, 400)
     n = left.groupBy("_size", "_tx", "_ty").count().agg(F.max("count")).first()[0]
     assert n < 60 and left.agg(F.min("_size")).first()[0] < 64
+
+
+def test_equal_polygons_are_tested_once(spark):
+    """Copies go to the tiles as one polygon and all get its pairs; polygons of more edges than are carried along meet like others."""
+    rng = random.Random(9)
+    kinds = [[star(rng, 20, 20, 6, 5)], [star(rng, 24, 21, 6, 90)], [star(rng, 70, 70, 3, 4)], [star(rng, 19, 19, 2, 200)]]
+    left = [(i, kinds[i % 4]) for i in range(200)] + [(900, None)]
+    right = [(i, kinds[(i + 1) % 4]) for i in range(100)] + [(901, [[(float("nan"), 0.0), (9.0, 0.0), (9.0, 9.0)]])]
+    a, b = (spark.createDataFrame(p, f"{k} int, {RINGS}").repartition(3) for p, k in ((left, "id"), (right, "other")))
+    shapes, members = fields.different(a, "id", "rings")
+    assert sorted(r["_key"] for r in shapes.collect()) == [0, 1, 2, 3] and members.count() == 200
+    want = sorted((i, j) for i, p in left for j, q in right if j < 900 and meets(p, q))
+    assert sorted((i, j) for i, j in map(tuple, fields.meeting(a, b, ("id", "other"), ("rings", "rings"), 16.0, 20).collect()) if j < 900) == want and len(want) >= 5000
