@@ -38,7 +38,7 @@ LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_LAST, SPACE, WHITE_LAST, WHITE, END =
 #: States: nothing open; in letters, numbers, others, white space; behind a space that opens a piece; one or two letters of a contraction to come.
 NONE, IN_LETTER, IN_NUMBER, IN_OTHER, IN_WHITE, OPENED, ONE_MORE, TWO_MORE = range(8)
 BLOCK, SETTLED = 32, 4
-STEP = 1 << 20
+STEP = 1 << 18
 #: Pieces of either of the cache's two generations; each has WIDE bytes at most, so the cache stays below some 40 MB.
 CACHE = 100_000
 #: Bytes of the pieces that are merged side by side, and how many at once.

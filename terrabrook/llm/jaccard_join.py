@@ -36,6 +36,8 @@ from .common import buffers, mixed, saved, steps, stepwise, utf8
 from .components import components
 
 WORDS = 5
+#: Bytes of text that one numpy step works on.
+STEP = 1 << 18
 #: Shingles counted together for the order, the count from which one is reported, and how many of the commonest are ordered by count.
 COUNTED, REPEATED, COMMON = 2_000_000, 3, 131_072
 #: Documents of a shingle from which its prefix rows are dealt in parts of about so many.
@@ -80,7 +82,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingles of each row of a large_binary column."""
     out: list[np.ndarray] = []
     at, data = buffers(texts)
-    for i, j in steps(at):
+    for i, j in steps(at, STEP):
         words, before = word_hashes(at[i : j + 1] - at[i], data[at[i] : at[j]])
         n = len(words) - WORDS + 1
         grams = np.zeros(max(n, 0), np.uint64)
@@ -139,7 +141,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
             k = int(keep.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], names)
 
-        for part in stepwise(batches, "text"):
+        for part in stepwise(batches, "text", STEP):
             sets = shingle_sets(utf8(part.column(1)))
             digests = [hashlib.md5(s.tobytes()).digest() for s in sets]
             k = len(sets)
@@ -165,7 +167,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray, percent:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in stepwise(batches, "text"):
+        for batch in stepwise(batches, "text", STEP):
             hashes, dealt, docs_ = [], [], []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(utf8(batch.column(1))), strict=True):
                 digest = hashlib.md5(s.tobytes()).digest()
@@ -285,7 +287,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, of: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hubs_ = None, []
-        for part in stepwise(batches, "text"):
+        for part in stepwise(batches, "text", STEP):
             keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
             found = []
             for key, is_late, other, s in zip(keys, part.column(2).to_pylist(), part.column(3).to_pylist(), shingle_sets(utf8(part.column(4))), strict=True):

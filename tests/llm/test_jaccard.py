@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrabrook.llm import jaccard_join
@@ -123,3 +125,14 @@ def test_components(spark):
         root[b] = a
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "u long, v long")).collect()))
     assert got == {x: find(x) for x in root if any(x in p and p[0] != p[1] for p in pairs)}
+
+
+def test_steps_hold_little():
+    """What a step makes of texts of some megabytes is small beside them."""
+    texts = pa.array([" ".join(f"w{i}x{k}" for k in range(200)).encode() for i in range(2000)], pa.large_binary())
+    tracemalloc.start()
+    sets = jaccard_join.shingle_sets(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sets) == 2000 and all(len(s) == 196 for s in sets)
+    assert most < 24e6

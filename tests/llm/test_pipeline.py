@@ -66,3 +66,17 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_batches_are_bounded(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words of a text", "en", "a", 20)], "doc_id long, text string, lang string, source string, n_chars long")
+    setting, stages = corpus_pipeline.BATCH_SETTING, dict(corpus_pipeline.STAGES)
+    before = spark.conf.get(setting)
+    try:
+        for given, want in (("10000", corpus_pipeline.BATCH), ("0", corpus_pipeline.BATCH), ("7", 7)):
+            for name in ("pii", "bpe"):
+                spark.conf.set(setting, given)
+                stages[name](spark, docs, str(tmp_path))
+                assert int(spark.conf.get(setting)) == want
+    finally:
+        spark.conf.set(setting, before)
