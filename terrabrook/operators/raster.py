@@ -131,17 +131,17 @@ def components(cells: DataFrame, diagonal: bool) -> DataFrame:
 
 def dissolved(cells: DataFrame, least: int) -> DataFrame:
     """Patches (8-connected, zone above 0) of fewer than `least` cells take the commonest other zone in their bounding box and one cell around it, the
-    smallest of equals; without one, and all other patches, they stay. One pass: all look at the zones as they were."""
+    smallest of equals; without one, and all other patches, they stay. One pass: all look at the zones as they were. Tables of cells, whose files are small beside their rows, aren't broadcast."""
     zones = cells.where("z > 0")
     labels = saved(components(zones, True), "labels")
     patch = labels.groupBy("grid", "z", "label").agg(F.count("*").alias("n"), F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("col").alias("c1"), F.max("col").alias("c2"))
     small = patch.where(F.col("n") < least)
     box = small.select("grid", F.col("z").alias("own"), "label", F.explode(F.sequence(F.col("r1") - 1, F.col("r2") + 1)).alias("row"), "c1", "c2")
     box = box.select("grid", "own", "label", "row", F.explode(F.sequence((F.col("c1") - 1).cast("int"), (F.col("c2") + 1).cast("int"))).alias("col"))
-    votes = box.join(zones, ["grid", "row", "col"]).where("z <> own").groupBy("grid", "own", "label", "z").agg(F.count("*").alias("k"))
+    votes = box.join(zones.hint("merge"), ["grid", "row", "col"]).where("z <> own").groupBy("grid", "own", "label", "z").agg(F.count("*").alias("k"))
     winner = votes.groupBy("grid", F.col("own").alias("z"), "label").agg(F.max_by("z", F.struct("k", -F.col("z"))).alias("_new"))
-    moved = labels.join(winner, ["grid", "z", "label"]).select("grid", "row", "col", "_new")
-    return cells.join(moved, ["grid", "row", "col"], "left").select("grid", "row", "col", F.coalesce("_new", "z").alias("z"))
+    moved = labels.hint("merge").join(winner, ["grid", "z", "label"]).select("grid", "row", "col", "_new")
+    return cells.hint("merge").join(moved, ["grid", "row", "col"], "left").select("grid", "row", "col", F.coalesce("_new", "z").alias("z"))
 
 
 def tight_extent(grid: DataFrame) -> DataFrame:

@@ -235,3 +235,12 @@ def test_raster_filters_rule_out_tiles(spark, tmp_path):
     assert sorted((t[2], t[3]) for p in few.partitions() for t in p.tiles) == [(8, 40), (16, 40)]
     plan = tiff.read_raster(spark, f"{tmp_path}/t").where("row >= 10 and col = 40")
     assert plan.count() == 54
+
+
+def test_dissolving_broadcasts_no_table_of_cells(spark):
+    cells = spark.createDataFrame([(0, r, c, 1 + (r * r + c) % 3) for r in range(20) for c in range(20)], "grid long, row long, col int, z int")
+    out = raster.dissolved(cells, 5)
+    plan = out._jdf.queryExecution().executedPlan()
+    assert out.count() == 400
+    plan.execute().count()
+    assert "SortMergeJoin" in plan.toString() and "BroadcastHashJoin" not in plan.toString()
