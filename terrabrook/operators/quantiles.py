@@ -5,8 +5,10 @@ Of one series as numbers, of all groups of a table as a table."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,24 +63,65 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-#: The values of a group of more than SMALL lie in WAYS x WAYS parts between approximate percentiles.
+#: Groups of at most SMALL values are sorted whole, each in a task. The values of larger ones lie in WAYS x WAYS parts between approximate percentiles.
 WAYS, SMALL = 32, 65_536
 
 
+def divided(values: DataFrame, keys: Sequence[str], v: str) -> tuple[DataFrame, DataFrame | None]:
+    """(*keys, _v) of the groups of at most SMALL values, and of the larger ones, None if there are none; nulls and NaN don't count, and a null key names no group."""
+    names = list(keys)
+    sound = values.select(*names, F.col(v).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    for k in names:
+        sound = sound.where(F.col(k).isNotNull())
+    data = saved(sound, "series")
+    large = saved(data.groupBy(*names).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL).select(*names), "large")
+    if large.isEmpty():
+        return data, None
+    return data.join(large, names, "left_anti"), data.join(large, names, "left_semi")
+
+
+def percentiles_of(v: np.ndarray, fractions: Sequence[float]) -> np.ndarray:
+    """The percentiles of sorted values, by linear interpolation between neighbours."""
+    at = np.array(fractions, dtype=float) * (len(v) - 1)
+    low, high = v[np.floor(at).astype(int)], v[np.ceil(at).astype(int)]
+    return low + (high - low) * (at - np.floor(at))
+
+
+def of_small(data: DataFrame, keys: Sequence[str], run: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """(*keys, n, name): what run makes of the sorted values of each group, an array of doubles; data are the small groups of divided(). One shuffle."""
+    names, kinds = list(keys), dict(data.dtypes)
+
+    def group(table: pa.Table) -> pa.Table:
+        v = np.sort(table.column("_v").to_numpy())
+        out = table.slice(0, 1).select(names).append_column("n", pa.array([len(v)], pa.int64()))
+        return out.append_column(name, pa.array([run(v)], pa.list_(pa.float64())))
+
+    shape = ", ".join(f"`{k}` {kinds[k]}" for k in names)
+    return data.groupBy(*names).applyInArrow(group, f"{shape}, n long, {name} array<double>")
+
+
 def grouped_percentiles(values: DataFrame, keys: Sequence[str], v: str, fractions: Sequence[float]) -> DataFrame:
     """(*keys, n, percentiles): of every group the percentiles of v, an array in the order of fractions, by linear interpolation between neighbours; nulls and NaN don't count, and a group without values has no row.
 
+    Small groups are sorted, each in a task; large ones go by sketched_percentiles().
+    """
+    small, large = divided(values, keys, v)
+    out = of_small(small, keys, lambda x: percentiles_of(x, fractions), "percentiles")
+    return out if large is None else out.unionByName(sketched_percentiles(large, keys, fractions))
+
+
+def sketched_percentiles(data: DataFrame, keys: Sequence[str], fractions: Sequence[float]) -> DataFrame:
+    """grouped_percentiles() of the large groups of divided().
+
     One plan for all groups, whatever their number or size: a sketch of each group cuts it into parts; exact counts of the parts say which one each rank falls in; of
     those parts alone, equal values are counted and ranked. The sketch decides only how large a part is, never the result.
     """
     names = list(keys)
-    data = saved(values.select(*names, F.col(v).cast("double").alias("_v")).where("_v is not null and not isnan(_v)"), "series")
     cuts = F.array(*(F.lit(i / WAYS**2) for i in range(1, WAYS**2)))
     sketch = data.groupBy(*names).agg(F.count("*").alias("_n"), F.percentile_approx("_v", cuts, F.lit(ACCURACY)).alias("_s"))
     coarse = F.transform(F.sequence(F.lit(1), F.lit(WAYS - 1)), lambda i: F.element_at("_s", i * WAYS))
     fine = F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda i: F.slice("_s", i * WAYS + 1, WAYS - 1))
-    large, none = F.col("_n") > SMALL, F.array().cast("array<double>")
-    sketch = saved(sketch.select(*names, "_n", F.when(large, coarse).otherwise(none).alias("_coarse"), F.when(large, fine).otherwise(F.array(none)).alias("_fine")), "sketch")
+    sketch = saved(sketch.select(*names, "_n", coarse.alias("_coarse"), fine.alias("_fine")), "sketch")
     below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("_v")))
     parts = data.join(sketch.drop("_n"), names).withColumn("_a", below("_coarse")).select(*names, "_v", (F.col("_a") * WAYS + below(F.get("_fine", F.col("_a")))).alias("_part"))
     counts = parts.groupBy(*names, "_part").agg(F.count("*").alias("_m"))

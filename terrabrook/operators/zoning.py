@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..functions.classify import absolute_zone, relative_zone
 from ..functions.indices import index_column
 from .grid import from_utm
 from .quality import clamp
-from .quantiles import exact_percentiles, grouped_percentiles
+from .quantiles import divided, exact_percentiles, grouped_percentiles, of_small, percentiles_of, sketched_percentiles
 from .raster import components
 from .scratch import saved
 
@@ -99,14 +100,38 @@ def kmeans_edges(values: DataFrame, v: str, k: int, rounds: int = 25) -> list[fl
     return [(a + b) / 2 for a, b in zip(centres, centres[1:])]
 
 
+def settled_edges(v: np.ndarray, seeds: Sequence[float], rounds: int) -> np.ndarray:
+    """Inner edges between the centres that values settle on: a value goes to the nearest one, the first of equals; a centre without values stays."""
+    c = percentiles_of(v, seeds)
+    for _ in range(rounds):
+        far = np.abs(v[:, None] - c)
+        near = np.where(np.isnan(far), np.inf, far).argmin(1)
+        n = np.bincount(near, minlength=len(c))
+        new = np.where(n > 0, np.bincount(near, v, len(c)) / np.maximum(n, 1), c)
+        same = (np.abs(c - new) <= 1e-4 + 1e-5 * np.abs(c)).all()
+        c = new
+        if same:
+            break
+    c = np.sort(c)
+    return np.unique((c[:-1] + c[1:]) / 2)
+
+
 def kmeans_edges_by(values: DataFrame, v: str, k: int, keys: Sequence[str], rounds: int = 25) -> DataFrame:
-    """(*keys, edges): inner edges between k centres of one dimension, in each group; seeds are the percentiles from 5 to 95. Equal values are counted once for all
-    rounds; a round is one aggregate by group and centre over the groups whose centres still move."""
+    """(*keys, edges): inner edges between k centres of one dimension, in each group; seeds are the percentiles from 5 to 95. Small groups settle each in a task, after one
+    shuffle; large ones go by _large_kmeans()."""
     _check(k)
+    seeds = [0.05 + 0.9 * i / (k - 1) for i in range(k)]
+    small, large = divided(values, keys, v)
+    out = of_small(small, keys, lambda x: settled_edges(x, seeds, rounds), "edges").drop("n")
+    return saved(out if large is None else out.unionByName(_large_kmeans(large, keys, seeds, rounds)), "edges")
+
+
+def _large_kmeans(series: DataFrame, keys: Sequence[str], seeds: Sequence[float], rounds: int) -> DataFrame:
+    """kmeans_edges_by() of groups (*keys, _v) of any size. Equal values are counted once for all rounds; a round is one aggregate by group and centre over the groups whose centres still move."""
     names = list(keys)
-    seeds = grouped_percentiles(values, keys, v, [0.05 + 0.9 * i / (k - 1) for i in range(k)])
-    state = saved(seeds.select(*names, F.col("percentiles").alias("c"), F.lit(False).alias("still")), "centres")
-    data = saved(values.where(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))).groupBy(*names, F.col(v).cast("double").alias("_v")).agg(F.count("*").alias("_n")), "values")
+    found = sketched_percentiles(series, keys, seeds)
+    state = saved(found.select(*names, F.col("percentiles").alias("c"), F.lit(False).alias("still")), "centres")
+    data = saved(series.groupBy(*names, "_v").agg(F.count("*").alias("_n")), "values")
     for _ in range(rounds):
         moving = state.where("not still")
         near = F.array_min(F.transform("c", lambda c, i: F.struct(F.abs(F.col("_v") - c).alias("d"), i.alias("i"))))["i"]

@@ -451,6 +451,23 @@ def test_grouped_percentiles_and_zones(spark, monkeypatch):
     assert all(sorted((r["i"], r["zone"]) for r in both if r["g"] == g) == z for g, z in alone.items())
 
 
+def test_small_groups_settle_in_one_shuffle(spark, monkeypatch):
+    """Groups that fit a task don't take a saved table and a shuffle of all values a round; both ways give the same zones, with equal centres and missing values too."""
+    from terrabrook.operators import scratch
+
+    rng = np.random.default_rng(9)
+    groups = {f"g{i}": rng.normal(size=3 + 17 * i) for i in range(6)} | {"same": np.full(50, 1.5), "two": np.array([0.0, 0.0, 4.0]), "none": np.array([np.nan, np.nan])}
+    rows = [(g, i, float(x)) for g, xs in groups.items() for i, x in enumerate(xs)] + [("g1", -1, None), (None, 0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, i int, v double").repartition(4)
+    names = []
+    monkeypatch.setattr(zoning, "saved", lambda df, name: names.append(name) or scratch.saved(df, name))
+    zones = lambda: sorted(((r["g"] or "", r["i"], r["zone"]) for k in (2, 5) for r in zoning.kmeans_zones(df, "v", k, ["g"]).collect()))
+    small = zones()
+    assert names == ["edges", "edges"] and len(small) == 2 * len(rows)
+    monkeypatch.setattr(quantiles, "SMALL", 0)
+    assert zones() == small and "centres" in names
+
+
 def test_requests_are_judged(spark):
     from terrabrook.plans import requests as service
 
