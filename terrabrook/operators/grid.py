@@ -60,6 +60,12 @@ def from_utm(east: Column, north: Column, epsg: int) -> tuple[Column, Column]:
     return F.degrees(F.atan2(F.sinh(x), F.cos(y))) + (zone * 6 - 183), F.degrees(phi)
 
 
+def corner_lonlat(row: Column, col: Column, x0: float, y0: float, res_m: float, epsg: int) -> tuple[Column, Column]:
+    """(lon, lat), rounded to 7 places, of a corner of cells; (x0, y0) is the grid's upper left corner in the UTM zone."""
+    lon, lat = from_utm(F.lit(x0) + col * res_m, F.lit(y0) - row * res_m, epsg)
+    return F.round(lon, 7), F.round(lat, 7)
+
+
 def adaptive_grid(dx: Column, dy: Column, native: float = 10.0) -> Column:
     """(res_m, width, height) of a box in metres: a long side of 600 to 1200 cells where resolution allows."""
     long_ = F.greatest(dx, dy)

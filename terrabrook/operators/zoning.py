@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups
 from ..functions.classify import absolute_zone, relative_zone
 from ..functions.indices import index_column
-from .grid import from_utm
+from .grid import corner_lonlat
 from .quality import clamp
 from .quantiles import divided, exact_percentiles, grouped_percentiles, of_small, percentiles_of, sketched_percentiles
 from .raster import components
@@ -160,10 +160,11 @@ def _check(n: int) -> None:
         raise ValueError("zones must be between 2 and 7")
 
 
-def patches(cells: DataFrame, res_m: float = 10.0) -> DataFrame:
-    """(grid, zone, patch_id, pixels, area_ha, patch_type, bounds): 4-connected cells of a zone; core from one hectare, else edge if they touch the grid's rim, else isolated."""
+def patches(cells: DataFrame, res_m: float = 10.0, named: DataFrame | None = None) -> DataFrame:
+    """(grid, zone, patch_id, pixels, area_ha, patch_type, bounds): 4-connected cells of a zone; core from one hectare, else edge if they touch the grid's rim, else isolated. named: the
+    4-connected components of the cells with a zone, where the caller has them."""
     rim = cells.groupBy("grid").agg(F.min("row").alias("_r1"), F.max("row").alias("_r2"), F.min("col").alias("_c1"), F.max("col").alias("_c2"))
-    named = components(cells.where("z > 0"), False)
+    named = components(cells.where("z > 0"), False) if named is None else named
     found = named.groupBy("grid", F.col("z").alias("zone"), "label").agg(F.count("*").alias("pixels"), F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("col").alias("c1"), F.max("col").alias("c2"))
     area = F.bround(F.col("pixels") * (res_m * res_m) / lookups.M2_PER_HA, 4)
     touches = (F.col("r1") == F.col("_r1")) | (F.col("r2") == F.col("_r2")) | (F.col("c1") == F.col("_c1")) | (F.col("c2") == F.col("_c2"))
@@ -210,17 +211,12 @@ def rates_absolute(maps: DataFrame, nutrient: str, res_m: float = 10.0) -> DataF
 
 
 def placed(rings: Column, x0: float, y0: float, res_m: float, epsg: int) -> Column:
-    """Rings of grid corners (row, col) as rings of (lon, lat), rounded to 7 places; (x0, y0) is the grid's upper left corner in the UTM zone."""
-
-    def point(p: Column) -> Column:
-        lon, lat = from_utm(F.lit(x0) + p[1] * res_m, F.lit(y0) - p[0] * res_m, epsg)
-        return F.array(F.round(lon, 7), F.round(lat, 7))
-
-    return F.transform(rings, lambda r: F.transform(r, point))
+    """Rings of grid corners (row, col) as rings of (lon, lat), rounded to 7 places; (x0, y0) is the grid's upper left corner in the UTM zone. For many corners, outlines.traced() does it faster, corner by corner."""
+    return F.transform(rings, lambda r: F.transform(r, lambda p: F.array(*corner_lonlat(p[0], p[1], x0, y0, res_m, epsg))))
 
 
 def features(found: DataFrame, rings: DataFrame | None = None, labels: Sequence[str] = (), at: tuple[float, float, float, int] | None = None) -> DataFrame:
-    """(grid, patch_id, feature): GeoJSON features; the geometry is the traced rings, or else the bounding box. at: (x0, y0, res_m, epsg) of the grid for longitudes and latitudes."""
+    """(grid, patch_id, feature): GeoJSON features; the geometry is the traced rings, or else the bounding box. at: (x0, y0, res_m, epsg) of the grid for longitudes and latitudes, unless the rings were traced with it."""
     corners = F.array(*(F.array(F.col(r), F.col(c)) for r, c in (("r1", "c1"), ("r1", "c2x"), ("r2x", "c2x"), ("r2x", "c1"), ("r1", "c1"))))
     rows = found.withColumns({"c2x": (F.col("c2") + 1).cast("long"), "r2x": (F.col("r2") + 1).cast("long")}).withColumns({c: F.col(c).cast("long") for c in ("r1", "c1")})
     rows = rows.withColumn("rings", F.array(corners)) if rings is None else rows.join(rings.withColumnRenamed("z", "zone"), ["grid", "zone", "r0", "c0"])
@@ -232,7 +228,8 @@ def features(found: DataFrame, rings: DataFrame | None = None, labels: Sequence[
 
 
 def collection_lines(features: DataFrame, epsg: int = 4326) -> DataFrame:
-    """(grid, part, patch_id, line): the lines of each grid's FeatureCollection in order of part and patch_id, so that it can be written without being gathered."""
+    """(grid, part, patch_id, line): the lines of each grid's FeatureCollection in order of part and patch_id, so that it can be written without being gathered. The features are made once, as a table."""
+    features = saved(features, "features")
     first = features.groupBy("grid").agg(F.min("patch_id").alias("_first"))
     head = first.select("grid", F.lit(0).alias("part"), F.lit(0).alias("patch_id"), F.lit(f'{{"type":"FeatureCollection","crs":{{"type":"name","properties":{{"name":"EPSG:{epsg}"}}}},"features":[').alias("line"))
     body = features.join(first, "grid").select("grid", F.lit(1).alias("part"), "patch_id", F.concat(F.when(F.col("patch_id") == F.col("_first"), "").otherwise(","), "feature").alias("line"))

@@ -451,6 +451,27 @@ def test_grouped_percentiles_and_zones(spark, monkeypatch):
     assert all(sorted((r["i"], r["zone"]) for r in both if r["g"] == g) == z for g, z in alone.items())
 
 
+def test_outlines_in_degrees_are_worked_out_a_row_a_corner(spark, monkeypatch):
+    """Patches and outlines share one labelling, a feature is made once, and no projection is left in a lambda over a ring, where none of its terms is shared."""
+    from terrabrook.operators import scratch
+
+    z = np.random.default_rng(11).integers(0, 3, (9, 7))
+    cells, at = cells_of(spark, z), (500000.0, 2200000.0, 10.0, 32643)
+    names = []
+    monkeypatch.setattr(raster, "saved", lambda df, name: names.append(name) or scratch.saved(df, name))
+    named = scratch.saved(raster.components(cells.where("z > 0"), False), "named")
+    outline = outlines.traced(cells, named=named, at=at)
+    made = zoning.features(zoning.patches(cells, named=named), outline, lookups.zone_labels(2))
+    assert names == ["tiles"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "atanh" in plan and not any("lambdafunction" in part and "atanh" in part for part in plan.split("\n"))
+    lines = zoning.collection_lines(made)
+    assert "atanh" not in lines._jdf.queryExecution().optimizedPlan().toString().lower()
+    before = zoning.collection_lines(zoning.features(zoning.patches(cells), outlines.traced(cells), lookups.zone_labels(2), at))
+    text = lambda df: [r["line"] for r in df.orderBy("grid", "part", "patch_id").collect()]
+    assert text(lines) == text(before) and json.loads("".join(text(lines)))["features"]
+
+
 def test_small_groups_settle_in_one_shuffle(spark, monkeypatch):
     """Groups that fit a task don't take a saved table and a shuffle of all values a round; both ways give the same zones, with equal centres and missing values too."""
     from terrabrook.operators import scratch
