@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +13,14 @@ def finite(v: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
-def _with_largest(pixels: DataFrame, values: dict[str, Column], by: Sequence[str]) -> DataFrame:
-    """pixels with `_max`, the largest of each of `values` in its array (of a scene): a small aggregate that is joined, so no scene's pixels come together in a task."""
+Clip = Callable[[DataFrame], DataFrame]
+
+
+def _with_largest(pixels: DataFrame, values: dict[str, Column], by: Sequence[str], clip: Clip | None = None) -> DataFrame:
+    """pixels with `_max`, the largest of each of `values` in its array (of a scene): a small aggregate that is joined, so no scene's pixels come together in a task.
+    clip: keeps some of the pixels, before the join; the largest values are those of all."""
     largest = pixels.groupBy(*by).agg(F.struct(*(F.max(v).alias(n) for n, v in values.items())).alias("_max"))
-    return pixels.join(largest, list(by), "left")
+    return (clip(pixels) if clip else pixels).join(largest, list(by), "left")
 
 
 def _reflectance(b: str, above: float = 1.5) -> Column:
@@ -44,19 +48,19 @@ def radar_power(pixels: DataFrame, bands: Sequence[str], by: Sequence[str]) -> D
     return met.withColumns({b: _power(b) for b in bands}).select(*pixels.columns)
 
 
-def stacked(pixels: DataFrame, bands: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Tiles as an analysis reads them: finite values, optical bands as reflectance, radar bands as positive power; tiles without any value in any band are left out."""
+def stacked(pixels: DataFrame, bands: Sequence[str], by: Sequence[str], clip: Clip | None = None) -> DataFrame:
+    """Tiles as an analysis reads them: finite values, optical bands as reflectance, radar bands as positive power; tiles without any value in any band are left out. clip: which pixels of them."""
     radar = [b for b in bands if b in ("vv", "vh")]
-    met = _with_largest(pixels, {b: _positive(b) if b in radar else finite(F.col(b)) for b in bands}, by)
+    met = _with_largest(pixels, {b: _positive(b) if b in radar else finite(F.col(b)) for b in bands}, by, clip)
     met = met.where(F.coalesce(*(F.col(f"_max.{b}") for b in bands)).isNotNull())
     return met.withColumns({b: _power(b) if b in radar else finite(_reflectance(b)) for b in bands}).select(*pixels.columns)
 
 
-def stacked_for(pixels: DataFrame, groups: dict[str, Sequence[str]], by: Sequence[str]) -> DataFrame:
+def stacked_for(pixels: DataFrame, groups: dict[str, Sequence[str]], by: Sequence[str], clip: Clip | None = None) -> DataFrame:
     """stacked() for several sets of bands in one pass: tiles stay, and `_has`, a struct of the sets' names, says for which of them a tile would."""
     bands = list(dict.fromkeys(b for g in groups.values() for b in g))
     radar = [b for b in bands if b in ("vv", "vh")]
-    met = _with_largest(pixels, {b: _positive(b) if b in radar else finite(F.col(b)) for b in bands}, by)
+    met = _with_largest(pixels, {b: _positive(b) if b in radar else finite(F.col(b)) for b in bands}, by, clip)
     has = F.struct(*(F.coalesce(*(F.col(f"_max.{b}") for b in g)).isNotNull().alias(n) for n, g in groups.items()))
     return met.withColumns({b: _power(b) if b in radar else finite(_reflectance(b)) for b in bands} | {"_has": has}).select(*pixels.columns, "_has")
 

@@ -2,7 +2,7 @@
 
 Cells are rows (keys, row, col, values): keys name the grid, so any number of grids of any size passes in one plan. A cell goes to its own tile, and to each
 neighbour whose rim it lies in, so the one shuffle has (1 + 2 radius / SIDE)^2 times the cells. A tile is an array in a task: never more than (SIDE + 2 radius)^2
-numbers for each value, whatever the grid's size. Beyond an edge of the grid, cells repeat in reverse. Missing cells and null or NaN values are NaN in the array;
+numbers for each value, whatever the grid's size. over_tiles() makes the tiles of a grid that is narrower than SIDE so much taller that they have about as many. Beyond an edge of the grid, cells repeat in reverse. Missing cells and null or NaN values are NaN in the array;
 only the given cells come back.
 """
 
@@ -33,18 +33,30 @@ def with_size(cells: DataFrame, keys: Sequence[str], size: DataFrame | None, nam
     return cells.withColumn("_size", both).withColumns({names[0]: F.col("_size.h"), names[1]: F.col("_size.w")}).drop("_size")
 
 
-def _tiles(axis: str, of: str, radius: int, side: int) -> Column:
+def height_of(wide: int, side: int, radius: int) -> int:
+    """Rows of a tile of a grid of `wide` columns, so that it has no more numbers with its rim than a square one."""
+    return side if wide >= side else (side + 2 * radius) ** 2 // (max(wide, 1) + 2 * radius) - 2 * radius
+
+
+def _height(wide: Column, side: int, radius: int) -> Column:
+    """height_of() as a column."""
+    tall = F.floor(F.lit((side + 2 * radius) ** 2) / (F.greatest(wide, F.lit(1)) + 2 * radius)) - 2 * radius
+    return F.when(wide >= side, F.lit(side).cast("long")).otherwise(tall)
+
+
+def _tiles(axis: str, of: str, radius: int, side: Column) -> Column:
     """The tiles that a cell goes to along an axis of `of` cells."""
-    at, tile = F.pmod(F.col(axis), F.lit(side)), F.floor(F.col(axis) / side)
+    at, tile = F.pmod(F.col(axis), side), F.floor(F.col(axis) / side)
     before, behind = (at < radius) & (tile > 0), (at >= side - radius) & ((tile + 1) * side < F.col(of))
     none = F.array().cast("array<bigint>")
     return F.when(~before & ~behind, F.array(tile)).otherwise(F.concat(F.array(tile), F.when(before, F.array(tile - 1)).otherwise(none), F.when(behind, F.array(tile + 1)).otherwise(none)))
 
 
-def haloed(cells: DataFrame, names: Sequence[str], radius: int, keys: Sequence[str], size: DataFrame | None, side: int) -> DataFrame:
-    """(*keys, row, col, *names, _h, _w, _r, _c): each cell for every tile (_r, _c) that has it, in its midst or on its rim."""
+def haloed(cells: DataFrame, names: Sequence[str], radius: int, keys: Sequence[str], size: DataFrame | None, side: int, tall: bool = False) -> DataFrame:
+    """(*keys, row, col, *names, _h, _w, _r, _c): each cell for every tile (_r, _c) that has it, in its midst or on its rim. tall: tiles have height_of() rows, not `side`."""
     rows = with_size(cells.select(*keys, "row", "col", *(F.col(n).cast("double").alias(n) for n in names)), keys, size, ("_h", "_w"))
-    return rows.withColumn("_r", F.explode(_tiles("row", "_h", radius, side))).withColumn("_c", F.explode(_tiles("col", "_w", radius, side)))
+    high = _height(F.col("_w"), side, radius) if tall else F.lit(side)
+    return rows.withColumn("_r", F.explode(_tiles("row", "_h", radius, high))).withColumn("_c", F.explode(_tiles("col", "_w", radius, F.lit(side))))
 
 
 def _source(first: int, n: int, of: int) -> np.ndarray:
@@ -57,16 +69,16 @@ def over_tiles(cells: DataFrame, names: Sequence[str], radius: int, run: Callabl
     """(*keys, row, col, *names as doubles): run gets an array for each name, with a rim of `radius`, and returns arrays without it."""
     side = max(side or SIDE, 2 * radius)
     kinds = dict(cells.dtypes)
-    rows = haloed(cells, names, radius, keys, size, side)
+    rows = haloed(cells, names, radius, keys, size, side, True)
     shape = [*((k, kinds[k]) for k in keys), ("row", kinds["row"]), ("col", kinds["col"]), *((n, "double") for n in names)]
 
     def tile(table: pa.Table) -> pa.Table:
         r, c = (table.column(x).to_numpy().astype(np.int64) for x in ("row", "col"))
-        own = (r // side == table.column("_r")[0].as_py()) & (c // side == table.column("_c")[0].as_py())
+        h, w = table.column("_h")[0].as_py(), table.column("_w")[0].as_py()
+        own = (r // height_of(w, side, radius) == table.column("_r")[0].as_py()) & (c // side == table.column("_c")[0].as_py())
         kept = table.filter(pa.array(own)).select([n for n, _ in shape])
         if not kept.num_rows:
             return kept
-        h, w = table.column("_h")[0].as_py(), table.column("_w")[0].as_py()
         r0, c0 = int(r[own].min()) - radius, int(c[own].min()) - radius
         high, wide = int(r[own].max()) + radius + 1 - r0, int(c[own].max()) + radius + 1 - c0
         inside = (r >= r0) & (r < r0 + high) & (c >= c0) & (c < c0 + wide)

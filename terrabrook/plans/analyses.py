@@ -35,9 +35,8 @@ class Field:
 
 
 def read(pixels: DataFrame, bands: Sequence[str], field: Field | None = None, by: Sequence[str] = ("scene_id",)) -> DataFrame:
-    """Pixels as analyses read them: sound bands, the field's cells."""
-    rows = quality.stacked(pixels, bands, by)
-    return field.clip(rows) if field else rows
+    """Pixels as analyses read them: sound bands, the field's cells, which are cut out before each meets its scene's largest values."""
+    return quality.stacked(pixels, bands, by, field.clip if field else None)
 
 
 def availability(scenes: DataFrame, start: str, end: str) -> DataFrame:
@@ -89,8 +88,7 @@ NUTRIENT_INDEX = {"N": "NITROGEN", "P": "CCC", "K": "NDMI"}
 
 def nutrient_availability(pixels: DataFrame, field: Field | None = None) -> DataFrame:
     """(nutrient, source_index, score, factor) from the legends of three indices, counted in one pass over the pixels."""
-    rows = quality.stacked_for(pixels, {n: lookup(i).bands for n, i in NUTRIENT_INDEX.items()}, ("scene_id",))
-    rows = field.clip(rows) if field else rows
+    rows = quality.stacked_for(pixels, {n: lookup(i).bands for n, i in NUTRIENT_INDEX.items()}, ("scene_id",), field.clip if field else None)
     clear = F.col("scl").isNull() | ~F.col("scl").isin(*lookups.CLOUDS_INDEX)
     bins = F.array(*(F.when(F.col(f"_has.{n}"), F.struct(F.lit(n).alias("name"), legend.index_bin(F.when(clear, index_column(i)), i).cast("int").alias("bin"))) for n, i in NUTRIENT_INDEX.items()))
     counted = rows.select(F.explode(bins).alias("b")).where("b is not null").groupBy("b.name", "b.bin").agg(F.count("*").alias("n"))

@@ -472,6 +472,46 @@ def test_outlines_in_degrees_are_worked_out_a_row_a_corner(spark, monkeypatch):
     assert text(lines) == text(before) and json.loads("".join(text(lines)))["features"]
 
 
+def test_narrow_grids_have_tall_tiles(spark, monkeypatch):
+    """A grid of 3 columns isn't cut into as many tiles as rows / SIDE, and smoothing is the same whatever the tiles."""
+    from terrabrook.operators import tiles
+
+    cells = spark.range(900).select(F.floor(F.col("id") / 3).alias("row"), (F.col("id") % 3).cast("int").alias("col"), F.when(F.col("id") % 7 != 0, F.rand(1)).alias("v"))
+    seen = []
+    haloed = tiles.haloed
+    monkeypatch.setattr(tiles, "haloed", lambda *a: seen.append(haloed(*a)) or seen[-1])
+    whole = array_of(raster.gaussian(cells, 1.0), (300, 3))
+    monkeypatch.setattr(tiles, "SIDE", 12)
+    assert np.allclose(array_of(raster.gaussian(cells, 1.0), (300, 3)), whole, rtol=1e-12, atol=0)
+    at = seen[-1].select("_r").distinct().count()
+    assert at == -(-300 // tiles.height_of(3, 12, 4)) and 1 < at < 300 / 12
+    assert (tiles.height_of(3, 12, 4) + 8) * (3 + 8) <= (12 + 8) ** 2 and tiles.height_of(12, 12, 4) == tiles.height_of(90, 12, 4) == 12
+
+
+def test_fields_are_cut_out_before_scenes_meet(spark):
+    """Cells outside of the field aren't shuffled to their scene's largest values, which are those of all its cells; and the JVM compiles every method of the plan, none being above 8000 bytes."""
+    import re
+
+    from terrabrook.plans import catalog
+
+    rows = [(1, i, 0, 5, *(x,) * 5) for i, x in enumerate((0.2, 0.4, 9000.0, 0.1))]
+    df = spark.createDataFrame(rows, "scene_id int, row int, col int, scl int, b02 double, b04 double, b08 double, b11 double, b12 double")
+    field = analyses.Field([[(0.0, 0.0), (1.0, 0.0), (1.0, 0.5), (0.0, 0.5)]], spark.createDataFrame([(4, 1)], "h long, w long"))
+    got = {r["row"]: r["b02"] for r in analyses.read(df, zoning.SOIL_BANDS, field).collect()}
+    assert got == {0: pytest.approx(0.2e-4), 1: pytest.approx(0.4e-4)}
+    kept = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        plan = catalog.queries()["soil_field_means"](spark, "/root/testdata/sf0.001")
+        text = spark._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "codegen")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) < 8000
+
+
 def test_small_groups_settle_in_one_shuffle(spark, monkeypatch):
     """Groups that fit a task don't take a saved table and a shuffle of all values a round; both ways give the same zones, with equal centres and missing values too."""
     from terrabrook.operators import scratch
