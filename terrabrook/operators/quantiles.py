@@ -50,9 +50,13 @@ def exact_percentiles(values: DataFrame, v: str, fractions: Sequence[float]) ->
                             found[k] = value
                             break
         if brackets:
-            asked = [(k, e, max(0.0, (k - below[e]) / held[e] - 2 / ACCURACY), min(1.0, (k - below[e] + 1) / held[e] + 2 / ACCURACY)) for k, e in brackets.items()]
-            got = data.agg(*(F.percentile_approx(F.when(inside(e), F.col("v")), F.array(F.lit(a), F.lit(b)), F.lit(ACCURACY)).alias(f"p{k}") for k, e, a, b in asked)).first()
-            brackets = {k: tuple(got[f"p{k}"]) for k, *_ in asked}
+            asked: dict[tuple[float, float], list[tuple[int, float, float]]] = {}
+            for k, e in brackets.items():
+                asked.setdefault(e, []).append((k, max(0.0, (k - below[e]) / held[e] - 2 / ACCURACY), min(1.0, (k - below[e] + 1) / held[e] + 2 / ACCURACY)))
+            # ranks in one bracket share its sketch
+            sketches = [F.percentile_approx(F.when(inside(e), F.col("v")), F.array(*(F.lit(x) for _, a, b in of for x in (a, b))), F.lit(ACCURACY)) for e, of in asked.items()]
+            got = data.agg(*(s.alias(f"p{i}") for i, s in enumerate(sketches))).first()
+            brackets = {k: (got[i][2 * j], got[i][2 * j + 1]) for i, of in enumerate(asked.values()) for j, (k, *_) in enumerate(of)}
     return [found[math.floor(a)] + (found[math.ceil(a)] - found[math.floor(a)]) * (a - math.floor(a)) for a in at]
 
 

@@ -512,6 +512,20 @@ def test_fields_are_cut_out_before_scenes_meet(spark):
     assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) < 8000
 
 
+def test_ranks_in_one_bracket_share_a_sketch(spark, monkeypatch):
+    """Four percentiles ask for eight ranks, and the first round for one sketch of all values, not eight."""
+    made = []
+    sketch = F.percentile_approx
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: made.append(a) or sketch(*a))
+    monkeypatch.setattr(quantiles, "GATHERED", 50)
+    data = np.random.default_rng(12).normal(size=4000)
+    df = spark.createDataFrame([(float(x),) for x in data], "v double")
+    fractions = [0.21, 0.43, 0.61, 0.87]
+    assert quantiles.exact_percentiles(df, "v", fractions) == pytest.approx(list(np.quantile(data, fractions)), abs=1e-12)
+    alike = [str(a[0]) for a in made]
+    assert made and len(alike) == len(set(alike))
+
+
 def test_small_groups_settle_in_one_shuffle(spark, monkeypatch):
     """Groups that fit a task don't take a saved table and a shuffle of all values a round; both ways give the same zones, with equal centres and missing values too."""
     from terrabrook.operators import scratch
