@@ -8,17 +8,22 @@ Only tiles at the rim keep edges, and of those only the ones that a ray to the r
 parity of crossed edges is asked in rim tiles only.
 
 `meeting` joins polygons with polygons: both go to the tiles that their boxes overlap, and a pair is reported in the one tile that holds the
-lower left corner of the boxes' common part. Tiles with too many members on both sides are quartered, round by round, so no task gets all pairs of a crowded place.
-Equal polygons are tested once: one of each goes to the tiles, and the pairs found are handed on to all that are equal. Polygons of up to CARRIED edges bring these to the tiles, so a pair
-is tested where it is found; the edges of larger ones are joined to their pairs.
+lower left corner of the boxes' common part. Tiles with too many members on both sides are quartered, round by round, as long as that leaves fewer pairs to look at: tiles of about the
+polygons' own size aren't, since each polygon would go to most quarters. What is crowded then is dealt into groups of at most GROUP keys a side, so no task gets all pairs of a crowded place.
+Equal polygons are tested once: one of each goes to the tiles, with the keys of all that are equal. Polygons of up to CARRIED edges bring these to the tiles, so a pair
+is tested where it is found, many at once in numpy; the edges of larger ones are joined to their pairs, as are the keys where more than KEYS polygons are equal. Else a pair
+that is found isn't shuffled: a polygon is handed on with a list of all that it meets in a group, and only the result has a row for each pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .scratch import saved
 
@@ -26,8 +31,15 @@ from .scratch import saved
 SIDE, LEVELS = 16, 4
 #: Pairs of a tile beyond which it is quartered, and quarterings at most.
 PAIRS, ROUNDS = 1_000_000, 8
+#: Copies of members, left times right, that quartering a tile may make of four, so that fewer pairs are left.
+COPIES = 2.4
 #: Edges that a polygon takes along to its tiles; those of one with more stay behind.
 CARRIED = 64
+#: Keys of equal polygons that go along with one of them, keys in a row where they are more, and keys of either side in a group.
+KEYS, PACK, GROUP = 64, 1024, 4096
+TILE = ["_size", "_tx", "_ty"]
+#: Pairs of boxes looked at, pairs of polygons collected, and those tested at once.
+LOOKED, HELD, TESTED = 1 << 20, 1 << 17, 2048
 NO_EDGES = "cast(array() as array<struct<x1:double,y1:double,x2:double,y2:double>>)"
 
 
@@ -130,55 +142,244 @@ def meet(a: Column, b: Column) -> Column:
 
 
 def _boxes(polygons: DataFrame, key: str, rings: str, size: float) -> DataFrame:
-    boxes = polygons.select(F.col(key).alias("_key"), edges_of(F.col(rings)).alias("_e")).where(F.size("_e") > 2).select("_key", box_of(F.col("_e")).alias("_box"), F.when(F.size("_e") <= CARRIED, F.col("_e")).alias("_e"))
+    more = [c for c in polygons.columns if c not in (key, rings)]
+    boxes = polygons.select(F.col(key).alias("_key"), *more, edges_of(F.col(rings)).alias("_e")).where(F.size("_e") > 2)
+    odd = F.exists("_e", lambda e: (e["x1"] + e["x2"] + e["y1"] + e["y2"]).isNull() | F.isnan(e["x1"] + e["x2"] + e["y1"] + e["y2"]))
+    boxes = boxes.select("_key", *more, box_of(F.col("_e")).alias("_box"), F.when((F.size("_e") <= CARRIED) & ~odd, F.col("_e")).alias("_e"))
     at = lambda a, b: F.explode(F.sequence(F.floor(F.col(f"_box.{a}") / size), F.floor(F.col(f"_box.{b}") / size)))
     return boxes.withColumn("_tx", at("x1", "x2")).withColumn("_ty", at("y1", "y2")).withColumn("_size", F.lit(size))
 
 
 def _quartered(members: DataFrame, crowded: DataFrame) -> DataFrame:
     """Members of crowded tiles go to those quarters that their box overlaps."""
-    tile = ["_size", "_tx", "_ty"]
-    met = members.join(crowded.withColumn("_split", F.lit(True)), tile, "left")
+    met = members.join(crowded.withColumn("_split", F.lit(True)), TILE, "left")
     quarters = F.array(*(F.struct((F.col("_size") / 2).alias("s"), (F.col("_tx") * 2 + a).alias("x"), (F.col("_ty") * 2 + b).alias("y")) for a in (0, 1) for b in (0, 1)))
     met = met.withColumn("_q", F.explode(F.when(F.col("_split"), quarters).otherwise(F.array(F.struct(F.col("_size").alias("s"), F.col("_tx").alias("x"), F.col("_ty").alias("y"))))))
     overlap = lambda a, b, t: (F.floor(F.col(f"_box.{a}") / F.col("_q.s")) <= F.col(f"_q.{t}")) & (F.floor(F.col(f"_box.{b}") / F.col("_q.s")) >= F.col(f"_q.{t}"))
-    return met.where(overlap("x1", "x2", "x") & overlap("y1", "y2", "y")).select("_key", "_box", "_e", F.col("_q.x").alias("_tx"), F.col("_q.y").alias("_ty"), F.col("_q.s").alias("_size"))
+    rest = [c for c in members.columns if c not in TILE]
+    return met.where(overlap("x1", "x2", "x") & overlap("y1", "y2", "y")).select(*rest, F.col("_q.x").alias("_tx"), F.col("_q.y").alias("_ty"), F.col("_q.s").alias("_size"))
+
+
+def _counted(members: DataFrame, n: str, copies: str) -> DataFrame:
+    """(*TILE, n, copies): the members of each tile, and how many quarters one of them goes to on average."""
+    half = F.col("_size") / 2
+    to = lambda a, b, t: (F.floor(F.col(f"_box.{a}") / half) <= F.col(t) * 2).cast("int") + (F.floor(F.col(f"_box.{b}") / half) > F.col(t) * 2).cast("int")
+    return members.groupBy(*TILE).agg(F.count("*").alias(n), F.avg(to("x1", "x2", "_tx") * to("y1", "y2", "_ty")).alias(copies))
 
 
 def different(polygons: DataFrame, key: str, rings: str) -> tuple[DataFrame, DataFrame]:
-    """(_key, _rings) of each different polygon, by the least key that has it, and (_key, _one) of all keys that have it."""
-    rows = polygons.select(F.col(key).alias("_one"), F.col(rings).alias("_rings")).where(F.size(edges_of(F.col("_rings"))) > 2)
-    own = saved(rows.groupBy("_rings").agg(F.min("_one").alias("_key")), "shapes")
-    return own, saved(rows.join(own, "_rings").select("_key", "_one"), "members")
+    """(_key, _rings, _n) of each different polygon, by the least key that has it, and (_key, _one, _n) of all keys that have it; _n: how many these are. Polygons are equal if a digest of their points is."""
+    rows = polygons.select(F.col(key).alias("_one"), F.col(rings).alias("_rings"), F.unhex(F.sha2(F.col(rings).cast("string"), 256)).alias("_same"))
+    own = rows.groupBy("_same").agg(F.min("_one").alias("_key"), F.first("_rings").alias("_rings"), F.count("*").alias("_n"))
+    own = saved(own.where(F.size(edges_of(F.col("_rings"))) > 2), "shapes")
+    return own.select("_key", "_rings", "_n"), saved(rows.select("_one", "_same").join(own.select("_same", "_key", "_n"), "_same").select("_key", "_one", "_n"), "members")
 
 
 def candidates(a: DataFrame, b: DataFrame, keys: tuple[str, str], rings: tuple[str, str], size: float = 64.0, pairs: int = PAIRS) -> tuple[DataFrame, DataFrame]:
-    """The members (_key, _box, _e, _tx, _ty, _size) of tiles of both sides, crowded tiles quartered; _e is null where there are more edges than CARRIED."""
+    """The members (_key, _box, _e, _tx, _ty, _size) of tiles of both sides, with what other columns they have; crowded tiles are quartered as long as that leaves fewer pairs. _e is null
+    where there are more edges than CARRIED, or one of them isn't of numbers."""
     left, right = (saved(_boxes(p, k, r, float(size)), "members") for p, k, r in ((a, keys[0], rings[0]), (b, keys[1], rings[1])))
-    tile = ["_size", "_tx", "_ty"]
     for _ in range(ROUNDS):
-        counts = left.groupBy(tile).agg(F.count("*").alias("_n")).join(right.groupBy(tile).agg(F.count("*").alias("_m")), tile)
-        crowded = saved(counts.where(F.col("_n") * F.col("_m") > pairs).select(tile), "crowded")
+        counts = _counted(left, "_n", "_c").join(_counted(right, "_m", "_d"), TILE)
+        crowded = saved(counts.where((F.col("_n") * F.col("_m") > pairs) & (F.col("_c") * F.col("_d") <= COPIES)).select(*TILE), "crowded")
         if crowded.isEmpty():
             break
-        left, right = saved(_quartered(left, crowded), "members"), saved(_quartered(right, crowded), "members")
+        left, right = _quartered(left, crowded), _quartered(right, crowded)
     return left, right
 
 
-def meeting(a: DataFrame, b: DataFrame, keys: tuple[str, str], rings: tuple[str, str], size: float = 64.0, pairs: int = PAIRS) -> DataFrame:
-    """(*keys) of the polygons of a and b that have a point in common, each pair once. Keys name rows of their side and differ in name; size: of the tiles at first, about that of the polygons or larger."""
-    (a, of_a), (b, of_b) = (different(p, k, r) for p, k, r in ((a, keys[0], rings[0]), (b, keys[1], rings[1])))
-    left, right = candidates(a, b, ("_key", "_key"), ("_rings", "_rings"), size, pairs)
-    right = right.withColumnsRenamed({"_key": "_other", "_box": "_at", "_e": "_f"})
+def _packs(members: DataFrame) -> DataFrame:
+    """(_key, _n, _pack, _keys): the keys of equal polygons, in one array if there are at most KEYS, else in arrays of about PACK."""
+    pack = F.when(F.col("_n") > KEYS, F.pmod(F.xxhash64("_one"), F.ceil(F.col("_n") / PACK))).otherwise(0)
+    return saved(members.groupBy("_key", "_n", pack.alias("_pack")).agg(F.collect_list("_one").alias("_keys")), "packs")
+
+
+def _dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of tiles that both sides have, with (_i, _j), the group within their tile: those of the left are dealt by _i and copied to each _j, those of the right the other way round."""
+    weight = lambda m, n: m.groupBy(*TILE).agg(F.ceil(F.sum(F.size("_keys")) / GROUP).alias(n))
+    parts = saved(weight(left, "_p").join(weight(right, "_q"), TILE), "groups")
+    left, right = left.join(parts, TILE), right.join(parts, TILE)
+    part = lambda n: F.pmod(F.xxhash64("_key"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    return left.withColumn("_i", part("_p")).withColumn("_j", each("_q")), right.withColumn("_j", part("_q")).withColumn("_i", each("_p"))
+
+
+class _Edges:
+    """The edges of polygons, as arrays (edge, polygon) in which NaN stands for none."""
+
+    def __init__(self, edges: pa.Array) -> None:
+        self.n = edges.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, polygon = edges.flatten(), np.repeat(np.arange(len(self.n)), self.n)
+        at = np.arange(len(polygon)) - np.repeat(np.cumsum(self.n) - self.n, self.n), polygon
+        self.x1, self.y1, self.x2, self.y2 = (np.full((int(self.n.max(initial=0)), len(self.n)), np.nan) for _ in range(4))
+        for name in ("x1", "y1", "x2", "y2"):
+            getattr(self, name)[at] = flat.field(name).to_numpy(zero_copy_only=False)
+
+    def of(self, i: np.ndarray) -> tuple[np.ndarray, ...]:
+        most = int(self.n[i].max())
+        return tuple(c[:most].take(i, axis=1) for c in (self.x1, self.y1, self.x2, self.y2))
+
+
+def _odd(edges: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """crossings() of each polygon and its point, whether they are odd."""
+    x1, y1, x2, y2 = edges
+    return np.logical_xor.reduce(((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1), axis=0)
+
+
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two turns differ, or one is none."""
+    return (np.minimum(a, b) <= 0) & (np.maximum(a, b) >= 0)
+
+
+def _tested(edges: _Edges, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """meet() of the polygons i and j, in the same arithmetic."""
+    a, b = edges.of(i), edges.of(j)
+    out = _odd(b, a[0][0], a[1][0]) | _odd(a, b[0][0], b[1][0])
+    for k in range(len(a[0])):
+        left = np.flatnonzero(~out)
+        if not len(left):
+            break
+        px, py, qx, qy = (c[k, left] for c in a)
+        x1, y1, x2, y2 = (c.take(left, axis=1) for c in b)
+        dx, dy = qx - px, qy - py
+        e, f = np.nonzero(_between(dx * (y1 - py) - dy * (x1 - px), dx * (y2 - py) - dy * (x2 - px)))
+        x1, y1, x2, y2, px, py, qx, qy = x1[e, f], y1[e, f], x2[e, f], y2[e, f], px[f], py[f], qx[f], qy[f]
+        dx, dy = x2 - x1, y2 - y1
+        crossed = _between(dx * (py - y1) - dy * (px - x1), dx * (qy - y1) - dy * (qx - x1))
+        for p, q, u, v in ((px, qx, x1, x2), (py, qy, y1, y2)):
+            crossed &= (np.maximum(p, q) >= np.minimum(u, v)) & (np.maximum(u, v) >= np.minimum(p, q))
+        out[left[f[crossed]]] = True
+    return out
+
+
+def _alike(edges: _Edges, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """_tested() of any number of pairs, those of about as many edges together."""
+    out, kind = np.zeros(len(i), bool), np.frexp(edges.n)[1]
+    kinds = kind[i] * 64 + kind[j]
+    for one in np.unique(kinds):
+        at = np.flatnonzero(kinds == one)
+        for k in range(0, len(at), TESTED):
+            part = at[k : k + TESTED]
+            out[part] = _tested(edges, i[part], j[part])
+    return out
+
+
+def _near(rows: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (left, right) of rows whose boxes overlap and that are reported in their tile; first: where the groups begin."""
+    box = rows.column("_box").combine_chunks()
+    x1, x2, y1, y2 = (box.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "x2", "y1", "y2"))
+    size, tx, ty, right = (rows.column(c).to_numpy() for c in ("_size", "_tx", "_ty", "_right"))
+    for start, end in zip(first, [*first[1:], len(rows)]):
+        side = right[start:end]
+        own, r = start + np.flatnonzero(~side), start + np.flatnonzero(side)
+        step = max(1, LOOKED // max(1, len(r)))
+        for k in range(0, len(own) if len(r) else 0, step):
+            part = own[k : k + step]
+            over = (x1[part, None] <= x2[r]) & (x2[part, None] >= x1[r]) & (y1[part, None] <= y2[r]) & (y2[part, None] >= y1[r])
+            i, j = np.nonzero(over)
+            i, j = part[i], r[j]
+            here = (np.floor(np.maximum(x1[i], x1[j]) / size[start]) == tx[start]) & (np.floor(np.maximum(y1[i], y1[j]) / size[start]) == ty[start])
+            yield i[here], j[here]
+
+
+def _lists(keys: pa.Array, i: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The lists of keys at i put together in lists that begin at first, which are positions in i."""
+    n = keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = (np.cumsum(n) - n)[i]
+    m = n[i]
+    ends = np.cumsum(m)
+    at = np.arange(ends[-1]) + np.repeat(of - (ends - m), m)
+    return pa.ListArray.from_arrays(pa.array(np.append((ends - m)[first], ends[-1]), pa.int32()), keys.flatten().take(pa.array(at)))
+
+
+def _found(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(_a, _b) of whole groups: all keys of a list _a meet all of the list _b."""
+    edges = _Edges(rows.column("_e").combine_chunks())
+    a, b = rows.column("_a").combine_chunks(), rows.column("_b").combine_chunks()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def tested() -> Iterator[pa.RecordBatch]:
+        i, j = (np.concatenate(c) for c in zip(*held))
+        met = _alike(edges, i, j)
+        i, j = i[met], j[met]
+        if len(i):
+            runs = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            yield pa.RecordBatch.from_arrays([_lists(a, i[runs], np.arange(len(runs))), _lists(b, j, runs)], ["_a", "_b"])
+
+    for pair in _near(rows, first):
+        held.append(pair)
+        if sum(len(i) for i, _ in held) >= HELD:
+            yield from tested()
+            held.clear()
+    if held:
+        yield from tested()
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_found() of rows that come in the order of their groups; the last group of a batch waits for the next one."""
+    waiting: pa.Table | None = None
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            other = np.zeros(max(0, len(rows) - 1), bool)
+            for c in (*TILE, "_i", "_j"):
+                v = rows.column(c).to_numpy()
+                other |= v[1:] != v[:-1]
+            first = np.append(0, np.flatnonzero(other) + 1)
+            if first[-1]:
+                yield from _found(rows.slice(0, first[-1]), first[:-1])
+            waiting = rows.slice(first[-1])
+        if waiting is not None and len(waiting):
+            yield from _found(waiting, np.zeros(1, int))
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(_a, _b): lists of keys of the members of both sides, of which each of one list meets each of the other."""
+    kind = lambda m: m.schema["_keys"].dataType.simpleString()
+    a, b = kind(left), kind(right)
+    left, right = _dealt(left, right)
+    row = lambda m, side, x, y: m.select(*TILE, "_i", "_j", F.lit(side).alias("_right"), x.alias("_a"), y.alias("_b"), "_box", "_e")
+    rows = row(left, False, F.col("_keys"), F.lit(None).cast(b)).unionByName(row(right, True, F.lit(None).cast(a), F.col("_keys")))
+    order = [*TILE, "_i", "_j"]
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_by_group, f"_a {a}, _b {b}")
+
+
+def _far(left: DataFrame, right: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(_key, _other) of members that meet where either doesn't carry its edges, which are those of a and b."""
+    right = right.withColumnsRenamed({"_key": "_other", "_box": "_at", "_e": "_f"}).drop("_keys")
     x, y = F.greatest("_box.x1", "_at.x1"), F.greatest("_box.y1", "_at.y1")
     both = (x <= F.least("_box.x2", "_at.x2")) & (y <= F.least("_box.y2", "_at.y2"))
     here = (F.floor(x / F.col("_size")) == F.col("_tx")) & (F.floor(y / F.col("_size")) == F.col("_ty"))
-    near = lambda p, q: p.join(q, ["_size", "_tx", "_ty"]).where(both & here)
-    found = near(left.where("_e is not null"), right.where("_f is not null")).where(meet(F.col("_e"), F.col("_f"))).select("_key", "_other")
-    many, more = left.where("_e is null"), right.where("_f is null")
-    if not (many.isEmpty() and more.isEmpty()):
-        far = near(many, right).unionByName(near(left.where("_e is not null"), more)).select("_key", "_other")
-        far = far.join(a.select("_key", edges_of(F.col("_rings")).alias("_e")), "_key").join(b.select(F.col("_key").alias("_other"), edges_of(F.col("_rings")).alias("_f")), "_other")
-        found = found.unionByName(far.where(meet(F.col("_e"), F.col("_f"))).select("_key", "_other"))
-    found = found.join(of_a.select("_key", F.col("_one").alias(keys[0])), "_key").join(of_b.select(F.col("_key").alias("_other"), F.col("_one").alias(keys[1])), "_other")
-    return found.select(*keys)
+    near = lambda p, q: p.join(q, TILE).where(both & here).select("_key", "_other")
+    pairs = near(left.where("_e is null"), right).unionByName(near(left.where("_e is not null"), right.where("_f is null")))
+    pairs = pairs.join(a.select("_key", edges_of(F.col("_rings")).alias("_e")), "_key").join(b.select(F.col("_key").alias("_other"), edges_of(F.col("_rings")).alias("_f")), "_other")
+    return pairs.where(meet(F.col("_e"), F.col("_f"))).select("_key", "_other")
+
+
+def meeting(a: DataFrame, b: DataFrame, keys: tuple[str, str], rings: tuple[str, str], size: float = 64.0, pairs: int = PAIRS) -> DataFrame:
+    """(*keys) of the polygons of a and b that have a point in common, each pair once. Keys name rows of their side and differ in name; size: of the tiles at first, about that of the polygons or larger."""
+    (a, of_a), (b, of_b) = (different(p, k, r) for p, k, r in ((a, keys[0], rings[0]), (b, keys[1], rings[1])))
+    of_a, of_b = _packs(of_a), _packs(of_b)
+    few, many = F.col("_n") <= KEYS, F.col("_n") > KEYS
+    left, right = candidates(*(p.select("_key", "_rings").join(of.where(few).select("_key", "_keys"), "_key", "left") for p, of in ((a, of_a), (b, of_b))), ("_key", "_key"), ("_rings", "_rings"), size, pairs)
+    along, alone = "_e is not null and _keys is not null", "_e is not null and _keys is null"
+    own = lambda m: m.where(alone).withColumn("_keys", F.array("_key"))
+    spread = lambda met: met.select(F.explode("_a").alias(keys[0]), "_b").select(keys[0], F.explode("_b").alias(keys[1]))
+    dealt = lambda met: met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # noqa: E731  # rows stand for many pairs each
+    rows_of = lambda of, key, name: of.select(F.col("_key").alias(key), F.col("_keys").alias(name))
+    found = spread(_pairs(left.where(along), right.where(along)))
+    of = []
+    if more_a := not of_a.where(many).isEmpty():
+        met = _pairs(own(left), right.where(along)).select(F.explode("_a").alias("_key"), "_b")
+        found = found.unionByName(spread(dealt(met.join(rows_of(of_a.where(many), "_key", "_a"), "_key"))))
+    if more_b := not of_b.where(many).isEmpty():
+        met = _pairs(own(right), left.where(along)).select(F.explode("_a").alias("_other"), F.col("_b").alias("_a"))
+        found = found.unionByName(spread(dealt(met.join(rows_of(of_b.where(many), "_other", "_b"), "_other"))))
+    if more_a and more_b:
+        of.append(_pairs(own(left), own(right)).select(F.explode("_a").alias("_key"), "_b").select("_key", F.explode("_b").alias("_other")))
+    if not (left.where("_e is null").isEmpty() and right.where("_e is null").isEmpty()):
+        of.append(_far(left, right, a, b))
+    for met in of:
+        found = found.unionByName(spread(dealt(met.join(rows_of(of_a, "_key", "_a"), "_key").join(rows_of(of_b, "_other", "_b"), "_other"))))
+    return found

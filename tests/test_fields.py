@@ -134,6 +134,40 @@ def test_equal_polygons_are_tested_once(spark):
     assert sorted((i, j) for i, j in map(tuple, fields.meeting(a, b, ("id", "other"), ("rings", "rings"), 16.0, 20).collect()) if j < 900) == want and len(want) >= 5000
 
 
+def test_tiles_of_the_polygons_size_are_not_quartered(spark):
+    """In a crowded place tiles stop at about the polygons' size: quarters of those would have copies of nearly all."""
+    rng = random.Random(4)
+    rows = [(i, [star(rng, 100 + rng.random(), 100 + rng.random(), 20, 5)]) for i in range(20)]
+    a, b = (spark.createDataFrame(rows, f"{k} int, {RINGS}") for k in ("id", "other"))
+    left, right = fields.candidates(a, b, ("id", "other"), ("rings", "rings"), 64.0, 50)
+    assert left.count() <= 400 and right.count() <= 400
+    want = sorted((i, j) for i, p in rows for j, q in rows if meets(p, q))
+    assert sorted(map(tuple, fields.meeting(a, b, ("id", "other"), ("rings", "rings"), 64.0, 50).collect())) == want
+
+
+def test_pairs_are_not_shuffled(spark):
+    rng = random.Random(5)
+    rows = [(i, [star(rng, rng.uniform(0, 60), rng.uniform(0, 60), 9, 5)]) for i in range(80)]
+    a, b = (spark.createDataFrame(rows, f"{k} int, {RINGS}") for k in ("id", "other"))
+    above = plan(fields.meeting(a, b, ("id", "other"), ("rings", "rings"))).split("MapInArrow")
+    assert len(above) == 2 and "Exchange" not in above[0] and "Join" not in above[0]
+
+
+@pytest.mark.parametrize("group", [7, 4096])
+def test_copies_beyond_what_is_carried(spark, monkeypatch, group):
+    """Polygons of few and of many copies meet those of few and of many, in groups of any size; a null key names nothing."""
+    monkeypatch.setattr(fields, "KEYS", 3)
+    monkeypatch.setattr(fields, "PACK", 4)
+    monkeypatch.setattr(fields, "GROUP", group)
+    rng = random.Random(12)
+    kinds = [([star(rng, rng.uniform(15, 45), rng.uniform(15, 45), 6, rng.choice([4, 5, 9, 80]))], rng.choice([1, 2, 3, 13])) for _ in range(40)]
+    dealt = lambda some: [(f"k{n}", p) for n, p in enumerate(p for p, n in some for _ in range(n))]
+    left, right = dealt(kinds[:25]), dealt(kinds[15:])
+    a, b = (spark.createDataFrame([*p, (None, p[0][1])], f"{k} string, {RINGS}").repartition(3) for p, k in ((left, "id"), (right, "other")))
+    want = sorted((i, j) for i, p in left for j, q in right if meets(p, q))
+    assert sorted(map(tuple, fields.meeting(a, b, ("id", "other"), ("rings", "rings"), 16.0, 30).collect())) == want and len(want) > 300
+
+
 def test_equal_fields_are_covered_once(spark, tmp_path, monkeypatch):
     """Of equal fields one meets the cells, and all have its mean."""
     from terrabrook.plans import catalog
