@@ -35,8 +35,8 @@ PAIRS, ROUNDS = 1_000_000, 8
 COPIES = 2.4
 #: Edges that a polygon takes along to its tiles; those of one with more stay behind.
 CARRIED = 64
-#: Keys of equal polygons that go along with one of them, keys in a row where they are more, and keys of either side in a group.
-KEYS, PACK, GROUP = 64, 1024, 4096
+#: Keys of equal polygons that go along with one of them, or in a row where they are more; keys that a row meets, as explode holds all pairs of a row at once; keys of either side in a group.
+KEYS, MET, GROUP = 64, 256, 4096
 TILE = ["_size", "_tx", "_ty"]
 #: Pairs of boxes looked at, pairs of polygons collected, and those tested at once.
 LOOKED, HELD, TESTED = 1 << 20, 1 << 17, 2048
@@ -189,8 +189,8 @@ def candidates(a: DataFrame, b: DataFrame, keys: tuple[str, str], rings: tuple[s
 
 
 def _packs(members: DataFrame) -> DataFrame:
-    """(_key, _n, _pack, _keys): the keys of equal polygons, in one array if there are at most KEYS, else in arrays of about PACK."""
-    pack = F.when(F.col("_n") > KEYS, F.pmod(F.xxhash64("_one"), F.ceil(F.col("_n") / PACK))).otherwise(0)
+    """(_key, _n, _pack, _keys): the keys of equal polygons, in one array if there are at most KEYS, else in arrays of about as many."""
+    pack = F.pmod(F.xxhash64("_one"), F.ceil(F.col("_n") / KEYS))
     return saved(members.groupBy("_key", "_n", pack.alias("_pack")).agg(F.collect_list("_one").alias("_keys")), "packs")
 
 
@@ -292,18 +292,26 @@ def _lists(keys: pa.Array, i: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append((ends - m)[first], ends[-1]), pa.int32()), keys.flatten().take(pa.array(at)))
 
 
+def _runs(i: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where lists begin: at each new i, and after every MET keys or so; n: the keys at each position."""
+    first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+    before = np.cumsum(n) - n
+    part = (before - np.repeat(before[first], np.diff(np.append(first, len(i))))) // MET
+    return np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (part[1:] != part[:-1])))
+
+
 def _found(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(_a, _b) of whole groups: all keys of a list _a meet all of the list _b."""
     edges = _Edges(rows.column("_e").combine_chunks())
     a, b = rows.column("_a").combine_chunks(), rows.column("_b").combine_chunks()
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n, held = b.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), []
 
     def tested() -> Iterator[pa.RecordBatch]:
         i, j = (np.concatenate(c) for c in zip(*held))
         met = _alike(edges, i, j)
         i, j = i[met], j[met]
         if len(i):
-            runs = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            runs = _runs(i, n[j])
             yield pa.RecordBatch.from_arrays([_lists(a, i[runs], np.arange(len(runs))), _lists(b, j, runs)], ["_a", "_b"])
 
     for pair in _near(rows, first):

@@ -153,11 +153,19 @@ def test_pairs_are_not_shuffled(spark):
     assert len(above) == 2 and "Exchange" not in above[0] and "Join" not in above[0]
 
 
+def test_lists_are_short():
+    """No row stands for very many pairs, since explode holds them all."""
+    i, n = fields.np.array([0] * 900 + [1] * 5 + [2] * 300), fields.np.array([1] * 905 + [64] * 300)
+    runs = fields._runs(i, n)
+    ends = [*runs[1:], len(i)]
+    assert {0, 900, 905} <= set(runs.tolist()) and all(len(set(i[a:b])) == 1 and n[a:b].sum() <= fields.MET + 64 for a, b in zip(runs, ends))
+    assert len(runs) < 90
+
+
 @pytest.mark.parametrize("group", [7, 4096])
 def test_copies_beyond_what_is_carried(spark, monkeypatch, group):
     """Polygons of few and of many copies meet those of few and of many, in groups of any size; a null key names nothing."""
     monkeypatch.setattr(fields, "KEYS", 3)
-    monkeypatch.setattr(fields, "PACK", 4)
     monkeypatch.setattr(fields, "GROUP", group)
     rng = random.Random(12)
     kinds = [([star(rng, rng.uniform(15, 45), rng.uniform(15, 45), 6, rng.choice([4, 5, 9, 80]))], rng.choice([1, 2, 3, 13])) for _ in range(40)]
